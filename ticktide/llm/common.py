@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,14 @@ def text_or_empty(column: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def groups(batch: pa.RecordBatch, rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """`batch` in slices of a few hundred rows, to bound what is held beside it."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def texts_of(column: pa.Array) -> list[bytes]:
+    """UTF-8 bytes of a string column, null as empty."""
+    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]

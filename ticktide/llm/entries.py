@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ticktide.llm.exact_dedup import exact_groups
+from ticktide.llm.packing import pack
+from ticktide.llm.sharding import shard_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +20,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_pack": op2_pack,
+    "op4_shard": op4_shard,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +44,38 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM d
     """,
+    "op4_shard": r"""
+        WITH RECURSIVE
+        crc_table AS (
+            SELECT list(list_reduce(range(0, 9), lambda a, b: CASE WHEN b = 0 THEN a WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n) ORDER BY n) AS t
+            FROM range(0, 256) AS r(n)
+        ),
+        d AS (
+            SELECT doc_id, coalesce(text, '') AS s, hex(encode(coalesce(text, ''))) AS h,
+                   (coalesce(doc_id, 0)::HUGEINT + CASE WHEN coalesce(doc_id, 0) < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END)::UHUGEINT AS k0
+            FROM documents
+        ),
+        sized AS (
+            SELECT doc_id, k0, strlen(s) + 8 AS size,
+                   xor(4294967295, list_reduce(
+                       list_transform(range(0, strlen(s)), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32
+            FROM d, crc_table
+        ),
+        walk AS (
+            SELECT DISTINCT k0, k0 AS k, 0::BIGINT AS j, 0::BIGINT AS s24, 0::BIGINT AS s25 FROM sized
+            UNION ALL
+            SELECT k0, nk, floor((j + 1) * (2147483648.0::DOUBLE / (nk // 8589934592::UHUGEINT + 1)::DOUBLE))::BIGINT,
+                   CASE WHEN j < 24 THEN j ELSE s24 END, CASE WHEN j < 25 THEN j ELSE s25 END
+            FROM (SELECT *, (k * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS nk FROM walk WHERE j < 25)
+        ),
+        placed AS (SELECT k0, max(s24) AS s24, max(s25) AS s25 FROM walk GROUP BY k0)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, s24::INT AS shard,
+               row_number() OVER (
+                   PARTITION BY s24
+                   ORDER BY ((k0 * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT // 1099511627776::UHUGEINT) % 64::UHUGEINT,
+                            doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+               s25::INT AS grown_shard
+        FROM sized JOIN placed USING (k0)
+    """,
 }
