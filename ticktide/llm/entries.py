@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ticktide.llm import langid, sentencepiece_codec
 from ticktide.llm.exact_dedup import exact_groups
 from ticktide.llm.packing import pack
 from ticktide.llm.sharding import shard_documents
+from ticktide.llm.simhash import near_duplicate_groups
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +32,33 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its ids' number and checksum, and the size and checksum of the decoded text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.to_json("ids")).alias("ids_crc32"),
+        F.octet_length("text").cast("long").alias("decoded_bytes"), F.crc32("text").alias("decoded_crc32"),
+    )
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    profiles = langid.learn(docs.filter(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pack": op2_pack,
     "op4_shard": op4_shard,
+    "op8_simhash": op8_simhash,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
