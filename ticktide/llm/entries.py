@@ -13,6 +13,7 @@ from ticktide.llm.exact_dedup import exact_groups
 from ticktide.llm.packing import pack
 from ticktide.llm.sharding import shard_documents
 from ticktide.llm.simhash import near_duplicate_groups
+from ticktide.llm.suffix_dedup import span_digests
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pack": op2_pack,
     "op4_shard": op4_shard,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_langid": op10_langid,
