@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ticktide.llm import langid, sentencepiece_codec
 from ticktide.llm.exact_dedup import exact_groups
 from ticktide.llm.packing import pack
+from ticktide.llm.quality import measured
 from ticktide.llm.sharding import shard_documents
 from ticktide.llm.simhash import near_duplicate_groups
 from ticktide.llm.suffix_dedup import span_digests
@@ -33,6 +34,12 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return measured(docs).select("doc_id", *names)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(table(spark, sf_dir, "documents"))
 
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pack": op2_pack,
     "op4_shard": op4_shard,
+    "op6_quality": op6_quality,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
     "op9_sentencepiece": op9_sentencepiece,
@@ -76,6 +84,30 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM d
     """,
+    "op6_quality": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        windows AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
+        repeated AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM windows) WHERE n > 1
+        ),
+        covered AS (
+            SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY doc_id
+        ),
+        lines AS (SELECT doc_id, unnest(string_split(s, chr(10))) AS line FROM d),
+        dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        m AS (
+            SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+                   length(regexp_replace(s, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+            FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)
+        )
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 10 * n_symbols > n_words
+                    OR word_chars < 2 * n_words OR word_chars > 16 * n_words OR (n_dup_lines >= 3 AND 25 * n_dup_lines > n_words)) AS kept
+        FROM m
+    """,
     "op4_shard": r"""
         WITH RECURSIVE
         crc_table AS (

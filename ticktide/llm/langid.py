@@ -18,9 +18,11 @@ language that sorts first; repeated rows are judged each; an empty table gives a
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -135,15 +137,22 @@ class Ranker:
         return self.langs[order[0]], float(1 - best / most) if most else 0.0
 
 
+@lru_cache(maxsize=1)
+def ranker_of(profiles: str, profile: int) -> Ranker:
+    """One per worker process and learned profiles (as JSON), so later tasks know its words."""
+    return Ranker(json.loads(profiles), profile)
+
+
 def predict(docs: DataFrame, profiles: dict[str, dict[str, int]], text_col: str = "text", profile: int = PROFILE) -> DataFrame:
     """All columns of `docs` but the text, with lang_pred and score."""
     from pyspark.sql import types as T
 
     kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score")]
+    name = json.dumps(profiles, sort_keys=True)
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranker = Ranker(profiles, profile)
+        ranker = ranker_of(name, profile)
         for batch in batches:
             for part in groups(batch):
                 found = [ranker.judge(t) for t in part.column(len(kept)).to_pylist()]

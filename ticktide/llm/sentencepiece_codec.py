@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -152,11 +153,17 @@ class Codec:
         return joined.removeprefix(b" ").decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """One per worker process, so later tasks know what earlier ones found."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, ids array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = codec_of(model_path)
         for batch in batches:
             for part in groups(batch):
                 ids = [np.array(codec.encode(t or ""), dtype=np.int32) for t in part.column(1).to_pylist()]
@@ -171,7 +178,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """Rows (doc_id, ids, text) for rows (doc_id, ids); null ids decode to the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = codec_of(model_path)
         for batch in batches:
             for part in groups(batch):
                 texts = [codec.decode(i or []) for i in part.column(1).to_pylist()]
