@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ticktide.llm import langid, sentencepiece_codec
 from ticktide.llm.exact_dedup import exact_groups
+from ticktide.llm.html_extract import extract
 from ticktide.llm.packing import pack
 from ticktide.llm.quality import measured
 from ticktide.llm.sharding import shard_documents
 from ticktide.llm.simhash import near_duplicate_groups
 from ticktide.llm.suffix_dedup import span_digests
+from ticktide.llm.url_filter import judge
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +31,27 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+#: The rules of the query, (host, path, allow).
+URL_RULES = [
+    ("com", "/en/", False), ("example.com", "/en/7", True), ("net", "/de/", True), ("example.net", "/de/8", False), ("org", "/es/", False),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, allow boolean")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -67,7 +85,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pack": op2_pack,
+    "op3_html_extract": op3_html_extract,
     "op4_shard": op4_shard,
+    "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_simhash": op8_simhash,
@@ -84,6 +104,24 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
         FROM d
     """,
+    "op5_url_filter": r"""
+        WITH rules(rh, rp, verdict) AS (
+            VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+        ),
+        rest AS (
+            SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS x FROM pages
+        ),
+        parts AS (
+            SELECT r, page_id, translate(regexp_extract(x, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rest
+        ),
+        best AS (
+            SELECT r, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+            FROM parts, rules WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY r
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (r)
+    """,
     "op6_quality": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
