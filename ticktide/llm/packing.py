@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ticktide.llm.common import groups, texts_of
-from ticktide.llm.tokens import ChunkTokenizer
+from ticktide.llm.tokens import chunk_tokenizer
 
 CAPACITY = 4096
 CLOSING_ID = 2
@@ -86,7 +86,7 @@ def pack(
     closing = closing_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, block = ChunkTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tokens, part, block = chunk_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         names: list[Any] = []
         bodies: list[bytes] = []
         held = 0

@@ -11,13 +11,14 @@ each chunk tells where its ids end.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 #: Chunks that one generation remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Longer chunks are not remembered.
 LONGEST = 64
 #: New chunks that one call of the tokenizer gets.
@@ -69,3 +70,9 @@ class ChunkTokenizer:
         if len(known) > REMEMBERED:
             self.old, self.young = known, {}
         return ids
+
+
+@lru_cache(maxsize=2)
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One per worker process, so later tasks know what earlier ones learnt."""
+    return ChunkTokenizer(path)
