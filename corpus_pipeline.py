@@ -1,21 +1,50 @@
-"""The corpus pipeline: five stages over `documents`, each one operator of ticktide.llm."""
+"""The corpus pipeline: five stages over `documents`, each one operator of ticktide.llm.
+
+Every stage works on all that its predecessor kept. All but the last return the columns of
+`documents`; the last returns the packed pieces with their token ids.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ticktide.llm.common import shared_dir
 from ticktide.llm.exact_dedup import exact_dedup
+from ticktide.llm.packing import pack
+from ticktide.llm.quality import quality_filter
+from ticktide.llm.simhash import near_dedup
+from ticktide.llm.suffix_dedup import suffix_dedup
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality_filter(docs)
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id stays."""
     return exact_dedup(docs)
 
 
-STAGES = [("exact dedup", deduplicate)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near-equal fingerprints, the one with the smallest id stays."""
+    return near_dedup(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document, or an earlier place, has already are cut out."""
+    return suffix_dedup(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of balanced cost, a row per piece."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("suffix dedup", passages), ("packing", packing)]
 
 #: The near-duplicate, suffix and packing stages can't be written as SQL; tests hold them against brute force.
 ORACLE_SQL = None
