@@ -1,10 +1,643 @@
-"""Every query of the library on the driver's tables, with the SQL that gives the same rows."""
+"""Every query of the library on the driver's tables, with the SQL that gives the same rows.
+
+The ticks come from `events`: the symbol is the event type, the day the date of `ts`, the price the
+value in whole hundredths, the volume and the five-level book are derived from the event id.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ticktide.functions import pvmap as pv
+from ticktide.operators import backtest, bars, binning, book, corr, indicators, mapsums, model, relational, scan
+from ticktide.streaming.bars import streaming_bars
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+BY, DAY, ORDER = ["symbol"], ["symbol", "day"], ["ts", "event_id"]
+
+#: The SQL twin of `ticks`.
+TICKS = """
+    SELECT event_id, ts, CAST(ts AS DATE) AS day, event_type AS symbol, user_id, CAST(floor(value * 100) AS BIGINT) AS px,
+           event_id * 5 % 120 AS vol, event_type = 'error' AS is_error, event_id % 7 = 0 AS cond
+    FROM events
+"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql.replace("$TICKS", f"({TICKS})").replace("$BOOK", f"({BOOK})")
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        "event_id", "ts", F.col("ts").cast("date").alias("day"), F.col("event_type").alias("symbol"), "user_id",
+        F.floor(F.col("value") * 100).cast("long").alias("px"), (F.col("event_id") * 5 % 120).alias("vol"),
+        (F.col("event_type") == "error").alias("is_error"), (F.col("event_id") % 7 == 0).alias("cond"),
+    )
+
+
+#: A synthetic book; the SQL twin of `snapshots`.
+BOOK = f"""
+    SELECT *, 4000 + event_id * 7 % 11 AS mid, {", ".join(f"4000 + event_id * 7 % 11 + {i} AS AP{i}, 4000 + event_id * 7 % 11 - {i} + 1 - CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS BP{i}, 50 + (event_id * 13 + {i} * 17) % 200 AS AV{i}, 50 + (event_id * 19 + {i} * 23) % 200 AS BV{i}" for i in range(1, 6))}
+    FROM ({TICKS}) AS t
+"""
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir)
+    r, mid = F.col("event_id"), 4000 + F.col("event_id") * 7 % 11
+    new = {"mid": mid}
+    for i in range(1, 6):
+        new |= {f"AP{i}": mid + i, f"BP{i}": mid - i + 1 - F.when(r % 4 == 0, 1).otherwise(0), f"AV{i}": 50 + (r * 13 + i * 17) % 200, f"BV{i}": 50 + (r * 19 + i * 23) % 200}
+    return t.withColumns(new)
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = snapshots(spark, sf_dir).withColumn("amt", F.col("vol") * F.col("mid") + F.col("event_id") * 3 % (F.col("vol") + 1))
+    prices, volumes = ([f"{s}{k}{i}" for s in "AB" for i in range(1, 6)] for k in "PV")
+    return scan.lag_reset(s, DAY, ORDER, prices, volumes)
+
+
+@query("bars_tumbling", """
+    SELECT day, CAST(floor(epoch_us(ts) / 3e8) AS BIGINT) AS bucket, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low,
+           arg_max(px, (ts, event_id)) AS close, count(*) AS n_ticks, CAST(sum(vol) AS BIGINT) AS volume
+    FROM $TICKS GROUP BY ALL
+""")
+def bars_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("bucket", bars.time_bucket(F.col("ts"), 300))
+    return bars.bars(t, ["day", "bucket"], ORDER, "px", "vol")
+
+
+@query("bars_by_symbol", """
+    SELECT symbol, day, CAST(floor(epoch_us(ts) / 36e8) AS BIGINT) AS bucket, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low,
+           arg_max(px, (ts, event_id)) AS close, count(*) AS n_ticks, CAST(sum(vol) AS BIGINT) AS volume, CAST(sum(px * vol) AS BIGINT) AS amount
+    FROM $TICKS GROUP BY ALL
+""")
+def bars_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumns({"bucket": bars.time_bucket(F.col("ts"), 3600), "amt": F.col("px") * F.col("vol")})
+    return bars.bars(t, [*DAY, "bucket"], ORDER, "px", "vol", "amt")
+
+
+@query("forward_returns", """
+    SELECT event_id, nullif(lead(px, 1) OVER d, 0) - px AS RT1, nullif(lead(px, 5) OVER d, 0) - px AS RT5, nullif(lead(px, 120) OVER d, 0) - px AS RM1,
+           nullif(lead(px, 1) OVER s, 0) - px AS ORT1, nullif(lead(px, 5) OVER s, 0) - px AS ORT5, nullif(lead(px, 120) OVER s, 0) - px AS ORM1
+    FROM $TICKS WINDOW d AS (PARTITION BY symbol, day ORDER BY ts, event_id), s AS (PARTITION BY symbol ORDER BY ts, event_id)
+""")
+def forward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bars.forward_returns(ticks(spark, sf_dir), BY, "day", ORDER, {False: "px"}, [("T1", 1), ("T5", 5), ("M1", 120)])
+    return out.select("event_id", "RT1", "RT5", "RM1", "ORT1", "ORT5", "ORM1")
+
+
+@query("rolling_bars", """
+    SELECT event_id, max(px) OVER w AS high_n, min(px) OVER w AS low_n, CAST(sum(vol) OVER w AS BIGINT) AS vol_n, count(*) OVER w AS count_n
+    FROM $TICKS WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+""")
+def rolling_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.rolling_bars(ticks(spark, sf_dir), BY, ORDER, 20, "px", "vol").select("event_id", "high_n", "low_n", "vol_n", "count_n")
+
+
+@query("lag_reset", """
+    SELECT event_id, coalesce(lag(px) OVER w, px) AS px_last, coalesce(lag(vol) OVER w, 0) AS vol_last, px - coalesce(lag(px, 3) OVER w, 0) AS px_diff
+    FROM $TICKS WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id)
+""")
+def lag_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan.difference(scan.lag_reset(ticks(spark, sf_dir), DAY, ORDER, ["px"], ["vol"]), DAY, ORDER, ["px"], 3)
+    return out.select("event_id", "px_last", "vol_last", "px_diff")
+
+
+@query("fill", """
+    SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS forward,
+           first_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS backward
+    FROM (SELECT *, CASE WHEN event_id % 5 <> 0 THEN px END AS v FROM $TICKS)
+""")
+def fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("event_id") % 5 != 0, F.col("px"))
+    return ticks(spark, sf_dir).select("event_id", scan.forward_fill(v, BY, ORDER).alias("forward"), scan.backward_fill(v, BY, ORDER).alias("backward"))
+
+
+@query("wave_id", """
+    SELECT event_id, CAST(coalesce(sum(cond::INT) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS wave
+    FROM $TICKS
+""")
+def wave_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.wave_id(ticks(spark, sf_dir), BY, ORDER, "cond").select("event_id", "wave")
+
+
+@query("segment_scans", """
+    WITH s AS (SELECT *, sum(cond::INT) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS seg, px - 5000 AS v FROM $TICKS)
+    SELECT event_id, CAST(sum(v) OVER w AS BIGINT) AS seg_sum, CASE WHEN seg = 0 THEN greatest(max(v) OVER w, 0) ELSE max(v) OVER w END AS seg_max,
+           CASE WHEN seg = 0 THEN least(min(v) OVER w, 0) ELSE min(v) OVER w END AS seg_min
+    FROM s WINDOW w AS (PARTITION BY symbol, seg ORDER BY ts, event_id)
+""")
+def segment_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("v", F.col("px") - 5000)
+    return scan.segment_scans(t, BY, ORDER, "cond", "v").select("event_id", "seg_sum", "seg_max", "seg_min")
+
+
+@query("split_index", """
+    WITH s AS (SELECT *, sum(cond::INT) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS seg, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS p FROM $TICKS)
+    SELECT event_id, p - min(p) OVER w AS to_front, max(p) OVER w - p AS to_end, min(p) OVER w AS front_idx, max(p) OVER w AS end_idx FROM s WINDOW w AS (PARTITION BY symbol, seg)
+""")
+def split_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.split_index(ticks(spark, sf_dir), BY, ORDER, "cond").select("event_id", "to_front", "to_end", "front_idx", "end_idx")
+
+
+@query("stable_run", """
+    WITH s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS p FROM $TICKS),
+    r AS (SELECT event_id, p, max(CASE WHEN cond THEN p END) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS last_unstable,
+                 min(CASE WHEN cond THEN p END) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_unstable FROM s)
+    SELECT event_id, last_unstable, next_unstable, p - last_unstable AS since_unstable, next_unstable - p AS until_unstable FROM r
+""")
+def stable_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("stable", ~F.col("cond"))
+    return scan.stable_run(t, BY, ORDER, "stable").select("event_id", "last_unstable", "next_unstable", "since_unstable", "until_unstable")
+
+
+@query("jump", """
+    WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY ts, event_id) AS p FROM $TICKS),
+    c AS (SELECT * FROM s WHERE cond),
+    walk AS (
+        SELECT symbol, day, min(p) AS p FROM c GROUP BY symbol, day
+        UNION ALL
+        SELECT w.symbol, w.day, (SELECT min(c.p) FROM c WHERE c.symbol = w.symbol AND c.day = w.day AND c.p >= w.p + 10) AS p FROM walk AS w WHERE w.p IS NOT NULL
+    )
+    SELECT event_id, w.p IS NOT NULL AS taken FROM s LEFT JOIN walk AS w USING (symbol, day, p)
+""")
+def jump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.jump(ticks(spark, sf_dir), DAY, ORDER, "cond", 10).select("event_id", "taken")
+
+
+@query("ema", """
+    WITH RECURSIVE s AS (SELECT event_id, symbol, day, px::DOUBLE AS x, row_number() OVER (PARTITION BY symbol, day ORDER BY ts, event_id) AS p FROM $TICKS),
+    walk AS (
+        SELECT event_id, symbol, day, p, x AS m FROM s WHERE p = 1
+        UNION ALL
+        SELECT s.event_id, s.symbol, s.day, s.p, w.m + (s.x - w.m) / 4.0 FROM walk AS w JOIN s ON s.symbol = w.symbol AND s.day = w.day AND s.p = w.p + 1
+    )
+    SELECT event_id, round(m, 4) AS ema FROM walk
+""")
+def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.ema(ticks(spark, sf_dir), DAY, ORDER, "px", 4.0).select("event_id", F.round("ema", 4).alias("ema"))
+
+
+@query("phase_sample", """
+    SELECT event_id, CAST((row_number() OVER w - 1) % 4 AS INT) AS phase, (row_number() OVER w - 1) // 4 AS phase_row FROM $TICKS WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)
+""")
+def phase_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.phases(ticks(spark, sf_dir), BY, ORDER, 4).select("event_id", "phase", "phase_row")
+
+
+@query("average_rank", """
+    SELECT event_id, CASE WHEN v IS NOT NULL THEN rank() OVER (PARTITION BY symbol ORDER BY v) + (count(*) OVER (PARTITION BY symbol, v) - 1) / 2.0 END AS rnk
+    FROM (SELECT *, CASE WHEN event_id % 5 <> 0 THEN px % 500 END AS v FROM $TICKS)
+""")
+def average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("event_id") % 5 != 0, F.col("px") % 500)
+    t = ticks(spark, sf_dir).withColumn("v", v)
+    return t.select("event_id", scan.average_rank(F.col("v"), BY).cast("double").alias("rnk"))
+
+
+@query("grid_fill", """
+    WITH h AS (SELECT symbol, CAST(floor(epoch_us(ts) / 36e8) AS BIGINT) AS tick, arg_max(px, (ts, event_id)) AS px FROM $TICKS GROUP BY ALL),
+    g AS (SELECT symbol, unnest(range(min(tick), max(tick) + 1)) AS tick FROM h GROUP BY symbol)
+    SELECT symbol, tick, last_value(px IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY tick) AS px, px IS NULL AS filled FROM g LEFT JOIN h USING (symbol, tick)
+""")
+def grid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("tick", bars.time_bucket(F.col("ts"), 3600))
+    hourly = t.groupBy("symbol", "tick").agg(F.max_by("px", F.struct(*ORDER)).alias("px"))
+    return scan.grid_fill(hourly, BY, "tick", ["px"]).select("symbol", "tick", "px", "filled")
+
+
+@query("direction_runs", """
+    WITH d AS (SELECT *, px - coalesce(lag(px) OVER (PARTITION BY symbol ORDER BY ts, event_id), 0) AS px_diff FROM $TICKS),
+    m AS (SELECT *, sign(px_diff)::INT AS sg FROM d WHERE px_diff <> 0),
+    t AS (SELECT *, coalesce(lag(sg) OVER (PARTITION BY symbol ORDER BY ts, event_id) <> sg, false) AS turned FROM m)
+    SELECT event_id, sg AS sign, turned, CAST(sum(turned::INT) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS BIGINT) AS run FROM t
+""")
+def direction_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = scan.difference(ticks(spark, sf_dir), BY, ORDER, ["px"])
+    return scan.direction_runs(t, BY, ORDER, "px_diff").select("event_id", "sign", "turned", "run")
+
+
+@query("drawdown", """
+    SELECT event_id, px - min(px) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS drawdown FROM $TICKS
+""")
+def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks(spark, sf_dir).select("event_id", scan.drawdown(F.col("px"), BY, ORDER).alias("drawdown"))
+
+
+XY_SQL = """(SELECT *, px % 1000 AS x1, CASE WHEN event_id % 5 <> 0 THEN vol + px % 7 END AS x2, px % 333 + vol AS y1 FROM $TICKS)"""
+
+
+def xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks(spark, sf_dir).withColumns({"x1": F.col("px") % 1000, "x2": F.when(F.col("event_id") % 5 != 0, F.col("vol") + F.col("px") % 7), "y1": F.col("px") % 333 + F.col("vol")})
+
+
+@query("pearson", f"""
+    SELECT 'x1' AS x, 'y1' AS y, count(*) AS n, round(corr(x1, y1), 6) AS corr FROM {XY_SQL}
+    UNION ALL SELECT 'x2', 'y1', count(x2), round(corr(x2, y1), 6) FROM {XY_SQL}
+""")
+def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corr.matrix(xy(spark, sf_dir), ["x1", "x2"], ["y1"]).withColumn("corr", F.round("corr", 6))
+
+
+@query("spearman", f"""
+    WITH r AS (SELECT symbol,
+        CASE WHEN x2 IS NOT NULL THEN rank() OVER (PARTITION BY symbol ORDER BY x2) + (count(*) OVER (PARTITION BY symbol, x2) - 1) / 2.0 END AS rx,
+        rank() OVER (PARTITION BY symbol ORDER BY y1) + (count(*) OVER (PARTITION BY symbol, y1) - 1) / 2.0 AS ry FROM {XY_SQL})
+    SELECT symbol, 'x2' AS x, 'y1' AS y, count(rx) AS n, round(corr(rx, ry), 6) AS corr FROM r GROUP BY symbol
+""")
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corr.spearman(xy(spark, sf_dir), ["x2"], ["y1"], BY).withColumn("corr", F.round("corr", 6))
+
+
+@query("daywise_corr", f"""
+    WITH c AS (SELECT day, corr(x1, y1) AS c FROM {XY_SQL} GROUP BY day)
+    SELECT 'x1' AS x, 'y1' AS y, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std, count(c) AS days, round(avg(c) / stddev_pop(c), 6) AS sharpe FROM c
+""")
+def daywise_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = corr.daywise(xy(spark, sf_dir), "day", ["x1"], ["y1"])
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "std", "sharpe")})
+
+
+@query("self_corr", f"""
+    WITH c AS (SELECT day, coalesce(corr(x1, y1), 0) AS c FROM {XY_SQL} GROUP BY day), l AS (SELECT c, lag(c) OVER (ORDER BY day) AS b FROM c)
+    SELECT 'x1' AS x, 'y1' AS y, round(sum(c * b) / (count(*) - 1) / (sum(c * c) / count(*)), 6) AS self_corr FROM l
+""")
+def self_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corr.self_correlation(xy(spark, sf_dir), "day", ["x1"], ["y1"]).withColumn("self_corr", F.round("self_corr", 6))
+
+
+@query("null_rates", f"SELECT 'x1' AS name, 0.0::DOUBLE AS null_rate UNION ALL SELECT 'x2', avg((x2 IS NULL)::INT) FROM {XY_SQL}")
+def null_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corr.null_rates(xy(spark, sf_dir), ["x1", "x2"])
+
+
+@query("main_contract", "SELECT symbol, max(vol) AS max_volume FROM $TICKS WHERE regexp_matches(symbol, '^[a-p]') GROUP BY symbol ORDER BY 2 DESC, 1 LIMIT 1")
+def main_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.main_contract(ticks(spark, sf_dir), "symbol", "vol", "^[a-p]")
+
+
+@query("session_tag", """
+    WITH s AS (SELECT event_id, date_part('hour', ts) * 3600 + date_part('minute', ts) * 60 + floor(date_part('second', ts)) AS x FROM $TICKS)
+    SELECT event_id, CASE WHEN x BETWEEN 32400 AND 36900 THEN 'day1' WHEN x BETWEEN 37800 AND 41400 THEN 'day2' WHEN x BETWEEN 48600 AND 54000 THEN 'day3' ELSE '' END AS session FROM s
+""")
+def session_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    return ticks(spark, sf_dir).select("event_id", relational.session_of(seconds).alias("session"))
+
+
+@query("book_state", """
+    WITH b AS (SELECT *, AP1 - BP1 AS s, lag(AP1 - BP1) OVER w AS s0, AP1 - lag(AP1) OVER w AS a, BP1 - lag(BP1) OVER w AS b FROM $BOOK WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id))
+    SELECT event_id, CASE WHEN s = 1 AND s0 = 1 AND a = 0 AND b = 0 THEN 0 WHEN s = 1 AND s0 = 1 AND a > 0 AND b > 0 THEN 1 WHEN s = 1 AND s0 = 1 AND a < 0 AND b < 0 THEN 2
+        WHEN s > 1 AND s0 = 1 AND a > 0 THEN 3 WHEN s > 1 AND s0 = 1 AND b < 0 THEN 4 WHEN s = 1 AND s0 > 1 AND a < 0 THEN 5 WHEN s = 1 AND s0 > 1 AND b > 0 THEN 6 ELSE -1 END AS state
+    FROM b
+""")
+def book_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = scan.series(DAY, ORDER)
+    spread = F.col("AP1") - F.col("BP1")
+    b = snapshots(spark, sf_dir).withColumns({"s": spread, "s0": F.lag(spread).over(w), "a": F.col("AP1") - F.lag("AP1").over(w), "b": F.col("BP1") - F.lag("BP1").over(w)})
+    return b.select("event_id", relational.book_states("s", "s0", "a", "b").alias("state"))
+
+
+@query("prices", """
+    SELECT event_id, (AP1 + BP1) / 2.0 AS mid1, round((AP1 * BV1 + BP1 * AV1) / (AV1 + BV1)::DOUBLE, 6) AS wap FROM $BOOK
+""")
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots(spark, sf_dir).select("event_id", book.mid_price().alias("mid1"), F.round(book.weighted_price(), 6).alias("wap"))
+
+
+#: Volumes per order and price level, from lineitem.
+LEVELS_SQL = """(SELECT l_orderkey AS k, l_linenumber::BIGINT AS p, sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END)::BIGINT AS a,
+    sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END)::BIGINT AS b, bool_or(l_returnflag = 'R') AS has_a, bool_or(l_returnflag <> 'R') AS has_b FROM lineitem GROUP BY ALL)"""
+
+
+def level_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("price"), F.col("l_quantity").cast("long").alias("volume"), (F.col("l_returnflag") == "R").alias("r"))
+    sums = items.groupBy("k", "price", "r").agg(F.sum("volume").alias("volume"))
+    rows = sums.groupBy("k").agg(F.collect_list(F.struct("price", "volume", "r")).alias("l"))
+    one = lambda r: F.map_from_entries(F.transform(F.filter("l", lambda x: x["r"] == r), lambda x: F.struct(x["price"], x["volume"])))
+    return rows.select("k", one(F.lit(True)).alias("a"), one(F.lit(False)).alias("b"))
+
+
+@query("pvmap_algebra", f"""
+    WITH m AS (SELECT *, CASE WHEN has_b THEN least(a, b) END AS mn FROM {LEVELS_SQL})
+    SELECT k, sum(a + b)::BIGINT AS sum_total, sum(p * (a - b))::BIGINT AS diff_turnover, sum(CASE WHEN p BETWEEN 2 AND 4 THEN a ELSE 0 END)::BIGINT AS clip_total,
+           coalesce(sum(mn), 0)::BIGINT AS min_total, min(CASE WHEN a > 0 THEN p END) AS lowest_a, max(CASE WHEN b > 0 THEN p END) AS highest_b,
+           (CASE WHEN max(CASE WHEN has_a THEN 1 ELSE 0 END) = 1 THEN max(CASE WHEN has_a THEN p END) - min(CASE WHEN has_a THEN p END) + 1 ELSE 0 END)::BIGINT AS populated
+    FROM m GROUP BY k
+""")
+def pvmap_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    return level_maps(spark, sf_dir).select(
+        "k", pv.total(pv.add(a, b)).alias("sum_total"), pv.turnover(pv.subtract(a, b)).alias("diff_turnover"), pv.total(pv.clip(a, F.lit(2), F.lit(4))).alias("clip_total"),
+        pv.total(pv.minimum(a, b)).alias("min_total"), pv.lowest(a).alias("lowest_a"), pv.highest(b).alias("highest_b"), F.size(pv.populate(a)).cast("long").alias("populated"),
+    )
+
+
+@query("pvmap_cumsum", f"""
+    WITH c AS (SELECT k, p, sum(b) OVER (PARTITION BY k ORDER BY p) AS up, sum(b * p) OVER (PARTITION BY k ORDER BY p DESC) AS down FROM {LEVELS_SQL} WHERE has_b)
+    SELECT k, p AS price, up::BIGINT AS up, down::BIGINT AS down FROM c
+""")
+def pvmap_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = level_maps(spark, sf_dir).withColumns({"u": pv.cumulate(F.col("b")), "d": pv.cumulate(F.col("b"), True, amount=True)})
+    return m.select("k", F.explode("u").alias("price", "up"), "d").select("k", "price", "up", pv.get(F.col("d"), F.col("price")).alias("down"))
+
+
+@query("rolling_map_sum", """
+    WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place, px // 2000 AS price, vol + 1 AS volume FROM $TICKS)
+    SELECT a.user_id, a.place, b.price, sum(b.volume)::BIGINT AS volume FROM s AS a JOIN s AS b ON a.user_id = b.user_id AND b.place BETWEEN a.place - 9 AND a.place GROUP BY ALL
+""")
+def rolling_map_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER)).cast("long")
+    t = ticks(spark, sf_dir).select("user_id", place.alias("place"), F.create_map(F.floor(F.col("px") / 2000).cast("long"), F.col("vol") + 1).alias("m"))
+    return mapsums.trailing(t, ["user_id"], "place", "m", 10)
+
+
+@query("book_maps", """
+    WITH l AS (SELECT event_id, vol, unnest([AP1, AP2, AP3, AP4, AP5]) AS ap, unnest([AV1, AV2, AV3, AV4, AV5]) AS av, unnest([BP1, BP2, BP3, BP4, BP5]) AS bp, unnest([BV1, BV2, BV3, BV4, BV5]) AS bv FROM $BOOK)
+    SELECT event_id, sum(av)::BIGINT AS ask_total, sum(ap * av)::BIGINT AS ask_turnover, sum(bv)::BIGINT AS bid_total, min(ap) AS ask_low, max(bp) AS bid_high FROM l GROUP BY event_id
+""")
+def book_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = book.with_maps(books(spark, sf_dir))
+    return b.select(
+        "event_id", pv.total(F.col("D_ask")).alias("ask_total"), pv.turnover(F.col("D_ask")).alias("ask_turnover"), pv.total(F.col("D_bid")).alias("bid_total"),
+        pv.lowest(F.col("D_ask")).alias("ask_low"), pv.highest(F.col("D_bid")).alias("bid_high"),
+    )
+
+
+@query("book_bounds", """
+    WITH g AS (SELECT *, coalesce(lag(AP1) OVER w, AP1) AS a1, coalesce(lag(AP5) OVER w, AP5) AS a5, coalesce(lag(BP1) OVER w, BP1) AS b1, coalesce(lag(BP5) OVER w, BP5) AS b5,
+        coalesce(lag(AV1) OVER w, 0) AS v1, coalesce(lag(AV2) OVER w, 0) AS v2, coalesce(lag(AV3) OVER w, 0) AS v3, coalesce(lag(AV4) OVER w, 0) AS v4, coalesce(lag(AV5) OVER w, 0) AS v5,
+        coalesce(lag(BV1) OVER w, 0) AS u1, coalesce(lag(BV2) OVER w, 0) AS u2, coalesce(lag(BV3) OVER w, 0) AS u3, coalesce(lag(BV4) OVER w, 0) AS u4, coalesce(lag(BV5) OVER w, 0) AS u5
+        FROM $BOOK WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id)),
+    s AS (SELECT *, least(greatest(a1, AP1), least(a5, AP5)) AS sa, greatest(least(b1, BP1), greatest(b5, BP5)) AS sb, [v1, v1 + v2, v1 + v2 + v3, v1 + v2 + v3 + v4, v1 + v2 + v3 + v4 + v5] AS ca,
+        [u1, u1 + u2, u1 + u2 + u3, u1 + u2 + u3 + u4, u1 + u2 + u3 + u4 + u5] AS cb FROM g),
+    e AS (SELECT *, least(sa + 4, least(a5, AP5) + 1) AS ea, greatest(sb - 4, greatest(b5, BP5) - 1) AS eb FROM s)
+    SELECT event_id, sa + len(list_filter(range(sa, ea), lambda q: coalesce(CASE WHEN q BETWEEN a1 AND a1 + 4 THEN ca[q - a1 + 1] END, 0) <= 2 * vol + 150)) AS ask_bound,
+           sb - len(list_filter(range(eb + 1, sb + 1), lambda q: coalesce(CASE WHEN q BETWEEN b1 - 4 AND b1 THEN cb[b1 - q + 1] END, 0) <= 2 * vol + 150)) AS bid_bound FROM e
+""")
+def book_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return book.with_bounds(book.with_sums(book.with_maps(books(spark, sf_dir)))).select("event_id", "ask_bound", "bid_bound")
+
+
+@query("trade_reconstruction")
+def trade_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traded volume per price, and what it says of orders; the search itself has no SQL twin."""
+    full = book.with_orders(book.with_trades(book.with_bounds(book.with_sums(book.with_maps(books(spark, sf_dir))))))
+    names = ["D_exch", "D_ask_add", "D_ask_cancel", "D_ask_exch", "D_ask_old", "D_ask_new", "D_bid_add", "D_bid_cancel", "D_bid_exch", "D_mid_exch"]
+    return full.select("event_id", "vol", *[pv.total(F.col(n)).alias(n.lower()) for n in names], pv.turnover(F.col("D_exch")).alias("turnover"), "amt")
+
+
+@query("dedupe_latest", """
+    SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_totalprice DESC, o_orderkey DESC) = 1
+""")
+def dedupe_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    return relational.latest(o, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_totalprice"), F.desc("o_orderkey")]).drop("o_orderdate")
+
+
+@query("eav_pivot", """
+    SELECT user_id, arg_min(px, (ts, event_id)) FILTER (symbol = 'click') AS click, arg_min(px, (ts, event_id)) FILTER (symbol = 'error') AS error,
+           arg_min(px, (ts, event_id)) FILTER (symbol = 'view') AS view FROM $TICKS WHERE symbol IN ('click', 'error', 'view') GROUP BY user_id
+""")
+def eav_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.pivot_first(ticks(spark, sf_dir), ["user_id"], "symbol", "px", ORDER, ["click", "error", "view"])
+
+
+@query("compound_join", """
+    SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey AND o_orderstatus <> '' AND (o_totalprice > 100000 OR c_custkey IN (1, 2, 3)) WHERE o_orderdate >= DATE '1995-01-01'
+""")
+def compound_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") >= F.lit("1995-01-01").cast("date"))
+    c = table(spark, sf_dir, "customer")
+    on = (o["o_custkey"] == c["c_custkey"]) & (o["o_orderstatus"] != "") & ((o["o_totalprice"] > 100000) | c["c_custkey"].isin(1, 2, 3))
+    return o.join(c, on).select("o_orderkey", "c_name", "o_totalprice")
+
+
+@query("three_way_join", """
+    SELECT n_name, r_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL
+""")
+def three_way_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    joined = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    return joined.groupBy("n_name", "r_name").agg(F.count(F.lit(1)).alias("customers"))
+
+
+def _sides(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    t = ticks(spark, sf_dir)
+    a = t.filter("symbol = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    b = t.filter("symbol = 'error' AND vol > 60").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return relational.merge(a, b, ["user_id"], how)
+
+
+for _how in ("left", "right", "full"):
+    query(f"{_how}_join", f"""
+        WITH a AS (SELECT user_id, count(*) AS n FROM $TICKS WHERE symbol = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM $TICKS WHERE symbol = 'error' AND vol > 60 GROUP BY 1)
+        SELECT user_id, a.n AS n_x, b.n AS n_y FROM a {_how.upper()} JOIN b USING (user_id)
+    """)(lambda spark, sf_dir, how=_how: _sides(spark, sf_dir, how))
+
+
+@query("missing_days", """
+    SELECT DISTINCT day FROM $TICKS AS t WHERE NOT EXISTS (SELECT 1 FROM events AS e WHERE CAST(e.ts AS DATE) = t.day AND day(e.ts) % 3 = 0)
+""")
+def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = ticks(spark, sf_dir).select("day").distinct()
+    return relational.missing_in(days, days.filter(F.dayofmonth("day") % 3 == 0), ["day"])
+
+
+@query("value_counts", "SELECT symbol, vol % 10 AS digit, count(*) AS n, avg(px) AS mean FROM $TICKS GROUP BY ALL")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks(spark, sf_dir).groupBy("symbol", (F.col("vol") % 10).alias("digit")).agg(F.count(F.lit(1)).alias("n"), F.avg("px").alias("mean"))
+
+
+@query("bins_equal_frequency", """
+    WITH v AS (SELECT l_quantity::DOUBLE AS x, (l_returnflag = 'R')::INT AS y, row_number() OVER (ORDER BY l_quantity) - 1 AS p, count(*) OVER () AS n FROM lineitem),
+    t AS (SELECT DISTINCT x FROM v, range(0, 6) AS q(k) WHERE p = round_even((n - 1) * k / 5.0, 0)),
+    e AS (SELECT x AS hi, lag(x) OVER (ORDER BY x) AS lo, row_number() OVER (ORDER BY x) - 2 AS bin FROM t),
+    b AS (SELECT * FROM e WHERE lo IS NOT NULL)
+    SELECT bin::INT AS bin, count(*) AS cnt, avg(y) AS mean_y FROM v JOIN b ON (x > lo OR bin = 0 AND x >= lo) AND x <= hi GROUP BY bin
+""")
+def bins_equal_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return binning.bin_table(items, "x", ["y"], 5).drop("bin_name")
+
+
+@query("bins_woe")
+def bins_woe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged bins with their weight of evidence; the greedy merge has no SQL twin."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    bins = binning.woe_bins(items, "x", "y", 20, 50)
+    base = binning.base_rate(bins)
+    return spark.createDataFrame([(b.name, b.cnt, b.bad, b.good, b.mean, binning.woe(b, base)) for b in bins], "bin_name string, cnt long, bad long, good long, mean double, woe double")
+
+
+@query("category_woe", """
+    WITH c AS (SELECT l_linestatus AS category, count(*) AS cnt, sum((l_returnflag = 'R')::INT)::BIGINT AS bad, sum((l_returnflag <> 'R')::INT)::BIGINT AS good FROM lineitem GROUP BY 1)
+    SELECT category, cnt, bad, good, round(bad / (cnt + 0.5), 6) AS mean, round(ln((bad + 0.5) / (good + 0.5)) - ln((sum(bad) OVER () + 0.5) / (sum(good) OVER () + 0.5)), 6) AS woe FROM c
+""")
+def category_woe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return binning.category_table(items, "l_linestatus", "y").withColumns({"mean": F.round("mean", 6), "woe": F.round("woe", 6)})
+
+
+@query("ks", """
+    WITH s AS (SELECT px AS s, sum((vol > 60)::INT) AS bad, sum((vol <= 60)::INT) AS good FROM $TICKS GROUP BY px),
+    c AS (SELECT sum(bad) OVER (ORDER BY s) / (sum(bad) OVER ()) AS b, sum(good) OVER (ORDER BY s) / (sum(good) OVER ()) AS g FROM s)
+    SELECT round(greatest(max(g - b), 0), 6) AS ks FROM c
+""")
+def ks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.ks(ticks(spark, sf_dir).withColumn("y", (F.col("vol") > 60).cast("int")), "px", "y").select(F.round("ks", 6).alias("ks"))
+
+
+@query("auc", """
+    WITH s AS (SELECT px AS s, sum((vol > 60)::INT) AS bad, sum((vol <= 60)::INT) AS good FROM $TICKS GROUP BY px),
+    c AS (SELECT bad, good, coalesce(sum(good) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s)
+    SELECT round(sum(bad * (2 * below + good)) / (2 * sum(bad) * sum(good)), 6) AS auc FROM c
+""")
+def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.auc(ticks(spark, sf_dir).withColumn("y", (F.col("vol") > 60).cast("int")), "px", "y").select(F.round("auc", 6).alias("auc"))
+
+
+@query("psi", """
+    WITH g AS (SELECT unnest(range(0, 10)) AS bin), s AS (SELECT DISTINCT symbol FROM $TICKS),
+    c AS (SELECT bin, symbol, count(t.px) + 0.5 AS n FROM g CROSS JOIN s LEFT JOIN (SELECT px % 10 AS b, symbol AS sy, px FROM $TICKS) AS t ON t.b = bin AND t.sy = symbol GROUP BY ALL),
+    p AS (SELECT bin, symbol, n / sum(n) OVER (PARTITION BY symbol) AS share FROM c)
+    SELECT p.symbol, round(sum((p.share - r.share) * ln(p.share / r.share)), 6) AS psi FROM p JOIN p AS r ON p.bin = r.bin AND r.symbol = 'click' WHERE p.symbol <> 'click' GROUP BY 1
+""")
+def psi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.psi(ticks(spark, sf_dir).withColumn("bin", F.col("px") % 10), "bin", "symbol", "click").withColumn("psi", F.round("psi", 6))
+
+
+@query("mutual_information", """
+    WITH j AS (SELECT symbol, vol % 4 AS v, count(*)::DOUBLE AS c FROM $TICKS GROUP BY ALL), t AS (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY symbol) AS a, sum(c) OVER (PARTITION BY v) AS b FROM j)
+    SELECT round(sum(c / n * ln(c * n / (a * b))), 6) AS mutual_information FROM t
+""")
+def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("v", F.col("vol") % 4)
+    return model.mutual_information(t, "symbol", "v").select(F.round("mutual_information", 6).alias("mutual_information"))
+
+
+@query("entropy", "WITH c AS (SELECT count(*)::DOUBLE AS c FROM $TICKS GROUP BY symbol, vol % 4), p AS (SELECT c / sum(c) OVER () AS p FROM c) SELECT round(-sum(p * ln(p)), 6) AS entropy FROM p")
+def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.entropy(ticks(spark, sf_dir).withColumn("v", F.col("vol") % 4), ["symbol", "v"]).select(F.round("entropy", 6).alias("entropy"))
+
+
+@query("logistic")
+def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients of a logistic model; Newton steps have no SQL twin."""
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("q"), (F.col("l_extendedprice") / 100000).alias("e"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    coef = model.logistic(items, ["q", "e"], "y")
+    return spark.createDataFrame([(n, round(float(c), 6)) for n, c in zip(["q", "e", "intercept"], coef, strict=True)], "name string, coef double")
+
+
+PLAYS_SQL = "(SELECT *, CASE WHEN s > 0 THEN r WHEN s < 0 THEN -r END AS play FROM (SELECT *, event_id % 3 - 1 AS s, lead(px, 5) OVER (PARTITION BY symbol ORDER BY ts, event_id) - px AS r FROM $TICKS))"
+
+
+def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("r", F.lead("px", 5).over(scan.series(BY, ORDER)) - F.col("px"))
+    return t.withColumn("play", backtest.play(F.col("event_id") % 3 - 1, F.col("r")))
+
+
+@query("backtest_stats", f"""
+    WITH p AS (SELECT * FROM {PLAYS_SQL} WHERE play IS NOT NULL), c AS (SELECT *, sum(play) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS cs FROM p),
+    d AS (SELECT *, cs - min(cs) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS dd FROM c)
+    SELECT symbol, count(*) AS n_plays, round(avg(play), 4) AS r_mean, sum(play)::BIGINT AS r_sum, round(stddev_samp(play), 4) AS r_std, round(avg((play > 0)::INT), 6) AS win_rate,
+           round(avg(CASE WHEN play > 0 THEN play END), 4) AS win_mean, round(avg((play < 0)::INT), 6) AS lose_rate, round(avg(CASE WHEN play < 0 THEN play END), 4) AS lose_mean,
+           max(dd)::BIGINT AS max_drawdown, round(sum(play) / nullif(max(dd), 0), 6) AS calmar, round(avg(play) / nullif(stddev_samp(play), 0), 6) AS sharpe
+    FROM d GROUP BY symbol
+""")
+def backtest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backtest.stats(plays(spark, sf_dir), BY, ORDER, "play")
+    return out.withColumns({c: F.round(c, 4) for c in ("r_mean", "r_std", "win_mean", "lose_mean")} | {c: F.round(c, 6) for c in ("win_rate", "lose_rate", "calmar", "sharpe")})
+
+
+@query("quantile_backtest", f"""
+    WITH q AS (SELECT list_distinct(quantile_cont(px % 977, [0.25, 0.5, 0.75])) AS c FROM $TICKS),
+    p AS (SELECT len(list_filter(c, lambda e: e < px % 977))::INT AS bucket, r FROM {PLAYS_SQL}, q WHERE r IS NOT NULL)
+    SELECT bucket, count(*) AS n_plays, sum(r)::BIGINT AS r_sum, round(avg(r), 4) AS r_mean FROM p GROUP BY bucket
+""")
+def quantile_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = plays(spark, sf_dir).withColumn("f", F.col("px") % 977)
+    return backtest.quantile_backtest(t, "f", "r", 4, ORDER).select("bucket", "n_plays", "r_sum", F.round("r_mean", 4).alias("r_mean"))
+
+
+@query("tail_backtest", f"""
+    WITH q AS (SELECT quantile_cont(px % 977, 0.05) AS lo, quantile_cont(px % 977, 0.95) AS hi FROM $TICKS), p AS (SELECT *, px % 977 AS f FROM {PLAYS_SQL}, q),
+    s AS (SELECT 'long' AS side, CASE WHEN f <= lo THEN r END AS play FROM p UNION ALL SELECT 'short', CASE WHEN f >= hi THEN -r END FROM p UNION ALL SELECT 'both', CASE WHEN f <= lo THEN r WHEN f >= hi THEN -r END FROM p)
+    SELECT side, count(play) AS n_plays, sum(play)::BIGINT AS r_sum FROM s GROUP BY side
+""")
+def tail_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = plays(spark, sf_dir).withColumn("f", F.col("px") % 977)
+    return backtest.tail_backtest(t, "f", "r", 0.05, ORDER).select("side", "n_plays", "r_sum")
+
+
+@query("dot_product", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS dot FROM embeddings")
+def dot_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(F.zip_with(e, e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 4).alias("dot"))
+
+
+BARS_SQL = """(SELECT symbol, CAST(floor(epoch_us(ts) / 36e8) AS BIGINT) AS bucket, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low,
+    arg_max(px, (ts, event_id)) AS close, CAST(sum(vol) AS BIGINT) AS volume FROM $TICKS GROUP BY ALL)"""
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("bucket", bars.time_bucket(F.col("ts"), 3600))
+    return bars.bars(t, ["symbol", "bucket"], ORDER, "px", "vol")
+
+
+@query("indicators_finite", f"""
+    WITH b AS (SELECT *, row_number() OVER w AS p, (high + low + close) / 3.0 AS tp FROM {BARS_SQL} WINDOW w AS (PARTITION BY symbol ORDER BY bucket)),
+    c AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY bucket) AS pc FROM b)
+    SELECT symbol, bucket, CASE WHEN p >= 30 THEN round(avg(close) OVER w30, 4) END AS SMA, CASE WHEN p >= 14 THEN (max(close) OVER w14 + min(close) OVER w14) / 2.0 END AS MIDPOINT,
+           CASE WHEN p >= 5 THEN round(avg(close) OVER w5 + 2 * stddev_pop(close) OVER w5, 4) END AS BBANDS_upper, close - lag(close, 10) OVER w AS MOM,
+           CASE WHEN p >= 14 THEN round(-100.0 * (max(high) OVER w14 - close) / nullif(max(high) OVER w14 - min(low) OVER w14, 0), 4) END AS WILLR,
+           CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS TRANGE,
+           CAST(sum(CASE WHEN pc IS NULL OR close > pc THEN volume WHEN close < pc THEN -volume ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS OBV,
+           round((close / nullif(lag(close, 10) OVER w, 0)::DOUBLE - 1) * 100, 4) AS ROC
+    FROM c WINDOW w AS (PARTITION BY symbol ORDER BY bucket), w30 AS (PARTITION BY symbol ORDER BY bucket ROWS 29 PRECEDING), w14 AS (PARTITION BY symbol ORDER BY bucket ROWS 13 PRECEDING), w5 AS (PARTITION BY symbol ORDER BY bucket ROWS 4 PRECEDING)
+""")
+def indicators_finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = indicators.with_finite(hourly(spark, sf_dir), ["symbol"], ["bucket"])
+    rounded = {c: F.round(c, 4) for c in ("SMA", "BBANDS_upper", "WILLR", "ROC")} | {"OBV": F.col("OBV").cast("long")}
+    return out.withColumns(rounded).select("symbol", "bucket", "SMA", "MIDPOINT", "BBANDS_upper", "MOM", "WILLR", "TRANGE", "OBV", "ROC")
+
+
+@query("indicators_recursive")
+def indicators_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive indicators, checked by unit tests."""
+    return indicators.with_recursive(hourly(spark, sf_dir), ["symbol"], ["bucket"]).select("symbol", "bucket", *indicators.RECURSIVE)
+
+
+@query("candle_patterns")
+def candle_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candle patterns, checked by unit tests."""
+    out = indicators.with_patterns(hourly(spark, sf_dir), ["symbol"], ["bucket"])
+    return out.select("symbol", "bucket", *[c for c in out.columns if c.startswith("CDL")])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars with the returns to the next and the third bar."""
+    b = hourly(spark, sf_dir).withColumn("day", F.to_date(F.timestamp_seconds(F.col("bucket") * 3600)))
+    return bars.forward_returns(b, ["symbol"], "day", ["bucket"], {False: "close"}, [("T1", 1), ("T3", 3)])
+
+
+__all__ = ["QUERIES", "ORACLE_SQL", "flagship", "streaming_bars"]
