@@ -20,6 +20,9 @@ decide something:
    Hashes only propose; bytes decide.
 5. The covered spans go back to their documents.
 
+Whole copies are told by their SHA-256 first: all but the smallest are covered from end to end and
+take no further part. The texts are shuffled by document once; three joins read that exchange.
+
 Identical contexts are folded to the earliest already before they are dealt out, so a passage in
 a third of all documents reaches its bucket once per task and boundary, not once per document.
 
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticktide.llm.common import groups, partitions, text_or_empty, texts_of
+from ticktide.llm.common import cut, groups, partitions, text_or_empty, texts_of
 
 LENGTH = 100
 ANCHOR = 32
@@ -169,6 +172,15 @@ def all_covered(rows: np.ndarray, doc: np.ndarray, at: np.ndarray, length: int)
     return spans_at(doc, at, np.maximum(0, length - right), left, length)
 
 
+def joined(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in order of document and place, with neighbours that touch made one."""
+    if not len(doc):
+        return doc, start, stop
+    breaks = np.flatnonzero((doc[1:] != doc[:-1]) | (start[1:] > stop[:-1])) + 1
+    firsts = np.concatenate([[0], breaks])
+    return doc[firsts], start[firsts], np.maximum.reduceat(stop, firsts)
+
+
 def fold(rows: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Marks the rows that equal an earlier one's; a clash of hashes only leaves a row unmarked."""
     words = _words(rows)
@@ -252,16 +264,20 @@ def _strings(rows: np.ndarray, doc: np.ndarray, at: np.ndarray, anchor: np.ndarr
     yield spans_at(doc, at, low, high, length)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (uid, doc_id, text): the id itself where ids are unique, else the place in the documents' order."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (uid, text) of the documents, and where ids aren't unique the rows (uid, doc_id).
+
+    uid is the id itself where ids are unique, else the place in the documents' order.
+    """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     odd = docs.select(docs[id_col].cast("long").alias("doc_id")).groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
     if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+        return rows.select(F.col("doc_id").alias("uid"), "text"), None
     named = rows.withColumn("digest", F.sha2("text", 256))
     ordered = named.select("doc_id", "digest").distinct().orderBy(F.asc_nulls_first("doc_id"), "digest")
     places = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1])).toDF("_id long, _digest string, uid long")
-    return named.join(places, named["doc_id"].eqNullSafe(places["_id"]) & (named["digest"] == places["_digest"])).select("uid", "doc_id", "text")
+    found = cut(named.join(places, named["doc_id"].eqNullSafe(places["_id"]) & (named["digest"] == places["_digest"])).select("uid", "doc_id", "text"))
+    return found.select("uid", "text").dropDuplicates(["uid"]), found.select("uid", "doc_id")
 
 
 def _splitters(rows: DataFrame, buckets: int, length: int) -> list[int]:
@@ -275,11 +291,14 @@ def _splitters(rows: DataFrame, buckets: int, length: int) -> list[int]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (uid, doc_id, text, spans): the covered spans of each text's bytes, as they were found."""
+    """Rows with uid, doc_id, text, spans: the covered spans of each text's bytes, as they were found."""
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be {2 * ANCHOR} or more")
-    rows = _keyed(docs, id_col, text_col)
+    rows, names = _keyed(docs, id_col, text_col)
     n = partitions(docs.sparkSession)
+    digests = rows.select("uid", F.sha2("text", 256).alias("digest"))
+    twins = digests.groupBy("digest").agg(F.min("uid").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "keep")
+    copies = digests.join(twins, "digest").filter("uid <> keep").select("uid")
     cuts = _splitters(rows, 4 * n, length)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +335,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 made = np.concatenate([contexts(t, p, length) for t, p in zip(texts_of(part.column(1)), places, strict=True)])
                 doc, at = np.repeat(uid, [len(p) for p in places]), np.concatenate(places)
                 old = fold(made, doc, at)
-                d, start, stop = all_covered(made[old], doc[old], at[old], length)
+                d, start, stop = joined(*all_covered(made[old], doc[old], at[old], length))
                 new = np.ascontiguousarray(made[~old])
                 lead = np.ascontiguousarray(new[:, length - ANCHOR : length - ANCHOR + 8]).view(">u8").ravel().astype(np.uint64)
                 offsets = np.arange(0, new.size + 1, new.shape[1], dtype=np.int32)
@@ -360,12 +379,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         if held:
             yield from sort(held)
 
-    twice = rows.select("uid", "text").mapInArrow(find, "h long, uid long, pos int").repartition(n, "h").sortWithinPartitions("h").mapInArrow(repeated, "uid long, pos int")
+    first = rows.join(copies, "uid", "left_anti").select("uid", "text")
+    twice = first.mapInArrow(find, "h long, uid long, pos int").repartition(n, "h").sortWithinPartitions("h").mapInArrow(repeated, "uid long, pos int")
     places = twice.groupBy("uid").agg(F.collect_list("pos").alias("places"))
     dealt = rows.join(places, "uid").select("uid", "text", "places").mapInArrow(suffixes, "bucket int, uid long, pos int, stop int, context binary")
     spans = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(buckets, "uid long, start int, stop int")
     own = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return rows.join(own, "uid", "left")
+    covered = own.unionByName(copies.select("uid", F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).alias("stop"))).alias("spans")))
+    size = F.octet_length("text")
+    whole = F.when(size >= length, F.array(F.struct(F.lit(0).alias("start"), size.alias("stop"))))
+    found = rows.join(covered, "uid", "left").withColumn("spans", F.when(F.col("spans")[0]["stop"] == -1, whole).otherwise(F.col("spans")))
+    return found.withColumn("doc_id", F.col("uid")) if names is None else found.join(names, "uid")
 
 
 def merged(spans: list[Any] | None) -> list[tuple[int, int]]:
@@ -432,9 +456,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rest, pa.string())], ["_id", "_hash", "_rest"])
 
     found = repeated_spans(docs, length, id_col, text_col).filter("spans IS NOT NULL")
-    cut = found.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text", "spans").mapInArrow(run, schema).dropDuplicates(["_id", "_hash"])
+    rests = found.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text", "spans").mapInArrow(run, schema).dropDuplicates(["_id", "_hash"])
     named = docs.withColumn("_text_hash", F.xxhash64(text_or_empty(text_col)))
-    joined = named.join(cut, named[id_col].cast("long").eqNullSafe(cut["_id"]) & (named["_text_hash"] == cut["_hash"]), "left")
+    joined = named.join(rests, named[id_col].cast("long").eqNullSafe(rests["_id"]) & (named["_text_hash"] == rests["_hash"]), "left")
     joined = joined.filter(F.col("_rest").isNull() | F.col("_rest").rlike(r"\S"))
     text = F.when(F.col("_rest").isNull(), F.col(text_col)).otherwise(F.col("_rest"))
     done = {text_col: text} | ({"n_chars": F.char_length(F.coalesce(text, F.lit(""))).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})

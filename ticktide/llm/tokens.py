@@ -23,6 +23,8 @@ REMEMBERED = 300_000
 LONGEST = 64
 #: New chunks that one call of the tokenizer gets.
 TOGETHER = 20_000
+#: After ASCII letters, one of these at the end of a chunk is a word of its own.
+MARKS = b".,;:!?"
 #: The tokenizer's own splitting pattern, a fixed value of its file.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END_OF_WORD = "</w>"
@@ -56,15 +58,18 @@ class ChunkTokenizer:
 
     def packed_ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text (UTF-8), four bytes each."""
-        chunks = [t.split() for t in texts]
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in texts]  # "<|" may begin a special token
         lost = set().union(*chunks).difference(self.young)
         known = self.young
         known.update((c, self.old[c]) for c in lost.intersection(self.old))
-        new = list(lost.difference(known))
+        new = lost.difference(known)
+        tails = {c: (c[:-1], c[-1:]) for c in new if c[-1] in MARKS and c[:-1].isalpha()}
+        new = list(new.difference(tails).union(*tails.values()).difference(known))
         for k in range(0, len(new), TOGETHER):
             known.update(self._learn(new[k : k + TOGETHER]))
+        known.update((c, known[word] + known[mark]) for c, (word, mark) in tails.items())
         ids = [b"".join(map(known.__getitem__, c)) for c in chunks]
-        for c in new:
+        for c in [*new, *tails]:
             if len(c) > LONGEST:
                 del known[c]
         if len(known) > REMEMBERED:
