@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticktide.operators import patterns
+
 Bars = tuple[WindowSpec, Callable[[int], WindowSpec]]
 
 
@@ -28,6 +30,11 @@ def _full(value: Column, n: int, frame: WindowSpec) -> Column:
     return F.when(F.count(F.lit(1)).over(frame) == n, value)
 
 
+def _known(c: str, n: int, b: Bars) -> Column:
+    """Mean of the last n values where none is null."""
+    return F.when(F.count(c).over(b[1](n)) == n, F.avg(c).over(b[1](n)))
+
+
 def sma(c: str, n: int, b: Bars) -> Column:
     return _full(F.avg(c).over(b[1](n)), n, b[1](n))
 
@@ -123,7 +130,7 @@ def with_finite(df: DataFrame, by: list[str], order: list[str], minus_close: boo
     low_at = F.max_by("_place", F.struct(-F.col("low"), F.col("_place"))).over(b[1](15))
     full = F.count(F.lit(1)).over(b[1](15)) == 15
     out = out.withColumns({
-        "MFI": F.when(F.col("_place") > 14, F.try_divide(100 * up, F.when(up + down != 0, up + down))), "STOCHF_fastd": F.avg("STOCHF_fastk").over(b[1](3)),
+        "MFI": F.when(F.col("_place") > 14, F.try_divide(100 * up, F.when(up + down != 0, up + down))), "STOCHF_fastd": _known("STOCHF_fastk", 3, b),
         "AROON_up": F.when(full, (14 - (F.col("_place") - high_at)) * 100.0 / 14), "AROON_down": F.when(full, (14 - (F.col("_place") - low_at)) * 100.0 / 14),
         "_mean": F.avg("_tp").over(w5), "_tps": F.collect_list("_tp").over(w5),
     })
@@ -132,7 +139,41 @@ def with_finite(df: DataFrame, by: list[str], order: list[str], minus_close: boo
         "AROONOSC": F.col("AROON_up") - F.col("AROON_down"),
         "CCI": F.when(F.size("_tps") == 14, F.try_divide(F.col("_tp") - F.col("_mean"), F.when(spread > 0, 0.015 * spread))),
     })
-    return out.drop("_tp", "_up", "_down", "_place", "_mean", "_tps")
+    pressure = F.col("close") - F.least(F.col("low"), F.lag("close").over(b[0]))
+    out = out.withColumns({"MA": F.col("SMA"), "_bp": F.when(F.col("TRANGE").isNotNull(), pressure), "STOCH_slowk": _known("STOCHF_fastk", 3, b)})
+    part = lambda n: F.when(F.count("_bp").over(b[1](n)) == n, F.try_divide(F.sum("_bp").over(b[1](n)).cast("double"), F.sum("TRANGE").over(b[1](n))))
+    out = out.withColumns({"STOCH_slowd": _known("STOCH_slowk", 3, b), "ULTOSC": 100 * (4 * part(7) + 2 * part(14) + part(28)) / 7})
+    fast, slow = sma("close", 12, b), sma("close", 26, b)
+    out = out.withColumn("MACDEXT", F.when(slow.isNotNull(), fast - slow))
+    out = out.withColumn("MACDEXT_signal", _known("MACDEXT", 9, b)).withColumn("MACDEXT_hist", F.col("MACDEXT") - F.col("MACDEXT_signal"))
+    return out.drop("_tp", "_up", "_down", "_place", "_mean", "_tps", "_bp")
+
+
+#: Periods of the sweeps.
+SWEEP = (3, 5, 10, 15, 20, 30, 40, 50, 60, 80, 100, 120, 180, 240, 300)
+
+
+def sma_sweep(df: DataFrame, by: list[str], order: list[str], periods: tuple[int, ...] = SWEEP) -> DataFrame:
+    """`SMA_<n>`: distance of the mean of n closes from the close, for each period."""
+    b = frames(by, order)
+    return df.withColumns({f"SMA_{n}": sma("close", n, b) - F.col("close") for n in periods})
+
+
+def macd_grid(periods: tuple[int, ...] = SWEEP) -> list[tuple[int, int, int]]:
+    """(fast, slow, signal) with slow / 4 <= fast <= slow / 2 and signal = int(0.75 fast)."""
+    return [(f, s, int(0.75 * f)) for s in periods for f in periods if s / 4 <= f <= s / 2]
+
+
+def sweep(o: dict[str, np.ndarray], periods: tuple[int, ...] = SWEEP) -> dict[str, np.ndarray]:
+    """The recursive indicators whose periods are swept, of one series."""
+    out: dict[str, np.ndarray] = {}
+    for n in periods:
+        out |= {f"EMA_{n}": ema_of(o["close"], n) - o["close"]} | {f"{k}_{n}": x for k, x in directional(o, n).items() if k in ("ADX", "ATR", "PLUS_DM", "MINUS_DM", "PLUS_DI", "MINUS_DI")}
+    for f, s, signal in macd_grid(periods):
+        line = ema_of(o["close"], f) - ema_of(o["close"], s)
+        out[f"MACD_{f}_{s}"] = line
+        out[f"MACD_hist_{f}_{s}"] = line - ema_of(line, max(signal, 1))
+    return out
 
 
 # Recursive indicators, on NumPy arrays of one series.
@@ -166,6 +207,30 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where(b != 0, a / b, np.nan)
 
 
+def _extreme(x: np.ndarray, n: int, pick: Callable[..., np.ndarray]) -> np.ndarray:
+    """pick over the last n values; null where one is missing."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        out[n - 1 :] = pick(np.lib.stride_tricks.sliding_window_view(x, n), axis=1)
+    return out
+
+
+def directional(o: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+    """True range and directional movement, smoothed over n bars."""
+    c, h, low = o["close"], o["high"], o["low"]
+    before = np.concatenate([[np.nan], c[:-1]])
+    tr = np.where(np.isnan(before), np.nan, np.maximum(h - low, np.maximum(np.abs(h - before), np.abs(low - before))))
+    atr = wilder(tr, n)
+    dh, dl = np.diff(h, prepend=np.nan), -np.diff(low, prepend=np.nan)
+    plus, minus = (np.where(np.isnan(dh), np.nan, np.where((a > b) & (a > 0), a, 0.0)) for a, b in ((dh, dl), (dl, dh)))
+    pdm, mdm = wilder(plus, n), wilder(minus, n)
+    pdi, mdi = 100 * _ratio(pdm, atr), 100 * _ratio(mdm, atr)
+    dx = 100 * _ratio(np.abs(pdi - mdi), pdi + mdi)
+    adx = wilder(dx, n)
+    earlier = np.concatenate([np.full(n - 1, np.nan), adx[: max(0, len(adx) - n + 1)]])[: len(adx)]
+    return {"ATR": atr, "PLUS_DM": n * pdm, "MINUS_DM": n * mdm, "PLUS_DI": pdi, "MINUS_DI": mdi, "DX": dx, "ADX": adx, "ADXR": (adx + earlier) / 2}
+
+
 def recursive(o: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Every recursive indicator of one series, default periods."""
     c, h, low = o["close"], o["high"], o["low"]
@@ -179,26 +244,24 @@ def recursive(o: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     macd = ema_of(c, 12) - ema_of(c, 26)
     signal = ema_of(macd, 9)
     out |= {"MACD": macd, "MACD_signal": signal, "MACD_hist": macd - signal, "APO": macd, "PPO": 100 * _ratio(macd, ema_of(c, 26))}
+    fixed = _ewm(c, 0.15, 12) - _ewm(c, 0.075, 26)
+    out |= {"MACDFIX": fixed, "MACDFIX_signal": ema_of(fixed, 9)}
     step = np.diff(c, prepend=np.nan)
     up, down = wilder(np.where(np.isnan(step), np.nan, np.maximum(step, 0)), 14), wilder(np.where(np.isnan(step), np.nan, np.maximum(-step, 0)), 14)
     out |= {"RSI": 100 * _ratio(up, up + down), "CMO": 100 * _ratio(up - down, up + down)}
-    before = np.concatenate([[np.nan], c[:-1]])
-    tr = np.where(np.isnan(before), np.nan, np.maximum(h - low, np.maximum(np.abs(h - before), np.abs(low - before))))
-    atr = wilder(tr, 14)
-    out |= {"ATR": atr, "NATR": 100 * _ratio(atr, c)}
-    dh, dl = np.diff(h, prepend=np.nan), -np.diff(low, prepend=np.nan)
-    plus, minus = (np.where(np.isnan(dh), np.nan, np.where((a > b) & (a > 0), a, 0.0)) for a, b in ((dh, dl), (dl, dh)))
-    pdm, mdm = wilder(plus, 14), wilder(minus, 14)
-    pdi, mdi = 100 * _ratio(pdm, atr), 100 * _ratio(mdm, atr)
-    dx = 100 * _ratio(np.abs(pdi - mdi), pdi + mdi)
-    adx = wilder(dx, 14)
-    out |= {"PLUS_DM": 14 * pdm, "MINUS_DM": 14 * mdm, "PLUS_DI": pdi, "MINUS_DI": mdi, "DX": dx, "ADX": adx, "ADXR": (adx + np.concatenate([np.full(13, np.nan), adx[:-13]])[: len(adx)]) / 2}
+    moves = directional(o, 14)
+    out |= {**moves, "NATR": 100 * _ratio(moves["ATR"], c)}
+    rsi_high, rsi_low = _extreme(out["RSI"], 14, np.max), _extreme(out["RSI"], 14, np.min)
+    fast = 100 * _ratio(out["RSI"] - rsi_low, rsi_high - rsi_low)
+    out |= {"STOCHRSI_fastk": fast, "STOCHRSI_fastd": _extreme(fast, 3, np.mean)}
     x = c
     for _ in range(3):
         x = ema_of(x, 30)
     out["TRIX"] = 100 * (_ratio(x, np.concatenate([[np.nan], x[:-1]])) - 1)
     out["KAMA"] = _kama(c, 30)
-    out["SAR"] = _sar(h, low)
+    out["SAREXT"] = _sar(h, low)
+    out["SAR"] = np.abs(out["SAREXT"])
+    out |= cycle(c, (h + low) / 2)
     span = h - low
     flow = np.cumsum(np.where(span != 0, _ratio((c - low) - (h - c), span), 0.0) * o["volume"])
     out["ADOSC"] = _ewm(flow, 2 / 4, 1) - _ewm(flow, 2 / 11, 1)
@@ -221,7 +284,7 @@ def _kama(c: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sar(h: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> np.ndarray:
-    """Parabolic stop and reverse; the first direction is that of the first move."""
+    """Parabolic stop and reverse, negative while falling; the first direction is that of the first move."""
     out = np.full(len(h), np.nan)
     if len(h) < 2:
         return out
@@ -232,9 +295,9 @@ def _sar(h: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2)
             rising, stop, k = not rising, extreme, step
             extreme = h[i] if rising else low[i]
             stop = min(stop, low[i - 1], low[i]) if rising else max(stop, h[i - 1], h[i])
-            out[i] = stop
+            out[i] = stop if rising else -stop
             continue
-        out[i] = stop
+        out[i] = stop if rising else -stop
         if (h[i] > extreme) if rising else (low[i] < extreme):
             extreme, k = (h[i] if rising else low[i]), min(k + step, most)
         stop = stop + k * (extreme - stop)
@@ -242,6 +305,66 @@ def _sar(h: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2)
     return out
 
 
+def cycle(close: np.ndarray, middle: np.ndarray) -> dict[str, np.ndarray]:
+    """Dominant cycle by the Hilbert transform: period, phase, phasor, sine, trend mode, trend line, adaptive means.
+
+    Prices are smoothed with weights 4 to 1, a four-tap Hilbert filter (whose gain follows the last
+    period) gives the quadrature, and the angle between neighbouring phasors the period, held
+    within 6 to 50 bars and to a change of a half per step. The first 32 bars are null.
+    """
+    n = len(close)
+    out = {k: np.full(n, np.nan) for k in ("HT_DCPERIOD", "HT_DCPHASE", "HT_PHASOR_inphase", "HT_PHASOR_quadrature", "HT_SINE_sine", "HT_SINE_leadsine", "HT_TRENDMODE", "HT_TRENDLINE", "MAMA_mama", "MAMA_fama")}
+    price = np.where(np.isnan(close), middle, close)
+    smooth, detrend, q1, i1 = (np.zeros(n) for _ in range(4))
+    period = smooth_period = i2 = q2 = re = im = phase_before = 0.0
+    mama = fama = float(price[0]) if n else 0.0
+    angle_before, days_in_trend, sine_before, lead_before, trend_line = 0.0, 0, 0.0, 0.0, []
+
+    def hilbert(x: np.ndarray, i: int, gain: float) -> float:
+        return (0.0962 * x[i] + 0.5769 * x[i - 2] - 0.5769 * x[i - 4] - 0.0962 * x[i - 6]) * gain
+
+    for i in range(6, n):
+        gain = 0.075 * period + 0.54
+        smooth[i] = (4 * price[i] + 3 * price[i - 1] + 2 * price[i - 2] + price[i - 3]) / 10
+        detrend[i] = hilbert(smooth, i, gain)
+        q1[i], i1[i] = hilbert(detrend, i, gain), detrend[i - 3]
+        ji, jq = hilbert(i1, i, gain), hilbert(q1, i, gain)
+        before_i2, before_q2 = i2, q2
+        i2, q2 = 0.2 * (i1[i] - jq) + 0.8 * i2, 0.2 * (q1[i] + ji) + 0.8 * q2
+        re, im = 0.2 * (i2 * before_i2 + q2 * before_q2) + 0.8 * re, 0.2 * (i2 * before_q2 - q2 * before_i2) + 0.8 * im
+        new = 2 * np.pi / np.arctan(im / re) if im and re else period
+        if period:
+            new = min(max(new, 0.67 * period), 1.5 * period)
+        period = 0.2 * min(max(new, 6.0), 50.0) + 0.8 * period
+        smooth_period = 0.33 * period + 0.67 * smooth_period
+        angle = np.degrees(np.arctan(q1[i] / i1[i])) if i1[i] else 0.0
+        rate = min(max(0.5 / max(angle_before - angle, 1.0), 0.05), 0.5)
+        angle_before = angle
+        mama += rate * (price[i] - mama)
+        fama += 0.5 * rate * (mama - fama)
+        length = min(int(smooth_period + 0.5), i + 1)
+        turn = 2 * np.pi * np.arange(length) / max(length, 1)
+        own = smooth[i - np.arange(length)]
+        real, imag = float((np.sin(turn) * own).sum()), float((np.cos(turn) * own).sum())
+        phase = np.degrees(np.arctan(real / imag)) if abs(imag) > 1e-3 else 90.0 * np.sign(real)
+        phase += 90 + (360 / smooth_period if smooth_period else 0) + (180 if imag < 0 else 0)
+        phase -= 360 if phase > 315 else 0
+        sine, lead = np.sin(np.radians(phase)), np.sin(np.radians(phase + 45))
+        trend_line.append(price[i - np.arange(length)].mean() if length else price[i])
+        line = np.dot(trend_line[:-5:-1], (4, 3, 2, 1)[: len(trend_line)]) / sum((4, 3, 2, 1)[: len(trend_line)])
+        crossed = (sine > lead) != (sine_before > lead_before)
+        days_in_trend = 0 if crossed else days_in_trend + 1
+        step = phase - phase_before
+        trend = days_in_trend >= 0.5 * smooth_period and not (smooth_period and 0.67 * 360 / smooth_period < step < 1.5 * 360 / smooth_period)
+        trend = trend or line != 0 and abs((smooth[i] - line) / line) >= 0.015
+        phase_before, sine_before, lead_before = phase, sine, lead
+        if i >= 32:
+            values = (smooth_period, phase, i1[i], q1[i], sine, lead, float(trend), line, mama, fama)
+            for k, x in zip(out, values, strict=True):
+                out[k][i] = x
+    return out
+
+
 RECURSIVE = list(recursive({k: np.arange(1.0, 4.0) for k in ("open", "high", "low", "close", "volume")}))
 
 
@@ -299,4 +422,21 @@ def with_patterns(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
         "CDLTRISTAR": mark(doji & lag("_doji") & lag("_doji", 2) & ((bottom1 > F.greatest(o2, c2)) & (top < top1) | (top1 < F.least(o2, c2)) & (bottom > bottom1)), F.when(top < top1, -100).otherwise(100)),
         "CDLMATCHINGLOW": mark((sign < 0) & (lag("_sign") < 0) & (F.abs(c - c1) <= 0.05 * F.col("_avgr")), 100), "CDLDOJISTAR": mark(lag("_long") & doji & F.when(lag("_sign") > 0, bottom > top1).otherwise(top < bottom1), -100 * lag("_sign")),
     }
-    return df.withColumns(new).drop("_body", "_range", "_up", "_down", "_sign", "_avg", "_avgr", "_long", "_short", "_doji")
+    df = df.withColumns(new).drop("_body", "_range", "_up", "_down", "_sign", "_avg", "_avgr", "_long", "_short", "_doji")
+    for step in patterns.helpers(w):
+        df = df.withColumns(step)
+    return df.withColumns(patterns.rules(w)).drop(*patterns.HELPERS)
+
+
+def with_sweep(df: DataFrame, by: list[str], order: list[str], periods: tuple[int, ...] = SWEEP) -> DataFrame:
+    """Directional indicators, EMA distances and MACD lines at every period of a sweep."""
+    names = list(sweep({k: np.arange(1.0, 4.0) for k in ("open", "high", "low", "close", "volume")}, periods))
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        found = sweep({k: rows[k].astype(float).to_numpy() for k in ("open", "high", "low", "close", "volume")}, periods)
+        made = pd.DataFrame({k: pd.Series(v, index=rows.index).where(~np.isnan(v), None) for k, v in found.items()})
+        return pd.concat([rows, made], axis=1)
+
+    return df.groupBy(*by).applyInPandas(run, schema)
