@@ -6,12 +6,19 @@ Null maps count as empty. Every function returns a Column of built-in expression
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TYPE = "map<bigint,bigint>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also where the body uses it in a lambda, row by row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def empty() -> Column:
     return F.create_map().cast(TYPE)
 
@@ -25,18 +32,43 @@ def get(m: Column, price: Column) -> Column:
     return F.coalesce(F.try_element_at(m, price), F.lit(0).cast("bigint"))
 
 
+def _levels(prices: list[Column], volumes: list[Column]) -> tuple[list[Column], Callable[[Column], Column]]:
+    """Prices that count (positive ones), and the volume at a price by plain comparisons."""
+    ps = [F.when(p > 0, p.cast("bigint")) for p in prices]
+    vs = [F.coalesce(v, F.lit(0)).cast("bigint") for v in volumes]
+
+    def at(k: Column) -> Column:
+        out = F.lit(0).cast("bigint")
+        for p, v in zip(ps, vs, strict=True):
+            out = out + F.when(p == k, v).otherwise(F.lit(0).cast("bigint"))
+        return out
+
+    return ps, at
+
+
 def from_levels(prices: list[Column], volumes: list[Column]) -> Column:
     """Levels with a null, zero or negative price are left out; equal prices add up."""
-    level = [F.struct(p.cast("bigint").alias("p"), F.coalesce(v, F.lit(0)).cast("bigint").alias("v")) for p, v in zip(prices, volumes, strict=True)]
-    valid = F.filter(F.array(*level), lambda x: x["p"] > 0)
-    return F.aggregate(valid, empty(), lambda acc, x: add(acc, F.map_from_arrays(F.array(x["p"]), F.array(x["v"]))))
+    ps, at = _levels(prices, volumes)
+    known = F.array_distinct(F.array_compact(F.array(*ps)))
+    return F.map_from_entries(F.transform(known, lambda k: F.struct(k.alias("key"), at(k).alias("value"))))
+
+
+def populated_levels(prices: list[Column], volumes: list[Column]) -> Column:
+    """`populate` of `from_levels`, without the map between."""
+    ps, at = _levels(prices, volumes)
+    low, high = F.least(*ps), F.greatest(*ps)
+    each = F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("key"), at(k).alias("value")))
+    return F.when(low.isNotNull(), F.map_from_entries(each)).otherwise(empty())
 
 
 def populate(m: Column) -> Column:
     """Every price between the smallest and the largest, 0 where there was none."""
-    keys = F.map_keys(m)
-    filled = F.transform(F.sequence(F.array_min(keys), F.array_max(keys)), lambda k: F.struct(k.alias("key"), get(m, k).alias("value")))
-    return F.when(F.size(m) > 0, F.map_from_entries(filled)).otherwise(empty())
+    def filled(m: Column) -> Column:
+        keys = F.map_keys(m)
+        each = F.transform(F.sequence(F.array_min(keys), F.array_max(keys)), lambda k: F.struct(k.alias("key"), get(m, k).alias("value")))
+        return F.when(F.size(m) > 0, F.map_from_entries(each)).otherwise(empty())
+
+    return let(m, filled)
 
 
 def negate_keys(m: Column) -> Column:
@@ -80,8 +112,7 @@ def subtract(a: Column, b: Column) -> Column:
 
 def minimum(a: Column, b: Column) -> Column:
     """Prices of `b`, each with the smaller volume, where `a` has 0 at a price that it lacks."""
-    a = or_empty(a)
-    return F.transform_values(or_empty(b), lambda k, v: F.least(get(a, k), v))
+    return let(or_empty(a), lambda a: F.transform_values(or_empty(b), lambda k, v: F.least(get(a, k), v)))
 
 
 def total(m: Column) -> Column:
@@ -94,7 +125,7 @@ def turnover(m: Column) -> Column:
 
 
 def average_price(m: Column) -> Column:
-    return F.try_divide(turnover(m), total(m))
+    return let(m, lambda m: F.try_divide(turnover(m), total(m)))
 
 
 def lowest(m: Column) -> Column:
@@ -107,8 +138,7 @@ def highest(m: Column) -> Column:
 
 def entries(m: Column, descending: bool = False) -> Column:
     """Entries in order of price."""
-    rows = F.array_sort(F.map_entries(or_empty(m)))
-    return F.reverse(rows) if descending else rows
+    return F.sort_array(F.map_entries(or_empty(m)), asc=not descending)
 
 
 def cumulate(m: Column, descending: bool = False, amount: bool = False, clipped: bool = False) -> Column:
@@ -117,9 +147,11 @@ def cumulate(m: Column, descending: bool = False, amount: bool = False, clipped:
         v = F.greatest(e["value"], F.lit(0)) if clipped else e["value"]
         return e["key"] * v if amount else v
 
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), empty().alias("m"))
+    pair = "array<struct<key:bigint,value:bigint>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast(pair).alias("rows"))
     end = F.aggregate(
         entries(m, descending), start,
-        lambda acc, e: F.struct((acc["sum"] + value(e)).alias("sum"), F.map_concat(acc["m"], F.map_from_arrays(F.array(e["key"]), F.array(acc["sum"] + value(e)))).alias("m")),
+        lambda acc, e: F.struct((acc["sum"] + value(e)).alias("sum"), F.array_append(acc["rows"], F.struct(e["key"].alias("key"), (acc["sum"] + value(e)).alias("value"))).cast(pair).alias("rows")),
+        lambda acc: acc["rows"],
     )
-    return end["m"]
+    return F.map_from_entries(end)

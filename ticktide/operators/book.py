@@ -7,8 +7,12 @@ since then. Books are price-volume maps (`functions.pvmap`).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticktide.functions import pvmap as pv
 
@@ -17,7 +21,7 @@ LEVELS = range(1, 6)
 
 def _side(side: str, last: bool = False) -> Column:
     tail = "_last" if last else ""
-    return pv.populate(pv.from_levels([F.col(f"{side}P{i}{tail}") for i in LEVELS], [F.col(f"{side}V{i}{tail}") for i in LEVELS]))
+    return pv.populated_levels([F.col(f"{side}P{i}{tail}") for i in LEVELS], [F.col(f"{side}V{i}{tail}") for i in LEVELS])
 
 
 def with_maps(df: DataFrame) -> DataFrame:
@@ -49,10 +53,8 @@ def with_bounds(df: DataFrame, slack: int = 150) -> DataFrame:
     a1, b1 = F.least(a0 + 4, a5 + 1), F.greatest(b0 - 4, b5 - 1)
     asks = F.when(a0 < a1, F.sequence(a0, a1 - 1)).otherwise(F.array().cast("array<bigint>"))
     bids = F.when(b0 > b1, F.sequence(b1 + 1, b0)).otherwise(F.array().cast("array<bigint>"))
-    inside = lambda m: lambda k: pv.get(F.col(m), k) <= reach
-    return df.withColumns({
-        "ask_bound": a0 + F.size(F.filter(asks, inside("D_ask_last_cumsum"))), "bid_bound": b0 - F.size(F.filter(bids, inside("D_bid_last_cumsum"))),
-    })
+    within = lambda prices, m: pv.let(F.col(m), lambda m: F.size(F.filter(prices, lambda k: pv.get(m, k) <= reach)))
+    return df.withColumns({"ask_bound": a0 + within(asks, "D_ask_last_cumsum"), "bid_bound": b0 - within(bids, "D_bid_last_cumsum")})
 
 
 def split_trades(vol, amt, ask, bid, ask_last, bid_last, ask_bound, bid_bound) -> dict[int, int]:
@@ -107,8 +109,17 @@ def split_trades(vol, amt, ask, bid, ask_last, bid_last, ask_bound, bid_bound) -
 
 def with_trades(df: DataFrame) -> DataFrame:
     """D_exch: traded volume per price of each tick."""
-    search = F.udf(split_trades, pv.TYPE, useArrow=True)
-    return df.withColumn("D_exch", search(*[F.col(c) for c in ("vol", "amt", "D_ask", "D_bid", "D_ask_last", "D_bid_last", "ask_bound", "bid_bound")]))
+    needed = ["vol", "amt", "D_ask", "D_bid", "D_ask_last", "D_bid_last", "ask_bound", "bid_bound"]
+    schema = T.StructType([*df.schema.fields, T.StructField("D_exch", T.MapType(T.LongType(), T.LongType()))])
+    kind = pa.map_(pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in needed]
+            found = pa.array([list(split_trades(*row).items()) for row in zip(*columns, strict=True)], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def with_orders(df: DataFrame) -> DataFrame:
