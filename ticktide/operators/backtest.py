@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktide.operators.scan import drawdown, running
+from ticktide.operators.scan import drawdown, jump, running
 
 
 def play(signal: Column, reward: Column) -> Column:
@@ -70,3 +70,14 @@ def tail_backtest(df: DataFrame, factor: str, reward: str, share: float, order:
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first `k` rows of each group."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+
+
+def spaced_backtest(df: DataFrame, by: list[str], order: list[str], signal: str, reward: str, span: int) -> DataFrame:
+    """Statistics of non-overlapping plays: a signal counts only `span` rows or more after the last one that counted.
+
+    Adds exch_count, the signals taken, and exch_ratio, their share of all rows.
+    """
+    rows = jump(df.withColumn("_fires", F.coalesce(F.col(signal) != 0, F.lit(False))), by, order, "_fires", span)
+    rows = rows.withColumn("play", F.when(F.col("taken"), play(F.col(signal), F.col(reward))))
+    counts = rows.groupBy(*by).agg(F.count_if("taken").alias("exch_count"), F.avg(F.col("taken").cast("int")).alias("exch_ratio"))
+    return stats(rows, by, order, "play").join(counts, by)

@@ -12,22 +12,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticktide.operators.scan import running_totals
+
 MAX_CATEGORIES = 20
 
 
 def nearest_ticks(df: DataFrame, column: str, parts: int) -> list[float]:
     """Distinct quantiles k / parts, each the value at the nearest place (halves to even), ends included.
 
-    Values are counted first, so the sort that finds the places is over distinct values only.
+    Values are counted first; their places are running totals of the counts, taken range by range.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).count()
-    placed = counts.withColumn("hi", F.sum("count").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    n = counts.agg(F.sum("count")).first()[0] or 0
-    if not n:
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    if not whole:
         return []
-    places = sorted({round((n - 1) * k / parts) for k in range(parts + 1)})
-    found = placed.withColumn("lo", F.col("hi") - F.col("count")).filter(
-        F.exists(F.array(*[F.lit(p) for p in places]), lambda p: (p >= F.col("lo")) & (p < F.col("hi")))
+    places = sorted({round((whole - 1) * k / parts) for k in range(parts + 1)})
+    found = running_totals(counts, "v", ["n"]).filter(
+        F.exists(F.array(*[F.lit(p) for p in places]), lambda p: (p >= F.col("n_before")) & (p < F.col("n_before") + F.col("n")))
     )
     return sorted(r["v"] for r in found.select("v").collect())
 
@@ -196,3 +197,41 @@ def from_json(text: str) -> list[Bin]:
     import json
 
     return [Bin(**{k: float(v) if k in ("low", "high") else v for k, v in row.items()}) for row in json.loads(text)]
+
+
+def point_bins(values: list[float]) -> list[Bin]:
+    """A bin per single value."""
+    return [Bin(v, v, True) for v in sorted(set(values))]
+
+
+def with_points(ticks: list[float], points: list[float]) -> list[Bin]:
+    """Intervals between the ticks, cut at the points; each point is a bin of its own, which nothing is joined to.
+
+    Points come first in the list, so `bin_index` finds them before the interval that holds them.
+    """
+    return [*point_bins(points), *intervals(ticks)]
+
+
+def masked_table(df: DataFrame, column: str, target: str, mask: Column, parts: int = 10) -> DataFrame:
+    """`bin_table` of the rows where `mask` holds; its bins come from those rows alone."""
+    return bin_table(df.filter(mask), column, [target], parts)
+
+
+def sum_table(df: DataFrame, column: str, target: str, parts: int = 10) -> DataFrame:
+    """Rows (bin, cnt, sum, mean) of equal-frequency bins."""
+    bins = intervals(nearest_ticks(df, column, parts))
+    rows = df.withColumn("bin", bin_index(F.col(column), bins)).filter("bin IS NOT NULL")
+    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("cnt"), F.sum(target).alias("sum"), F.avg(target).alias("mean"))
+
+
+def custom_table(df: DataFrame, column: str, measures: dict[str, Column], parts: int = 10) -> DataFrame:
+    """Rows (bin, cnt, measures...) of equal-frequency bins, the measures any aggregates."""
+    bins = intervals(nearest_ticks(df, column, parts))
+    rows = df.withColumn("bin", bin_index(F.col(column), bins)).filter("bin IS NOT NULL")
+    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("cnt"), *[m.alias(n) for n, m in measures.items()])
+
+
+def apply_attribute(df: DataFrame, column: str, bins: list[Bin], values: list[float], name: str) -> DataFrame:
+    """`name`: the bin's given value, null where the value falls in no bin."""
+    index = bin_index(F.col(column), bins)
+    return df.withColumn(name, F.try_element_at(F.array(*[F.lit(float(v)) for v in values]), (index + 1).cast("int")))

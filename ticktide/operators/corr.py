@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktide.operators.scan import average_rank
+from ticktide.operators.relational import columns_like
+from ticktide.operators.scan import average_rank, global_rank
 
 
 def _sums(x: str, y: str, tag: str) -> list[Column]:
@@ -38,9 +39,12 @@ def matrix(df: DataFrame, xs: list[str], ys: list[str], by: list[str] | None = N
 
 def spearman(df: DataFrame, xs: list[str], ys: list[str], by: list[str] | None = None) -> DataFrame:
     """The same of average ranks; ranks are taken over all rows (of `by`), before pairs are masked."""
-    columns = dict.fromkeys([*xs, *ys])
-    ranked = df.select(*(by or []), *[average_rank(F.col(c), by or ()).alias(c) for c in columns])
-    return matrix(ranked, xs, ys, by)
+    columns = list(dict.fromkeys([*xs, *ys]))
+    if by:
+        return matrix(df.select(*by, *[average_rank(F.col(c), by).alias(c) for c in columns]), xs, ys, by)
+    for c in columns:
+        df = global_rank(df, c, f"_rank_{c}")
+    return matrix(df.select(*[F.col(f"_rank_{c}").alias(c) for c in columns]), xs, ys)
 
 
 def pair_means(df: DataFrame, xs: list[str], ys: list[str]) -> DataFrame:
@@ -81,3 +85,11 @@ def by_period(frames: dict[int, DataFrame], xs: list[str], ys: list[str]) -> Dat
     if out is None:
         raise ValueError("no frames")
     return out
+
+
+def factor_report(df: DataFrame, day: str, x_pattern: str = "^TX", y_pattern: str = r"^O?M?R[MT]\d+$") -> DataFrame:
+    """Rows (x, y, n, corr, mean, std, days, sharpe, self_corr, null_rate) of the factors and targets named by pattern."""
+    xs, ys = columns_like(df, x_pattern), columns_like(df, y_pattern)
+    whole, daily, own = matrix(df, xs, ys), daywise(df, day, xs, ys), self_correlation(df, day, xs, ys)
+    rates = null_rates(df, xs).withColumnRenamed("name", "x")
+    return whole.join(daily, ["x", "y"]).join(own, ["x", "y"]).join(rates, "x")

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticktide.operators import binning
+from ticktide.operators.scan import running_totals
 
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     rows = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
@@ -16,18 +18,15 @@ def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def ks(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the largest lead of the good rows' share over the bad rows' share, by ascending score."""
-    groups, whole = _by_score(df, score, label), Window.partitionBy()
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bad = F.try_divide(F.sum("bad").over(up), F.sum("bad").over(whole))
-    good = F.try_divide(F.sum("good").over(up), F.sum("good").over(whole))
+    groups = running_totals(_by_score(df, score, label), "s", ["bad", "good"])
+    bad, good = (F.try_divide(F.col(f"{c}_before") + F.col(c), F.col(f"{c}_whole")) for c in ("bad", "good"))
     return groups.withColumn("gap", good - bad).agg(F.greatest(F.max("gap"), F.lit(0.0)).alias("ks"))
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the chance that a bad row scores above a good one, ties half."""
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("good").over(up), F.lit(0))
-    won = _by_score(df, score, label).withColumn("won", F.col("bad") * (2 * below + F.col("good")))
+    groups = running_totals(_by_score(df, score, label), "s", ["good"])
+    won = groups.withColumn("won", F.col("bad") * (2 * F.col("good_before") + F.col("good")))
     return won.agg(F.try_divide(F.sum("won"), 2 * F.sum("bad") * F.sum("good")).alias("auc"))
 
 
@@ -173,3 +172,72 @@ def cluster_columns(corr: np.ndarray, names: list[str], linkage: str = "average"
         labels[i], sizes[i] = f"({labels[i]},{labels[j]})", a + b
         del labels[j], sizes[j]
     return out
+
+
+def split(df: DataFrame, key: str, shares: tuple[float, float, float] = (0.6, 0.2, 0.2)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training, validation and test rows by a hash of `key`, so that a row's part never changes."""
+    place = F.pmod(F.xxhash64(key), F.lit(10_000)) / 10_000
+    a, b = shares[0], shares[0] + shares[1]
+    return df.filter(place < a), df.filter((place >= a) & (place < b)), df.filter(place >= b)
+
+
+def tsi(df: DataFrame, column: str, label: str, sample: str, bins: list[binning.Bin]) -> DataFrame:
+    """One row: how much a value's weight of evidence varies (sample deviation, mean over all rows) between samples."""
+    k = binning.bin_index(F.col(column), bins).alias("bin")
+    counts = df.groupBy(k, sample).agg(F.sum((F.col(label) == 1).cast("long")).alias("bad"), F.sum((F.col(label) == 0).cast("long")).alias("good"), F.count(F.lit(1)).alias("n")).filter("bin IS NOT NULL")
+    own = Window.partitionBy(sample)
+    base = F.log((F.sum("bad").over(own) + 0.5) / (F.sum("good").over(own) + 0.5))
+    woe = counts.withColumn("woe", F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - base)
+    by_bin = woe.groupBy("bin").agg(F.stddev_samp("woe").alias("s"), F.sum("n").alias("n"))
+    return by_bin.agg(F.try_divide(F.sum(F.coalesce("s", F.lit(0.0)) * F.col("n")), F.sum("n")).alias("tsi"))
+
+
+def score_bands(df: DataFrame, score: str, label: str, parts: int = 10) -> DataFrame:
+    """Rows (bin_name, bin, cnt, mean_<label>, lift) of equal-frequency bands of a score."""
+    bands = binning.bin_table(df, score, [label], parts)
+    whole = Window.partitionBy()
+    rate = F.sum(F.col(f"mean_{label}") * F.col("cnt")).over(whole) / F.sum("cnt").over(whole)
+    return bands.withColumn("lift", F.try_divide(F.col(f"mean_{label}"), rate))
+
+
+def interaction(df: DataFrame, a: str, b: str, c: str) -> DataFrame:
+    """One row: the interaction information of three columns, in nats: H(abc) signs with pairs and singles."""
+    cube = df.groupBy(a, b, c).count()
+    total = F.sum("count").over(Window.partitionBy())
+    names = [[a], [b], [c], [a, b], [a, c], [b, c]]
+    wide = cube.select("count", total.alias("n"), *[F.sum("count").over(Window.partitionBy(*g)).alias(f"g{k}") for k, g in enumerate(names)])
+    term = F.log("count") - sum((F.log(f"g{k}") for k in (3, 4, 5)), F.lit(0.0)) + sum((F.log(f"g{k}") for k in (0, 1, 2)), F.lit(0.0)) - F.log("n")
+    return wide.agg(F.sum(F.col("count") / F.col("n") * term).alias("interaction"))
+
+
+def cross_validated_angles(df: DataFrame, used: list[str], more: list[str], label: str, key: str, folds: int = 3) -> dict[str, float]:
+    """The smallest angle of each further column over models fitted without one fold and judged on it."""
+    fold = F.pmod(F.xxhash64(key), F.lit(folds))
+    found: list[dict[str, float]] = []
+    for k in range(folds):
+        coef = logistic(df.filter(fold != k), used, label)
+        found.append(add_angle(df.filter(fold == k), used, more, label, coef))
+    return {x: min(f[x] for f in found) for x in more}
+
+
+def scorecard(df: DataFrame, columns: list[str], label: str, key: str, parts: int = 20, least: int = 100, most: int = 10) -> dict:
+    """Binning, weights of evidence, stepwise choice and report of a scorecard.
+
+    Returns its bins, chosen columns, coefficients and per part of the data (train, valid, test)
+    KS and AUC. Bins are fitted on the training part alone.
+    """
+    parts_ = dict(zip(("train", "valid", "test"), split(df, key), strict=True))
+    bins = {c: binning.woe_bins(parts_["train"], c, label, parts, least) for c in columns}
+    bins = {c: b for c, b in bins.items() if len(b) > 1}
+    coded = {}
+    for name, rows in parts_.items():
+        for c, b in bins.items():
+            rows = binning.apply_woe(rows, c, b, f"woe_{c}").withColumn(f"woe_{c}", F.coalesce(f"woe_{c}", F.lit(0.0)))
+        coded[name] = rows
+    used, coef = stepwise(coded["train"], [f"woe_{c}" for c in bins], label, most)
+    score = sum((F.col(x) * F.lit(float(w)) for x, w in zip(used, coef, strict=False)), F.lit(float(coef[-1])))
+    report = {}
+    for name, rows in coded.items():
+        scored = rows.withColumn("_score", score)
+        report[name] = {"ks": ks(scored, "_score", label).first()["ks"], "auc": auc(scored, "_score", label).first()["auc"]}
+    return {"bins": bins, "columns": used, "coefficients": coef, "report": report}

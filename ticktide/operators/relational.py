@@ -124,3 +124,76 @@ def rows_around(df: DataFrame, order: list[Column], place: int, before: int, aft
     if place < 0:
         place += df.count()
     return ordered.offset(max(0, place - before)).limit(place + after + 1 - max(0, place - before))
+
+
+def append(df: DataFrame, new: dict[str, Column] | Column) -> DataFrame:
+    """Adds columns, from a dict or the fields of a struct; columns of the same name are replaced."""
+    if isinstance(new, dict):
+        return df.withColumns(new)
+    wide = df.withColumn("_new", new)
+    fields = wide.schema["_new"].dataType.names
+    return wide.withColumns({f: F.col(f"_new.`{f}`") for f in fields}).drop("_new")
+
+
+def quantile_parts(df: DataFrame, column: str, shares: list[float]) -> list[Column]:
+    """Predicates for the ranges between quantiles (linear interpolation) of `column`: (q0, q1], (q1, q2], ..."""
+    cuts = df.agg(F.percentile(column, F.array(*[F.lit(s) for s in shares])).alias("q")).first()["q"] or []
+    return [(F.col(column) > a) & (F.col(column) <= b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def away_from_edges(begin: str, end: str, least_begin: float, least_end: float) -> Column:
+    return (F.col(begin) > least_begin) & (F.col(end) > least_end)
+
+
+def erase_edges(df: DataFrame, to_begin: str, to_end: str, factors: dict[str, int], targets: dict[str, int]) -> DataFrame:
+    """Nulls factors near the session's begin and targets near its end: within half of each one's period."""
+    new = {c: erase_near_edges(F.col(c), F.col(to_begin), p) for c, p in factors.items()}
+    return df.withColumns(new | {c: erase_near_edges(F.col(c), F.col(to_end), p) for c, p in targets.items()})
+
+
+def fill_missing(df: DataFrame, columns: list[str], empty: float = -999_999.0, null: float = -1.0) -> DataFrame:
+    """Text columns of numbers as numbers: the empty text as `empty`, null as `null`.
+
+    A column that holds any other text stays text (null as 'null'); one pass over all columns finds out.
+    """
+    text = {c: F.col(c).cast("string") for c in columns}
+    bad = df.agg(*[F.count_if((text[c] != "") & F.expr(f"try_cast(`{c}` AS double)").isNull()).alias(c) for c in columns]).first()
+    number = lambda c: F.when(F.col(c).isNull(), null).when(text[c] == "", empty).otherwise(F.expr(f"try_cast(`{c}` AS double)"))
+    return df.withColumns({c: F.coalesce(text[c], F.lit("null")) if bad[c] else number(c) for c in columns})
+
+
+def unstack(df: DataFrame, rows: str, columns: str, value: str, names: list[str]) -> DataFrame:
+    """A matrix: a row per value of `rows`, a column per name."""
+    return df.groupBy(rows).pivot(columns, names).agg(F.first(value, ignorenulls=True))
+
+
+def long_quantile(df: DataFrame, keys: list[str], columns: list[str], share: float) -> DataFrame:
+    """Rows (name, quantile) of each column, after turning the table into long form."""
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, columns, "name", "value")
+    return long.groupBy("name").agg(F.percentile("value", F.lit(share)).alias("quantile"))
+
+
+def mean_by_phase(df: DataFrame, place: Column, step: int, columns: list[str]) -> DataFrame:
+    return df.groupBy((place % step).alias("phase")).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def ends(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """`<c>_first` and `<c>_last` of each group."""
+    place = F.struct(*order)
+    return df.groupBy(*keys).agg(*[f(c, place).alias(f"{c}_{n}") for c in columns for f, n in ((F.min_by, "first"), (F.max_by, "last"))])
+
+
+def facts(df: DataFrame, equal: dict[str, str | list[str] | None], day: str | None = None, since: str | None = None, until: str | None = None, any_of: list[Column] | None = None, rename: dict[str, str] | None = None) -> DataFrame:
+    """A filtered scan: values or lists per column, a closed range of days, alternatives, then renamed columns."""
+    for column, values in equal.items():
+        df = df.filter(one_of(column, values))
+    if day and since is not None:
+        df = df.filter(F.col(day) >= since)
+    if day and until is not None:
+        df = df.filter(F.col(day) <= until)
+    if any_of:
+        rule = any_of[0]
+        for other in any_of[1:]:
+            rule = rule | other
+        df = df.filter(rule)
+    return df.withColumnsRenamed(rename or {})

@@ -112,6 +112,60 @@ def drawdown(column: Column, by: Names, order: Names) -> Column:
     return column - F.min(column).over(series(by, order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
 
 
+def lags(df: DataFrame, by: Names, order: Names, columns: Names, steps: int) -> DataFrame:
+    """`<c>_lag1` to `<c>_lag<steps>`."""
+    w = series(by, order)
+    return df.withColumns({f"{c}_lag{k}": F.lag(c, k).over(w) for c in columns for k in range(1, steps + 1)})
+
+
+def first_in_wave(column: Column, by: Names, order: Names, wave: str = "wave") -> Column:
+    """The wave's first value."""
+    return F.first(column).over(running([*by, wave], order))
+
+
+def value_at(df: DataFrame, by: Names, order: Names, column: str, place: str, name: str) -> DataFrame:
+    """`name`: the value of `column` in the row whose place (from 0) in the series the column `place` gives.
+
+    A join on (series, place), so a place may lie anywhere; one outside the series gives null.
+    """
+    by = list(by)
+    numbered = df.withColumn("_n", (F.row_number().over(series(by, order)) - 1).cast("long"))
+    there = numbered.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_n").alias("_at"), F.col(column).alias(name))
+    on = F.col(place).cast("long") == F.col("_at")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return df.join(there, on, "left").drop(*[f"_by{i}" for i in range(len(by))], "_at")
+
+
+def running_totals(df: DataFrame, value: str, columns: Names, parts: int | None = None) -> DataFrame:
+    """`<c>_before`, the sum of `c` over all rows with a smaller `value`, and `<c>_whole`, over all rows.
+
+    Values should be distinct. Rows are dealt to ranges between approximate quantiles; each range is
+    summed and sorted by itself, and the sums of the ranges before it (a row a range) are added, so
+    no task gets all rows.
+    """
+    columns = list(columns)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10 * parts).alias("q")).first()["q"] if parts > 1 else None
+    cuts = sorted(set(cuts or []))
+    span = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    rows = df.withColumn("_span", span)
+    up = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_span").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    ahead = sums.select("_span", *[F.coalesce(F.sum(f"_{c}").over(up), F.lit(0)).alias(f"_a_{c}") for c in columns], *[F.sum(f"_{c}").over(Window.partitionBy()).alias(f"{c}_whole") for c in columns])
+    inside = Window.partitionBy("_span").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumns({f"_b_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    out = own.join(F.broadcast(ahead), "_span").withColumns({f"{c}_before": F.col(f"_a_{c}") + F.col(f"_b_{c}") for c in columns})
+    return out.drop("_span", *[f"_{k}_{c}" for c in columns for k in "ab"])
+
+
+def global_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """`name`: the average rank over the whole table, from the counts of distinct values; null stays null."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = running_totals(counts, "_v", ["_n"]).select("_v", (F.col("_n_before") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
+
+
 def average_rank(column: Column, by: Names = ()) -> Column:
     """Rank from 1, equal values share their mean rank; null has none."""
     order = Window.partitionBy(*by).orderBy(column)
