@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticktide.functions import pvmap as pv
-from ticktide.operators import backtest, bars, binning, book, corr, indicators, mapsums, model, relational, scan
+from ticktide.operators import backtest, bars, binning, book, corr, indicators, mapsums, microstructure, model, relational, scan
 from ticktide.streaming.bars import streaming_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -634,6 +634,134 @@ def candle_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "bucket", *[c for c in out.columns if c.startswith("CDL")])
 
 
+@query("trade_prices", """
+    WITH t AS (SELECT *, sum(vol) OVER w AS vs, sum(vol * mid) OVER w AS ts_ FROM $BOOK WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id)),
+    d AS (SELECT *, vs - coalesce(lag(vs) OVER w, 0) AS v, ts_ - coalesce(lag(ts_) OVER w, 0) AS a FROM t WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id))
+    SELECT event_id, v::BIGINT AS vol, (a / 10.0)::DOUBLE AS amt, round(last_value(CASE WHEN v > 0 THEN a / 10.0 / v END IGNORE NULLS) OVER (PARTITION BY symbol, day ORDER BY ts, event_id), 6) AS vwap, (AP1 + BP1) / 2.0 AS mid_price FROM d
+""")
+def trade_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    up = scan.running(DAY, ORDER)
+    s = snapshots(spark, sf_dir).withColumns({"vol_sum": F.sum("vol").over(up), "amt_sum": F.sum(F.col("vol") * F.col("mid")).over(up)})
+    out = microstructure.trade_prices(s, DAY, ORDER, "vol_sum", "amt_sum", F.lit(10))
+    return out.select("event_id", "vol", F.col("amt").cast("double").alias("amt"), F.round("VWAP", 6).alias("vwap"), F.col("MID").alias("mid_price"))
+
+
+@query("spread_states", """
+    WITH b AS (SELECT event_id, AP1 - BP1 AS s, coalesce(lag(AP1) OVER w, AP1) - coalesce(lag(BP1) OVER w, BP1) AS s0, AP1 - coalesce(lag(AP1) OVER w, AP1) AS a, BP1 - coalesce(lag(BP1) OVER w, BP1) AS b FROM $BOOK WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id))
+    SELECT event_id, s AS spread, CASE WHEN (s, s0, a, b) = (1, 1, 0, 0) THEN 'one' WHEN (s, s0, a, b) = (2, 1, 0, -1) THEN 'one_down_half' WHEN (s, s0, a, b) = (1, 1, -1, -1) THEN 'one_down' WHEN (s, s0, a, b) = (2, 1, 1, 0) THEN 'one_up_half'
+        WHEN (s, s0, a, b) = (1, 1, 1, 1) THEN 'one_up' WHEN (s, s0, a, b) = (2, 2, 0, 0) THEN 'two' WHEN (s, s0, a, b) = (1, 2, -1, 0) THEN 'two_down_half' WHEN (s, s0, a, b) = (2, 2, -1, -1) THEN 'two_down' WHEN (s, s0, a, b) = (1, 2, -2, -1) THEN 'two_down_more'
+        WHEN (s, s0, a, b) = (1, 2, 0, 1) THEN 'two_up_half' WHEN (s, s0, a, b) = (2, 2, 1, 1) THEN 'two_up' WHEN (s, s0, a, b) = (1, 2, 1, 2) THEN 'two_up_more' END AS state
+    FROM b
+""")
+def spread_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = books(spark, sf_dir).withColumn("s", microstructure.spread_state())
+    return b.select("event_id", "s.spread", microstructure.named_state(F.col("s")).alias("state"))
+
+
+@query("added_limit", """
+    WITH g AS (SELECT *, coalesce(lag(AP1) OVER w, AP1) AS l1, coalesce(lag(AP2) OVER w, AP2) AS l2, coalesce(lag(AP3) OVER w, AP3) AS l3, coalesce(lag(AP4) OVER w, AP4) AS l4, coalesce(lag(AP5) OVER w, AP5) AS l5,
+        coalesce(lag(AV1) OVER w, 0) AS w1, coalesce(lag(AV2) OVER w, 0) AS w2, coalesce(lag(AV3) OVER w, 0) AS w3, coalesce(lag(AV4) OVER w, 0) AS w4, coalesce(lag(AV5) OVER w, 0) AS w5 FROM $BOOK WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id))
+    SELECT event_id, CASE WHEN AP2 < l1 THEN AV2 WHEN AP2 > l5 THEN 0 ELSE AV2 - CASE AP2 WHEN l1 THEN w1 WHEN l2 THEN w2 WHEN l3 THEN w3 WHEN l4 THEN w4 WHEN l5 THEN w5 ELSE 0 END + CASE WHEN AP2 = l1 THEN vol ELSE 0 END END AS added FROM g
+""")
+def added_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books(spark, sf_dir).select("event_id", microstructure.added_limit("A", 2, "vol").alias("added"))
+
+
+@query("two_price_split", """
+    WITH s AS (SELECT event_id, vol, vol * mid + event_id * 3 % (vol + 1) AS amt, mid FROM $BOOK), p AS (SELECT *, CASE WHEN vol > 0 AND amt <> 0 THEN amt // vol END AS p FROM s)
+    SELECT event_id, CASE WHEN p IS NULL THEN 0 WHEN p > mid + 2 OR p < mid - 2 THEN vol ELSE vol - (amt - p * vol) END::BIGINT AS low_volume, CASE WHEN p IS NULL OR p > mid + 2 OR p < mid - 2 THEN 0 ELSE amt - p * vol END::BIGINT AS high_volume FROM p
+""")
+def two_price_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = books(spark, sf_dir).withColumn("m", microstructure.two_price_split(F.col("vol"), F.col("amt"), F.col("mid") - 2, F.col("mid") + 2))
+    low = F.floor(F.try_divide("amt", "vol")).cast("bigint")
+    return b.select("event_id", pv.get(F.col("m"), F.coalesce(low, F.lit(-1))).alias("low_volume"), pv.get(F.col("m"), F.coalesce(low + 1, F.lit(-1))).alias("high_volume"))
+
+
+@query("level_flow", """
+    WITH g AS (SELECT *, lag(event_id) OVER w IS NOT NULL AS known, lag([AP1, AP2, AP3, AP4, AP5]) OVER w AS lp, lag([AV1, AV2, AV3, AV4, AV5]) OVER w AS lv FROM $BOOK WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id)),
+    n AS (SELECT event_id, BP1 + 2 AS edge, unnest([AP1, AP2, AP3, AP4, AP5]) AS p, unnest([AV1, AV2, AV3, AV4, AV5]) AS v FROM g),
+    o AS (SELECT event_id, BP1 + 2 AS edge, unnest(lp) AS p, -unnest(lv) AS v FROM g WHERE known),
+    d AS (SELECT event_id, edge, p, sum(v) AS v FROM (SELECT * FROM n UNION ALL SELECT * FROM o) GROUP BY ALL)
+    SELECT event_id, coalesce(sum(v) FILTER (p <= edge), 0)::BIGINT AS flow, coalesce(sum(v) FILTER (p <= edge AND v > 0), 0)::BIGINT AS flow_pos, coalesce(sum(v) FILTER (p <= edge AND v < 0), 0)::BIGINT AS flow_neg FROM d GROUP BY event_id
+""")
+def level_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow = microstructure.level_flow(1)
+    return book.with_maps(books(spark, sf_dir)).select("event_id", flow["ask1_flow"].alias("flow"), flow["ask1_flow_pos"].alias("flow_pos"), flow["ask1_flow_neg"].alias("flow_neg"))
+
+
+@query("rolling_prices", """
+    WITH t AS (SELECT event_id, symbol, ts, vol, (vol * px)::DOUBLE AS a FROM $TICKS)
+    SELECT event_id, round(sum(a) OVER w / nullif(sum(vol) OVER w, 0), 3) AS pmean, round(sum(vol) OVER w / count(*) OVER w::DOUBLE, 6) AS vmean FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id ROWS 19 PRECEDING)
+""")
+def rolling_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("amt", F.col("vol") * F.col("px"))
+    out = microstructure.rolling_prices(t, BY, ORDER, "vol", "amt", [20], "t")
+    return out.select("event_id", F.round("t_pmean_20", 3).alias("pmean"), F.round("t_vmean_20", 6).alias("vmean"))
+
+
+@query("value_at", """
+    WITH s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS p FROM $TICKS) SELECT a.event_id, b.px AS there FROM s AS a LEFT JOIN s AS b ON a.symbol = b.symbol AND b.p = a.event_id % 50
+""")
+def value_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumn("place", F.col("event_id") % 50)
+    return scan.value_at(t, BY, ORDER, "px", "place", "there").select("event_id", "there")
+
+
+@query("global_rank", "SELECT event_id, rank() OVER (ORDER BY px % 500) + (count(*) OVER (PARTITION BY px % 500) - 1) / 2.0 AS rnk FROM $TICKS")
+def global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).select("event_id", (F.col("px") % 500).alias("v"))
+    return scan.global_rank(t, "v", "rnk").select("event_id", F.col("rnk").cast("double").alias("rnk"))
+
+
+@query("daily_ends", "SELECT symbol, day, arg_min(px, (ts, event_id)) AS px_first, arg_max(px, (ts, event_id)) AS px_last FROM $TICKS GROUP BY ALL")
+def daily_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.ends(ticks(spark, sf_dir), DAY, ORDER, ["px"])
+
+
+@query("long_quantile", "SELECT 'px' AS name, quantile_cont(px::DOUBLE, 0.95) AS quantile FROM $TICKS UNION ALL SELECT 'vol', quantile_cont(vol::DOUBLE, 0.95) FROM $TICKS")
+def long_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.long_quantile(ticks(spark, sf_dir), ["event_id"], ["px", "vol"], 0.95)
+
+
+@query("fact_scan", "SELECT event_id, symbol, vol FROM $TICKS WHERE symbol IN ('click', 'view') AND day BETWEEN '2024-01-03' AND '2024-01-09' AND (vol > 100 OR user_id % 7 = 0)")
+def fact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = relational.facts(ticks(spark, sf_dir), {"symbol": ["click", "view"], "user_id": "all"}, "day", "2024-01-03", "2024-01-09", [F.col("vol") > 100, F.col("user_id") % 7 == 0])
+    return t.select("event_id", "symbol", "vol")
+
+
+@query("interaction", """
+    WITH j AS (SELECT symbol AS a, vol % 4 AS b, px % 3 AS c, count(*)::DOUBLE AS n FROM $TICKS GROUP BY ALL),
+    t AS (SELECT n, sum(n) OVER () AS w, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER (PARTITION BY c) AS nc, sum(n) OVER (PARTITION BY a, b) AS ab, sum(n) OVER (PARTITION BY a, c) AS ac, sum(n) OVER (PARTITION BY b, c) AS bc FROM j)
+    SELECT round(sum(n / w * (ln(n) - ln(ab) - ln(ac) - ln(bc) + ln(na) + ln(nb) + ln(nc) - ln(w))), 6) AS interaction FROM t
+""")
+def interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).withColumns({"b": F.col("vol") % 4, "c": F.col("px") % 3})
+    return model.interaction(t, "symbol", "b", "c").select(F.round("interaction", 6).alias("interaction"))
+
+
+@query("spaced_backtest")
+def spaced_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-overlapping plays per series; the greedy choice has its SQL twin in `jump`."""
+    t = plays(spark, sf_dir).withColumn("signal", F.when(F.col("cond"), F.col("event_id") % 3 - 1).otherwise(0))
+    return backtest.spaced_backtest(t, BY, ORDER, "signal", "r", 10)
+
+
+@query("scorecard")
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KS and AUC of a fitted scorecard on its three parts; the stepwise fit has no SQL twin."""
+    items = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("e"), F.col("l_discount").cast("double").alias("d"), (F.col("l_returnflag") == "R").cast("int").alias("y"),
+    )
+    card = model.scorecard(items, ["q", "e", "d"], "y", "l_orderkey", 10, 50, 2)
+    return spark.createDataFrame([(part, float(m["ks"] or 0), float(m["auc"] or 0)) for part, m in card["report"].items()], "part string, ks double, auc double")
+
+
+@query("indicator_sweep")
+def indicator_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators at several periods, checked by unit tests."""
+    return indicators.with_sweep(hourly(spark, sf_dir), ["symbol"], ["bucket"], (5, 10, 20))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars with the returns to the next and the third bar."""
     b = hourly(spark, sf_dir).withColumn("day", F.to_date(F.timestamp_seconds(F.col("bucket") * 3600)))

@@ -71,3 +71,44 @@ def new_days(source: DataFrame, loaded: DataFrame, day: str = "date", least: int
     """Rows of the days that aren't loaded yet and have at least `least` rows."""
     counts = source.groupBy(day).count().filter(F.col("count") >= least).select(day)
     return source.join(missing_in(counts, loaded, [day]), day)
+
+
+def strip_prefix(df: DataFrame, prefix: str = "MX_") -> tuple[DataFrame, list[str]]:
+    """Names without the prefix, and which columns had it (maps kept as text in older tables)."""
+    had = [c for c in df.columns if c.startswith(prefix)]
+    return df.withColumnsRenamed({c: c.removeprefix(prefix) for c in had}), [c.removeprefix(prefix) for c in had]
+
+
+def parse_maps(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Text such as {4228: 10, 4229: 5} as price-volume maps, by pattern and never by evaluation."""
+    pairs = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"(-?\d+)\s*:\s*-?\d+"), F.lit(1))
+    values = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"-?\d+\s*:\s*(-?\d+)"), F.lit(1))
+    return df.withColumns({c: F.map_from_arrays(pairs(c).cast("array<bigint>"), values(c).cast("array<bigint>")) for c in columns})
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.nullif(F.col(f.name), F.lit(float("nan")).cast(f.dataType)) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
+
+
+def read_days(spark: SparkSession, path: str, since: str, until: str, symbols: str | None = None, day: str = "date", symbol: str = "Symbol") -> DataFrame:
+    """Days of a partitioned table, both ends included; only their folders are listed and read."""
+    df = spark.read.parquet(path).filter(F.col(day).between(since, until))
+    return df if symbols is None else df.filter(F.col(symbol).rlike(symbols))
+
+
+def read_hive(spark: SparkSession, query: str) -> DataFrame:
+    """A query over the session's catalogue; the session needs Hive support for Hive tables."""
+    return clean_names(spark.sql(query))
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """Rows (database, table, column, type) of the session's catalogue."""
+    found = [
+        (d.name, t.name, c.name, c.dataType)
+        for d in spark.catalog.listDatabases() for t in spark.catalog.listTables(d.name) for c in spark.catalog.listColumns(t.name if t.isTemporary else f"{d.name}.{t.name}")
+    ]
+    return spark.createDataFrame(found, "database string, table string, column string, type string")
+
+
+def has_function(spark: SparkSession, name: str) -> bool:
+    return spark.catalog.functionExists(name)

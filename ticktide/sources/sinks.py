@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import html
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +57,30 @@ def colour_bound(df: DataFrame, columns: list[str], share: float = 0.95) -> floa
 def sample_rows(df: DataFrame, most: int = 1000, seed: int = 1) -> DataFrame:
     """At most `most` rows, for a model's report."""
     return df.orderBy(F.rand(seed)).limit(most)
+
+
+def write_heat_table(df: DataFrame, path: str, columns: list[str], most: int = 10_000) -> None:
+    """A small result as an HTML table, coloured from blue over white to red up to the 95 % quantile of |value|."""
+    bound = colour_bound(df, columns) or 1.0
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+
+    def cell(name: str, value: object) -> str:
+        if name not in columns or value is None:
+            return f"<td>{html.escape('' if value is None else str(value))}</td>"
+        share = max(-1.0, min(1.0, float(value) / bound))
+        fade = round(255 * (1 - abs(share)))
+        colour = f"#ff{fade:02x}{fade:02x}" if share > 0 else f"#{fade:02x}{fade:02x}ff"
+        return f'<td style="background:{colour}">{float(value):.4g}</td>'
+
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
+    body = "\n".join("<tr>" + "".join(cell(c, r[c]) for c in df.columns) + "</tr>" for r in rows)
+    Path(path).write_text(f"<table>\n<tr>{head}</tr>\n{body}\n</table>\n")
+
+
+def save_model(model, report: DataFrame, sample: DataFrame, path: str) -> None:
+    """A Spark ML model, its report and a bounded sample of scored rows under one folder."""
+    model.write().overwrite().save(f"{path}/model")
+    report.write.mode("overwrite").parquet(f"{path}/report")
+    sample_rows(sample).write.mode("overwrite").option("header", True).csv(f"{path}/sample")
