@@ -28,9 +28,10 @@ def check(spark, rows):
         assert got[i] == (len(t), sum(b - a for a, b in runs), len(runs), hashlib.sha256(S.remaining(t, runs)).hexdigest()), i
 
 
-@pytest.mark.parametrize("segment", [1 << 20, 700])
-def test_brute_force(spark, monkeypatch, segment):
+@pytest.mark.parametrize("segment,hot", [(1 << 20, 50_000), (700, 50_000), (1 << 20, 6), (700, 1)])
+def test_brute_force(spark, monkeypatch, segment, hot):
     monkeypatch.setattr(S, "SEGMENT", segment)
+    monkeypatch.setattr(S, "HOT", hot)
     rng = random.Random(segment)
     letters = "abcdefghij klmno éü日"
     shared = ["".join(rng.choice(letters) for _ in range(rng.choice([80, 99, 100, 101, 130, 260, 700]))) for _ in range(20)]
@@ -62,8 +63,8 @@ def test_multikey_quicksort_orders_rows():
 
 
 def test_ties_and_empty_tables(spark, odd_docs, no_docs):
-    p = "".join(chr(97 + i * i % 26) for i in range(130))
-    q = "".join(chr(97 + i * 7 % 25) for i in range(130))
+    rng = random.Random(8)
+    p, q = ("".join(rng.choice("abcdefghijkl mn") for _ in range(130)) for _ in range(2))
     df = spark.createDataFrame([(None, p), (None, p), (1, p), (1, q), (1, p), (2, None), (3, q + p)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in S.span_digests(df).collect()), key=str)
     assert got == sorted([(None, 130, 0), (None, 130, 0), (1, 130, 130), (1, 130, 0), (1, 130, 130), (2, 0, 0), (3, 260, 260)], key=str)

@@ -11,14 +11,17 @@ decide something:
    anchor at the same place, and each suffix that is not an anchor can be left out.
 2. Anchors whose hash occurs once in the corpus are dropped.
 3. The suffixes at the others, cut to what a string around the anchor can reach, are dealt to
-   buckets by their leading eight bytes, between splitters from a sample of suffixes. A splitter
-   is a whole leading token, so equal anchors always meet in one bucket and nothing has to be
-   compared over a boundary.
+   buckets by their leading token, the bytes of the anchor, between splitters from a sample of
+   suffixes. A splitter is a whole leading token, so equal anchors always meet in one bucket and
+   nothing has to be compared over a boundary.
 4. A bucket is sorted by multikey quicksort, eight bytes a level. Equal suffixes (with equal left
    contexts) become neighbours, of which all but the earliest are covered. Of the distinct ones
    with the same anchor, every string over the anchor is held against the earliest equal one.
    Hashes only propose; bytes decide.
-5. The covered spans go back to their documents.
+5. An anchor with more than HOT suffixes is no matter for a bucket, whose memory it would fill: the
+   128-bit digests of all strings over it are aggregated to the earliest place of each, which
+   combines before the shuffle, and joined back.
+6. The covered spans go back to their documents.
 
 Whole copies are told by their SHA-256 first: all but the smallest are covered from end to end and
 take no further part. The texts are shuffled by document once; three joins read that exchange.
@@ -40,8 +43,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticktide.llm.common import cut, groups, partitions, text_or_empty, texts_of
 
@@ -53,6 +59,8 @@ SEGMENT = 1 << 20
 SAMPLE = 300
 #: Up to so many suffixes a call sorts by all words at once.
 SMALL = 48
+#: An anchor with more suffixes than this has each string over it compared by an aggregate instead of in a bucket.
+HOT = 50_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _U64 = (1 << 64) - 1
@@ -271,8 +279,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     odd = docs.select(docs[id_col].cast("long").alias("doc_id")).groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("uid"), "text"), None
+    if odd.isEmpty():  # the filter, which drops nothing, makes the three joins' inputs one exchange
+        return rows.select(F.col("doc_id").alias("uid"), "text").filter("uid IS NOT NULL"), None
     named = rows.withColumn("digest", F.sha2("text", 256))
     ordered = named.select("doc_id", "digest").distinct().orderBy(F.asc_nulls_first("doc_id"), "digest")
     places = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[0][1], r[1])).toDF("_id long, _digest string, uid long")
@@ -280,18 +288,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     return found.select("uid", "text").dropDuplicates(["uid"]), found.select("uid", "doc_id")
 
 
-def _splitters(rows: DataFrame, buckets: int, length: int) -> list[int]:
-    """Up to buckets - 1 leading words (eight bytes), from the anchors of a bounded sample."""
+def _splitters(rows: DataFrame, buckets: int, length: int) -> list[bytes]:
+    """Up to buckets - 1 leading tokens (the bytes of an anchor), from the anchors of a bounded sample."""
     texts = [r["text"].encode() for r in rows.select("text").sample(0.05, seed=7).limit(SAMPLE).collect()]
-    words: list[int] = []
+    words: list[bytes] = []
     for which, at, _ in anchors_of(texts, length):
-        words += [int.from_bytes(texts[w][p : p + 8], "big") for w, p in zip(which.tolist(), at.tolist(), strict=True)]
+        words += [texts[w][p : p + ANCHOR] for w, p in zip(which.tolist(), at.tolist(), strict=True)]
     words.sort()
     return sorted({words[len(words) * k // buckets] for k in range(1, buckets)}) if words else []
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows with uid, doc_id, text, spans: the covered spans of each text's bytes, as they were found."""
+    return _found(docs, length, id_col, text_col)[0]
+
+
+def _found(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """The rows of `repeated_spans`, and whether ids tell all rows apart."""
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be {2 * ANCHOR} or more")
     rows, names = _keyed(docs, id_col, text_col)
@@ -308,26 +321,52 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(uids[which]), pa.array(at.astype(np.int32))], ["h", "uid", "pos"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order of h, those whose h has another row."""
-        last: tuple[Any, ...] | None = None  # the last row, not yet given out, and whether its h came before
+        """Of rows in order of h, those whose h has another row; hot where it has more than HOT.
+
+        The last run of equal h waits for the next batch, HOT rows of it at most.
+        """
+
+        def out(rows: list[np.ndarray], keep: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[1][keep]), pa.array(rows[2][keep].astype(np.int32)), pa.array(hot[keep])], ["uid", "pos", "hot"])
+
+        held: list[np.ndarray] | None = None
+        known = None  # the h of the last run, where that is hot
         for batch in batches:
-            h, uid, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(h):
+            if not batch.num_rows:
                 continue
-            if last is not None:
-                h, uid, pos = (np.concatenate([[a], b]) for a, b in zip(last, (h, uid, pos), strict=False))
-            twin = np.concatenate([[last is not None and last[3]], h[1:] == h[:-1]])
-            keep = twin[:-1] | (h[1:] == h[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(uid[:-1][keep]), pa.array(pos[:-1][keep].astype(np.int32))], ["uid", "pos"])
-            last = (h[-1], uid[-1], pos[-1], bool(twin[-1]))
-        if last is not None and last[3]:
-            yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.int64()), pa.array([last[2]], pa.int32())], ["uid", "pos"])
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            rows = rows if held is None else [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
+            h = rows[0]
+            starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+            n = np.repeat(np.diff(np.append(starts, len(h))), np.diff(np.append(starts, len(h))))
+            hot = n > HOT
+            if known is not None:
+                hot |= h == known
+            known = h[-1] if hot[-1] else None
+            wait = len(h) if known is not None else starts[-1]
+            held = None if known is not None else [r[wait:] for r in rows]
+            yield out([r[:wait] for r in rows], ((n > 1) | hot)[:wait], hot[:wait])
+        if held is not None and len(held[0]) > 1:
+            every = np.ones(len(held[0]), dtype=bool)
+            yield out(held, every, ~every)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Digests of all strings over hot anchors."""
+        for batch in batches:
+            for uid, text, places in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2), strict=True):
+                at = places.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                starts = np.unique(at[:, None] - np.arange(length - ANCHOR + 1))
+                starts = starts[(starts >= 0) & (starts + length <= len(text))]
+                for k in range(0, len(starts), 100_000):
+                    own = starts[k : k + 100_000]
+                    digests = [xxhash.xxh3_128_digest(text[a : a + length]) for a in own.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(len(own), uid)), pa.array(own.astype(np.int32))], ["digest", "uid", "start"])
 
     heads = ["bucket", "uid", "pos", "stop", "context"]
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts to compare (stop null), and spans that are covered already (context null)."""
-        bounds = np.array(cuts, dtype=np.uint64)
+        bounds = np.array(cuts, dtype=f"S{ANCHOR}")
         for batch in batches:
             for part in groups(batch):
                 uid, lists = part.column(0).to_numpy(zero_copy_only=False), part.column(2)
@@ -337,7 +376,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 old = fold(made, doc, at)
                 d, start, stop = joined(*all_covered(made[old], doc[old], at[old], length))
                 new = np.ascontiguousarray(made[~old])
-                lead = np.ascontiguousarray(new[:, length - ANCHOR : length - ANCHOR + 8]).view(">u8").ravel().astype(np.uint64)
+                lead = np.ascontiguousarray(new[:, length - ANCHOR : length]).view(f"S{ANCHOR}").ravel()
                 offsets = np.arange(0, new.size + 1, new.shape[1], dtype=np.int32)
                 texts = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(new)])
                 yield pa.RecordBatch.from_arrays(
@@ -379,17 +418,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         if held:
             yield from sort(held)
 
-    first = rows.join(copies, "uid", "left_anti").select("uid", "text")
-    twice = first.mapInArrow(find, "h long, uid long, pos int").repartition(n, "h").sortWithinPartitions("h").mapInArrow(repeated, "uid long, pos int")
-    places = twice.groupBy("uid").agg(F.collect_list("pos").alias("places"))
-    dealt = rows.join(places, "uid").select("uid", "text", "places").mapInArrow(suffixes, "bucket int, uid long, pos int, stop int, context binary")
+    # not an anti join, which the optimizer would move below the texts' exchange and so take from another one
+    first = rows.join(copies.withColumn("copy", F.lit(True)), "uid", "left").filter("copy IS NULL").select("uid", "text")
+    twice = first.mapInArrow(find, "h long, uid long, pos int").repartition(n, "h").sortWithinPartitions("h").mapInArrow(repeated, "uid long, pos int, hot boolean")
+    places = twice.groupBy("uid").agg(F.collect_list(F.when(~F.col("hot"), F.col("pos"))).alias("places"), F.collect_list(F.when(F.col("hot"), F.col("pos"))).alias("hot"))
+    dealt = rows.join(places.filter(F.size("places") > 0), "uid").select("uid", "text", "places").mapInArrow(suffixes, "bucket int, uid long, pos int, stop int, context binary")
     spans = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(buckets, "uid long, start int, stop int")
+    near_hot = places.filter(F.size("hot") > 0).select("uid", "hot").repartition(n, "uid")
+    each = rows.join(near_hot, "uid").select("uid", "text", "hot").mapInArrow(strings, "digest binary, uid long, start int")
+    firsts = each.groupBy("digest").agg(F.min(F.struct("uid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    again = each.join(firsts, "digest").filter(F.struct("uid", "start") != F.col("first")).select("uid", "start", (F.col("start") + length).alias("stop"))
+    spans = spans.unionByName(again)
     own = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     covered = own.unionByName(copies.select("uid", F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).alias("stop"))).alias("spans")))
     size = F.octet_length("text")
     whole = F.when(size >= length, F.array(F.struct(F.lit(0).alias("start"), size.alias("stop"))))
     found = rows.join(covered, "uid", "left").withColumn("spans", F.when(F.col("spans")[0]["stop"] == -1, whole).otherwise(F.col("spans")))
-    return found.withColumn("doc_id", F.col("uid")) if names is None else found.join(names, "uid")
+    return (found.withColumn("doc_id", F.col("uid")), True) if names is None else (found.join(names, "uid"), False)
 
 
 def merged(spans: list[Any] | None) -> list[tuple[int, int]]:
@@ -445,22 +490,31 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     All columns stay; n_chars, where there is one, is counted anew. Ids must tell rows with
     different texts apart: a row that repeats another's id and text is dropped.
     """
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_hash", T.LongType()), T.StructField("_rest", T.StringType())])
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    counted = "n_chars" if text_col != "n_chars" and "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, T.IntegralType) else None
+    payload = [c for c in docs.columns if c != text_col]
+    schema = T.StructType([T.StructField(names[c], docs.schema[c].dataType) for c in payload] + [T.StructField(names[text_col], T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in groups(batch):
-                rest = [remaining(t, whole_characters(t, merged(s))).decode() for t, s in zip(texts_of(part.column(2)), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rest, pa.string())], ["_id", "_hash", "_rest"])
-
-    found = repeated_spans(docs, length, id_col, text_col).filter("spans IS NOT NULL")
-    rests = found.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text", "spans").mapInArrow(run, schema).dropDuplicates(["_id", "_hash"])
-    named = docs.withColumn("_text_hash", F.xxhash64(text_or_empty(text_col)))
-    joined = named.join(rests, named[id_col].cast("long").eqNullSafe(rests["_id"]) & (named["_text_hash"] == rests["_hash"]), "left")
-    joined = joined.filter(F.col("_rest").isNull() | F.col("_rest").rlike(r"\S"))
-    text = F.when(F.col("_rest").isNull(), F.col(text_col)).otherwise(F.col("_rest"))
-    done = {text_col: text} | ({"n_chars": F.char_length(F.coalesce(text, F.lit(""))).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*[done.get(c, F.col(c)).alias(c) for c in docs.columns])
-
+                *own, void, texts, spans = part.columns
+                rests = [remaining(t, whole_characters(t, merged(s))) if s else t for t, s in zip(texts_of(texts), spans.to_pylist(), strict=True)]
+                cut = spans.is_valid()
+                gone = pa.array([not r.strip() for r in rests])
+                made = pc.if_else(void, None, pa.array(rests, pa.binary()).cast(pa.string()))
+                if counted:
+                    k = payload.index(counted)
+                    own[k] = pc.if_else(cut, pc.utf8_length(made).cast(own[k].type), own[k])
+                yield pa.RecordBatch.from_arrays([*own, made], schema.names).filter(pc.invert(pc.and_(cut, gone)))
+
+    found, unique = _found(docs, length, id_col, text_col)
+    tell = lambda c: F.lit(0).cast("long") if unique else F.xxhash64(c)
+    found = found.select(F.col("doc_id").alias("id"), tell(F.col("text")).alias("hash"), "text", "spans")
+    own = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in payload], F.col(id_col).cast("long").alias("own_id"), tell(text_or_empty(text_col)).alias("own_hash"), F.col(text_col).isNull().alias("void"))
+    if unique:  # the texts lie by id already
+        joined = own.join(found, own["own_id"] == found["id"])
+    else:
+        joined = own.join(found.dropDuplicates(["id", "hash"]), own["own_id"].eqNullSafe(found["id"]) & (own["own_hash"] == found["hash"]))
+    out = joined.select(*[names[c] for c in payload], "void", "text", "spans").mapInArrow(run, schema)
+    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns])
