@@ -5,7 +5,9 @@ piece). The search moves through the text with a window of the longest piece: on
 can still be extended. Whenever the backpointer paths of all these ends run through one common
 boundary, the pieces before it are final and are given out, so memory doesn't grow with the text.
 No piece holds a space mark after another character, so every path crosses the boundary before
-a run of spaces: there the search starts anew, and what it found for a short stretch is remembered.
+a run of spaces (and those at a line end, or before a mark that ends a word, where no piece joins the
+two): there the search starts anew, and what it found for a short stretch is remembered. In a
+stretch the pieces are matched in one pass, by an Aho-Corasick automaton.
 
 A character without a piece becomes the byte pieces of its UTF-8 bytes, at ten less than the
 lowest score. Decoding joins the pieces, turns space marks into spaces, byte pieces into bytes and
@@ -26,8 +28,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -37,9 +41,12 @@ MARK = "▁"
 #: What an unknown character costs below the lowest score.
 UNKNOWN = 10.0
 NONE = float("-inf")
-REMEMBERED = 200_000
+#: Stretches that one generation remembers, and the longest of them.
+REMEMBERED = 300_000
 LONGEST = 48
-_STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: After letters, one of these at the end of a stretch is searched by itself, where no piece joins the two.
+MARKS = ".,;:!?"
+_STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class Codec:
@@ -64,7 +71,18 @@ class Codec:
             self.reach[piece[0]] = max(self.reach.get(piece[0], 1), len(piece))
         self.unknown = min(s for s, _ in self.pieces.values()) - UNKNOWN
         self.forced = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces)
-        self.known: dict[str, tuple[int, ...]] = {}
+        pairs = {(a, b) for p in self.pieces for a, b in zip(p, p[1:], strict=False)}
+        self.tails = {m for m in MARKS if not any(b == m and a.isalpha() for a, b in pairs)}
+        self.lines = not any("\n" in p for p in self.pieces)
+        self.single = {p for p in self.pieces if len(p) == 1}
+        self.matches = ahocorasick.Automaton()
+        for piece, (score, i) in self.pieces.items():
+            self.matches.add_word(piece, (len(piece), score, i))
+        self.matches.make_automaton()
+        self.mark_ids = {m: np.array(list(self._short(m)), dtype="<i4").tobytes() for m in self.tails}
+        self.table = pa.array(self.bytes_of, pa.binary())
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def search(self, text: str) -> Iterator[int]:
         """Ids of the best segmentation of `text`, given out as soon as they are certain."""
@@ -93,20 +111,18 @@ class Codec:
         if text:
             yield from self._path(text, back, base, len(text))
 
-    def _short(self, text: str) -> tuple[int, ...]:
-        """The same for a stretch that is no longer than what a window holds anyway."""
-        n, reach, get = len(text), self.reach, self.pieces.get
-        scores, back = [NONE] * (n + 1), [(0, -1)] * (n + 1)
+    def _short(self, text: str) -> Iterator[int]:
+        """The same for a stretch that is no longer than a few windows: matches by where they end, longest first."""
+        if not self.single.issuperset(text):
+            return self.search(text)
+        scores, back = [NONE] * (len(text) + 1), [(0, -1)] * (len(text) + 1)
         scores[0] = 0.0
-        for start, first in enumerate(text):
-            score = scores[start]
-            for end in range(start + 1, min(n, start + reach.get(first, 1)) + 1):
-                hit = get(text[start:end])
-                if hit is not None and score + hit[0] > scores[end]:
-                    scores[end], back[end] = score + hit[0], (start, hit[1])
-            if first not in self.pieces and score + self.unknown > scores[start + 1]:
-                scores[start + 1], back[start + 1] = score + self.unknown, (start, -1)
-        return tuple(self._path(text, back, 0, n))
+        for last, (size, score, piece) in self.matches.iter(text):
+            start = last + 1 - size
+            total = scores[start] + score
+            if total > scores[last + 1]:
+                scores[last + 1], back[last + 1] = total, (start, piece)
+        return self._path(text, back, 0, len(text))
 
     @staticmethod
     def _meet(back: dict[int, tuple[int, int]], ends: list[int], base: int) -> int:
@@ -130,27 +146,76 @@ class Codec:
             else:
                 yield from (self.byte_ids[b] for b in text[start:stop].encode("utf-8", "surrogatepass"))
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        text = MARK + text.replace(" ", MARK)
+    def _stretches(self, text: str) -> list[str]:
+        """Parts of `text` between boundaries that every path crosses.
+
+        A part stands for itself behind a space mark, but one that begins with a space mark or a line
+        end is meant as it is.
+        """
+        if not self.lines or MARK in text:
+            return _STRETCH.findall(MARK + text.replace(" ", MARK))
+        parts = text.replace("\n", " \n").split(" ")
+        if "" not in parts:
+            return parts
+        out, spaces = [], 0
+        for p in parts:
+            if not p:
+                spaces += 1
+                continue
+            if p[0] == "\n":
+                if spaces:
+                    out.append(MARK * spaces)
+                out.append(p)
+            else:
+                out.append(MARK * (spaces + 1) + p if spaces else p)
+            spaces = 0
+        return [*out, MARK * spaces] if spaces else out
+
+    def _learn(self, part: str) -> bytes:
+        """Ids of a part, packed as little-endian 32-bit numbers."""
+        head, body = [], part if part[0] == MARK else MARK + part
+        if part[0] == "\n":
+            head, body = [self.byte_ids[10]], part[1:]
+        found = self._short(body) if len(body) <= LONGEST else self.search(body)
+        return np.array([*head, *found], dtype="<i4").tobytes()
+
+    def packed_ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
         if not self.forced:
-            return list(self.search(text))
-        known, ids = self.known, []
-        for stretch in _STRETCH.findall(text):
-            found = known.get(stretch)
-            if found is None:
-                found = self._short(stretch) if len(stretch) <= LONGEST else tuple(self.search(stretch))
-                if len(stretch) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[stretch] = found
-            ids.extend(found)
+            return [np.fromiter(self.search(MARK + t.replace(" ", MARK)) if t else (), dtype="<i4").tobytes() for t in texts]
+        parts = [self._stretches(t) if t else [] for t in texts]
+        known = self.young
+        lost = set().union(*parts).difference(known)
+        known.update((p, self.old[p]) for p in lost.intersection(self.old))
+        new = lost.difference(known)
+        for p in new:
+            word, mark = p[:-1], p[-1]
+            if mark in self.tails and word.isalpha():
+                if word not in known:
+                    known[word] = self._learn(word)
+                known[p] = known[word] + self.mark_ids[mark]
+            elif p not in known:
+                known[p] = self._learn(p)
+        ids = [b"".join(map(known.__getitem__, own)) for own in parts]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+        if len(known) > REMEMBERED:
+            self.old, self.young = known, {}
         return ids
 
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed_ids([text])[0], dtype="<i4").tolist()
+
+    def decode_all(self, lists: pa.ListArray) -> list[str]:
+        flat = self.table.take(lists.flatten())
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+        sizes = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False))])[ends.astype(np.int64)].astype(np.int64).tolist()
+        data = b"".join(flat.to_pylist()) if flat.offset else bytes(flat.buffers()[2] or b"")
+        return [data[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in zip(sizes, sizes[1:], strict=False)]
+
     def decode(self, ids: list[int]) -> str:
-        joined = b"".join(map(self.bytes_of.__getitem__, ids))
-        return joined.removeprefix(b" ").decode("utf-8", "replace")
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0]
 
 
 @lru_cache(maxsize=2)
@@ -166,9 +231,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         codec = codec_of(model_path)
         for batch in batches:
             for part in groups(batch):
-                ids = [np.array(codec.encode(t or ""), dtype=np.int32) for t in part.column(1).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+                ids = codec.packed_ids([t or "" for t in part.column(1).to_pylist()])
+                ends = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -181,7 +246,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         codec = codec_of(model_path)
         for batch in batches:
             for part in groups(batch):
-                texts = [codec.decode(i or []) for i in part.column(1).to_pylist()]
+                texts = codec.decode_all(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
