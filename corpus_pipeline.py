@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ticktide.llm.common import shared_dir
 from ticktide.llm.exact_dedup import exact_dedup
+from ticktide.llm.near_jaccard import near_jaccard_dedup
 from ticktide.llm.packing import pack
 from ticktide.llm.quality import quality_filter
-from ticktide.llm.simhash import near_dedup
 from ticktide.llm.suffix_dedup import suffix_dedup
 
 
@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal fingerprints, the one with the smallest id stays."""
-    return near_dedup(docs)
+    """Of documents linked by a five-word Jaccard similarity of 0.8 or more, the one with the smallest id stays."""
+    return near_jaccard_dedup(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

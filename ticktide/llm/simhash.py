@@ -217,7 +217,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The rows of `docs` of which each group keeps one: its smallest id (then text hash)."""
-    groups_ = near_duplicate_groups(docs, id_col, text_col, shingle, distance)
+    return keep_smallest(docs, near_duplicate_groups(docs, id_col, text_col, shingle, distance), id_col, text_col)
+
+
+def keep_smallest(docs: DataFrame, groups_: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each component in rows (doc_id, text_hash, fingerprint, component_id), the row with the smallest id (then text hash)."""
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
     kept = (
         groups_.withColumn("group", F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint")))
