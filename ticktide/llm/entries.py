@@ -175,7 +175,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, s24::INT AS shard,
                row_number() OVER (
                    PARTITION BY s24
-                   ORDER BY ((k0 * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT // 1099511627776::UHUGEINT) % 64::UHUGEINT,
+                   ORDER BY (((k0 + text_crc32::UHUGEINT) * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT // 1099511627776::UHUGEINT) % 64::UHUGEINT,
                             doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
                s25::INT AS grown_shard
         FROM sized JOIN placed USING (k0)

@@ -4,15 +4,19 @@ Three combining stages, each of which groups by the digest *and the whole normal
 no decision rests on a digest alone:
 
 1. local: the map side of the first aggregation folds all copies inside an input partition;
-2. salted: partial groups meet by (digest, salt); the salt comes from the input partition, so a
-   text with a third of all rows arrives as one row per input partition, spread over the salts;
+2. salted: partial groups meet by (digest, salt), so a text with a third of all rows arrives as a
+   few rows per input partition, spread over the salts;
 3. global: the few salt winners of a digest meet and give the surviving row and the group size.
 
 Texts are equal when they are identical after each run of `[\\x20\\x09-\\x0D]` became one space.
 
+Membership: each surviving text is joined back to its rows by (digest, salt), where the salt comes
+from the row's id, so the rows of a hot text are joined in as many tasks as there are salts.
+
 Defined results: a null text counts as empty; a null id never beats a non-null id; rows that
 repeat both id and text are one tie, of which exactly one is kept; an empty table gives an empty
-table; further columns pass through untouched, whatever their names.
+table; a very long text is hashed and compared whole; further columns pass through untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktide.llm.common import WHITE
+from ticktide.llm.common import WHITE, col
 
-SALTS = 64
+SALTS = 32
 
 
 def normalised(text: Column) -> Column:
@@ -35,17 +39,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The membership join carries ids and digests but no texts. It is sound because stage 3 has
     compared every text of a digest: should two texts ever share one, the job stops.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("body"))
-    rows = rows.withColumn("digest", F.sha2("body", 256))
-    salted = (
-        rows.withColumn("salt", F.spark_partition_id() % F.lit(salts))
-        .groupBy("digest", "salt", "body")
-        .agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    )
+    rows = docs.select(col(id_col).alias("doc_id"), normalised(col(text_col)).alias("body"))
+    rows = rows.select("doc_id", "body", F.sha2("body", 256).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    salted = rows.groupBy("digest", "salt", "body").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     winners = (
         salted.repartition("digest")
         .groupBy("digest", "body")
-        .agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"))
+        .agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))
         .withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("digest")))
         .select(
             "digest",
@@ -53,10 +53,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.when(F.col("texts") == 1, F.col("group_size"))
             .otherwise(F.raise_error(F.lit("two different texts share a SHA-256 digest")).cast("long"))
             .alias("group_size"),
+            F.explode("salts").alias("salt"),
         )
     )
-    attached = rows.select("doc_id", "digest").join(winners, "digest")
-    tie = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.lit(1)))
+    attached = rows.select("doc_id", "digest", "salt").join(winners, ["digest", "salt"])
+    tie = F.row_number().over(Window.partitionBy("digest", "salt", "doc_id").orderBy(F.lit(1)))
     return attached.select(
         "doc_id",
         "keep_id",
@@ -74,11 +75,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     where it equals the normalised one.
     """
     cols = docs.columns
-    body, raw = normalised(F.col(text_col)), F.col(text_col)
+    body, raw = normalised(col(text_col)), col(text_col)
     payload = F.struct(
-        *[(F.when(raw.eqNullSafe(body), None).otherwise(raw) if c == text_col else F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)]
+        *[(F.when(raw.eqNullSafe(body), None).otherwise(raw) if c == text_col else col(c)).alias(f"c{i}") for i, c in enumerate(cols)]
     )
-    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
+    rank = F.struct(col(id_col).isNull().alias("no_id"), col(id_col).alias("id"))
     rows = docs.select(
         body.alias("body"), raw.isNull().alias("void"), rank.alias("rank"), payload.alias("row"), (F.spark_partition_id() % F.lit(salts)).alias("salt")
     ).withColumn("digest", F.sha2("body", 256))

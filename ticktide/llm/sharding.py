@@ -9,12 +9,15 @@ Law: `key`. The shard is decided by the id and the shard count alone, so equal t
 different ids may lie in different shards.
 
 Slots are gapless inside a shard without sorting a shard in one task: rows are numbered inside
-(shard, bucket), where the bucket is drawn from the generator's first step, and the counts of the
-earlier buckets are added. That table has shards x buckets rows whatever the input, so it is
+(shard, bucket), where the bucket is drawn from the generator's first step for the key mixed with
+the checksum of the text, and the counts of the earlier buckets are added. That table has shards x buckets rows whatever the input, so it is
 broadcast.
 
 Defined results: a null text has no bytes (size 8, crc32 0); a null id is the key 0; rows that
-repeat an id share its shard and get neighbouring slots; an empty table gives an empty table.
+repeat an id share its shard; among them the row's own hash settles the bucket, so one id in a third of
+all rows is numbered in as many tasks as there are buckets; an empty table gives an empty table; a very
+long text is read whole; columns called as a placement column are replaced, whatever their case, and all
+others pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktide.llm.common import text_or_empty
+from ticktide.llm.common import col, fresh, others, text_or_empty
 
 # Fixed values of the published generator.
 MULTIPLIER = 2862933555777941757
@@ -73,45 +76,45 @@ def jump(key: Column, counts: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(top + 1)), start, landed)
 
 
-def bucket_of(key: Column, buckets: int) -> Column:
-    """High bits of the generator's first step: even for any stride of ids."""
-    return (F.floor(_next(unsigned(key)) / _whole(1 << 40)) % F.lit(buckets)).cast("int")
+def bucket_of(key: Column, text_crc32: Column, buckets: int) -> Column:
+    """High bits of the generator's first step from key + checksum: even for any stride of ids, and for one id with many texts."""
+    return (F.floor(_next((unsigned(key) + text_crc32.cast(WIDE)).cast(WIDE)) / _whole(1 << 40)) % F.lit(buckets)).cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """Every row of `docs` with its placement columns size, text_crc32, law, shard, slot, grown_shard.
+MADE = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
-    Columns of `docs` with one of these names are replaced.
-    """
-    made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    kept = [c for c in docs.columns if c not in made]
-    both = jump(F.col(id_col), [shards, shards + 1])
+
+def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """Every row of `docs` with its placement columns size, text_crc32, law, shard, slot, grown_shard."""
+    kept = others(docs, MADE)
+    walk, bucket, inside, before, key, own = (fresh(docs, n) for n in ("walk", "bucket", "inside", "before", "key", "own"))
     placed = docs.select(
-        *kept,
+        F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(kept)]).alias(own),
+        col(id_col).alias(key),
         (F.octet_length(text_or_empty(text_col)) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         F.crc32(text_or_empty(text_col)).alias("text_crc32"),
         F.lit("key").alias("law"),
-        both.alias("_walk"),
-        bucket_of(F.col(id_col), buckets).alias("_bucket"),
+        jump(col(id_col), [shards, shards + 1]).alias(walk),
     ).select(
-        *kept, "size", "text_crc32", "law", "_bucket",
-        F.col(f"_walk.s{shards}").cast("int").alias("shard"), F.col(f"_walk.s{shards + 1}").cast("int").alias("grown_shard"),
+        own, key, "size", "text_crc32", "law", bucket_of(F.col(key), F.col("text_crc32"), buckets).alias(bucket),
+        F.col(f"{walk}.s{shards}").cast("int").alias("shard"), F.col(f"{walk}.s{shards + 1}").cast("int").alias("grown_shard"),
     )
-    earlier = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .select("shard", "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        placed.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias("n"))
+        .select("shard", bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
     )
-    inside = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(id_col, "text_crc32", "size"))
+    place = F.row_number().over(Window.partitionBy("shard", bucket).orderBy(key, "text_crc32", "size"))
     return (
-        placed.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), ["shard", "_bucket"])
-        .withColumn("slot", (F.col("_before") + F.col("_inside") - 1).cast("long"))
-        .select(*kept, *made)
+        placed.withColumn(inside, place)
+        .join(F.broadcast(offsets), ["shard", bucket])
+        .withColumn("slot", (F.col(before) + F.col(inside) - 1).cast("long"))
+        .select(*[F.col(f"{own}.c{i}").alias(c) for i, c in enumerate(kept)], *MADE)
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, buckets: int = BUCKETS) -> None:
     """Writes the rows under `path`/shard=<n>/, several files a shard, each sorted by slot."""
     out = shard_documents(docs, shards, buckets=buckets)
-    out.withColumn("_part", F.pmod("slot", F.lit(buckets))).repartition("shard", "_part").drop("_part").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    part = fresh(out, "part")
+    out.withColumn(part, F.pmod("slot", F.lit(buckets))).repartition("shard", part).drop(part).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

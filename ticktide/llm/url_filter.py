@@ -11,13 +11,17 @@ urls; a rule goes to each range that its interval touches. Every range is sorted
 with a stack of the rules that are active: what doesn't hold the next key is popped, and the top
 is the longest rule for that key. A url's keys then meet for the longest rule of all.
 
+The sample is what falls under a threshold of the pair's hash; it is set by the approximate number of
+distinct pairs, so about SAMPLE of them come to the driver whatever the input and its partitions.
+
 Only distinct pairs of host and path are swept, so a url in a third of all rows is judged once; the
 whole host ends a key's order, so a path that many hosts share spans several ranges.
 
 Defined results: a null url, or one without `://`, has empty host and path and fits no rule but
 those with an empty host; no fitting rule gives the default verdict and a null rule; rules with a
 null part are left out; a rule given twice with both verdicts blocks; repeated rows are judged each;
-an empty table or rule list works; other columns pass through.
+an empty table or rule list works; a very long url is judged whole; columns called host, path, rule or
+verdict are replaced, whatever their case, and all others pass through.
 """
 
 from __future__ import annotations
@@ -29,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticktide.llm.common import partitions
+from ticktide.llm.common import col, others, partitions
 
-#: Urls whose keys give the splitters.
+#: Distinct urls, about, whose keys give the splitters.
 SAMPLE = 4000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,13 +67,17 @@ def judge(pages: DataFrame, rules: DataFrame, default_allow: bool = True, url_co
     spark = pages.sparkSession
     n = partitions(spark)
     made = ["host", "path", "rule", "verdict"]
-    kept = [c for c in pages.columns if c not in made]
-    rows = pages.select(F.struct(*kept).alias("_own"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    kept = others(pages, made)
+    carried = [col(c).alias(f"c{i}") for i, c in enumerate(kept)] or [F.lit(None).alias("c")]
+    rows = pages.select(F.struct(*carried).alias("own"), host_of(col(url_col)).alias("host"), path_of(col(url_col)).alias("path"))
     pairs = rows.select("host", "path").distinct()
     rules = rules.select("host", "path", "allow").dropna()
     deepest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
 
-    sample = rows.select("host", "path").orderBy(F.xxhash64("host", "path")).limit(SAMPLE).collect()
+    mark = F.xxhash64("host", "path")
+    distinct = rows.agg(F.approx_count_distinct(mark)).first()[0]
+    share = min(1.0, SAMPLE / max(distinct, 1))
+    sample = rows.select("host", "path").filter(mark <= F.lit(int((share - 0.5) * 2**64) if share < 1 else (1 << 63) - 1)).distinct().collect()
     keys = sorted({(k.encode(), r["path"].encode(), r["host"].encode()) for r in sample for k in host_keys(r["host"], deepest)})
     cuts = sorted({keys[len(keys) * k // n] for k in range(1, n)}) if keys else []
 
@@ -113,7 +121,7 @@ def judge(pages: DataFrame, rules: DataFrame, default_allow: bool = True, url_co
     best = hits.groupBy("host", "path").agg(F.max(F.struct("size", "host_size", F.expr("NOT allow").alias("block"), "rule")).alias("best"))
     allowed = F.coalesce(~F.col("best.block"), F.lit(default_allow))
     return rows.join(best, ["host", "path"], "left").select(
-        *[F.col(f"_own.`{c}`").alias(c) for c in kept], "host", "path", F.col("best.rule").alias("rule"), F.when(allowed, "allow").otherwise("block").alias("verdict")
+        *[F.col(f"own.c{i}").alias(c) for i, c in enumerate(kept)], "host", "path", F.col("best.rule").alias("rule"), F.when(allowed, "allow").otherwise("block").alias("verdict")
     )
 
 
