@@ -37,7 +37,7 @@ def test_order_changes_no_verdict(spark):
     verdicts = set()
     for rules in (quality.RULES, quality.RULES[::-1]):
         text = F.coalesce("text", F.lit(""))
-        rows = df.select("doc_id", quality.rejected(lambda m: quality.MEASURES[m](text), rules).alias("r")).orderBy("doc_id").collect()
+        rows = df.select("doc_id", quality.rejected(lambda m: quality.MEASURES[m](text, quality.words_of(text)), rules).alias("r")).orderBy("doc_id").collect()
         verdicts.add(tuple(r.r for r in rows))
     assert len(verdicts) == 1
     assert sorted(r.name for r in quality.ordered(df)) == sorted(r.name for r in quality.RULES)
@@ -45,10 +45,12 @@ def test_order_changes_no_verdict(spark):
 
 def test_filter_and_odd_rows(spark, odd_docs, no_docs):
     assert quality.measured(no_docs).count() == quality.quality_filter(no_docs).count() == 0
+    long = " ".join(f"word{i} tail{i % 31}" for i in range(60_000))
+    odd_docs = odd_docs.unionByName(spark.createDataFrame([(60, long, "en", "a", len(long))], odd_docs.schema))
     kept = quality.quality_filter(odd_docs)
     assert kept.columns == odd_docs.columns
     want = {(r.doc_id, r.text) for r in quality.measured(odd_docs).filter("kept").collect()}
-    assert {(r.doc_id, r.text) for r in kept.collect()} == want and any(i == 6 for i, _ in want)
+    assert {(r.doc_id, r.text) for r in kept.collect()} == want and any(i == 60 for i, _ in want)
 
 
 def test_main_path_is_native(spark, odd_docs):
