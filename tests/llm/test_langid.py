@@ -1,7 +1,15 @@
 from collections import Counter
 
+import regex
+
 from ticktide.llm import langid
 
+
+def ngrams(word):
+    padded = f"_{word}_"
+    return [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_"]
+
+
 SENTENCES = {
     "en": "the cat sat on the mat and the dog was in the house with all of the other animals that they had there",
     "de": "der hund und die katze sind in dem haus und das kind ist mit einem ball auf der strasse nicht allein",
@@ -12,9 +20,8 @@ SENTENCES = {
 def brute_profile(texts):
     counts = Counter()
     for t in texts:
-        for w, n in langid.words_of(t).items():
-            for g in langid.ngrams(w):
-                counts[g] += n
+        for w in regex.findall(r"\p{L}+", t.lower()):
+            counts.update(ngrams(w))
     return {g: i for i, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE])}
 
 
@@ -44,11 +51,26 @@ def test_undetermined_and_odd_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in rows if r.doc_id in (3, 4, 5)} == {"und"}
     assert langid.predict(no_docs, profiles).count() == 0
     assert langid.learn(no_docs) == {} and langid.Ranker({}).judge("abc") == ("und", 0.0)
-    assert langid.Ranker(profiles).judge("123 .,! _ 日"[:9]) == ("und", 0.0)
+    assert all(langid.Ranker(profiles).judge(t) == ("und", 0.0) for t in ("123 .,! _", "² ½ ① Ⅷ", None, "", " "))
+
+
+def test_long_texts_are_counted_whole(spark, monkeypatch):
+    texts = [" ".join(SENTENCES.values()) * 9, "hund" * 400 + " chien " * 50 + "x" * 900 + "_y" * 200, "  a", "b  ", "c", "日x², ½é"]
+    whole = [dict(zip(map(langid.gram, c.tolist()), n.tolist())) for c, n in map(langid.gram_counts, texts)]
+    assert whole == [dict(Counter(g for w in regex.findall(r"\p{L}+", t) for g in ngrams(w))) for t in texts]
+    monkeypatch.setattr(langid, "PART", 37)
+    assert [dict(zip(map(langid.gram, c.tolist()), n.tolist())) for c, n in map(langid.gram_counts, texts)] == whole
+
+
+def test_clashing_names_pass(spark):
+    docs = spark.createDataFrame([(1, SENTENCES["en"], "en", 7, 8)], "doc_id long, text string, lang string, `a.b` int, Score int")
+    out = langid.predict(docs, langid.learn(docs))
+    assert out.columns == ["doc_id", "lang", "a.b", "lang_pred", "score"] and out.first()[2] == 7
 
 
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("held_out", langid.held_out())
     profiles = langid.learn(docs.filter("NOT held_out"))
-    rows = langid.predict(docs, profiles).filter("held_out AND lang IS NOT NULL AND length(text) > 40").collect()
+    rows = langid.predict(docs.filter("held_out AND lang IS NOT NULL AND length(text) > 40"), profiles).collect()
+    assert len(rows) > 20
     assert sum(r.lang_pred == r.lang for r in rows) >= 0.95 * len(rows)
