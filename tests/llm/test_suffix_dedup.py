@@ -53,6 +53,37 @@ def test_brute_force(spark, monkeypatch, segment, hot):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("hot,at_once", [(50_000, 100_000), (4, 37)])
+def test_runs_of_short_periods(spark, monkeypatch, hot, at_once):
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "AT_ONCE", at_once)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows, units = [], [word(n) for n in (1, 2, 3, 31, 32, 33, 67, 68, 69, 70, 71, 99, 100, 101)]
+    for i, unit in enumerate(units):
+        for k, n in enumerate((90, 450, 900)):
+            rows.append((10 * i + k, word(rng.randint(0, 150)) + unit[rng.randrange(len(unit)) :] + unit * (n // len(unit)) + word(rng.randint(0, 150))))
+    check(spark, rows)
+
+
+def test_a_very_long_run_has_few_anchors():
+    text = b"start" + b"a" * (3 << 20) + b"end"
+    kept, covered = 0, []
+    for which, at, h in S.anchors_of([text], 100):
+        keep, spans = S.runs_of(which, at, h, [text], 100)
+        kept += keep.sum()
+        covered += [s[1:] for s in spans]
+    assert covered == [(6, len(text) - 3)] and 0 < kept < 400
+
+
+def test_clashing_names_pass(spark):
+    rng = random.Random(9)
+    p = "".join(rng.choice("abcdefghijkl mn") for _ in range(130))
+    docs = spark.createDataFrame([(1, p, 4, 5, 6), (2, p + " tail", 4, 5, 6)], "doc_id long, text string, `a.b` int, uid int, spans int")
+    got = S.suffix_dedup(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [(1, p, 4, 5, 6), (2, " tail", 4, 5, 6)]
+
+
 def test_multikey_quicksort_orders_rows():
     import numpy as np
 

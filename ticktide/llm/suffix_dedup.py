@@ -18,11 +18,17 @@ decide something:
    contexts) become neighbours, of which all but the earliest are covered. Of the distinct ones
    with the same anchor, every string over the anchor is held against the earliest equal one.
    Hashes only propose; bytes decide.
-5. An anchor with more than HOT suffixes is no matter for a bucket, whose memory it would fill: the
-   128-bit digests of all strings over it are aggregated to the earliest place of each, which
-   combines before the shuffle, and joined back.
+5. An anchor with more than HOT suffixes is no matter for a bucket, whose memory it would fill. All
+   strings over it are aggregated to the earliest place of each instead, which combines before the
+   shuffle, and joined back, a hot string in as many tasks as there are salts. Their 128-bit digests
+   are the keys; the aggregate holds the least and the greatest string of a digest against each other
+   and stops the job if they differ, so here too bytes decide.
 6. The covered spans go back to their documents.
 
+In a run of a short period (one letter over and over, say) each string but those in the first period
+equals the one a period before. Such a run is covered from its second period on, and keeps only the
+anchors near its ends, so a text of 20 MB of one letter has some hundred anchors.
+
 Whole copies are told by their SHA-256 first: all but the smallest are covered from end to end and
 take no further part. The texts are shuffled by document once; three joins read that exchange.
 
@@ -32,7 +38,8 @@ a third of all documents reaches its bucket once per task and boundary, not once
 Defined results: a null text is empty; without ties the order of documents is that of their ids;
 where ids repeat or are null, documents are ordered by id (null first), then by text digest, and
 rows that repeat both are one document with the same result each; a text shorter than LENGTH keeps
-all its bytes; an empty table gives an empty table.
+all its bytes; an empty table gives an empty table; a very long text is hashed a part at a time, and its
+suffixes are made AT_ONCE at a time; further columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -44,19 +51,22 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticktide.llm.common import cut, groups, partitions, text_or_empty, texts_of
+from ticktide.llm.common import col, cut, groups, partitions, text_or_empty, texts_of
 
 LENGTH = 100
 ANCHOR = 32
 #: Bytes of one document, or of several, that are hashed at a time.
 SEGMENT = 1 << 20
-#: Documents whose suffixes give the splitters.
-SAMPLE = 300
+#: Documents, about, whose anchors give the splitters, and leading tokens that they give in all.
+SAMPLE, TOKENS = 300, 30_000
+#: Suffixes that are made at a time.
+AT_ONCE = 100_000
+#: Tasks that a hot string is joined in.
+SALTS = 16
 #: Up to so many suffixes a call sorts by all words at once.
 SMALL = 48
 #: An anchor with more suffixes than this has each string over it compared by an aggregate instead of in a bucket.
@@ -147,6 +157,41 @@ def anchors_of(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np
         yield together(first, part)
 
 
+def runs_of(which: np.ndarray, at: np.ndarray, h: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """For anchors in order: which to keep, and (text number, start, stop) that runs of a short period cover.
+
+    A run of anchors with one hash and one gap is a run of bytes with that gap as its period, if the
+    bytes say so. The string at each place from its second period on equals the one a period before.
+    """
+    keep, spans = np.ones(len(at), dtype=bool), []
+    gap = np.diff(at)
+    step = np.where((which[1:] == which[:-1]) & (h[1:] == h[:-1]) & (gap <= length - ANCHOR + 1), gap, 0)
+    starts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]])[: len(step)])
+    n = np.diff(np.append(starts, len(step)))
+    long = n * step[starts] > 4 * length
+    for i, steps, period in zip(starts[long].tolist(), n[long].tolist(), step[starts[long]].tolist(), strict=True):
+        a, b, text = int(at[i]), int(at[i + steps]), texts[which[i]]
+        if text[a + period : b + ANCHOR] == text[a : b + ANCHOR - period]:
+            spans.append((int(which[i]), a + period, b + ANCHOR))
+            own = at[i : i + steps + 1]
+            keep[i : i + steps + 1] &= (own < a + period + length - ANCHOR) | (own > b + ANCHOR - length)
+    return keep, spans
+
+
+def portions(uids: list[int], texts: list[bytes], places: list[np.ndarray]) -> Iterator[list[tuple[int, bytes, np.ndarray]]]:
+    """Rows (uid, text, places), parted and put together to some AT_ONCE places each."""
+    held, size = [], 0
+    for uid, text, at in zip(uids, texts, places, strict=True):
+        for k in range(0, len(at), AT_ONCE):
+            held.append((uid, text, at[k : k + AT_ONCE]))
+            size += len(held[-1][2])
+            if size >= AT_ONCE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def contexts(text: bytes, at: np.ndarray, length: int) -> np.ndarray:
     """A row per anchor: what a string over it can hold, left part then suffix, then both sizes."""
     left = length - ANCHOR
@@ -277,8 +322,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
 
     uid is the id itself where ids are unique, else the place in the documents' order.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    odd = docs.select(docs[id_col].cast("long").alias("doc_id")).groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    odd = rows.select("doc_id").groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL")
     if odd.isEmpty():  # the filter, which drops nothing, makes the three joins' inputs one exchange
         return rows.select(F.col("doc_id").alias("uid"), "text").filter("uid IS NOT NULL"), None
     named = rows.withColumn("digest", F.sha2("text", 256))
@@ -289,12 +334,28 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
 
 
 def _splitters(rows: DataFrame, buckets: int, length: int) -> list[bytes]:
-    """Up to buckets - 1 leading tokens (the bytes of an anchor), from the anchors of a bounded sample."""
-    texts = [r["text"].encode() for r in rows.select("text").sample(0.05, seed=7).limit(SAMPLE).collect()]
-    words: list[bytes] = []
-    for which, at, _ in anchors_of(texts, length):
-        words += [texts[w][p : p + ANCHOR] for w, p in zip(which.tolist(), at.tolist(), strict=True)]
-    words.sort()
+    """Up to buckets - 1 leading tokens (the bytes of an anchor), from the anchors of a bounded sample.
+
+    The sample is the documents under a threshold of their ids' hash, so about SAMPLE whatever the
+    input, and all of them where there are fewer. Each gives as many tokens, evenly spread.
+    """
+    n = rows.count()
+    quota = max(1, TOKENS // max(1, min(n, SAMPLE)))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in groups(batch):
+                texts = texts_of(part.column(0))
+                for which, at, h in anchors_of(texts, length):
+                    keep, _ = runs_of(which, at, h, texts, length)
+                    which, at = which[keep], at[keep]
+                    edges = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(which)]
+                    picked = np.concatenate([np.unique(np.linspace(a, b - 1, min(quota, b - a)).astype(np.int64)) for a, b in zip(edges, edges[1:], strict=False)])
+                    yield pa.RecordBatch.from_arrays([pa.array([texts[w][p : p + ANCHOR] for w, p in zip(which[picked].tolist(), at[picked].tolist(), strict=True)], pa.binary())], ["token"])
+
+    share = SAMPLE / max(n, 1)
+    mark = F.xxhash64("uid") <= F.lit(int((share - 0.5) * 2**64) if share < 1 else (1 << 63) - 1)
+    words = sorted(bytes(r["token"]) for r in rows.filter(mark).select("text").mapInArrow(tokens, "token binary").collect())
     return sorted({words[len(words) * k // buckets] for k in range(1, buckets)}) if words else []
 
 
@@ -314,11 +375,19 @@ def _found(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Da
     copies = digests.join(twins, "digest").filter("uid <> keep").select("uid")
     cuts = _splitters(rows, 4 * n, length)
 
+    heads_found = ["h", "uid", "pos", "stop"]
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors, by odd h (stop null), and covered runs (stop set), under even h that deal them out by document."""
         for batch in batches:
-            uids = batch.column(0).to_numpy(zero_copy_only=False)
-            for which, at, h in anchors_of(texts_of(batch.column(1)), length):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(uids[which]), pa.array(at.astype(np.int32))], ["h", "uid", "pos"])
+            uids, texts = batch.column(0).to_numpy(zero_copy_only=False), texts_of(batch.column(1))
+            for which, at, h in anchors_of(texts, length):
+                keep, runs = runs_of(which, at, h, texts, length)
+                which, at, h = which[keep], at[keep], h[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(uids[which]), pa.array(at.astype(np.int32)), pa.nulls(len(at), pa.int32())], heads_found)
+                if runs:
+                    of, start, stop = (np.array(c) for c in zip(*runs, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[of] * 2), pa.array(uids[of]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], heads_found)
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in order of h, those whose h has another row; hot where it has more than HOT.
@@ -327,11 +396,15 @@ def _found(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Da
         """
 
         def out(rows: list[np.ndarray], keep: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[1][keep]), pa.array(rows[2][keep].astype(np.int32)), pa.array(hot[keep])], ["uid", "pos", "hot"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[1][keep]), pa.array(rows[2][keep].astype(np.int32)), pa.array(hot[keep]), pa.nulls(int(keep.sum()), pa.int32())], ["uid", "pos", "hot", "stop"])
 
         held: list[np.ndarray] | None = None
         known = None  # the h of the last run, where that is hot
         for batch in batches:
+            if (ready := batch.column(3).is_valid()).true_count:
+                done = batch.filter(ready)
+                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), pa.array(np.zeros(done.num_rows, dtype=bool)), done.column(3)], ["uid", "pos", "hot", "stop"])
+                batch = batch.filter(batch.column(3).is_null())
             if not batch.num_rows:
                 continue
             rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
@@ -351,40 +424,49 @@ def _found(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Da
             yield out(held, every, ~every)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Digests of all strings over hot anchors."""
+        """All strings over hot anchors, with their digests."""
         for batch in batches:
             for uid, text, places in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2), strict=True):
-                at = places.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                starts = np.unique(at[:, None] - np.arange(length - ANCHOR + 1))
-                starts = starts[(starts >= 0) & (starts + length <= len(text))]
-                for k in range(0, len(starts), 100_000):
-                    own = starts[k : k + 100_000]
-                    digests = [xxhash.xxh3_128_digest(text[a : a + length]) for a in own.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(len(own), uid)), pa.array(own.astype(np.int32))], ["digest", "uid", "start"])
+                at, last = np.sort(places.values.to_numpy(zero_copy_only=False).astype(np.int64)), -1
+                for k in range(0, len(at), 2000):
+                    own = np.unique(at[k : k + 2000, None] - np.arange(length - ANCHOR + 1))
+                    own = own[(own > last) & (own + length <= len(text))]
+                    last = max(last, int(own[-1])) if len(own) else last
+                    found = [text[a : a + length] for a in own.tolist()]
+                    digests = [hashlib.blake2b(x, digest_size=16).digest() for x in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.full(len(own), uid)), pa.array(own.astype(np.int32)), pa.array(found, pa.binary())], ["digest", "uid", "start", "string"])
 
     heads = ["bucket", "uid", "pos", "stop", "context"]
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts to compare (stop null), and spans that are covered already (context null)."""
         bounds = np.array(cuts, dtype=f"S{ANCHOR}")
+
+        def ready(d: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+            spread = pa.array((d % max(1, 4 * n)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([spread, pa.array(d), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.nulls(len(d), pa.binary())], heads)
+
         for batch in batches:
             for part in groups(batch):
-                uid, lists = part.column(0).to_numpy(zero_copy_only=False), part.column(2)
-                places = [np.sort(p.values.to_numpy(zero_copy_only=False).astype(np.int64)) for p in lists]
-                made = np.concatenate([contexts(t, p, length) for t, p in zip(texts_of(part.column(1)), places, strict=True)])
-                doc, at = np.repeat(uid, [len(p) for p in places]), np.concatenate(places)
-                old = fold(made, doc, at)
-                d, start, stop = joined(*all_covered(made[old], doc[old], at[old], length))
-                new = np.ascontiguousarray(made[~old])
-                lead = np.ascontiguousarray(new[:, length - ANCHOR : length]).view(f"S{ANCHOR}").ravel()
-                offsets = np.arange(0, new.size + 1, new.shape[1], dtype=np.int32)
-                texts = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(new)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.searchsorted(bounds, lead, "right").astype(np.int32)), pa.array(doc[~old]), pa.array(at[~old].astype(np.int32)), pa.nulls(len(new), pa.int32()), texts], heads
-                )
-                if len(d):
-                    spread = pa.array((d % max(1, 4 * n)).astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([spread, pa.array(d), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.nulls(len(d), pa.binary())], heads)
+                runs = part.column(3)
+                if (of := pc.list_parent_indices(runs).to_numpy(zero_copy_only=False)).size:
+                    flat = runs.flatten()
+                    yield ready(part.column(0).to_numpy(zero_copy_only=False)[of], flat.field("pos").to_numpy(zero_copy_only=False), flat.field("stop").to_numpy(zero_copy_only=False))
+                places = [np.sort(p.values.to_numpy(zero_copy_only=False).astype(np.int64)) for p in part.column(2)]
+                for own in portions(part.column(0).to_pylist(), texts_of(part.column(1)), places):
+                    made = np.concatenate([contexts(t, p, length) for _, t, p in own])
+                    doc, at = np.repeat(np.array([u for u, _, _ in own]), [len(p) for _, _, p in own]), np.concatenate([p for _, _, p in own])
+                    old = fold(made, doc, at)
+                    d, start, stop = joined(*all_covered(made[old], doc[old], at[old], length))
+                    new = np.ascontiguousarray(made[~old])
+                    lead = np.ascontiguousarray(new[:, length - ANCHOR : length]).view(f"S{ANCHOR}").ravel()
+                    offsets = np.arange(0, new.size + 1, new.shape[1], dtype=np.int32)
+                    texts = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(new)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.searchsorted(bounds, lead, "right").astype(np.int32)), pa.array(doc[~old]), pa.array(at[~old].astype(np.int32)), pa.nulls(len(new), pa.int32()), texts], heads
+                    )
+                    if len(d):
+                        yield ready(d, start, stop)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(doc: Any, start: Any, stop: Any) -> pa.RecordBatch:
@@ -420,14 +502,22 @@ def _found(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[Da
 
     # not an anti join, which the optimizer would move below the texts' exchange and so take from another one
     first = rows.join(copies.withColumn("copy", F.lit(True)), "uid", "left").filter("copy IS NULL").select("uid", "text")
-    twice = first.mapInArrow(find, "h long, uid long, pos int").repartition(n, "h").sortWithinPartitions("h").mapInArrow(repeated, "uid long, pos int, hot boolean")
-    places = twice.groupBy("uid").agg(F.collect_list(F.when(~F.col("hot"), F.col("pos"))).alias("places"), F.collect_list(F.when(F.col("hot"), F.col("pos"))).alias("hot"))
-    dealt = rows.join(places.filter(F.size("places") > 0), "uid").select("uid", "text", "places").mapInArrow(suffixes, "bucket int, uid long, pos int, stop int, context binary")
+    twice = first.mapInArrow(find, "h long, uid long, pos int, stop int").repartition(n, "h").sortWithinPartitions("h").mapInArrow(repeated, "uid long, pos int, hot boolean, stop int")
+    run = F.when(F.col("stop").isNotNull(), F.struct("pos", "stop"))
+    plain = F.when(~F.col("hot") & F.col("stop").isNull(), F.col("pos"))
+    places = twice.groupBy("uid").agg(F.collect_list(plain).alias("places"), F.collect_list(F.when(F.col("hot"), F.col("pos"))).alias("hot"), F.collect_list(run).alias("runs"))
+    some = places.filter((F.size("places") > 0) | (F.size("runs") > 0))
+    dealt = rows.join(some, "uid").select("uid", "text", "places", "runs").mapInArrow(suffixes, "bucket int, uid long, pos int, stop int, context binary")
     spans = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(buckets, "uid long, start int, stop int")
     near_hot = places.filter(F.size("hot") > 0).select("uid", "hot").repartition(n, "uid")
-    each = rows.join(near_hot, "uid").select("uid", "text", "hot").mapInArrow(strings, "digest binary, uid long, start int")
-    firsts = each.groupBy("digest").agg(F.min(F.struct("uid", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    again = each.join(firsts, "digest").filter(F.struct("uid", "start") != F.col("first")).select("uid", "start", (F.col("start") + length).alias("stop"))
+    each = rows.join(near_hot, "uid").select("uid", "text", "hot").mapInArrow(strings, "digest binary, uid long, start int, string binary")
+    each = each.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+    low, high = F.min("low").alias("low"), F.max("high").alias("high")
+    salted = each.groupBy("digest", "salt").agg(F.min(F.struct("uid", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("string").alias("low"), F.max("string").alias("high"))
+    firsts = salted.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts"), low, high).filter("n > 1")
+    checked = F.when(F.col("low") == F.col("high"), F.col("salts")).otherwise(F.raise_error(F.lit("two different strings share a digest")).cast("array<int>"))
+    firsts = firsts.select("digest", "first", F.explode(checked).alias("salt"))
+    again = each.select("digest", "salt", "uid", "start").join(firsts, ["digest", "salt"]).filter(F.struct("uid", "start") != F.col("first")).select("uid", "start", (F.col("start") + length).alias("stop"))
     spans = spans.unionByName(again)
     own = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     covered = own.unionByName(copies.select("uid", F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).alias("stop"))).alias("spans")))
@@ -511,7 +601,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     found, unique = _found(docs, length, id_col, text_col)
     tell = lambda c: F.lit(0).cast("long") if unique else F.xxhash64(c)
     found = found.select(F.col("doc_id").alias("id"), tell(F.col("text")).alias("hash"), "text", "spans")
-    own = docs.select(*[F.col(f"`{c}`").alias(names[c]) for c in payload], F.col(id_col).cast("long").alias("own_id"), tell(text_or_empty(text_col)).alias("own_hash"), F.col(text_col).isNull().alias("void"))
+    own = docs.select(*[col(c).alias(names[c]) for c in payload], col(id_col).cast("long").alias("own_id"), tell(text_or_empty(text_col)).alias("own_hash"), col(text_col).isNull().alias("void"))
     if unique:  # the texts lie by id already
         joined = own.join(found, own["own_id"] == found["id"])
     else:
