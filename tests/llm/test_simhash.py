@@ -39,7 +39,7 @@ def test_golay_code_is_perfect_and_keys_hold_neighbours():
 def linked(fps, distance=3):
     """Pairs that the keys and the bucket search find, as components."""
     batch = pa.RecordBatch.from_arrays([pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["fp"])
-    rows = pa.Table.from_batches(list(_keys(iter([batch])))).sort_by([("role", "ascending"), ("key", "ascending")])
+    rows = pa.Table.from_batches(list(_keys(iter([batch])))).sort_by([("key", "ascending"), ("role", "ascending")])
     up = {f: f for f in fps}
 
     def find(x):
@@ -112,3 +112,11 @@ def test_groups(spark, odd_docs, no_docs):
     assert near_duplicate_groups(no_docs).count() == near_dedup(no_docs).count() == 0
     assert near_duplicate_groups(odd_docs).count() == odd_docs.count()
     assert near_dedup(odd_docs).columns == odd_docs.columns
+
+
+def test_clashing_names_pass(spark):
+    rows = [(1, "a b c d", 5, 6, 7), (2, "A b c  d", 5, 6, 7), (3, "x y z", 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, _text_hash int, text_hash int")
+    kept = near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]

@@ -3,26 +3,34 @@
 Fingerprint: 64 bits; a bit is set if it is set in over half of the XXH64 (seed 42) values of the
 word shingles, repeats included.
 
-Search: a fingerprint is cut into three segments (22, 21 and 21 bits). Of three wrong bits, some
-two segments get at most one each, so for every pair of segments the pair's keys must meet under
-one error in each. The perfect (23, 12, 7) Golay code gives that: a segment, padded to 23 bits,
-decodes to the index of its only codeword within distance three, and the indices of the segment
-and of its neighbours at one bit, at most six, hold the index of every vector one bit away. Each
-fingerprint is stored under one 24-bit key a pair and looked up under up to 36; what meets is
-verified by the count of differing bits.
+Search: a fingerprint is cut into three segments (22, 21 and 21 bits). The perfect (23, 12, 7) Golay
+code gives fuzzy keys for a segment: padded to 23 bits, it decodes to the index of its only codeword
+within distance three, and the indices of the segment and of its neighbours at one bit, at most
+six, hold the index of every vector one bit away. Three wrong bits fall in one of two ways:
+
+* a segment has two or more of them. Of the other two one is right and the other has one error at
+  most, so the first's bits and the second's index are a key, of 33 bits or more, for each of the six
+  ordered pairs: stored once, looked up under the second's indices.
+* no segment has more than one. All three indices are a key of 36 bits: stored under the indices of
+  the third segment, looked up under those of the first two.
+
+So each fingerprint is stored under 12 keys at most and looked up under 72, keys are long enough
+that unlike fingerprints seldom meet, and what meets is verified by the count of differing bits.
 
 Equal fingerprints are one node throughout, so a group of copies costs what one document costs.
-A bucket's verified links leave its task as a star, never as all pairs.
+A bucket's verified links leave its task as a star, never as all pairs; a task holds the stored
+fingerprints of one key at a time.
 
 Defined results: a null or empty text has fingerprint 0 and is linked like any other; fewer words
 than a shingle hash as one whole; a component's id is its smallest non-null id; repeated rows are
-kept each with the same result; an empty table gives an empty table.
+kept each with the same result; an empty table gives an empty table; a very long text is hashed whole,
+its shingles a part at a time; further columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticktide.llm.common import cut, groups, partitions, text_or_empty, texts_of
+from ticktide.llm.common import col, cut, fresh, groups, partitions, text_or_empty, texts_of
 from ticktide.llm.components import components
 
 SHINGLE = 3
@@ -49,16 +57,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_digest
-    if len(words) <= shingle:
-        joined = [b" ".join(words)]
-    else:
-        joined = list(map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False)))
-    half, counts = n, np.zeros(64, dtype=np.int64)
+    digest, counts = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
     for at in range(0, n, 50_000):
-        bits = np.frombuffer(b"".join([digest(s, SEED) for s in joined[at : at + 50_000]]), dtype=np.uint8)
+        own = words[at : min(at + 50_000, n) + shingle - 1]
+        joined = map(b" ".join, zip(*[own[k:] for k in range(shingle)], strict=False)) if len(own) >= shingle else [b" ".join(own)]
+        bits = np.frombuffer(b"".join([digest(s, SEED) for s in joined]), dtype=np.uint8)
         counts += np.unpackbits(bits.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > half).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -70,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps = np.array([fingerprint(t, shingle) for t in texts_of(part.column(2))], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), docs[text_col].alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
@@ -104,25 +109,32 @@ class Golay:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, role): role 0 stores a fingerprint under a key, role 1 looks it up."""
+    """Rows (key, fp, role): role 0 stores a fingerprint under a key, role 1 looks it up.
+
+    The top three bits of a key tell the six ordered pairs (0 to 5) and the triple (6) apart.
+    """
     code = Golay()
     for batch in batches:
         fps = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
         for at in range(0, len(fps), 5000):
             own = fps[at : at + 5000]
-            parts = [((own >> np.uint64(s)) & np.uint64((1 << b) - 1)).astype(np.int64) for s, b in SEGMENTS]
-            stored = [code.index(p) for p in parts]
-            near = [code.near(p, b) for p, (_, b) in zip(parts, SEGMENTS, strict=True)]
+            raw = [((own >> np.uint64(s)) & np.uint64((1 << b) - 1)).astype(np.int64) for s, b in SEGMENTS]
+            index = [code.index(p) for p in raw]
+            near = [code.near(p, b) for p, (_, b) in zip(raw, SEGMENTS, strict=True)]
             keys, names, roles = [], [], []
-            for pair, (i, j) in enumerate(combinations(range(3), 2)):
-                keys.append(pair << 24 | stored[i] << 12 | stored[j])
-                names.append(own)
-                roles.append(np.zeros(len(own), dtype=np.int32))
-                a, b = near[i][:, :, None], near[j][:, None, :]
-                good = ((a >= 0) & (b >= 0)).reshape(len(own), -1)
-                keys.append((pair << 24 | a << 12 | b).reshape(len(own), -1)[good])
-                names.append(np.repeat(own, good.sum(axis=1)))
-                roles.append(np.ones(len(keys[-1]), dtype=np.int32))
+
+            def add(key: np.ndarray, good: np.ndarray, role: int) -> None:
+                keys.append(key.reshape(len(own), -1)[good.reshape(len(own), -1)])  # noqa: B023
+                names.append(np.repeat(own, good.reshape(len(own), -1).sum(axis=1)))  # noqa: B023
+                roles.append(np.full(len(keys[-1]), role, dtype=np.int32))  # noqa: B023
+
+            for kind, (i, j) in enumerate(permutations(range(3), 2)):
+                base = kind << 60 | raw[i] << 12
+                add(base | index[j], np.ones(len(own), dtype=bool), 0)
+                add(base[:, None] | near[j], near[j] >= 0, 1)
+            a, b, c = near[0][:, :, None], near[1][:, None, :], near[2]
+            add(6 << 60 | (index[0] << 24 | index[1] << 12)[:, None] | c, c >= 0, 0)
+            add(6 << 60 | a << 24 | b << 12 | index[2][:, None, None], (a >= 0) & (b >= 0), 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(keys)), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(roles))], ["key", "fp", "role"]
             )
@@ -148,9 +160,8 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The stored fingerprints of a partition come first, in key order; lookups stream by."""
-        stored: list[tuple[np.ndarray, np.ndarray]] = []
-        keys = fps = None
+        """Rows come in order of key, stored ones first; only those of the last key wait for the next batch."""
+        keys, fps = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         found_a: list[np.ndarray] = []
         found_b: list[np.ndarray] = []
         held = 0
@@ -161,13 +172,11 @@ def _links(distance: int):
             found_a, found_b, held = [a], [b], 0
 
         for batch in batches:
-            key, fp, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if (own := role == 0).any():
-                stored.append((key[own], fp[own]))
-            if own.all():
+            if not batch.num_rows:
                 continue
-            if keys is None:
-                keys, fps = (np.concatenate([s[i] for s in stored]) for i in range(2)) if stored else (key[:0], fp[:0])
+            key, fp, role = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            last, own = key[-1], role == 0
+            keys, fps = np.concatenate([keys, key[own]]), np.concatenate([fps, fp[own]])
             key, fp = key[~own], fp[~own]
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             for start, stop in _spans(high - low):
@@ -181,6 +190,8 @@ def _links(distance: int):
                     held += len(found_a[-1])
                     if held > AT_ONCE:
                         shrink()
+            wait = np.searchsorted(keys, last)
+            keys, fps = keys[wait:], fps[wait:]
         if found_a:
             shrink()
             yield pa.RecordBatch.from_arrays([pa.array(found_a[0]), pa.array(found_b[0])], ["u", "v"])
@@ -207,7 +218,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n = partitions(docs.sparkSession)
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     keyed = classes.select("fp").mapInArrow(_keys, "key long, fp long, role int")
-    links = keyed.repartition(n, "key").sortWithinPartitions("role", "key").mapInArrow(_links(distance), "u long, v long")
+    links = keyed.repartition(n, "key").sortWithinPartitions("key", "role").mapInArrow(_links(distance), "u long, v long")
     roots = components(links)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -228,5 +239,7 @@ def keep_smallest(docs: DataFrame, groups_: DataFrame, id_col: str, text_col: st
         .groupBy("group").agg(F.min(rank).alias("best"))
         .select(F.col("best.id").alias("_id"), F.col("best.hash").alias("_hash"))
     )
-    named = docs.withColumn("_text_hash", F.xxhash64(text_or_empty(text_col)))
-    return named.join(kept, named[id_col].eqNullSafe(kept["_id"]) & (named["_text_hash"] == kept["_hash"]), "left_semi").drop("_text_hash")
+    hash_, id_, text_hash = fresh(docs, "text_hash"), fresh(docs, "kept_id"), fresh(docs, "kept_hash")
+    named = docs.withColumn(hash_, F.xxhash64(text_or_empty(text_col)))
+    kept = kept.select(F.col("_id").alias(id_), F.col("_hash").alias(text_hash))
+    return named.join(kept, col(id_col).eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(text_hash)), "left_semi").drop(hash_)
