@@ -13,13 +13,19 @@ more. A pair of 0.8 differs in 15 % of all SimHash bits, which three bits of 64
    pair of texts meets if in some group two segments agree: by these chances 0.995 of the pairs of
    exactly 0.8, and more above.
 4. In a bucket, sketches with more than FAR differing bits are dropped (a pair of 0.8 has 19.4 of
-   them on average, with a deviation of 4). In a bucket of many, sketches within SURE bits are linked as a tree,
-   and between two trees all pairs count, so a group of near copies leaves as few links.
-5. Every link is verified by the exact Jaccard similarity of its two texts.
+   them on average, with a deviation of 4). A bucket of few gives all its pairs; one of more than MANY
+   first gives the star of its most central sketch, and its members wait.
+5. Every pair is verified by the exact Jaccard similarity of its two texts, and the links of a task
+   leave it as stars. The components they make label the members that wait; only pairs with different
+   labels can still join something, so only these are verified in a second turn, and of these only
+   the ones whose numbers of shingles are within THRESHOLD of each other (which is exact) and whose
+   1,088 bits differ in no more than WIDE (four deviations above what a pair of 0.8 has). A group of
+   near copies thus costs about a star.
 
 Words are parted at white space and lower-cased as bytes. Defined results: texts with one set of
 shingles are one node; a null or empty text has no shingles and is like others without any;
-fewer than five words are one shingle; ids and repeated rows are as in `simhash`.
+fewer than five words are one shingle; ids and repeated rows are as in `simhash`; a very long text is
+hashed and compared whole; further columns pass through whatever their names; an empty table works.
 """
 
 from __future__ import annotations
@@ -34,9 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticktide.llm.common import cut, groups, partitions, text_or_empty, texts_of
+from ticktide.llm.common import col, cut, groups, partitions, text_or_empty, texts_of
 from ticktide.llm.components import components
-from ticktide.llm.simhash import SEED, _remainders, keep_smallest
+from ticktide.llm.simhash import SEED, _remainders, keep_smallest, stars
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -45,9 +51,12 @@ SEGMENTS = 40
 GROUP = 8
 #: Differing bits of two 128-bit sketches.
 FAR = 41
-SURE = 10
-#: Buckets of more are linked by trees.
-MANY = 32
+#: Differing bits of all 1,088, for texts of SHORT shingles or more and for shorter ones, whose bits turn more easily.
+WIDE, WIDE_SHORT, SHORT = 212, 256, 32
+#: Buckets of more give a star first.
+MANY = 8
+#: Pairs of a bucket that are compared at a time.
+AT_ONCE = 1_000_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -99,7 +108,7 @@ def decode(segments: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, text_hash, node, s1, s2, indices)."""
+    """Rows (doc_id, text_hash, node, s1, s2, indices, size, wide)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +119,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 found = decode(all_sums[:, : SEGMENTS * 23].reshape(-1, 23)).reshape(len(sets), SEGMENTS)
                 own = np.packbits(all_sums[:, SEGMENTS * 23 : SEGMENTS * 23 + 128] > 0, axis=1).view(np.int64)
                 packed = pa.array([row.tobytes() for row in found], pa.binary())
-                columns = [part.column(0), part.column(1), pa.array(nodes), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), packed]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "s1", "s2", "indices"])
+                wide = pa.array([row.tobytes() for row in np.packbits(all_sums > 0, axis=1)], pa.binary())
+                size = pa.array([len(x) for x in sets], pa.int64())
+                columns = [part.column(0), part.column(1), pa.array(nodes), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), packed, size, wide]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "s1", "s2", "indices", "size", "wide"])
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, s1 long, s2 long, indices binary")
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, s1 long, s2 long, indices binary, size long, wide binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,38 +142,41 @@ def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def trees(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs in one bucket: trees of steps within SURE, and all pairs within FAR between trees."""
-    a, b = [], []
-    left, members = np.arange(len(sketch)), []
-    while len(left):
-        tree, left = [left[:1]], left[1:]
-        todo = [tree[0][0]]
-        while todo and len(left):
-            at = todo.pop()
-            near = _gaps(sketch[at], sketch[left]) <= SURE
-            if near.any():
-                new, left = left[near], left[~near]
-                a.append(np.full(len(new), at))
-                b.append(new)
-                tree.append(new)
-                todo += new.tolist()
-        members.append(np.concatenate(tree))
-    rest = np.concatenate(members) if members else left
-    for own in members[:-1]:
-        rest = rest[len(own) :]
-        for x in own:
-            hit = rest[_gaps(sketch[x], sketch[rest]) <= FAR]
-            a.append(np.full(len(hit), x))
-            b.append(hit)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, dtype=np.int64),) * 2
+def central(sketch: np.ndarray) -> int:
+    """The place of the sketch with the fewest bits unlike most sketches' bits."""
+    bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1)
+    return int((bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(bits))).sum(axis=1).argmin())
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes in one bucket whose sketches are near; rows come in order of key."""
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows in order of key as arrays that hold each key's rows together; binary ones as rows of 64-bit words."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [
+            np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
+            for c in batch.columns
+        ]
+        rows = rows if held is None else [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
+        wait = int(np.searchsorted(rows[0], rows[0][-1]))
+        if wait:
+            yield [r[:wait] for r in rows]
+        held = [r[wait:] for r in rows]
+    if held is not None:
+        yield held
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return both[:, 0].copy(), both[:, 1].copy()
+
 
-    def out(key: np.ndarray, node: np.ndarray, *parts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sketch = np.stack(parts, axis=1).view(np.uint64)
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of nodes in one bucket whose sketches are near, and the members (key, u, s1, s2) of large buckets."""
+    heads = ["key", "u", "v", "s1", "s2"]
+    for key, node, s1, s2 in whole_keys(batches):
+        sketch = np.stack([s1, s2], axis=1).view(np.uint64)
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         size = np.diff(np.append(starts, len(key)))
         few = np.repeat(size <= MANY, size)
@@ -173,26 +187,43 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a.append(i)
             b.append(i + step)
         for k in np.flatnonzero(size > MANY):
-            x, y = trees(sketch[starts[k] : starts[k] + size[k]])
-            a.append(x + starts[k])
-            b.append(y + starts[k])
-        if a:
-            u, v = node[np.concatenate(a)], node[np.concatenate(b)]
-            both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
-
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        rows = rows if held is None else [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
-        wait = int(np.searchsorted(rows[0], rows[0][-1]))
-        if wait:
-            yield from out(*[r[:wait] for r in rows])
-        held = [r[wait:] for r in rows]
-    if held is not None:
-        yield from out(*held)
+            at = np.arange(starts[k], starts[k] + size[k])
+            lead = at[central(sketch[at])]
+            near = at[(_gaps(sketch[lead], sketch[at]) <= FAR) & (at != lead)]
+            a.append(np.full(len(near), lead))
+            b.append(near)
+        if a and len(x := np.concatenate(a)):
+            u, v = _pairs(node[x], node[np.concatenate(b)])
+            none = pa.nulls(len(u), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(u), pa.array(v), none, none], heads)
+        if (~few).any():
+            own = [pa.array(x[~few]) for x in (key, node, s1, s2)]
+            yield pa.RecordBatch.from_arrays([own[0], own[1], pa.nulls(len(own[0]), pa.int64()), own[2], own[3]], heads)
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, label, node, size, s1, s2, wide) in order of key and label, the near pairs with different labels."""
+    for key, label, node, size, s1, s2, wide in whole_keys(batches):
+        sketch = np.stack([s1, s2], axis=1).view(np.uint64)
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        for low, high in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+            if label[low] == label[high - 1]:
+                continue
+            after = np.searchsorted(label[low:high], label[low:high], "right") + low  # the first place behind a label's own
+            step = max(1, AT_ONCE // (high - low))
+            for k in range(low, high, step):
+                place = np.arange(k, min(k + step, high))
+                first_after = after[place - low]
+                n = high - first_after
+                i = np.repeat(place, n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first_after, n)
+                low_size, high_size = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+                near = (10 * low_size >= round(10 * THRESHOLD) * high_size) & (_gaps(sketch[i], sketch[j]) <= FAR)
+                i, j = i[near], j[near]
+                near = _gaps(wide[i], wide[j]) <= np.where(low_size[near] < SHORT, WIDE_SHORT, WIDE)
+                if near.any():
+                    u, v = _pairs(node[i[near]], node[j[near]])
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def shingles(text: bytes) -> set[bytes]:
@@ -209,6 +240,8 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (u, v, texts), the links; they leave the task as stars."""
+    a, b = [], []
     for batch in batches:
         for part in groups(batch):
             last, own = None, set()
@@ -217,7 +250,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if text != last:
                     last, own = text, shingles(text)
                 good.append(alike(own, shingles(other)))
-            yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+            a.append(part.column(0).to_numpy(zero_copy_only=False)[good])
+            b.append(part.column(1).to_numpy(zero_copy_only=False)[good])
+    if a:
+        u, v = stars(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def near_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,19 +262,32 @@ def near_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = partitions(docs.sparkSession)
     rows = cut(sketches(docs, id_col, text_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")).alias("first")
-    classes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), first, F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("indices").alias("indices"))
+    classes = rows.groupBy("node").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("indices").alias("indices"))
     keyed = classes.select("node", "s1", "s2", "indices").mapInArrow(_keys, "key long, node long, s1 long, s2 long")
-    found = keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_candidates, "u long, v long")
-    pairs = cut(found.distinct())
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    found = cut(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_candidates, "key long, u long, v long, s1 long, s2 long"))
+    waiting = found.filter("v IS NULL")
+    wanted = found.select(F.explode(F.array("u", "v")).alias("node")).dropna().distinct()
     firsts = rows.join(wanted, "node", "left_semi").groupBy("node").agg(first).select("node", "first.doc_id", "first.text_hash")
-    named = docs.select(docs[id_col].cast("long").alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_hash"), text_or_empty(text_col).alias("text"))
+    named = docs.select(col(id_col).cast("long").alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_hash"), text_or_empty(text_col).alias("text"))
     texts = named.join(firsts, named["_id"].eqNullSafe(firsts["doc_id"]) & (named["_hash"] == firsts["text_hash"])).select("node", "text")
     texts = cut(texts.dropDuplicates(["node"]))
-    with_one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    both = with_one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    links = both.select("u", "v", "a", "b").mapInArrow(_verify, "u long, v long")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        with_one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+        both = with_one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+        return both.select("v", "u", "b", "a").mapInArrow(_verify, "u long, v long")
+
+    links = cut(links_of(found.filter("v IS NOT NULL").select("u", "v").distinct()))
     roots = components(links)
+    if not waiting.isEmpty():
+        of_node = rows.groupBy("node").agg(F.min("size").alias("size"), F.min("wide").alias("wide")).join(roots, "node", "left")
+        labelled = waiting.select("key", F.col("u").alias("node"), "s1", "s2").join(of_node, "node")
+        labelled = labelled.select("key", F.coalesce("root", "node").alias("label"), "node", "size", "s1", "s2", "wide")
+        rest = labelled.repartition(n, "key").sortWithinPartitions("key", "label").mapInArrow(_rest, "u long, v long")
+        rest = cut(rest.distinct())
+        more = cut(links_of(rest))
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     rooted = rows.groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     of_node = rooted.join(ids, "root").select("node", F.lpad(F.lower(F.hex("root")), 16, "0").alias("fingerprint"), "component_id")
