@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktide.operators.scan import drawdown, jump, running
+from ticktide.operators.scan import jump, running
 
 
 def play(signal: Column, reward: Column) -> Column:
@@ -21,7 +21,7 @@ def stats(df: DataFrame, by: list[str], order: list[str], plays: str) -> DataFra
     """
     rows = df.filter(F.col(plays).isNotNull())
     rows = rows.withColumn("_sum", F.sum(plays).over(running(by, order)))
-    rows = rows.withColumn("_down", drawdown(F.col("_sum"), by, order))
+    rows = rows.withColumn("_down", F.max("_sum").over(running(by, order)) - F.col("_sum"))
     p = F.col(plays)
     out = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_plays"), F.avg(p).alias("r_mean"), F.sum(p).alias("r_sum"), F.stddev_samp(p).alias("r_std"),
@@ -75,9 +75,9 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 def spaced_backtest(df: DataFrame, by: list[str], order: list[str], signal: str, reward: str, span: int) -> DataFrame:
     """Statistics of non-overlapping plays: a signal counts only `span` rows or more after the last one that counted.
 
-    Adds exch_count, the signals taken, and exch_ratio, their share of all rows.
+    A signal without a reward is none: it isn't taken and blocks no later one. Adds exch_count, the signals taken, and exch_ratio, their share of all rows.
     """
-    rows = jump(df.withColumn("_fires", F.coalesce(F.col(signal) != 0, F.lit(False))), by, order, "_fires", span)
+    rows = jump(df.withColumn("_fires", F.coalesce((F.col(signal) != 0) & F.col(reward).isNotNull(), F.lit(False))), by, order, "_fires", span)
     rows = rows.withColumn("play", F.when(F.col("taken"), play(F.col(signal), F.col(reward))))
     counts = rows.groupBy(*by).agg(F.count_if("taken").alias("exch_count"), F.avg(F.col("taken").cast("int")).alias("exch_ratio"))
     return stats(rows, by, order, "play").join(counts, by)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticktide.operators.scan import running_totals
@@ -82,7 +82,8 @@ def woe(b: Bin, base: float) -> float:
 
 
 def base_rate(bins: list[Bin]) -> float:
-    return math.log((sum(b.bad for b in bins) + 0.5) / (sum(b.good for b in bins) + 0.5))
+    """Log odds of all rows, with half a bad one more; without a good one, half a good one too."""
+    return math.log((sum(b.bad for b in bins) + 0.5) / (sum(b.good for b in bins) or 0.5))
 
 
 def join(a: Bin, b: Bin) -> Bin:
@@ -90,62 +91,81 @@ def join(a: Bin, b: Bin) -> Bin:
 
 
 def chi_cost(a: Bin, b: Bin) -> float:
-    """Probability that two bins with equal rates differ less: small where merging loses little."""
+    """Probability that two bins with equal rates differ less: small where merging loses little.
+
+    Each cell gets a small pseudo-count; the shares that give the expected cells are of the raw total, and
+    the second of two shares is what the first leaves.
+    """
     total = a.cnt + b.cnt
     soft = min(0.5, total / 10_000)
-    cells = [(a.bad + soft, a.good + soft), (b.bad + soft, b.good + soft)]
-    n = sum(map(sum, cells))
+    cells = {("a", "good"): a.good + soft, ("a", "bad"): a.bad + soft, ("b", "good"): b.good + soft, ("b", "bad"): b.bad + soft}
+    good, one = (a.good + b.good + 2 * soft) / total, (a.good + a.bad + 2 * soft) / total
+    share = {"good": good, "bad": 1 - good, "a": one, "b": 1 - one}
     chi = 0.0
-    for bad, good in cells:
-        for value, column in ((bad, 0), (good, 1)):
-            want = (bad + good) * sum(c[column] for c in cells) / n
-            chi += (value - want) ** 2 / want
-    return math.erf(math.sqrt(chi / 2))
+    for (row, column), value in cells.items():
+        want = total * share[row] * share[column]
+        if want == 0:
+            return 1.0
+        chi += (value - want) ** 2 / want
+    return math.erf(math.sqrt(max(chi, 0.0) / 2))
+
+
+def split_points(bins: list[Bin]) -> tuple[list[Bin], list[Bin]]:
+    """Bins of a single value, and the others; merging leaves the former as they are."""
+    return [b for b in bins if b.low == b.high], [b for b in bins if b.low != b.high]
+
 
+def merge_small(bins: list[Bin], least: float) -> list[Bin]:
+    """Joins the neighbours with the least cost, the smaller count plus a fraction for the larger, until it exceeds `least`."""
+    points, bins = split_points(bins)
 
-def merge_small(bins: list[Bin], least: int) -> list[Bin]:
-    """Joins the smallest neighbours until each bin has more than `least` rows."""
-    bins = list(bins)
-    while len(bins) > 1 and min(b.cnt for b in bins) <= least:
-        def cost(k: int) -> float:
-            small, large = sorted((bins[k].cnt, bins[k + 1].cnt))
-            return small + min(large / 100_000, 1)
+    def cost(k: int) -> float:
+        small, large = sorted((bins[k].cnt, bins[k + 1].cnt))
+        return small + min(large / 100_000, 1)
 
+    while len(bins) > 1:
         k = min(range(len(bins) - 1), key=cost)
+        if cost(k) > least:
+            break
         bins[k : k + 2] = [join(bins[k], bins[k + 1])]
-    return bins
+    return [*points, *bins]
 
 
 def merge_alike(bins: list[Bin], limit: float = 0.95, monotone: bool = False) -> list[Bin]:
-    """Joins the neighbours that differ least until all differ with at least `limit` probability.
+    """Joins the neighbours that differ least until all differ with more than `limit` probability.
 
-    With `monotone`, a join that mends a turn of the rates costs less: by (k + 2) / 2 ** (k + 1) for k turns.
+    With `monotone`, a step between rates is the harder to join the fewer steps of its direction lie
+    around it: with k of them in a row, to its left and right together, the probability p of no
+    difference counts (k + 2) / 2 ** (k + 1) times.
     """
-    bins = list(bins)
+    points, bins = split_points(bins)
 
-    def turns(of: list[Bin]) -> int:
-        steps = [b.mean - a.mean for a, b in zip(of, of[1:], strict=False)]
-        return sum(1 for x, y in zip(steps, steps[1:], strict=False) if x * y < 0)
+    def around(k: int) -> int:
+        up = [b.mean > a.mean for a, b in zip(bins, bins[1:], strict=False)]
+        low, high = k, k
+        while low > 0 and up[low - 1] == up[k]:
+            low -= 1
+        while high + 1 < len(up) and up[high + 1] == up[k]:
+            high += 1
+        return high - low
 
     def cost(k: int) -> float:
         own = chi_cost(bins[k], bins[k + 1])
-        if not monotone:
-            return own
-        left = turns([*bins[:k], join(bins[k], bins[k + 1]), *bins[k + 2 :]])
-        return own * (left + 2) / 2 ** (left + 1) if left < turns(bins) else own
+        return 1 - (1 - own) * ((n := around(k)) + 2) / 2 ** (n + 1) if monotone else own
 
     while len(bins) > 1:
         k = min(range(len(bins) - 1), key=cost)
-        if cost(k) >= limit:
+        if cost(k) > limit:
             break
         bins[k : k + 2] = [join(bins[k], bins[k + 1])]
-    return bins
+    return [*points, *bins]
 
 
 def open_ends(bins: list[Bin]) -> list[Bin]:
     """The outer bins reach to infinity, for values that fitting didn't see."""
-    if bins:
-        bins[0].low, bins[-1].high = float("-inf"), float("inf")
+    _, inner = split_points(bins)
+    if inner:
+        inner[0].low, inner[-1].high = float("-inf"), float("inf")
     return bins
 
 
@@ -169,12 +189,12 @@ def category_table(df: DataFrame, column: str, label: str, most: int = MAX_CATEG
     out = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("category")).agg(
         F.count(F.lit(1)).alias("cnt"), F.sum((F.col(label) == 1).cast("int")).alias("bad"), F.sum((F.col(label) == 0).cast("int")).alias("good")
     )
-    whole = Window.partitionBy()
-    n = F.count(F.lit(1)).over(whole)
-    base = F.log((F.sum("bad").over(whole) + 0.5) / (F.sum("good").over(whole) + 0.5))
-    return out.withColumn("_n", n).select(
-        "category", F.when(F.col("_n") <= most, F.col("cnt")).otherwise(F.raise_error(F.lit("too many categories")).cast("long")).alias("cnt"),
-        "bad", "good", (F.col("bad") / (F.col("cnt") + 0.5)).alias("mean"), (F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - base).alias("woe"),
+    n, bad, good = out.agg(F.count(F.lit(1)), F.sum("bad"), F.sum("good")).first()
+    if n > most:
+        raise ValueError(f"{column} has {n} categories")
+    base = F.lit(math.log(((bad or 0) + 0.5) / (good or 0.5)))
+    return out.select(
+        "category", "cnt", "bad", "good", (F.col("bad") / (F.col("cnt") + 0.5)).alias("mean"), (F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - base).alias("woe"),
     )
 
 

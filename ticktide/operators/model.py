@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -30,30 +31,55 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return won.agg(F.try_divide(F.sum("won"), 2 * F.sum("bad") * F.sum("good")).alias("auc"))
 
 
-def psi(df: DataFrame, bin_col: str, sample: str, base: str) -> DataFrame:
-    """Rows (sample, psi) of every other sample against `base`, counts raised by one half."""
+def psi(df: DataFrame, bin_col: str, sample: str, base: str | None = None) -> DataFrame:
+    """Rows (sample, psi) of every other sample against `base`, or of every sample against all rows; counts are raised by one half.
+
+    Bins that a sample lacks count with one half there.
+    """
     wide = df.groupBy(bin_col).pivot(sample).count().na.fill(0)
-    full = wide.unpivot([bin_col], [c for c in wide.columns if c != bin_col], sample, "count").withColumn("n", F.col("count") + 0.5)
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(sample))
-    full = full.withColumn("share", share)
-    ref = full.filter(F.col(sample) == base).select(bin_col, F.col("share").alias("ref"))
-    terms = full.filter(F.col(sample) != base).join(ref, bin_col)
+    names = [c for c in wide.columns if c != bin_col]
+    if base is None:
+        whole = sum((F.col(f"`{c}`") for c in names), F.lit(0))
+        wide = wide.withColumn("_ref", whole)
+    else:
+        wide = wide.withColumn("_ref", F.col(f"`{base}`"))
+    full = wide.unpivot([bin_col, "_ref"], [c for c in names if c != base], sample, "count")
+    own = Window.partitionBy(sample)
+    share, ref = ((F.col(c) + 0.5) / F.sum(F.col(c) + 0.5).over(own) for c in ("count", "_ref"))
+    terms = full.select(sample, share.alias("share"), ref.alias("ref"))
     return terms.groupBy(sample).agg(F.sum((F.col("share") - F.col("ref")) * F.log(F.col("share") / F.col("ref"))).alias("psi"))
 
 
+def largest_psi(df: DataFrame, bin_col: str, sample: str) -> DataFrame:
+    """One row: the largest index of a sample against all rows."""
+    return psi(df, bin_col, sample).agg(F.max("psi").alias("psi"))
+
+
 def entropy(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: the entropy of the columns' joint distribution, in nats."""
+    """One row: the entropy of the columns' joint distribution, in nats: log n - sum(c log c) / n over the counts c."""
     counts = df.groupBy(*columns).count()
-    share = F.col("count") / F.sum("count").over(Window.partitionBy())
-    return counts.withColumn("p", share).agg((-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
+    n = F.sum("count")
+    return counts.agg((F.log(n) - F.sum(F.col("count") * F.log("count")) / n).alias("entropy"))
+
+
+def _signed_entropies(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """One row: entropies of all subsets of the columns, summed with signs that alternate by size, the whole set's negative.
+
+    One pass over the joint counts by grouping sets, so no group of all rows meets in one task.
+    """
+    named = {c: f"_k{i}" for i, c in enumerate(columns)}
+    joint = df.select(*[F.col(c).alias(k) for c, k in named.items()]).groupBy(*named.values()).agg(F.count(F.lit(1)).alias("_n"))
+    columns = list(named.values())
+    sets = [list(s) for k in range(1, len(columns) + 1) for s in combinations(columns, k)]
+    counts = joint.groupingSets(sets, *columns).agg(F.sum("_n").alias("c"), F.grouping_id().alias("g"))
+    n = F.sum("c")
+    each = counts.groupBy("g").agg((F.log(n) - F.sum(F.col("c") * F.log("c")) / n).alias("h"))
+    return each.agg(F.sum(F.when(F.bit_count("g") % 2 == 0, -F.col("h")).otherwise(F.col("h"))).alias(name))
 
 
 def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: the mutual information of two columns, in nats."""
-    joint = df.groupBy(a, b).count()
-    n, na, nb = (F.sum("count").over(Window.partitionBy(*c)) for c in ([], [a], [b]))
-    p = joint.select("count", n.alias("n"), na.alias("na"), nb.alias("nb"))
-    return p.agg(F.sum(F.col("count") / F.col("n") * F.log(F.col("count") * F.col("n") / (F.col("na") * F.col("nb")))).alias("mutual_information"))
+    return _signed_entropies(df, [a, b], "mutual_information")
 
 
 def lift(df: DataFrame, bin_col: str, label: str) -> DataFrame:
@@ -195,19 +221,14 @@ def tsi(df: DataFrame, column: str, label: str, sample: str, bins: list[binning.
 def score_bands(df: DataFrame, score: str, label: str, parts: int = 10) -> DataFrame:
     """Rows (bin_name, bin, cnt, mean_<label>, lift) of equal-frequency bands of a score."""
     bands = binning.bin_table(df, score, [label], parts)
-    whole = Window.partitionBy()
-    rate = F.sum(F.col(f"mean_{label}") * F.col("cnt")).over(whole) / F.sum("cnt").over(whole)
-    return bands.withColumn("lift", F.try_divide(F.col(f"mean_{label}"), rate))
+    rate = df.filter(F.col(score).isNotNull()).agg(F.avg(label)).first()[0]
+    return bands.withColumn("lift", F.try_divide(F.col(f"mean_{label}"), F.lit(rate).cast("double")))
 
 
 def interaction(df: DataFrame, a: str, b: str, c: str) -> DataFrame:
     """One row: the interaction information of three columns, in nats: H(abc) signs with pairs and singles."""
-    cube = df.groupBy(a, b, c).count()
-    total = F.sum("count").over(Window.partitionBy())
-    names = [[a], [b], [c], [a, b], [a, c], [b, c]]
-    wide = cube.select("count", total.alias("n"), *[F.sum("count").over(Window.partitionBy(*g)).alias(f"g{k}") for k, g in enumerate(names)])
-    term = F.log("count") - sum((F.log(f"g{k}") for k in (3, 4, 5)), F.lit(0.0)) + sum((F.log(f"g{k}") for k in (0, 1, 2)), F.lit(0.0)) - F.log("n")
-    return wide.agg(F.sum(F.col("count") / F.col("n") * term).alias("interaction"))
+    return _signed_entropies(df, [a, b, c], "interaction")
+
 
 
 def cross_validated_angles(df: DataFrame, used: list[str], more: list[str], label: str, key: str, folds: int = 3) -> dict[str, float]:

@@ -27,6 +27,11 @@ def running(by: Names, order: Names) -> WindowSpec:
     return series(by, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def backwards(by: Names, order: Names) -> WindowSpec:
+    """From a series' end to the current row, so a value over all later rows is a running one."""
+    return Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def lag_reset(df: DataFrame, by: Names, order: Names, prices: Names, volumes: Names, step: int = 1) -> DataFrame:
     """`<c>_last`: the value `step` rows before; at a series' start a price keeps itself, a volume is 0."""
     w = series(by, order)
@@ -45,7 +50,7 @@ def forward_fill(column: Column, by: Names, order: Names) -> Column:
 
 
 def backward_fill(column: Column, by: Names, order: Names) -> Column:
-    return F.first(column, ignorenulls=True).over(series(by, order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return F.last(column, ignorenulls=True).over(backwards(by, order))
 
 
 def wave_id(df: DataFrame, by: Names, order: Names, cond: str, name: str = "wave") -> DataFrame:
@@ -89,8 +94,7 @@ def stable_run(df: DataFrame, by: Names, order: Names, stable: str) -> DataFrame
     by = list(by)
     df = df.withColumn("_place", (F.row_number().over(series(by, order)) - 1).cast("long"))
     broken = F.when(~F.col(stable), F.col("_place"))
-    ahead = series(by, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    df = df.withColumns({"last_unstable": F.max(broken).over(running(by, order)), "next_unstable": F.min(broken).over(ahead)})
+    df = df.withColumns({"last_unstable": F.max(broken).over(running(by, order)), "next_unstable": F.min(broken).over(backwards(by, order))})
     return df.withColumns({"since_unstable": F.col("_place") - F.col("last_unstable"), "until_unstable": F.col("next_unstable") - F.col("_place")}).drop("_place")
 
 
@@ -109,7 +113,7 @@ def phases(df: DataFrame, by: Names, order: Names, step: int) -> DataFrame:
 
 def drawdown(column: Column, by: Names, order: Names) -> Column:
     """How far `column` will yet fall below its present value."""
-    return column - F.min(column).over(series(by, order).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return column - F.min(column).over(backwards(by, order))
 
 
 def lags(df: DataFrame, by: Names, order: Names, columns: Names, steps: int) -> DataFrame:

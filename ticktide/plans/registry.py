@@ -84,6 +84,18 @@ def bars_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.bars(t, ["day", "bucket"], ORDER, "px", "vol")
 
 
+@query("bars_by_tick_period", """
+    SELECT symbol, day, CAST(floor((2 * (epoch_us(ts) / 1e6 - floor(epoch_us(ts) / 864e8) * 86400) - 1) / 1800) AS INT) AS bucket, arg_min(px, (ts, event_id)) AS open, max(px) AS high,
+           min(px) AS low, arg_max(px, (ts, event_id)) AS close, count(*) AS n_ticks, CAST(sum(vol) AS BIGINT) AS volume
+    FROM $TICKS GROUP BY ALL
+""")
+def bars_by_tick_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of 1,800 half-second ticks of a day."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    t = ticks(spark, sf_dir).withColumn("bucket", bars.tick_bucket(seconds - F.floor(seconds / 86400) * 86400, 1800))
+    return bars.bars(t, [*DAY, "bucket"], ORDER, "px", "vol")
+
+
 @query("bars_by_symbol", """
     SELECT symbol, day, CAST(floor(epoch_us(ts) / 36e8) AS BIGINT) AS bucket, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low,
            arg_max(px, (ts, event_id)) AS close, count(*) AS n_ticks, CAST(sum(vol) AS BIGINT) AS volume, CAST(sum(px * vol) AS BIGINT) AS amount
@@ -491,7 +503,7 @@ def bins_woe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("category_woe", """
     WITH c AS (SELECT l_linestatus AS category, count(*) AS cnt, sum((l_returnflag = 'R')::INT)::BIGINT AS bad, sum((l_returnflag <> 'R')::INT)::BIGINT AS good FROM lineitem GROUP BY 1)
-    SELECT category, cnt, bad, good, round(bad / (cnt + 0.5), 6) AS mean, round(ln((bad + 0.5) / (good + 0.5)) - ln((sum(bad) OVER () + 0.5) / (sum(good) OVER () + 0.5)), 6) AS woe FROM c
+    SELECT category, cnt, bad, good, round(bad / (cnt + 0.5), 6) AS mean, round(ln((bad + 0.5) / (good + 0.5)) - ln((sum(bad) OVER () + 0.5) / sum(good) OVER ()), 6) AS woe FROM c
 """)
 def category_woe(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("y"))
@@ -526,6 +538,18 @@ def psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.psi(ticks(spark, sf_dir).withColumn("bin", F.col("px") % 10), "bin", "symbol", "click").withColumn("psi", F.round("psi", 6))
 
 
+@query("psi_largest", """
+    WITH g AS (SELECT unnest(range(0, 10)) AS bin), s AS (SELECT DISTINCT symbol FROM $TICKS),
+    c AS (SELECT bin, symbol, count(t.px) + 0.5 AS n FROM g CROSS JOIN s LEFT JOIN (SELECT px % 10 AS b, symbol AS sy, px FROM $TICKS) AS t ON t.b = bin AND t.sy = symbol GROUP BY ALL),
+    w AS (SELECT px % 10 AS bin, count(*) + 0.5 AS n FROM $TICKS GROUP BY 1),
+    p AS (SELECT bin, symbol, n / sum(n) OVER (PARTITION BY symbol) AS share FROM c), r AS (SELECT bin, n / sum(n) OVER () AS share FROM w),
+    i AS (SELECT symbol, sum((p.share - r.share) * ln(p.share / r.share)) AS psi FROM p JOIN r USING (bin) GROUP BY 1)
+    SELECT round(max(psi), 6) AS psi FROM i
+""")
+def psi_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.largest_psi(ticks(spark, sf_dir).withColumn("bin", F.col("px") % 10), "bin", "symbol").withColumn("psi", F.round("psi", 6))
+
+
 @query("mutual_information", """
     WITH j AS (SELECT symbol, vol % 4 AS v, count(*)::DOUBLE AS c FROM $TICKS GROUP BY ALL), t AS (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY symbol) AS a, sum(c) OVER (PARTITION BY v) AS b FROM j)
     SELECT round(sum(c / n * ln(c * n / (a * b))), 6) AS mutual_information FROM t
@@ -739,11 +763,24 @@ def interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.interaction(t, "symbol", "b", "c").select(F.round("interaction", 6).alias("interaction"))
 
 
-@query("spaced_backtest")
+@query("spaced_backtest", f"""
+    WITH RECURSIVE s AS (
+        SELECT *, CASE WHEN r IS NULL OR NOT cond THEN 0 ELSE event_id % 3 - 1 END AS signal, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS p FROM {PLAYS_SQL}
+    ),
+    c AS (SELECT symbol, p FROM s WHERE signal <> 0),
+    walk AS (
+        SELECT symbol, min(p) AS p FROM c GROUP BY symbol
+        UNION ALL
+        SELECT w.symbol, (SELECT min(c.p) FROM c WHERE c.symbol = w.symbol AND c.p >= w.p + 10) AS p FROM walk AS w WHERE w.p IS NOT NULL
+    ),
+    t AS (SELECT s.symbol, s.p, w.p IS NOT NULL AS taken, CASE WHEN w.p IS NOT NULL THEN sign(signal) * r END AS y FROM s LEFT JOIN walk AS w USING (symbol, p))
+    SELECT symbol, count(y) AS n_plays, sum(y)::BIGINT AS r_sum, round(avg(y), 4) AS r_mean, count_if(taken) AS exch_count, round(avg(taken::INT), 6) AS exch_ratio FROM t GROUP BY symbol
+""")
 def spaced_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Non-overlapping plays per series; the greedy choice has its SQL twin in `jump`."""
+    """Non-overlapping plays per series."""
     t = plays(spark, sf_dir).withColumn("signal", F.when(F.col("cond"), F.col("event_id") % 3 - 1).otherwise(0))
-    return backtest.spaced_backtest(t, BY, ORDER, "signal", "r", 10)
+    out = backtest.spaced_backtest(t, BY, ORDER, "signal", "r", 10)
+    return out.select("symbol", "n_plays", "r_sum", F.round("r_mean", 4).alias("r_mean"), F.col("exch_count").cast("long").alias("exch_count"), F.round("exch_ratio", 6).alias("exch_ratio"))
 
 
 @query("scorecard")
