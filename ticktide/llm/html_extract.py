@@ -2,15 +2,20 @@
 
 A page is cut into text blocks at its block-level tags. A block is described by its number of
 words and its link density (the share of its words inside links), by the same of the blocks
-before and after it, by what encloses it (-1 for navigation, footers, sidebars, notices, adverts,
-forms and comments, 1 for article bodies, 0 for neither) and by whether it is a heading. A decision
-tree, trained by Spark ML on the small labelled table below, keeps or drops each block.
+before and after it, and by weak hints of the markup: how many enclosing elements name something
+beside the text (navigation, footers, sidebars, notices, adverts, forms, comments; counted from the
+innermost article on, two at most), whether an article or main element holds it, whether it is a
+heading, and which share of the page's words has no hint of being beside the text: where a wrapper
+marks the whole page, the hint says nothing and length and links decide. A decision tree, trained by
+Spark ML on the labelled pages below, keeps or drops each block.
 
 The page is read in one pass over its whole text, page by page inside a task; nothing is shuffled.
 
-Defined results: a null or empty page, or one without main text, gives the empty text; markup that
-is never closed ends with the page; broken character references stay as they are; repeated rows
-are extracted each; an empty table gives an empty table; other columns pass through.
+Defined results: a null or empty page, or one without main text, gives the empty text; a silent element
+(script, button and the like) ends at its end tag, and where that is missing, or another of its kind or a
+paragraph-like block begins first, there; a very long page is read whole; broken character references
+stay as they are; repeated rows are extracted each; an empty table gives an empty table; columns called
+text or n_chars are replaced, and all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +29,10 @@ import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticktide.llm.common import groups
+from ticktide.llm.common import col, groups, others
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
@@ -49,51 +55,50 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-# The labelled table. words, link density, words and density before, words and
-# density after, enclosure, heading -> kept.
-LABELLED: list[tuple[tuple[float, ...], int]] = [
-    # article bodies: prose of any length, headings, short paragraphs and lists
-    ((120, 0.00, 8, 0.0, 90, 0.00, 1, 0), 1), ((60, 0.05, 120, 0.0, 1, 0.00, 1, 0), 1), ((1, 0.00, 60, 0.05, 44, 0.0, 1, 0), 1),
-    ((8, 0.00, 5, 1.0, 120, 0.00, 1, 1), 1), ((3, 0.00, 2, 1.0, 2, 0.00, 1, 1), 1), ((2, 0.00, 3, 0.0, 12, 0.50, 1, 0), 1),
-    ((12, 0.25, 44, 0.0, 30, 0.10, 1, 0), 1), ((20, 0.40, 35, 0.0, 41, 0.00, 1, 0), 1), ((5, 0.00, 6, 0.0, 7, 0.00, 1, 0), 1),
-    ((1, 0.00, 1, 1.0, 9, 0.20, 1, 0), 1), ((33, 0.10, 1, 1.0, 0, 0.00, 1, 0), 1), ((4, 0.00, 0, 0.0, 0, 0.00, 1, 0), 1),
-    ((200, 0.02, 1, 0.0, 1, 0.00, 1, 0), 1), ((15, 0.00, 80, 0.1, 4, 1.00, 1, 0), 1), ((7, 0.30, 50, 0.0, 50, 0.00, 1, 0), 1),
-    # link lists inside article bodies
-    ((3, 1.00, 60, 0.0, 4, 1.00, 1, 0), 0), ((6, 0.90, 3, 1.0, 5, 1.00, 1, 0), 0), ((1, 1.00, 1, 1.0, 0, 0.00, 1, 0), 0),
-    ((9, 0.80, 100, 0.0, 9, 0.90, 1, 0), 0), ((2, 1.00, 9, 0.9, 30, 0.00, 1, 0), 0),
-    # what stands in menus, footers, sidebars, notices, adverts, forms and comments, at any length
-    ((1, 1.00, 1, 1.0, 1, 1.00, -1, 0), 0), ((90, 0.00, 60, 0.0, 0, 0.00, -1, 0), 0), ((14, 0.00, 1, 0.0, 20, 0.00, -1, 0), 0),
-    ((8, 0.00, 1, 1.0, 12, 0.00, -1, 0), 0), ((6, 0.00, 90, 0.0, 40, 0.00, -1, 1), 0), ((45, 0.10, 6, 0.0, 120, 0.00, -1, 0), 0),
-    ((200, 0.00, 150, 0.0, 90, 0.00, -1, 0), 0), ((25, 0.30, 9, 0.0, 8, 0.00, -1, 0), 0), ((2, 0.00, 30, 0.0, 30, 0.00, -1, 0), 0),
-    ((30, 0.00, 2, 0.0, 2, 0.00, -1, 0), 0), ((4, 0.00, 60, 0.0, 0, 0.00, -1, 1), 0), ((11, 0.00, 70, 0.0, 70, 0.00, -1, 0), 0),
-    # neither: prose by length and few links
-    ((40, 0.00, 5, 0.0, 60, 0.00, 0, 0), 1), ((70, 0.10, 40, 0.0, 3, 1.00, 0, 0), 1), ((25, 0.00, 2, 1.0, 4, 0.00, 0, 0), 1),
-    ((150, 0.20, 0, 0.0, 0, 0.00, 0, 0), 1), ((18, 0.00, 30, 0.0, 25, 0.00, 0, 0), 1), ((22, 0.15, 3, 1.0, 28, 0.00, 0, 0), 1),
-    ((35, 0.25, 50, 0.1, 2, 1.00, 0, 0), 1), ((16, 0.05, 1, 0.0, 90, 0.10, 0, 0), 1),
-    # neither: short blocks between prose, and headings before it
-    ((6, 0.00, 40, 0.0, 60, 0.00, 0, 0), 1), ((3, 0.00, 70, 0.1, 25, 0.00, 0, 0), 1), ((1, 0.00, 30, 0.0, 30, 0.00, 0, 0), 1),
-    ((5, 0.00, 2, 1.0, 60, 0.00, 0, 1), 1), ((9, 0.00, 4, 0.0, 45, 0.00, 0, 1), 1), ((4, 0.00, 30, 0.0, 20, 0.10, 0, 1), 1),
-    # neither: labels, link lists and stubs away from prose
-    ((3, 0.00, 2, 1.0, 3, 1.00, 0, 0), 0), ((1, 1.00, 1, 1.0, 40, 0.00, 0, 0), 0), ((5, 0.60, 60, 0.0, 4, 0.80, 0, 0), 0),
-    ((7, 0.00, 0, 0.0, 5, 0.00, 0, 0), 0), ((4, 0.00, 70, 0.0, 0, 0.00, 0, 0), 0), ((30, 0.90, 40, 0.0, 20, 0.80, 0, 0), 0),
-    ((2, 0.00, 0, 0.0, 1, 1.00, 0, 1), 0), ((6, 0.00, 60, 0.0, 3, 1.00, 0, 1), 0), ((20, 0.70, 3, 1.0, 50, 0.00, 0, 0), 0),
-    ((8, 0.00, 1, 1.0, 2, 0.00, 0, 0), 0), ((5, 0.00, 3, 1.0, 50, 0.00, 0, 0), 0), ((50, 0.60, 6, 0.0, 6, 0.00, 0, 0), 0),
+# Labelled pages. A block is (words, linked words, hints, in an article, heading, kept).
+LABELLED: list[list[tuple[int, int, int, int, int, int]]] = [
+    # menu, advert, article with headings and short paragraphs, footer
+    [(1, 1, 1, 0, 0, 0)] * 6 + [(8, 0, 1, 0, 0, 0), (9, 0, 0, 1, 1, 1), (9, 0, 0, 1, 0, 1), (60, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1), (44, 3, 0, 1, 0, 1), (3, 0, 0, 1, 0, 1), (7, 0, 1, 0, 0, 0)],
+    [(1, 1, 1, 0, 0, 0)] * 4 + [(14, 0, 1, 0, 0, 0), (2, 0, 0, 1, 1, 1), (2, 0, 0, 1, 0, 1), (10, 0, 0, 1, 0, 1), (120, 0, 0, 1, 0, 1), (5, 0, 1, 0, 0, 0)],
+    [(1, 1, 1, 0, 0, 0)] * 5 + [(9, 0, 1, 0, 0, 0), (1, 0, 0, 1, 1, 1), (1, 0, 0, 1, 0, 1), (9, 0, 1, 0, 0, 0)],
+    # the same with a list, a link list in the article, comments behind it
+    [(2, 2, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0), (6, 0, 0, 1, 1, 1), (80, 4, 0, 1, 0, 1), (4, 0, 0, 1, 0, 1), (6, 1, 0, 1, 0, 1), (5, 0, 0, 1, 0, 1), (35, 10, 0, 1, 0, 1), (3, 3, 0, 1, 0, 0), (4, 4, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0),
+     (2, 0, 1, 0, 1, 0), (3, 0, 2, 0, 0, 0), (45, 0, 2, 0, 0, 0), (3, 0, 2, 0, 0, 0), (60, 2, 2, 0, 0, 0), (12, 0, 1, 0, 0, 0)],
+    # comments and a notice inside the article element
+    [(5, 0, 1, 0, 0, 0), (30, 2, 1, 0, 0, 0), (7, 0, 0, 1, 1, 1), (90, 2, 0, 1, 0, 1), (20, 0, 1, 1, 0, 0), (70, 0, 0, 1, 0, 1), (2, 0, 1, 1, 1, 0), (40, 0, 1, 1, 0, 0), (55, 0, 1, 1, 0, 0), (8, 0, 1, 0, 0, 0)],
+    # no hints at all: menu, title, prose with a caption, links, imprint
+    [(1, 1, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (7, 0, 0, 0, 1, 1), (45, 0, 0, 0, 0, 1), (70, 5, 0, 0, 0, 1), (8, 0, 0, 0, 0, 1), (52, 0, 0, 0, 0, 1), (3, 3, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (6, 0, 0, 0, 0, 0)],
+    [(12, 12, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (5, 0, 0, 0, 1, 1), (30, 0, 0, 0, 0, 1), (4, 0, 0, 0, 1, 1), (95, 8, 0, 0, 0, 1), (18, 0, 0, 0, 0, 1), (25, 2, 0, 0, 0, 1), (2, 0, 0, 0, 1, 0), (5, 5, 0, 0, 0, 0), (6, 6, 0, 0, 0, 0), (9, 2, 0, 0, 0, 0)],
+    [(4, 4, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (150, 0, 0, 0, 0, 1), (35, 30, 0, 0, 0, 0), (7, 1, 0, 0, 0, 0)],
+    [(2, 0, 0, 0, 0, 0), (6, 6, 0, 0, 0, 0), (22, 1, 0, 0, 0, 1), (40, 0, 0, 0, 0, 1), (3, 0, 0, 0, 0, 1), (28, 0, 0, 0, 0, 1), (60, 45, 0, 0, 0, 0), (4, 0, 0, 0, 0, 0)],
+    # articles that end the page, or are all of it
+    [(60, 0, 0, 1, 0, 1)], [(3, 0, 0, 1, 0, 1)], [(1, 0, 0, 1, 0, 1), (4, 0, 0, 1, 0, 1)], [(30, 0, 0, 0, 0, 1)], [(70, 3, 0, 0, 0, 1), (40, 0, 0, 0, 0, 1)],
+    [(1, 1, 1, 0, 0, 0), (6, 0, 0, 1, 1, 1), (2, 0, 0, 1, 0, 1)], [(3, 3, 0, 0, 0, 0), (20, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1)], [(24, 0, 0, 1, 0, 1), (30, 0, 1, 1, 0, 0), (2, 0, 0, 1, 0, 1)],
+    [(6, 0, 0, 0, 1, 1), (28, 0, 0, 0, 0, 1), (90, 4, 0, 0, 0, 1)], [(25, 0, 0, 0, 0, 1), (24, 0, 1, 0, 0, 0)],
+    # a wrapper that hints all over the page: length and links decide
+    [(1, 1, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0), (6, 0, 1, 0, 1, 1), (60, 0, 1, 0, 0, 1), (45, 3, 1, 0, 0, 1), (80, 0, 1, 0, 0, 1), (5, 5, 1, 0, 0, 0), (6, 0, 1, 0, 0, 0)],
+    [(3, 3, 1, 0, 0, 0), (3, 3, 1, 0, 0, 0), (75, 4, 1, 0, 0, 1), (5, 0, 1, 0, 0, 1), (33, 0, 1, 0, 0, 1), (4, 4, 1, 0, 0, 0), (30, 26, 1, 0, 0, 0), (5, 0, 1, 0, 0, 0)],
+    [(2, 2, 1, 0, 0, 0), (60, 0, 1, 0, 0, 1), (5, 0, 1, 0, 0, 0)],
+    [(1, 1, 2, 0, 0, 0), (5, 0, 2, 0, 1, 1), (55, 0, 2, 0, 0, 1), (42, 0, 2, 0, 0, 1), (3, 3, 2, 0, 0, 0)],
+    # prose without hints beside hinted prose: the latter is a sidebar or comments
+    [(2, 2, 1, 0, 0, 0), (6, 0, 0, 0, 1, 1), (66, 2, 0, 0, 0, 1), (48, 0, 0, 0, 0, 1), (3, 0, 1, 0, 1, 0), (50, 0, 1, 0, 0, 0), (41, 0, 1, 0, 0, 0), (7, 0, 1, 0, 0, 0)],
+    [(90, 0, 0, 0, 0, 1), (10, 0, 0, 0, 0, 1), (30, 0, 0, 0, 0, 1), (62, 3, 1, 0, 0, 0), (2, 0, 2, 0, 0, 0), (38, 0, 2, 0, 0, 0)],
 ]
 
-# Short blocks of an article are text whatever their neighbours are.
-LABELLED += [
-    ((words, 0.0, before, density, after, 0.0, 1, heading), 1)
-    for words in (1, 2, 3, 6, 10) for before, density in ((0, 0.0), (1, 1.0), (3, 0.0), (12, 0.0), (80, 0.0)) for after in (0, 2, 5, 14, 90) for heading in (0, 1)
-]
+#: A class or id with one of these before it says what a page has, not what the element is; one with one of those behind it is a page's frame.
+BEFORE, BEHIND = frozenset("has with no is without".split()), frozenset("layout page template grid theme".split())
+#: Blocks whose begin ends an unclosed button or menu.
+OPENING = frozenset("p article main section h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre nav header footer aside form".split())
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, linked words, enclosure, heading) of each block with text, in page order."""
-    out: list[tuple[str, int, int, int, int]] = []
-    open_: list[tuple[str, int, bool]] = []  # tag, enclosure outside it, whether it began a heading
-    state, heading, links, silent = 0, 0, 0, ""
+def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
+    """(text, words, linked words, hints, in an article, heading) of each block with text, in page order."""
+    out: list[tuple[str, int, int, int, int, int]] = []
+    open_: list[tuple[str, tuple[int, int]]] = []  # tag, (hints, in an article) outside it
+    state, heading, links, articles = (0, 0), 0, 0, 0
     parts: list[str] = []
     linked: list[bool] = []
+    endless: set[str] = set()  # silent tags without a further end tag
 
     def close() -> None:
         if parts:
@@ -101,12 +106,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             if text:
                 inside = sum(len(html.unescape(p).split()) for p, a in zip(parts, linked, strict=True) if a)
                 words = text.count(" ") + 1
-                out.append((text, words, min(inside, words), state, heading))
+                out.append((text, words, min(inside, words), min(state[0], 2), state[1], heading))
             parts.clear()
             linked.clear()
 
     def add(text: str) -> None:
-        if text and not silent:
+        if text:
             parts.append(text)
             linked.append(links > 0)
 
@@ -117,23 +122,11 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         if not m[2]:
             continue
         tag = m[2].lower()
-        if silent:
-            if m[1] and tag == silent:
-                silent = ""
-            elif silent == "head" and (tag == "body" or tag in ASIDE_TAGS or tag in ("article", "main", "div", "p")):
-                silent = ""
-            else:
-                if silent == "head" and tag in RAW and not m[1]:
-                    at = _after(page, at, tag)
-                continue
         if tag in SILENT:
             if not m[1]:
                 if tag not in ("button", "select"):
                     close()
-                if tag in RAW:
-                    at = _after(page, at, tag)
-                else:
-                    silent = tag
+                at = _behind(page, at, tag, endless)
             continue
         if tag == "a":
             links = max(0, links + (-1 if m[1] else 1))
@@ -152,45 +145,73 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             heading = 0
         elif tag not in VOID:
             if tag not in ("p", "li", "td", "th", "tr", "dt", "dd", "html", "body", "option") or _NAMES.search(m[3]):
-                open_.append((tag, state, tag in HEADINGS))
-            state = _enclosure(tag, m[3], state)
+                open_.append((tag, state))
+            state = _hinted(tag, m[3], state, not articles and not any(t in ASIDE_TAGS for t, _ in open_))
+            articles += tag == "article"
             heading = int(tag in HEADINGS)
     add(page[at:])
     close()
     return out
 
 
-def _after(page: str, at: int, tag: str) -> int:
-    """Behind the end tag of a raw element, or at the end of the page."""
-    end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
-    return end.end() if end else len(page)
-
+def _behind(page: str, at: int, tag: str, endless: set[str]) -> int:
+    """The place behind a silent element that begins before `at`.
 
-def _enclosure(tag: str, attributes: str, state: int) -> int:
-    if tag == "main":
-        return 1
-    if tag in ASIDE_TAGS or tag == "header" and state < 1:
-        return -1
-    if tag == "article":
-        return state or 1
+    It ends at its end tag; where that is missing, or for a button or menu where another one or a
+    paragraph-like block begins first, it ends there.
+    """
+    loose = tag in ("button", "select") or tag in endless
+    while (m := _TOKEN.search(page, at)) is not None:
+        own = (m[2] or "").lower()
+        if own == tag and m[1]:
+            return m.end()
+        if loose and not m[1] and (own in OPENING or own == tag or tag in endless and own and own not in INLINE and own not in SILENT):
+            return m.start()
+        if tag == "head" and not m[1] and (own in OPENING or own in ("body", "div")):
+            return m.start()
+        if not loose:  # straight to the end tag
+            end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at) if tag != "head" else None
+            if end:
+                return end.end()
+            if tag != "head":
+                endless.add(tag)
+                loose = True
+                continue
+        at = m.end() if not (tag == "head" and own in RAW and not m[1]) else _behind(page, m.end(), own, endless)
+    return len(page)
+
+
+def _hinted(tag: str, attributes: str, state: tuple[int, int], first: bool) -> tuple[int, int]:
+    """(hints, in an article) inside an element, from those outside it; the page's first article shakes off those of its frame."""
+    words: set[str] = set()
+    for value in _NAMES.findall(attributes) if attributes else ():
+        for name in value.strip("\"'").split():
+            own = [w.lower() for w in _PARTS.findall(name)]
+            if own and own[0] not in BEFORE and own[-1] not in BEHIND:
+                words.update(own)
+    aside = bool(words & ASIDE_WORDS)
+    if tag in ("main", "article") and not aside:
+        return (0 if tag == "main" or first else state[0]), 1
     if tag in ("html", "body"):
         return state
-    words = {w.lower() for value in _NAMES.findall(attributes) for w in _PARTS.findall(value)} if attributes else set()
-    if words & ASIDE_WORDS:
-        return -1
-    return 1 if state == 0 and words & MAIN_WORDS else state
+    if tag in ASIDE_TAGS or tag == "header" and not state[1] or aside:
+        return state[0] + 1, state[1]
+    return state[0], int(bool(state[1] or state[0] == 0 and words & MAIN_WORDS))
 
 
-def features(found: list[tuple[str, int, int, int, int]]) -> list[tuple[float, ...]]:
-    size = [(float(w), k / w) for _, w, k, _, _ in found]
+def features(found: list[tuple[int, int, int, int, int]]) -> list[tuple[float, ...]]:
+    """Of each block (words, linked words, hints, in an article, heading) of a page: its own and its neighbours' size, and hints."""
+    size = [(float(w), k / w) for w, k, *_ in found]
     edge = [(0.0, 0.0)]
-    return [(*now, *before, *after, float(b[3]), float(b[4])) for now, before, after, b in zip(size, edge + size, size[1:] + edge, found, strict=False)]
+    clear = sum(b[0] - b[1] for b in found if not b[2]) / max(1, sum(b[0] - b[1] for b in found))
+    return [(*now, *before, *after, float(b[2]), float(b[3]), float(b[4]), clear) for now, before, after, b in zip(size, edge + size, size[1:] + edge, found, strict=False)]
 
 
-def train(spark: SparkSession, labelled: list[tuple[tuple[float, ...], int]] = LABELLED) -> Any:
+def train(spark: SparkSession, labelled: list[list[tuple[int, int, int, int, int, int]]] = LABELLED) -> Any:
     """The tree as nested (feature, threshold, at most, above) with 0 or 1 at the leaves."""
-    rows = spark.createDataFrame([(Vectors.dense(x), float(y)) for x, y in labelled], ["features", "label"]).coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=7, maxBins=64, minInstancesPerNode=1, seed=5).fit(rows)
+    rows = [(Vectors.dense(x), float(b[5])) for page in labelled for x, b in zip(features([b[:5] for b in page]), page, strict=True)]
+    frame = spark.createDataFrame(rows, ["features", "label"]).coalesce(1)
+    model = DecisionTreeClassifier(maxDepth=8, maxBins=128, minInstancesPerNode=1, seed=5).fit(frame)
 
     def export(node: Any) -> Any:
         if node.getClass().getSimpleName() == "LeafNode":
@@ -209,20 +230,22 @@ def keeps(tree: Any, x: tuple[float, ...]) -> bool:
 
 def main_text(page: str | None, tree: Any) -> str:
     found = blocks(page or "")
-    return "\n".join(b[0] for b, x in zip(found, features(found), strict=True) if keeps(tree, x))
+    return "\n".join(b[0] for b, x in zip(found, features([b[1:] for b in found]), strict=True) if keeps(tree, x))
 
 
 def extract(pages: DataFrame, html_col: str = "html", tree: Any = None) -> DataFrame:
     """All columns of `pages` but the html, with text and n_chars (replacing columns of these names)."""
     tree = train(pages.sparkSession) if tree is None else tree
-    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    kept = others(pages, [html_col, "text", "n_chars"])
+    heads = [f"c{i}" for i in range(len(kept))]
+    schema = T.StructType([T.StructField(h, pages.schema[c].dataType) for h, c in zip(heads, kept, strict=True)] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in groups(batch):
                 texts = [main_text(p, tree) for p in part.column(len(kept)).to_pylist()]
                 own = [part.column(i) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return pages.select(*kept, html_col).mapInArrow(run, schema)
+    out = pages.select(*[col(c).alias(h) for c, h in zip(kept, heads, strict=True)], col(html_col).alias("html")).mapInArrow(run, schema)
+    return out.select(*[F.col(h).alias(c) for c, h in zip(kept, heads, strict=True)], "text", "n_chars")
