@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over `documents`, each one operator of ticktide.llm.
 
 Every stage works on all that its predecessor kept. All but the last return the columns of
-`documents`; the last returns the packed pieces with their token ids.
+`documents`, further ones too, whatever their names; the last returns the packed pieces with their token
+ids. Nulls in any column, empty and very long texts, repeated rows and empty tables are defined by each
+stage's operator: a document without text is rejected by the first stage.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ticktide.llm.common import shared_dir
+from ticktide.llm.common import remove, shared_dir
 from ticktide.llm.exact_dedup import exact_dedup
 from ticktide.llm.near_jaccard import near_jaccard_dedup
 from ticktide.llm.packing import pack
@@ -51,11 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written to the shared folder and read again."""
+    """All stages in order; each result is written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the last stays, since the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = f"{place}/{k}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:
+            remove(spark, f"{place}/{k - 1}")
     return docs

@@ -14,7 +14,8 @@ shuffle, memory is bounded by a block (plus a single document), and a lost task
 with the same result. Sequence ids are unique: input partition, block and place in the block.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are packed once
-each; an empty table gives no pieces; only the id and text columns are read.
+each; a very long text fills whole sequences of its own, its ids are held whole; an empty table gives no
+pieces; only the id and text columns are read, whatever else a table has.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ticktide.llm.common import groups, texts_of
+from ticktide.llm.common import col, groups, texts_of
 from ticktide.llm.tokens import chunk_tokenizer
 
 CAPACITY = 4096
@@ -120,5 +121,5 @@ def pack(
         if bodies:
             yield flush()
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

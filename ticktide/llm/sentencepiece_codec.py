@@ -17,8 +17,12 @@ that the space mark U+2581 itself comes back as a space.
 The piece file's scores come from merge ranks; the merge-order segmentation of its own library can
 differ from the best-scoring one, which is what is defined here.
 
+Held at a time: the texts of some hundred rows and their ids, the window of a search, and what is
+remembered of short stretches; a very long text is parted into its stretches whole.
+
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are
-encoded each; an empty table gives an empty table; only the id and text columns are read.
+encoded each; an empty table gives an empty table; only the id and text columns are read, whatever else
+a table has.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from ticktide.llm.common import groups
+from ticktide.llm.common import col, groups
 
 MARK = "▁"
 #: What an unknown character costs below the lowest score.
@@ -236,7 +240,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
