@@ -12,15 +12,15 @@ more. A pair of 0.8 differs in 15 % of all SimHash bits, which three bits of 64
 3. The segments form five groups of eight; in each, all pairs of segments are keys of 24 bits. A
    pair of texts meets if in some group two segments agree: by these chances 0.995 of the pairs of
    exactly 0.8, and more above.
-4. In a bucket, sketches with more than FAR differing bits are dropped (a pair of 0.8 has 19.4 of
-   them on average, with a deviation of 4). A bucket of few gives all its pairs; one of more than MANY
-   first gives the star of its most central sketch, and its members wait.
-5. Every pair is verified by the exact Jaccard similarity of its two texts, and the links of a task
+4. In a bucket, pairs are dropped whose sketches differ in more than FAR bits (a pair of 0.8 has 19.4
+   of them on average, with a deviation of 4), and those whose numbers of shingles are not within
+   THRESHOLD of each other, which is exact. A bucket of few gives all its pairs; one of more than MANY
+   first gives the star of its most central sketch, and its members wait. Of the distinct pairs those
+   go on whose 1,088 bits differ in no more than WIDE (four deviations above what a pair of 0.8 has).
+5. Every such pair is verified by the exact Jaccard similarity of its two texts, and the links of a task
    leave it as stars. The components they make label the members that wait; only pairs with different
-   labels can still join something, so only these are verified in a second turn, and of these only
-   the ones whose numbers of shingles are within THRESHOLD of each other (which is exact) and whose
-   1,088 bits differ in no more than WIDE (four deviations above what a pair of 0.8 has). A group of
-   near copies thus costs about a star.
+   labels can still join something, so only these go through the same tests in a second turn. A group
+   of near copies thus costs about a star.
 
 Words are parted at white space and lower-cased as bytes. Defined results: texts with one set of
 shingles are one node; a null or empty text has no shingles and is like others without any;
@@ -134,8 +134,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batch, 2000):
             found = np.frombuffer(b"".join(part.column(3).to_pylist()), dtype=np.int16).reshape(-1, SEGMENTS).astype(np.int64)
             keys = np.arange(len(pairs)) << 24 | found[:, pairs[:, 0]] << 12 | found[:, pairs[:, 1]]
-            others = [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), len(pairs))) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *others], ["key", "node", "s1", "s2"])
+            others = [pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), len(pairs))) for i in (0, 1, 2, 4)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *others], ["key", "node", "s1", "s2", "size"])
 
 
 def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -167,15 +167,33 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
+def _like(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can have a Jaccard similarity of THRESHOLD."""
+    return 10 * np.minimum(a, b).astype(np.int64) >= round(10 * THRESHOLD) * np.maximum(a, b).astype(np.int64)
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     return both[:, 0].copy(), both[:, 1].copy()
 
 
+def _near(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether all bits of two texts, the smaller with `least` shingles, are as like as those of a pair of THRESHOLD."""
+    return _gaps(a, b) <= np.where(least < SHORT, WIDE_SHORT, WIDE)
+
+
+def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (u, v, their bits, the smaller size), the pairs that can be links."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+        near = _near(a, b, batch.column(4).to_numpy(zero_copy_only=False))
+        yield batch.select(["u", "v"]).filter(pa.array(near))
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v) of nodes in one bucket whose sketches are near, and the members (key, u, s1, s2) of large buckets."""
     heads = ["key", "u", "v", "s1", "s2"]
-    for key, node, s1, s2 in whole_keys(batches):
+    for key, node, s1, s2, count in whole_keys(batches):
         sketch = np.stack([s1, s2], axis=1).view(np.uint64)
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         size = np.diff(np.append(starts, len(key)))
@@ -183,13 +201,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for step in range(1, int(min(size.max(), MANY))):
             i = np.flatnonzero((key[:-step] == key[step:]) & few[:-step])
-            i = i[_gaps(sketch[i], sketch[i + step]) <= FAR]
+            i = i[_like(count[i], count[i + step]) & (_gaps(sketch[i], sketch[i + step]) <= FAR)]
             a.append(i)
             b.append(i + step)
         for k in np.flatnonzero(size > MANY):
             at = np.arange(starts[k], starts[k] + size[k])
             lead = at[central(sketch[at])]
-            near = at[(_gaps(sketch[lead], sketch[at]) <= FAR) & (at != lead)]
+            near = at[_like(count[lead], count[at]) & (_gaps(sketch[lead], sketch[at]) <= FAR) & (at != lead)]
             a.append(np.full(len(near), lead))
             b.append(near)
         if a and len(x := np.concatenate(a)):
@@ -217,10 +235,9 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = high - first_after
                 i = np.repeat(place, n)
                 j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first_after, n)
-                low_size, high_size = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                near = (10 * low_size >= round(10 * THRESHOLD) * high_size) & (_gaps(sketch[i], sketch[j]) <= FAR)
+                near = _like(size[i], size[j]) & (_gaps(sketch[i], sketch[j]) <= FAR)
                 i, j = i[near], j[near]
-                near = _gaps(wide[i], wide[j]) <= np.where(low_size[near] < SHORT, WIDE_SHORT, WIDE)
+                near = _near(wide[i], wide[j], np.minimum(size[i], size[j]))
                 if near.any():
                     u, v = _pairs(node[i[near]], node[j[near]])
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -262,8 +279,8 @@ def near_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = partitions(docs.sparkSession)
     rows = cut(sketches(docs, id_col, text_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")).alias("first")
-    classes = rows.groupBy("node").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("indices").alias("indices"))
-    keyed = classes.select("node", "s1", "s2", "indices").mapInArrow(_keys, "key long, node long, s1 long, s2 long")
+    classes = rows.groupBy("node").agg(F.min("s1").alias("s1"), F.min("s2").alias("s2"), F.first("indices").alias("indices"), F.min("size").cast("int").alias("size"))
+    keyed = classes.select("node", "s1", "s2", "indices", "size").mapInArrow(_keys, "key long, node long, s1 long, s2 long, size int")
     found = cut(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_candidates, "key long, u long, v long, s1 long, s2 long"))
     waiting = found.filter("v IS NULL")
     wanted = found.select(F.explode(F.array("u", "v")).alias("node")).dropna().distinct()
@@ -277,10 +294,15 @@ def near_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = with_one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         return both.select("v", "u", "b", "a").mapInArrow(_verify, "u long, v long")
 
-    links = cut(links_of(found.filter("v IS NOT NULL").select("u", "v").distinct()))
+    bits = rows.groupBy("node").agg(F.min("size").alias("size"), F.min("wide").alias("wide"))
+    pairs = found.filter("v IS NOT NULL").select("u", "v").distinct()
+    for end, k in (("u", "1"), ("v", "2")):
+        pairs = pairs.join(bits.select(F.col("node").alias(end), F.col("size").alias(f"size{k}"), F.col("wide").alias(f"wide{k}")), end)
+    pairs = pairs.select("u", "v", "wide1", "wide2", F.least("size1", "size2").alias("least")).mapInArrow(_sieve, "u long, v long")
+    links = cut(links_of(pairs))
     roots = components(links)
     if not waiting.isEmpty():
-        of_node = rows.groupBy("node").agg(F.min("size").alias("size"), F.min("wide").alias("wide")).join(roots, "node", "left")
+        of_node = bits.join(roots, "node", "left")
         labelled = waiting.select("key", F.col("u").alias("node"), "s1", "s2").join(of_node, "node")
         labelled = labelled.select("key", F.coalesce("root", "node").alias("label"), "node", "size", "s1", "s2", "wide")
         rest = labelled.repartition(n, "key").sortWithinPartitions("key", "label").mapInArrow(_rest, "u long, v long")
