@@ -14,13 +14,13 @@ more. A pair of 0.8 differs in 15 % of all SimHash bits, which three bits of 64
    exactly 0.8, and more above.
 4. In a bucket, pairs are dropped whose sketches differ in more than FAR bits (a pair of 0.8 has 19.4
    of them on average, with a deviation of 4), and those whose numbers of shingles are not within
-   THRESHOLD of each other, which is exact. A bucket of few gives all its pairs; one of more than MANY
-   first gives the star of its most central sketch, and its members wait. Of the distinct pairs those
-   go on whose 1,088 bits differ in no more than WIDE (four deviations above what a pair of 0.8 has).
-5. Every such pair is verified by the exact Jaccard similarity of its two texts, and the links of a task
+   THRESHOLD of each other, which is exact. A bucket of two gives its pair; one of more than MANY
+   first gives the star of its most central sketch, with those that likely are links, and its members wait.
+5. Every pair is verified by the exact Jaccard similarity of its two texts, and the links of a task
    leave it as stars. The components they make label the members that wait; only pairs with different
-   labels can still join something, so only these go through the same tests in a second turn. A group
-   of near copies thus costs about a star.
+   labels can still join something, so only these are verified in a second turn, and of these only
+   the ones whose 1,088 bits differ in no more than WIDE. A group of near copies thus costs about a star.
+   FAR and WIDE lie four deviations above what a pair of 0.8 has.
 
 Words are parted at white space and lower-cased as bytes. Defined results: texts with one set of
 shingles are one node; a null or empty text has no shingles and is like others without any;
@@ -49,12 +49,14 @@ THRESHOLD = 0.8
 WORDS = 17
 SEGMENTS = 40
 GROUP = 8
-#: Differing bits of two 128-bit sketches.
-FAR = 41
-#: Differing bits of all 1,088, for texts of SHORT shingles or more and for shorter ones, whose bits turn more easily.
+#: Differing bits of two 128-bit sketches, for texts of SHORT shingles or more and for shorter ones, whose bits turn more easily.
+FAR, FAR_SHORT = 36, 42
+#: Up to so many differing bits of sketches a star takes a pair at once; the others of its bucket come in the second turn.
+LIKELY = 24
+#: The same as FAR for all 1,088 bits.
 WIDE, WIDE_SHORT, SHORT = 212, 256, 32
 #: Buckets of more give a star first.
-MANY = 8
+MANY = 2
 #: Pairs of a bucket that are compared at a time.
 AT_ONCE = 1_000_000
 
@@ -177,17 +179,9 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def _near(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Whether all bits of two texts, the smaller with `least` shingles, are as like as those of a pair of THRESHOLD."""
-    return _gaps(a, b) <= np.where(least < SHORT, WIDE_SHORT, WIDE)
-
-
-def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (u, v, their bits, the smaller size), the pairs that can be links."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-        near = _near(a, b, batch.column(4).to_numpy(zero_copy_only=False))
-        yield batch.select(["u", "v"]).filter(pa.array(near))
+def _near(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, most: int, most_short: int) -> np.ndarray:
+    """Whether two texts with m and n shingles can be a pair of THRESHOLD, by these numbers and their bits."""
+    return _like(m, n) & (_gaps(a, b) <= np.where(np.minimum(m, n) < SHORT, most_short, most))
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +195,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for step in range(1, int(min(size.max(), MANY))):
             i = np.flatnonzero((key[:-step] == key[step:]) & few[:-step])
-            i = i[_like(count[i], count[i + step]) & (_gaps(sketch[i], sketch[i + step]) <= FAR)]
+            i = i[_near(sketch[i], sketch[i + step], count[i], count[i + step], FAR, FAR_SHORT)]
             a.append(i)
             b.append(i + step)
         for k in np.flatnonzero(size > MANY):
             at = np.arange(starts[k], starts[k] + size[k])
             lead = at[central(sketch[at])]
-            near = at[_like(count[lead], count[at]) & (_gaps(sketch[lead], sketch[at]) <= FAR) & (at != lead)]
+            near = at[_near(sketch[lead], sketch[at], count[lead], count[at], LIKELY, LIKELY) & (at != lead)]
             a.append(np.full(len(near), lead))
             b.append(near)
         if a and len(x := np.concatenate(a)):
@@ -235,9 +229,9 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = high - first_after
                 i = np.repeat(place, n)
                 j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first_after, n)
-                near = _like(size[i], size[j]) & (_gaps(sketch[i], sketch[j]) <= FAR)
+                near = _near(sketch[i], sketch[j], size[i], size[j], FAR, FAR_SHORT)
                 i, j = i[near], j[near]
-                near = _near(wide[i], wide[j], np.minimum(size[i], size[j]))
+                near = _near(wide[i], wide[j], size[i], size[j], WIDE, WIDE_SHORT)
                 if near.any():
                     u, v = _pairs(node[i[near]], node[j[near]])
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
@@ -294,15 +288,10 @@ def near_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = with_one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         return both.select("v", "u", "b", "a").mapInArrow(_verify, "u long, v long")
 
-    bits = rows.groupBy("node").agg(F.min("size").alias("size"), F.min("wide").alias("wide"))
-    pairs = found.filter("v IS NOT NULL").select("u", "v").distinct()
-    for end, k in (("u", "1"), ("v", "2")):
-        pairs = pairs.join(bits.select(F.col("node").alias(end), F.col("size").alias(f"size{k}"), F.col("wide").alias(f"wide{k}")), end)
-    pairs = pairs.select("u", "v", "wide1", "wide2", F.least("size1", "size2").alias("least")).mapInArrow(_sieve, "u long, v long")
-    links = cut(links_of(pairs))
+    links = cut(links_of(found.filter("v IS NOT NULL").select("u", "v").distinct()))
     roots = components(links)
     if not waiting.isEmpty():
-        of_node = bits.join(roots, "node", "left")
+        of_node = rows.groupBy("node").agg(F.min("size").alias("size"), F.min("wide").alias("wide")).join(roots, "node", "left")
         labelled = waiting.select("key", F.col("u").alias("node"), "s1", "s2").join(of_node, "node")
         labelled = labelled.select("key", F.coalesce("root", "node").alias("label"), "node", "size", "s1", "s2", "wide")
         rest = labelled.repartition(n, "key").sortWithinPartitions("key", "label").mapInArrow(_rest, "u long, v long")
