@@ -20,7 +20,7 @@ more. A pair of 0.8 differs in 15 % of all SimHash bits, which three bits of 64
    leave it as stars. The components they make label the members that wait; only pairs with different
    labels can still join something, so only these are verified in a second turn, and of these only
    the ones whose 1,088 bits differ in no more than WIDE. A group of near copies thus costs about a star.
-   FAR and WIDE lie four deviations above what a pair of 0.8 has.
+   FAR and WIDE lie five deviations or more above what simulated pairs of 0.8 have, whatever their size.
 
 Words are parted at white space and lower-cased as bytes. Defined results: texts with one set of
 shingles are one node; a null or empty text has no shingles and is like others without any;
@@ -50,11 +50,11 @@ WORDS = 17
 SEGMENTS = 40
 GROUP = 8
 #: Differing bits of two 128-bit sketches, for texts of SHORT shingles or more and for shorter ones, whose bits turn more easily.
-FAR, FAR_SHORT = 36, 42
+FAR, FAR_SHORT = 41, 47
 #: Up to so many differing bits of sketches a star takes a pair at once; the others of its bucket come in the second turn.
 LIKELY = 24
 #: The same as FAR for all 1,088 bits.
-WIDE, WIDE_SHORT, SHORT = 212, 256, 32
+WIDE, WIDE_SHORT, SHORT = 228, 270, 32
 #: Buckets of more give a star first.
 MANY = 2
 #: Pairs of a bucket that are compared at a time.
