@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktide.llm import langid, sentencepiece_codec
+from ticktide.llm import clustering, langid, sentencepiece_codec
 from ticktide.llm.exact_dedup import exact_groups
 from ticktide.llm.html_extract import extract
 from ticktide.llm.packing import pack
@@ -82,6 +82,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.summarised(clustering.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pack": op2_pack,
@@ -93,9 +97,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_langid": op10_langid,
+    "op11_centroids": op11_centroids,
 }
 
+
+
+def centroids_sql(k: int, rounds: int, dims: int) -> str:
+    """Rounds of a full search, one after the other."""
+    parts = [f"""
+        v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS e
+            FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}
+        ),
+        x AS MATERIALIZED (SELECT r, unnest(range({dims})) AS d, unnest(e) AS x FROM v),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS c, e FROM v ORDER BY sha256('2:' || vec_id), e LIMIT {k}
+        )"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+        a{i} AS MATERIALIZED (
+            SELECT r, min(c) AS c, min(distance) AS distance FROM (
+                SELECT r, c, distance, min(distance) OVER (PARTITION BY r) AS low FROM (
+                    SELECT r, c, list_sum(list_transform(list_zip(v.e, c{i}.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM v, c{i}
+                )
+            ) WHERE distance = low GROUP BY r
+        )""")
+        if i < rounds:
+            parts.append(f"""
+        c{i + 1} AS MATERIALIZED (
+            SELECT c, list(m ORDER BY d) AS e FROM (
+                SELECT c, d, ((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS m FROM a{i} JOIN x USING (r) GROUP BY c, d
+            ) GROUP BY c
+            UNION ALL SELECT c, e FROM c{i} WHERE c NOT IN (SELECT c FROM a{i})
+        )""")
+    return "WITH" + ",".join(parts) + f"""
+        SELECT vec_id, a.c::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c.e, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c JOIN v USING (r)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroids": centroids_sql(40, 5, 64),
     "op1_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents
