@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,14 @@ from pyspark.sql import functions as F
 from ticktide.llm import clustering, langid, sentencepiece_codec
 from ticktide.llm.exact_dedup import exact_groups
 from ticktide.llm.html_extract import extract
+from ticktide.llm.mixing import placed, taken
 from ticktide.llm.packing import pack
 from ticktide.llm.quality import measured
 from ticktide.llm.sharding import shard_documents
 from ticktide.llm.simhash import near_duplicate_groups
 from ticktide.llm.suffix_dedup import span_digests
 from ticktide.llm.url_filter import judge
+from ticktide.llm.whitening import whitened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +89,15 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.summarised(clustering.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64))
 
 
+def op12_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return taken(placed(docs, weights=(5, 2, 1), budget=Fraction(3, 2), most=2))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pack": op2_pack,
@@ -98,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_langid": op10_langid,
     "op11_centroids": op11_centroids,
+    "op12_mix": op12_mix,
+    "op13_whitening": op13_whitening,
 }
 
 
@@ -137,7 +151,47 @@ def centroids_sql(k: int, rounds: int, dims: int) -> str:
     """
 
 
+#: Targets in closed form: sources by rising limit over weight; those that stop are the first ones.
+MIX_SQL = r"""
+    WITH d AS (
+        SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce('=' || source, '') AS k,
+               md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS m
+        FROM documents
+    ),
+    c AS (SELECT *, (row_number() OVER (PARTITION BY k, m, doc_id, size) - 1) // 1000 AS chunk FROM d),
+    marked AS (SELECT doc_id, size, k, CASE WHEN chunk = 0 THEN m ELSE md5(m || ':' || chunk) END AS mark FROM c),
+    weighed AS (
+        SELECT k, sum(size)::BIGINT AS total, ([5, 2, 1])[((row_number() OVER (ORDER BY k = '', k) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY k
+    ),
+    rest AS (
+        SELECT *, sum(w) OVER later AS wr, 3 * sum(total) OVER () - 4 * (sum(total) OVER later_all - total) AS tr FROM weighed
+        WINDOW later AS (ORDER BY total::DOUBLE / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+               later_all AS (ORDER BY total::DOUBLE / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    ),
+    level AS (
+        SELECT 3 * sum(total) - coalesce(sum(4 * total) FILTER (4 * total * wr <= w * tr), 0) AS t, sum(w) FILTER (4 * total * wr > w * tr) AS w FROM rest
+    ),
+    aimed AS (
+        SELECT k, total, CASE WHEN 4 * total * wr <= rest.w * tr THEN (2 * total)::DOUBLE ELSE (rest.w * level.t)::DOUBLE / (2 * level.w)::DOUBLE END AS target FROM rest, level
+    ),
+    quota AS (SELECT *, least(floor(target + 0.5), 2 * total)::BIGINT AS quota, total // 1024 AS f FROM aimed),
+    placed AS (
+        SELECT row_number() OVER () AS r, doc_id, size, k, sum(size) OVER (PARTITION BY k ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS a FROM marked
+    ),
+    blocks AS (SELECT r, size, k, a, unnest(range(a // 1024, (a + size - 1) // 1024 + 1)) AS b FROM placed WHERE size > 0),
+    drawn AS (
+        SELECT r, size, a, b, e, total, greatest(0, least(total, quota - e * total)) AS words,
+               CASE WHEN b < f THEN (b * (p % f)) % f ELSE f END AS at
+        FROM blocks JOIN quota USING (k), (VALUES (0, 2147483647), (1, 2147483629)) AS epochs(e, p)
+    ),
+    cut AS (SELECT r, greatest(0, least(a + size, b * 1024 + least(total - b * 1024, 1024, words - at * 1024)) - greatest(a, b * 1024)) AS n FROM drawn),
+    sums AS (SELECT r, sum(n)::BIGINT AS taken FROM cut GROUP BY r)
+    SELECT doc_id, size, total AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
+    FROM placed JOIN quota USING (k) LEFT JOIN sums USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_mix": MIX_SQL,
     "op11_centroids": centroids_sql(40, 5, 64),
     "op1_exact_dedup": r"""
         WITH d AS (
