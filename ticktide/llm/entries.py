@@ -181,10 +181,10 @@ MIX_SQL = r"""
     blocks AS (SELECT r, size, k, a, unnest(range(a // 1024, (a + size - 1) // 1024 + 1)) AS b FROM placed WHERE size > 0),
     drawn AS (
         SELECT r, size, a, b, e, total, greatest(0, least(total, quota - e * total)) AS words,
-               CASE WHEN b < f THEN (b * (p % f)) % f ELSE f END AS at
+               CASE WHEN b < f THEN (b * (p % f)) % f ELSE f END AS pos
         FROM blocks JOIN quota USING (k), (VALUES (0, 2147483647), (1, 2147483629)) AS epochs(e, p)
     ),
-    cut AS (SELECT r, greatest(0, least(a + size, b * 1024 + least(total - b * 1024, 1024, words - at * 1024)) - greatest(a, b * 1024)) AS n FROM drawn),
+    cut AS (SELECT r, greatest(0, least(a + size, b * 1024 + least(total - b * 1024, 1024, words - pos * 1024)) - greatest(a, b * 1024)) AS n FROM drawn),
     sums AS (SELECT r, sum(n)::BIGINT AS taken FROM cut GROUP BY r)
     SELECT doc_id, size, total AS source_size, target, coalesce(taken, 0)::BIGINT AS taken
     FROM placed JOIN quota USING (k) LEFT JOIN sums USING (r)

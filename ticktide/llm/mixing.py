@@ -85,58 +85,66 @@ def hypergeometric(total: Column, good: Column, drawn: Column, *seed: Column) ->
         )
 
         def weight(q: Column, z: Column) -> Column:
-            return -(log_factorial(z) + log_factorial(q["few"] - z) + log_factorial(q["m"] - z) + log_factorial(q["many"] - q["m"] + z))
+            return F.aggregate(F.array(z, q["few"] - z, q["m"] - z, q["many"] - q["m"] + z), F.lit(0.0), lambda a, x: a - log_factorial(x))
 
-        def tries(q: Column) -> Column:
+        def tries(q: Column, top: Column) -> Column:
             def once(found: Column, k: Column) -> Column:
-                x = uniform(*seed, k, F.lit(1))
-                at = q["centre"] + q["hat"] * (uniform(*seed, k, F.lit(2)) - 0.5) / x
-                fits = F.when((at < 0) | (at >= q["end"]), F.lit(False)).otherwise(2 * F.log(x) <= weight(q, F.floor(at).cast("double")) - weight(q, q["mode"]))
-                return F.when(found >= 0, found).when(fits, F.floor(at).cast("double")).otherwise(found)
+                def fits(t: Column) -> Column:
+                    z = F.floor(q["centre"] + q["hat"] * (uniform(*seed, k, F.lit(2)) - 0.5) / t).cast("double")
+
+                    def judged(z: Column) -> Column:
+                        outside = (z < 0) | (z >= q["end"])
+                        return F.when(~outside & (2 * F.log(t) <= weight(q, z) - top), z).otherwise(found)
+
+                    return let(z, judged)
+
+                return F.when(found >= 0, found).otherwise(let(uniform(*seed, k, F.lit(1)), fits))
 
             z = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(-1.0), once)
             return let(F.when(z < 0, q["mode"]).otherwise(z), lambda z: F.when(good > total - good, q["m"] - z).otherwise(z))
 
-        z = let(fixed, tries)
+        z = let(fixed, lambda q: let(weight(q, q["mode"]), lambda top: tries(q, top)))
         return F.when(m < drawn, good - z).otherwise(z).cast("long")
 
     plain = F.when((good <= 0) | (drawn <= 0), F.lit(0).cast("long")).when(drawn >= total, good).when(good >= total, drawn)
     return plain.otherwise(let(F.struct(total.alias("total"), good.alias("good"), drawn.alias("drawn")), draw))
 
 
-def pair_sums(counts: Column, n: int) -> Column:
-    """Sums of neighbours: n numbers from 2 n."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(counts, 2 * i) + F.get(counts, 2 * i + 1))
+def two_to(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), n)
+
 
+def heap_of(counts: Column, depth: int) -> Column:
+    """The tree over 2^depth leaves `counts`, rows from the root on laid end to end: row n starts at 2^n - 1."""
 
-def levels(counts: Column, depth: int) -> list[Column]:
-    """A tree's rows from the root to the leaves `counts`."""
-    rows = [counts]
-    for n in reversed(range(depth)):
-        rows.insert(0, pair_sums(rows[0], 1 << n))
-    return rows
+    def up(acc: Column, n: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), two_to(n) - 1), lambda i: F.get(acc["row"], 2 * i) + F.get(acc["row"], 2 * i + 1))
+        return let(pairs, lambda row: F.struct(F.concat(row, acc["heap"]).alias("heap"), row.alias("row")))
 
+    start = F.struct(counts.alias("heap"), counts.alias("row"))
+    return F.aggregate(F.sequence(F.lit(depth - 1), F.lit(0), F.lit(-1)), start, up, lambda acc: acc["heap"]) if depth else counts
 
-def split(counts: Column, depth: int, drawn: Column, *seed: Column) -> Column:
-    """`drawn` of the blocks that 2^depth shards have room for, split among them."""
-    sums = levels(counts, depth)
-    now = F.array(drawn)
-    for n in range(depth):
-        above, below = sums[n], sums[n + 1]
 
-        def halve(i: Column, now: Column = now, above: Column = above, below: Column = below, n: int = n) -> Column:
-            left = hypergeometric(F.get(above, i), F.get(below, 2 * i), F.get(now, i), *seed, F.lit(n), i)
+def split(heap: Column, depth: int, drawn: Column, *seed: Column) -> Column:
+    """`drawn` of the blocks that 2^depth shards have room for (a tree as in `heap_of`), split among them."""
+
+    def down(now: Column, n: Column) -> Column:
+        row = two_to(n) - 1
+
+        def halve(i: Column) -> Column:
+            left = hypergeometric(F.get(heap, row + i), F.get(heap, 2 * (row + i) + 1), F.get(now, i), *seed, n, i)
             return let(left, lambda x: F.array(x, F.get(now, i) - x))
 
-        now = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((1 << n) - 1)), halve))
-    return now
+        return F.flatten(F.transform(F.sequence(F.lit(0), row), halve))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(depth - 1)), F.array(drawn), down) if depth else F.array(drawn)
 
 
 def shard_of(heap: Column, unit: Column, depth: int) -> Column:
     """The leaf that holds a source's block number `unit`, down the rows of its tree laid end to end."""
 
     def down(at: Column, n: Column) -> Column:
-        left = F.get(heap, (F.shiftleft(F.lit(1), 1 + n) - 1 + 2 * at["i"]).cast("int"))
+        left = F.get(heap, (two_to(n + 1) - 1 + 2 * at["i"]).cast("int"))
         return F.when(at["u"] < left, F.struct((2 * at["i"]).alias("i"), at["u"].alias("u"))).otherwise(
             F.struct((2 * at["i"] + 1).alias("i"), (at["u"] - left).alias("u"))
         )
@@ -233,13 +241,13 @@ def dealt(sources: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     room = [total * (i + 1) // shards - total * i // shards for i in range(shards)] + [0] * ((1 << depth) - shards)
     now = sources.sparkSession.createDataFrame([(0, total, room)], "node long, units long, counts array<long>")
     for below in reversed(rows[:-1]):
-        above = now.select(F.col("node").alias("over"), F.col("units").alias("all"), "counts")
+        above = now.select(F.col("node").alias("over"), F.col("units").alias("all"), "counts", heap_of(F.col("counts"), depth).alias("heap"))
         own = below.join(above, F.shiftright("node", 1) == F.col("over"))
         right = (F.col("node") % 2) == 1
-        left = split(F.col("counts"), depth, F.when(right, F.col("all") - F.col("units")).otherwise(F.col("units")), F.lit(seed), F.lit(len(rows)), F.col("over"), F.col("all"))
+        left = split(F.col("heap"), depth, F.when(right, F.col("all") - F.col("units")).otherwise(F.col("units")), F.lit(seed), F.lit(len(rows)), F.col("over"), F.col("all"))
         drawn = let(left, lambda x: F.when(right, F.zip_with("counts", x, lambda a, b: a - b)).otherwise(x))
         now = cut(own.select("node", "units", drawn.alias("counts")))
-    tree = F.concat(*levels(F.col("counts"), depth))
+    tree = heap_of(F.col("counts"), depth)
     return sources.join(now.select(F.col("node").alias("rank"), tree.alias("tree")), "rank")
 
 
