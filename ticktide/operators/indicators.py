@@ -1,7 +1,7 @@
 """Technical indicators over bars (open, high, low, close, volume) of series.
 
 Finite-window and cumulative indicators are window expressions that share one sort; recursive
-ones run as a fold in a grouped Arrow function, one series at a time. Rows without enough history
+ones run over ranges of a series. Rows without enough history
 are null, and a null input leaves a recursive state as it is. Overlap indicators are given as their
 distance from the close where `minus_close` is set.
 """
@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticktide.operators import patterns
+from ticktide.operators.ranges import PLACE, Linear, Value, before, column, count, each, ewm, total, windows, with_fold, with_values
 
 Bars = tuple[WindowSpec, Callable[[int], WindowSpec]]
 
@@ -164,219 +163,274 @@ def macd_grid(periods: tuple[int, ...] = SWEEP) -> list[tuple[int, int, int]]:
     return [(f, s, int(0.75 * f)) for s in periods for f in periods if s / 4 <= f <= s / 2]
 
 
-def sweep(o: dict[str, np.ndarray], periods: tuple[int, ...] = SWEEP) -> dict[str, np.ndarray]:
-    """The recursive indicators whose periods are swept, of one series."""
-    out: dict[str, np.ndarray] = {}
-    for n in periods:
-        out |= {f"EMA_{n}": ema_of(o["close"], n) - o["close"]} | {f"{k}_{n}": x for k, x in directional(o, n).items() if k in ("ADX", "ATR", "PLUS_DM", "MINUS_DM", "PLUS_DI", "MINUS_DI")}
-    for f, s, signal in macd_grid(periods):
-        line = ema_of(o["close"], f) - ema_of(o["close"], s)
-        out[f"MACD_{f}_{s}"] = line
-        out[f"MACD_hist_{f}_{s}"] = line - ema_of(line, max(signal, 1))
-    return out
+# Recursive indicators, as graphs over ranges of a series (see `ranges`).
 
+def ema_of(x: Value, n: int) -> Value:
+    return ewm(x, 2 / (n + 1), n)
+
+
+def wilder(x: Value, n: int) -> Value:
+    return ewm(x, 1 / n, n)
 
-# Recursive indicators, on NumPy arrays of one series.
-
-def _ewm(x: np.ndarray, alpha: float, start: int) -> np.ndarray:
-    """Exponential mean seeded with the mean of the first `start` values; nulls leave it as it is."""
-    out, state, seed = np.full(len(x), np.nan), None, []
-    for i, v in enumerate(x.tolist()):
-        if v == v:
-            if state is None:
-                seed.append(v)
-                if len(seed) == start:
-                    state = sum(seed) / start
-            else:
-                state += alpha * (v - state)
-        if state is not None:
-            out[i] = state
-    return out
 
+def _divide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(b != 0, a / b, np.nan)
 
-def ema_of(x: np.ndarray, n: int) -> np.ndarray:
-    return _ewm(x, 2 / (n + 1), n)
 
+def _ratio(a: Value, b: Value) -> Value:
+    return each(_divide, a, b)
 
-def wilder(x: np.ndarray, n: int) -> np.ndarray:
-    return _ewm(x, 1 / n, n)
 
+class Inputs:
+    """The bars' columns, and what several indicators need of them."""
 
-def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(b != 0, a / b, np.nan)
+    def __init__(self) -> None:
+        self.open, self.high, self.low, self.close, self.volume = (column(c) for c in ("open", "high", "low", "close", "volume"))
+        before_close = before(self.close, 1)
 
+        def true_range(h: np.ndarray, low: np.ndarray, c: np.ndarray) -> np.ndarray:
+            return np.where(np.isnan(c), np.nan, np.maximum(h - low, np.maximum(np.abs(h - c), np.abs(low - c))))
 
-def _extreme(x: np.ndarray, n: int, pick: Callable[..., np.ndarray]) -> np.ndarray:
-    """pick over the last n values; null where one is missing."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        out[n - 1 :] = pick(np.lib.stride_tricks.sliding_window_view(x, n), axis=1)
-    return out
+        self.range = each(true_range, self.high, self.low, before_close)
+        self.step = each(np.subtract, self.close, before_close)
+        up, down = each(np.subtract, self.high, before(self.high, 1)), each(np.subtract, before(self.low, 1), self.low)
+
+        def wins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.where(np.isnan(a), np.nan, np.where((a > b) & (a > 0), a, 0.0))
 
+        self.plus, self.minus = each(wins, up, down), each(wins, down, up)
 
-def directional(o: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+
+def directional(o: Inputs, n: int) -> dict[str, Value]:
     """True range and directional movement, smoothed over n bars."""
-    c, h, low = o["close"], o["high"], o["low"]
-    before = np.concatenate([[np.nan], c[:-1]])
-    tr = np.where(np.isnan(before), np.nan, np.maximum(h - low, np.maximum(np.abs(h - before), np.abs(low - before))))
-    atr = wilder(tr, n)
-    dh, dl = np.diff(h, prepend=np.nan), -np.diff(low, prepend=np.nan)
-    plus, minus = (np.where(np.isnan(dh), np.nan, np.where((a > b) & (a > 0), a, 0.0)) for a, b in ((dh, dl), (dl, dh)))
-    pdm, mdm = wilder(plus, n), wilder(minus, n)
-    pdi, mdi = 100 * _ratio(pdm, atr), 100 * _ratio(mdm, atr)
-    dx = 100 * _ratio(np.abs(pdi - mdi), pdi + mdi)
+    atr, pdm, mdm = wilder(o.range, n), wilder(o.plus, n), wilder(o.minus, n)
+    pdi, mdi = _ratio(pdm, atr) * 100, _ratio(mdm, atr) * 100
+    dx = each(lambda p, m: 100 * _divide(np.abs(p - m), p + m), pdi, mdi)
     adx = wilder(dx, n)
-    earlier = np.concatenate([np.full(n - 1, np.nan), adx[: max(0, len(adx) - n + 1)]])[: len(adx)]
-    return {"ATR": atr, "PLUS_DM": n * pdm, "MINUS_DM": n * mdm, "PLUS_DI": pdi, "MINUS_DI": mdi, "DX": dx, "ADX": adx, "ADXR": (adx + earlier) / 2}
+    adxr = each(lambda a, b: (a + b) / 2, adx, before(adx, n - 1))
+    return {"ATR": atr, "PLUS_DM": pdm * n, "MINUS_DM": mdm * n, "PLUS_DI": pdi, "MINUS_DI": mdi, "DX": dx, "ADX": adx, "ADXR": adxr}
+
+
+def sweep_values(periods: tuple[int, ...] = SWEEP) -> dict[str, Value]:
+    """The recursive indicators whose periods are swept."""
+    o, out = Inputs(), {}
+    means = {n: ema_of(o.close, n) for n in periods}
+    for n in periods:
+        out |= {f"EMA_{n}": means[n] - o.close} | {f"{k}_{n}": x for k, x in directional(o, n).items() if k in ("ADX", "ATR", "PLUS_DM", "MINUS_DM", "PLUS_DI", "MINUS_DI")}
+    for f, s, signal in macd_grid(periods):
+        line = means[f] - means[s]
+        out |= {f"MACD_{f}_{s}": line, f"MACD_hist_{f}_{s}": line - ema_of(line, max(signal, 1))}
+    return out
+
+
+def kama(c: Value, n: int) -> Value:
+    """Adaptive mean: the smoothing follows the ratio of net to total movement over n steps."""
+    moved = windows(c, n + 1, lambda w: np.abs(np.diff(w, axis=1)).sum(axis=1))
+
+    def smoothing(moved: np.ndarray, now: np.ndarray, past: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where(moved > 0, np.abs(now - past) / moved, 1.0)
+        return (ratio * (2 / 3 - 2 / 31) + 2 / 31) ** 2
+
+    k = each(smoothing, moved, c, before(c, n))
+    last = before(c, 1)
+    begun = count(each(lambda place, b: (place >= n) & ~np.isnan(b), PLACE, last))
+    first = each(lambda at, place, b: (at == 1) & (place >= n) & ~np.isnan(b), begun, PLACE, last)
 
+    def slope(k: np.ndarray, c: np.ndarray, first: np.ndarray, begun: np.ndarray) -> np.ndarray:
+        return np.where(begun == 0, 1.0, np.where(first, 0.0, np.where(np.isnan(c), 1.0, 1 - k)))
 
-def recursive(o: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Every recursive indicator of one series, default periods."""
-    c, h, low = o["close"], o["high"], o["low"]
+    def push(k: np.ndarray, c: np.ndarray, first: np.ndarray, begun: np.ndarray, last: np.ndarray) -> np.ndarray:
+        gain = np.where(np.isnan(c), 0.0, k)
+        return np.where(begun == 0, 0.0, gain * np.nan_to_num(c) + np.where(first, (1 - gain) * np.nan_to_num(last), 0.0))
+
+    state = Value([each(slope, k, c, first, begun), each(push, k, c, first, begun, last)], scan=Linear())
+    return each(lambda y, at: np.where(at > 0, y, np.nan), state, begun)
+
+
+def recursive_values() -> dict[str, Value]:
+    """Every indicator whose recurrence is linear, default periods."""
+    o = Inputs()
+    c = o.close
     e1 = ema_of(c, 30)
     e2 = ema_of(e1, 30)
     e3 = ema_of(e2, 30)
-    out = {"EMA": e1, "DEMA": 2 * e1 - e2, "TEMA": 3 * e1 - 3 * e2 + e3}
-    t, v = c, 0.7
-    t3 = [t := ema_of(t, 5) for _ in range(6)]
-    out["T3"] = -(v**3) * t3[5] + (3 * v**2 + 3 * v**3) * t3[4] + (-6 * v**2 - 3 * v - 3 * v**3) * t3[3] + (1 + 3 * v + v**3 + 3 * v**2) * t3[2]
-    macd = ema_of(c, 12) - ema_of(c, 26)
+    out = {"EMA": e1, "DEMA": e1 * 2 - e2, "TEMA": (e1 - e2) * 3 + e3}
+    t, t3, v = c, [], 0.7
+    for _ in range(6):
+        t3.append(t := ema_of(t, 5))
+    out["T3"] = t3[5] * -(v**3) + t3[4] * (3 * v**2 + 3 * v**3) + t3[3] * (-6 * v**2 - 3 * v - 3 * v**3) + t3[2] * (1 + 3 * v + v**3 + 3 * v**2)
+    slow = ema_of(c, 26)
+    macd = ema_of(c, 12) - slow
     signal = ema_of(macd, 9)
-    out |= {"MACD": macd, "MACD_signal": signal, "MACD_hist": macd - signal, "APO": macd, "PPO": 100 * _ratio(macd, ema_of(c, 26))}
-    fixed = _ewm(c, 0.15, 12) - _ewm(c, 0.075, 26)
+    out |= {"MACD": macd, "MACD_signal": signal, "MACD_hist": macd - signal, "APO": macd, "PPO": _ratio(macd, slow) * 100}
+    fixed = ewm(c, 0.15, 12) - ewm(c, 0.075, 26)
     out |= {"MACDFIX": fixed, "MACDFIX_signal": ema_of(fixed, 9)}
-    step = np.diff(c, prepend=np.nan)
-    up, down = wilder(np.where(np.isnan(step), np.nan, np.maximum(step, 0)), 14), wilder(np.where(np.isnan(step), np.nan, np.maximum(-step, 0)), 14)
-    out |= {"RSI": 100 * _ratio(up, up + down), "CMO": 100 * _ratio(up - down, up + down)}
+    up, down = (wilder(each(lambda x, sign=sign: np.maximum(sign * x, 0), o.step), 14) for sign in (1, -1))
+    rsi = _ratio(up, up + down) * 100
     moves = directional(o, 14)
-    out |= {**moves, "NATR": 100 * _ratio(moves["ATR"], c)}
-    rsi_high, rsi_low = _extreme(out["RSI"], 14, np.max), _extreme(out["RSI"], 14, np.min)
-    fast = 100 * _ratio(out["RSI"] - rsi_low, rsi_high - rsi_low)
-    out |= {"STOCHRSI_fastk": fast, "STOCHRSI_fastd": _extreme(fast, 3, np.mean)}
-    x = c
-    for _ in range(3):
-        x = ema_of(x, 30)
-    out["TRIX"] = 100 * (_ratio(x, np.concatenate([[np.nan], x[:-1]])) - 1)
-    out["KAMA"] = _kama(c, 30)
-    out["SAREXT"] = _sar(h, low)
-    out["SAR"] = np.abs(out["SAREXT"])
-    out |= cycle(c, (h + low) / 2)
-    span = h - low
-    flow = np.cumsum(np.where(span != 0, _ratio((c - low) - (h - c), span), 0.0) * o["volume"])
-    out["ADOSC"] = _ewm(flow, 2 / 4, 1) - _ewm(flow, 2 / 11, 1)
+    out |= {"RSI": rsi, "CMO": _ratio(up - down, up + down) * 100, **moves, "NATR": _ratio(moves["ATR"], c) * 100}
+    low = windows(rsi, 14, lambda w: np.min(w, axis=1))
+    fast = each(lambda x, lo, hi: 100 * _divide(x - lo, hi - lo), rsi, low, windows(rsi, 14, lambda w: np.max(w, axis=1)))
+    out |= {"STOCHRSI_fastk": fast, "STOCHRSI_fastd": windows(fast, 3, lambda w: np.mean(w, axis=1))}
+    out["TRIX"] = each(lambda now, past: 100 * (_divide(now, past) - 1), e3, before(e3, 1))
+    out["KAMA"] = kama(c, 30)
+
+    def flow(c: np.ndarray, h: np.ndarray, low: np.ndarray, volume: np.ndarray) -> np.ndarray:
+        return np.where(h != low, _divide((c - low) - (h - c), h - low), 0.0) * volume
+
+    line = total(each(flow, c, o.high, o.low, o.volume))
+    out["ADOSC"] = ewm(line, 2 / 4, 1) - ewm(line, 2 / 11, 1)
     return out
 
 
-def _kama(c: np.ndarray, n: int) -> np.ndarray:
-    """Adaptive mean: the smoothing follows the ratio of net to total movement over n steps."""
-    out, state = np.full(len(c), np.nan), np.nan
-    for i in range(n, len(c)):
-        moved = np.abs(np.diff(c[i - n : i + 1])).sum()
-        ratio = abs(c[i] - c[i - n]) / moved if moved > 0 else 1.0
-        if state != state:
-            state = c[i - 1]
-        k = (ratio * (2 / 3 - 2 / 31) + 2 / 31) ** 2
-        if c[i] == c[i]:
-            state += k * (c[i] - state)
-        out[i] = state
-    return out
+class Stop:
+    """Parabolic stop and reverse, fed batch after batch; negative while falling, the first direction is that of the first move."""
+
+    NAMES = ["SAREXT", "SAR"]
+
+    def __init__(self, step: float = 0.02, most: float = 0.2) -> None:
+        self.step, self.most, self.row = step, most, 0
+        self.rising, self.stop, self.extreme, self.k = True, np.nan, np.nan, step
+        self.high = self.low = np.nan
+
+    def _next(self, h: float, low: float) -> float:
+        if self.row == 0:
+            return np.nan
+        if self.row == 1:
+            self.rising = h - self.high >= self.low - low
+            self.stop, self.extreme = (self.low, h) if self.rising else (self.high, low)
+        turned = low <= self.stop if self.rising else h >= self.stop
+        if turned:
+            self.rising, self.stop, self.k = not self.rising, self.extreme, self.step
+            self.extreme = h if self.rising else low
+            out = self.stop = self._held(h, low)
+        else:
+            out = self.stop
+            if h > self.extreme if self.rising else low < self.extreme:
+                self.extreme, self.k = (h if self.rising else low), min(self.k + self.step, self.most)
+            self.stop += self.k * (self.extreme - self.stop)
+            self.stop = self._held(h, low)
+        return out if self.rising else -out
+
+    def _held(self, h: float, low: float) -> float:
+        """The stop beyond the last two bars."""
+        return min(self.stop, self.low, low) if self.rising else max(self.stop, self.high, h)
+
+    def feed(self, o: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        out = []
+        for h, low in zip(o["high"].tolist(), o["low"].tolist(), strict=True):
+            out.append(self._next(h, low))
+            self.high, self.low, self.row = h, low, self.row + 1
+        stops = np.array(out, dtype=float)
+        return {"SAREXT": stops, "SAR": np.abs(stops)}
+
+
+class Cycle:
+    """Dominant cycle by the Hilbert transform: period, phase, phasor, sine, trend mode, trend line, adaptive means.
 
+    Prices are smoothed with weights 4 to 1, a four-tap Hilbert filter (whose gain follows the last
+    period) gives the quadrature, and the angle between neighbouring phasors the period, held
+    within 6 to 50 bars and to a change of a half per step. The first 32 bars are null. No period exceeds 50
+    bars, so the last 64 are all that a batch needs of those before it.
+    """
 
-def _sar(h: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> np.ndarray:
-    """Parabolic stop and reverse, negative while falling; the first direction is that of the first move."""
-    out = np.full(len(h), np.nan)
-    if len(h) < 2:
+    NAMES = [
+        "HT_DCPERIOD", "HT_DCPHASE", "HT_PHASOR_inphase", "HT_PHASOR_quadrature", "HT_SINE_sine", "HT_SINE_leadsine", "HT_TRENDMODE", "HT_TRENDLINE", "MAMA_mama", "MAMA_fama",
+    ]
+    KEEP = 64
+
+    def __init__(self) -> None:
+        self.row, self.past = 0, {k: np.zeros(self.KEEP) for k in ("price", "smooth", "detrend", "q1", "i1")}
+        self.period = self.smooth_period = self.i2 = self.q2 = self.re = self.im = self.phase = self.angle = self.sine = self.lead = 0.0
+        self.mama = self.fama = None
+        self.days, self.lines = 0, []
+
+    def feed(self, o: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        new = np.where(np.isnan(o["close"]), (o["high"] + o["low"]) / 2, o["close"])
+        arrays = {k: np.concatenate([x, np.zeros(len(new))]) for k, x in self.past.items()}
+        arrays["price"][self.KEEP :] = new
+        out = {k: np.full(len(new), np.nan) for k in self.NAMES}
+        for at in range(len(new)):
+            if self.mama is None:
+                self.mama = self.fama = float(new[at])
+            if self.row >= 6:
+                values = self._next(arrays, self.KEEP + at)
+                if self.row >= 32:
+                    for k, x in zip(self.NAMES, values, strict=True):
+                        out[k][at] = x
+            self.row += 1
+        self.past = {k: x[-self.KEEP :].copy() for k, x in arrays.items()}
         return out
-    rising = h[1] - h[0] >= low[0] - low[1]
-    stop, extreme, k = (low[0], h[1], step) if rising else (h[0], low[1], step)
-    for i in range(1, len(h)):
-        if (low[i] <= stop) if rising else (h[i] >= stop):
-            rising, stop, k = not rising, extreme, step
-            extreme = h[i] if rising else low[i]
-            stop = min(stop, low[i - 1], low[i]) if rising else max(stop, h[i - 1], h[i])
-            out[i] = stop if rising else -stop
-            continue
-        out[i] = stop if rising else -stop
-        if (h[i] > extreme) if rising else (low[i] < extreme):
-            extreme, k = (h[i] if rising else low[i]), min(k + step, most)
-        stop = stop + k * (extreme - stop)
-        stop = min(stop, low[i - 1], low[i]) if rising else max(stop, h[i - 1], h[i])
-    return out
 
+    def _next(self, arrays: dict[str, np.ndarray], i: int) -> tuple[float, ...]:
+        price, smooth, detrend, q1, i1 = (arrays[k] for k in ("price", "smooth", "detrend", "q1", "i1"))
+        gain = 0.075 * self.period + 0.54
 
-def cycle(close: np.ndarray, middle: np.ndarray) -> dict[str, np.ndarray]:
-    """Dominant cycle by the Hilbert transform: period, phase, phasor, sine, trend mode, trend line, adaptive means.
+        def hilbert(x: np.ndarray) -> float:
+            return (0.0962 * x[i] + 0.5769 * x[i - 2] - 0.5769 * x[i - 4] - 0.0962 * x[i - 6]) * gain
 
-    Prices are smoothed with weights 4 to 1, a four-tap Hilbert filter (whose gain follows the last
-    period) gives the quadrature, and the angle between neighbouring phasors the period, held
-    within 6 to 50 bars and to a change of a half per step. The first 32 bars are null.
-    """
-    n = len(close)
-    out = {k: np.full(n, np.nan) for k in ("HT_DCPERIOD", "HT_DCPHASE", "HT_PHASOR_inphase", "HT_PHASOR_quadrature", "HT_SINE_sine", "HT_SINE_leadsine", "HT_TRENDMODE", "HT_TRENDLINE", "MAMA_mama", "MAMA_fama")}
-    price = np.where(np.isnan(close), middle, close)
-    smooth, detrend, q1, i1 = (np.zeros(n) for _ in range(4))
-    period = smooth_period = i2 = q2 = re = im = phase_before = 0.0
-    mama = fama = float(price[0]) if n else 0.0
-    angle_before, days_in_trend, sine_before, lead_before, trend_line = 0.0, 0, 0.0, 0.0, []
-
-    def hilbert(x: np.ndarray, i: int, gain: float) -> float:
-        return (0.0962 * x[i] + 0.5769 * x[i - 2] - 0.5769 * x[i - 4] - 0.0962 * x[i - 6]) * gain
-
-    for i in range(6, n):
-        gain = 0.075 * period + 0.54
         smooth[i] = (4 * price[i] + 3 * price[i - 1] + 2 * price[i - 2] + price[i - 3]) / 10
-        detrend[i] = hilbert(smooth, i, gain)
-        q1[i], i1[i] = hilbert(detrend, i, gain), detrend[i - 3]
-        ji, jq = hilbert(i1, i, gain), hilbert(q1, i, gain)
-        before_i2, before_q2 = i2, q2
-        i2, q2 = 0.2 * (i1[i] - jq) + 0.8 * i2, 0.2 * (q1[i] + ji) + 0.8 * q2
-        re, im = 0.2 * (i2 * before_i2 + q2 * before_q2) + 0.8 * re, 0.2 * (i2 * before_q2 - q2 * before_i2) + 0.8 * im
-        new = 2 * np.pi / np.arctan(im / re) if im and re else period
-        if period:
-            new = min(max(new, 0.67 * period), 1.5 * period)
-        period = 0.2 * min(max(new, 6.0), 50.0) + 0.8 * period
-        smooth_period = 0.33 * period + 0.67 * smooth_period
+        detrend[i] = hilbert(smooth)
+        q1[i], i1[i] = hilbert(detrend), detrend[i - 3]
+        ji, jq = hilbert(i1), hilbert(q1)
+        i2, q2 = 0.2 * (i1[i] - jq) + 0.8 * self.i2, 0.2 * (q1[i] + ji) + 0.8 * self.q2
+        self.re, self.im = 0.2 * (i2 * self.i2 + q2 * self.q2) + 0.8 * self.re, 0.2 * (i2 * self.q2 - q2 * self.i2) + 0.8 * self.im
+        self.i2, self.q2 = i2, q2
+        new = 2 * np.pi / np.arctan(self.im / self.re) if self.im and self.re else self.period
+        if self.period:
+            new = min(max(new, 0.67 * self.period), 1.5 * self.period)
+        self.period = 0.2 * min(max(new, 6.0), 50.0) + 0.8 * self.period
+        self.smooth_period = 0.33 * self.period + 0.67 * self.smooth_period
         angle = np.degrees(np.arctan(q1[i] / i1[i])) if i1[i] else 0.0
-        rate = min(max(0.5 / max(angle_before - angle, 1.0), 0.05), 0.5)
-        angle_before = angle
-        mama += rate * (price[i] - mama)
-        fama += 0.5 * rate * (mama - fama)
-        length = min(int(smooth_period + 0.5), i + 1)
+        rate = min(max(0.5 / max(self.angle - angle, 1.0), 0.05), 0.5)
+        self.angle = angle
+        self.mama += rate * (price[i] - self.mama)
+        self.fama += 0.5 * rate * (self.mama - self.fama)
+        length = min(int(self.smooth_period + 0.5), self.row + 1)
         turn = 2 * np.pi * np.arange(length) / max(length, 1)
         own = smooth[i - np.arange(length)]
         real, imag = float((np.sin(turn) * own).sum()), float((np.cos(turn) * own).sum())
         phase = np.degrees(np.arctan(real / imag)) if abs(imag) > 1e-3 else 90.0 * np.sign(real)
-        phase += 90 + (360 / smooth_period if smooth_period else 0) + (180 if imag < 0 else 0)
+        phase += 90 + (360 / self.smooth_period if self.smooth_period else 0) + (180 if imag < 0 else 0)
         phase -= 360 if phase > 315 else 0
         sine, lead = np.sin(np.radians(phase)), np.sin(np.radians(phase + 45))
-        trend_line.append(price[i - np.arange(length)].mean() if length else price[i])
-        line = np.dot(trend_line[:-5:-1], (4, 3, 2, 1)[: len(trend_line)]) / sum((4, 3, 2, 1)[: len(trend_line)])
-        crossed = (sine > lead) != (sine_before > lead_before)
-        days_in_trend = 0 if crossed else days_in_trend + 1
-        step = phase - phase_before
-        trend = days_in_trend >= 0.5 * smooth_period and not (smooth_period and 0.67 * 360 / smooth_period < step < 1.5 * 360 / smooth_period)
+        self.lines = [*self.lines[-3:], price[i - np.arange(length)].mean() if length else price[i]]
+        weights = (4, 3, 2, 1)[: len(self.lines)]
+        line = np.dot(self.lines[::-1], weights) / sum(weights)
+        crossed = (sine > lead) != (self.sine > self.lead)
+        self.days = 0 if crossed else self.days + 1
+        step, period = phase - self.phase, self.smooth_period
+        trend = self.days >= 0.5 * period and not (period and 0.67 * 360 / period < step < 1.5 * 360 / period)
         trend = trend or line != 0 and abs((smooth[i] - line) / line) >= 0.015
-        phase_before, sine_before, lead_before = phase, sine, lead
-        if i >= 32:
-            values = (smooth_period, phase, i1[i], q1[i], sine, lead, float(trend), line, mama, fama)
-            for k, x in zip(out, values, strict=True):
-                out[k][i] = x
-    return out
+        self.phase, self.sine, self.lead = phase, sine, lead
+        return period, phase, i1[i], q1[i], sine, lead, float(trend), line, self.mama, self.fama
+
+
+class Folds:
+    """The folds whose state doesn't compose, side by side."""
 
+    NAMES = [*Stop.NAMES, *Cycle.NAMES]
 
-RECURSIVE = list(recursive({k: np.arange(1.0, 4.0) for k in ("open", "high", "low", "close", "volume")}))
+    def __init__(self) -> None:
+        self.folds = [Stop(), Cycle()]
 
+    def feed(self, o: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {k: x for f in self.folds for k, x in f.feed(o).items()}
 
-def with_recursive(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in RECURSIVE]])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        found = recursive({k: rows[k].astype(float).to_numpy() for k in ("open", "high", "low", "close", "volume")})
-        return rows.assign(**{k: pd.Series(v, index=rows.index).where(~np.isnan(v), None) for k, v in found.items()})
+RECURSIVE = [*Folds.NAMES, *recursive_values()]
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+
+def with_recursive(df: DataFrame, by: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
+    """Every recursive indicator, default periods.
+
+    Linear recurrences run over ranges of a series; the parabolic stop and the Hilbert indicators, whose
+    recurrences don't compose, stream each series through one task.
+    """
+    folded = with_fold(df, by, order, ["high", "low", "close"], Folds, Folds.NAMES)
+    return with_values(folded, by, order, recursive_values(), ranges)
 
 
 # Candle patterns: 100 for a bullish, -100 for a bearish one, else 0.
@@ -428,15 +482,6 @@ def with_patterns(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.withColumns(patterns.rules(w)).drop(*patterns.HELPERS)
 
 
-def with_sweep(df: DataFrame, by: list[str], order: list[str], periods: tuple[int, ...] = SWEEP) -> DataFrame:
-    """Directional indicators, EMA distances and MACD lines at every period of a sweep."""
-    names = list(sweep({k: np.arange(1.0, 4.0) for k in ("open", "high", "low", "close", "volume")}, periods))
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        found = sweep({k: rows[k].astype(float).to_numpy() for k in ("open", "high", "low", "close", "volume")}, periods)
-        made = pd.DataFrame({k: pd.Series(v, index=rows.index).where(~np.isnan(v), None) for k, v in found.items()})
-        return pd.concat([rows, made], axis=1)
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+def with_sweep(df: DataFrame, by: list[str], order: list[str], periods: tuple[int, ...] = SWEEP, ranges: int | None = None) -> DataFrame:
+    """Directional indicators, EMA distances and MACD lines at every period of a sweep, over ranges of a series."""
+    return with_values(df, by, order, sweep_values(periods), ranges)

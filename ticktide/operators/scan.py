@@ -2,19 +2,18 @@
 
 A series is a set of partition columns (for example symbol and day) with an order. Functions take
 the partition and order columns by name and return a DataFrame with added columns; all windows of
-one function share one sort. Only `jump` and `ema`, which are sequential by nature, pass a
-series through a grouped Arrow function.
+one function share one sort. `jump` and `ema`, which are sequential by nature, run over ranges of a
+series and carry their state from range to range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ticktide.operators.ranges import Greedy, Value, column, each, ewm, with_values
 
 Names = Iterable[str]
 
@@ -177,37 +176,15 @@ def average_rank(column: Column, by: Names = ()) -> Column:
     return F.when(column.isNotNull(), F.rank().over(order) - F.count(F.when(column.isNull(), 1)).over(Window.partitionBy(*by)) + (F.count(F.lit(1)).over(equal) - 1) / 2)
 
 
-def jump(df: DataFrame, by: list[str], order: list[str], cond: str, span: int, name: str = "taken") -> DataFrame:
-    """Greedy choice of rows with `cond` that lie at least `span` rows after the last one taken."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())])
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        places = np.flatnonzero(rows[cond].fillna(False).to_numpy(dtype=bool))
-        taken = np.zeros(len(rows), dtype=bool)
-        at = 0
-        while at < len(places):
-            taken[places[at]] = True
-            at = np.searchsorted(places, places[at] + span)
-        return rows.assign(**{name: taken})
-
-    return df.groupBy(*by).applyInPandas(take, schema)
-
-
-def ema(df: DataFrame, by: list[str], order: list[str], value: str, rate: float, name: str = "ema") -> DataFrame:
-    """m += (x - m) / rate, from the first value on; a null leaves the mean as it is."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+def jump(df: DataFrame, by: list[str], order: list[str], cond: str, span: int, name: str = "taken", ranges: int | None = None) -> DataFrame:
+    """Greedy choice of rows with `cond` that lie at least `span` rows after the last one taken, over ranges of a series."""
+    flags = each(lambda x: x > 0, column(cond))
+    return with_values(df, by, order, {name: Value([flags], scan=Greedy(span))}, ranges, [name])
 
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        mean, out = None, []
-        for x in rows[value].astype(float).to_numpy():
-            if x == x:
-                mean = x if mean is None else mean + (x - mean) / rate
-            out.append(mean)
-        return rows.assign(**{name: pd.Series(out, index=rows.index, dtype=float)})
 
-    return df.groupBy(*by).applyInPandas(smooth, schema)
+def ema(df: DataFrame, by: list[str], order: list[str], value: str, rate: float, name: str = "ema", ranges: int | None = None) -> DataFrame:
+    """m += (x - m) / rate, from the first value on; a null leaves the mean as it is. Over ranges of a series."""
+    return with_values(df, by, order, {name: ewm(column(value), 1 / rate, 1)}, ranges)
 
 
 def grid_fill(df: DataFrame, by: list[str], tick: str, values: list[str], flag: str = "filled") -> DataFrame:
