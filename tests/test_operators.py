@@ -96,8 +96,49 @@ ASK, BID = {4228: 100, 4229: 1000, 4230: 800, 4231: 700, 4232: 600}, {4227: 1000
     ({4229: 700, 4230: 800, 4231: 700, 4232: 600, 4233: 500}, BID | {4227: 980}, 420, 20 * 4227 + 100 * 4228 + 300 * 4229, (4229, 4227), {4227: 20, 4228: 100, 4229: 300}),
     (ASK, BID, 0, 0, (4229, 4227), {}),
 ])
-def test_trade_search(ask, bid, vol, amt, bounds, want):
-    assert book.split_trades(vol, amt, ask, bid, ASK, BID, *bounds) == want
+def test_trade_search(spark, ask, bid, vol, amt, bounds, want):
+    books = spark.createDataFrame([(ask, bid, ASK, BID, vol, amt, *bounds)], "D_ask map<long,long>, D_bid map<long,long>, D_ask_last map<long,long>, D_bid_last map<long,long>, vol long, amt long, ask_bound long, bid_bound long")
+    diffs = books.withColumns({f"D_{s}_diff": pv.subtract(F.col(f"D_{s}_last"), F.col(f"D_{s}")) for s in ("ask", "bid")})
+    assert book.with_trades(book.with_sums(diffs)).first()["D_exch"] == want
+
+
+def plain_search(vol, amt, ask, bid, ask_last, bid_last, ask_bound, bid_bound):
+    """All pairs of borders, one after the other."""
+    if not vol:
+        return {}
+    below = lambda m, p: sum(n for q, n in m.items() if q <= p) if p in m else 0
+    above = lambda m, p: sum(n for q, n in m.items() if q >= p) if p in m else 0
+    left = lambda p: max(ask_last.get(p, 0) - ask.get(p, 0), 0) + max(bid_last.get(p, 0) - bid.get(p, 0), 0)
+    found = []
+    for low in range(min(amt // vol, bid_bound), amt // vol + 1):
+        for high in range(max(low, -(-amt // vol)), max(-(-amt // vol), ask_bound) + 1):
+            got = {p: ask_last.get(p, 0) + bid_last.get(p, 0) for p in range(low + 1, high)}
+            v, a = vol - sum(got.values()), amt - sum(p * n for p, n in got.items())
+            if low == high:
+                if amt != vol * low:
+                    continue
+                v1 = v2 = vol
+                got, standing = {low: vol}, 0
+            else:
+                if v <= 0 or not low * v < a < high * v:
+                    continue
+                v1 = (high * v - a) // (high - low)
+                v2 = v - v1
+                got |= {low: v1, high: v2}
+                standing = max(ask_last.get(low, 0) - v1, 0) + max(bid_last.get(high, 0) - v2, 0)
+            prize = min(v1, left(low)) + (min(v2, left(high)) if high > low else 0) + sum(left(p) for p in range(low + 1, high))
+            fine = below(ask_last, low - 1) + above(bid_last, high + 1) + below(ask, high - 1) + above(bid, low + 1)
+            found.append((-(prize - fine - standing), high - low, low, {p: n for p, n in got.items() if n}))
+    return min(found, key=lambda x: x[:3])[3] if found else {}
+
+
+def test_trade_search_equals_all_pairs(spark):
+    from ticktide.plans import registry
+
+    full = book.with_trades(book.with_bounds(book.with_sums(book.with_maps(registry.books(spark, "/root/testdata/sf0.001")))))
+    rows = full.select("vol", "amt", "D_ask", "D_bid", "D_ask_last", "D_bid_last", "ask_bound", "bid_bound", "D_exch").collect()
+    assert len({len(r["D_exch"]) for r in rows}) > 3
+    assert all(dict(r["D_exch"]) == plain_search(*r[:8]) for r in rows)
 
 
 def test_trades_conserve_volume(spark):

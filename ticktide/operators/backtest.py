@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticktide.operators.quantiles import quantiles
 from ticktide.operators.scan import jump, running
 
 
@@ -35,10 +36,8 @@ def stats(df: DataFrame, by: list[str], order: list[str], plays: str) -> DataFra
 
 
 def edges(df: DataFrame, column: str, parts: int) -> list[float]:
-    """Distinct inner quantiles (linear interpolation) of `column`, in one aggregate."""
-    shares = [k / parts for k in range(1, parts)]
-    found = df.agg(F.percentile(column, F.array(*[F.lit(s) for s in shares])).alias("q")).first()["q"] or []
-    return sorted(set(found))
+    """Distinct inner quantiles (linear interpolation) of `column`."""
+    return sorted(set(quantiles(df, {column: F.col(column)}, [k / parts for k in range(1, parts)])[column]))
 
 
 def bucket(column: Column, cuts: list[float]) -> Column:
@@ -57,7 +56,7 @@ def quantile_backtest(df: DataFrame, factor: str, reward: str, parts: int, order
 
 def tail_backtest(df: DataFrame, factor: str, reward: str, share: float, order: list[str]) -> DataFrame:
     """Long the lowest `share` of the factor, short the highest, and both together."""
-    low, high = df.agg(F.percentile(factor, F.array(F.lit(share), F.lit(1 - share))).alias("q")).first()["q"]
+    low, high = quantiles(df, {factor: F.col(factor)}, [share, 1 - share])[factor] or [None, None]
     f, r = F.col(factor), F.col(reward)
     sides = F.array(
         F.struct(F.lit("long").alias("side"), F.when(f <= low, r).alias("play")), F.struct(F.lit("short").alias("side"), F.when(f >= high, -r).alias("play")),
@@ -77,7 +76,8 @@ def spaced_backtest(df: DataFrame, by: list[str], order: list[str], signal: str,
 
     A signal without a reward is none: it isn't taken and blocks no later one. Adds exch_count, the signals taken, and exch_ratio, their share of all rows.
     """
-    rows = jump(df.withColumn("_fires", F.coalesce((F.col(signal) != 0) & F.col(reward).isNotNull(), F.lit(False))), by, order, "_fires", span)
+    fires = F.coalesce((F.col(signal) != 0) & F.col(reward).isNotNull(), F.lit(False))
+    rows = jump(df.select(*dict.fromkeys([*by, *order, signal, reward]), fires.alias("_fires")), by, order, "_fires", span)
     rows = rows.withColumn("play", F.when(F.col("taken"), play(F.col(signal), F.col(reward))))
     counts = rows.groupBy(*by).agg(F.count_if("taken").alias("exch_count"), F.avg(F.col("taken").cast("int")).alias("exch_ratio"))
     return stats(rows, by, order, "play").join(counts, by)

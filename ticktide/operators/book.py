@@ -7,12 +7,8 @@ since then. Books are price-volume maps (`functions.pvmap`).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ticktide.functions import pvmap as pv
 
@@ -57,69 +53,82 @@ def with_bounds(df: DataFrame, slack: int = 150) -> DataFrame:
     return df.withColumns({"ask_bound": a0 + within(asks, "D_ask_last_cumsum"), "bid_bound": b0 - within(bids, "D_bid_last_cumsum")})
 
 
-def split_trades(vol, amt, ask, bid, ask_last, bid_last, ask_bound, bid_bound) -> dict[int, int]:
+def split_trades(vol: Column, amt: Column, ask_bound: Column, bid_bound: Column) -> Column:
     """Traded volume per price that explains vol and amt best, by a search over two border prices.
 
     A candidate is a low and a high border around the mean price. What rests between them is taken
     to be traded; the borders share the rest so that volume (and, for neighbours, amount) agrees. Its
     score: volume that left the book at the traded prices, less what should have been traded
     outside the borders and less what the borders left standing. Equal scores prefer the narrower
-    pair, then the lower low border, then the higher high border. Without candidate: empty.
+    pair, then the lower low border. Without candidate: empty.
+
+    The books and their running sums become one array of cells, a cell per price that can be a border. A fold
+    over low borders holds a fold over the cells from there up, which carries what is left of volume and
+    amount and the best candidate so far.
     """
-    vol, amt = int(vol or 0), int(amt or 0)
-    if vol <= 0 or ask_bound is None or bid_bound is None:
-        return {}
-    ask, bid, ask_last, bid_last = (dict(m or {}) for m in (ask, bid, ask_last, bid_last))
-    high_end, low_end = max(-(-amt // vol), ask_bound), min(amt // vol, bid_bound)
-
-    def prefix(m: dict[int, int], down: bool) -> dict[int, int]:
-        total, out = 0, {}
-        for price in sorted(m, reverse=down):
-            total += m[price]
-            out[price] = total
-        return out
-
-    outside = [(prefix(ask_last, False), -1, 0), (prefix(bid_last, True), 1, 1), (prefix(ask, False), -1, 1), (prefix(bid, True), 1, 0)]
-    left = {p: max(ask_last.get(p, 0) - ask.get(p, 0), 0) + max(bid_last.get(p, 0) - bid.get(p, 0), 0) for p in {*ask_last, *bid_last}}
-    best: tuple[tuple[int, int], dict[int, int]] | None = None
-    for low in range(low_end, amt // vol + 1):
-        for high in range(high_end, max(low, -(-amt // vol)) - 1, -1):
-            borders = (low, high)
-            penalty = sum(sums.get(borders[which] + step, 0) for sums, step, which in outside)
-            if low == high:
-                if amt != vol * low:
-                    continue
-                traded, v1, v2 = {low: vol}, vol, vol
-            else:
-                traded = {p: ask_last.get(p, 0) + bid_last.get(p, 0) for p in range(low + 1, high)}
-                v = vol - sum(traded.values())
-                a = amt - sum(p * n for p, n in traded.items())
-                if v <= 0 or not low * v < a < high * v:
-                    continue
-                v1 = (high * v - a) // (high - low)
-                v2 = v - v1
-                traded |= {low: v1, high: v2}
-            prize = min(v1, left.get(low, 0)) + (min(v2, left.get(high, 0)) if high > low else 0) + sum(left.get(p, 0) for p in range(low + 1, high))
-            standing = 0 if low == high else max(ask_last.get(low, 0) - v1, 0) + max(bid_last.get(high, 0) - v2, 0)
-            key = (prize - penalty - standing, low - high)
-            if best is None or key > best[0]:
-                best = key, traded
-    return {p: n for p, n in sorted(best[1].items()) if n} if best else {}
+    none = F.lit(0).cast("bigint")
+    vol, amt = F.coalesce(vol, none).cast("bigint"), F.coalesce(amt, none).cast("bigint")
+    book, last = ({s: F.col(f"D_{s}{tail}") for s in ("ask", "bid")} for tail in ("", "_last"))
+    sums, last_sums = ({s: F.col(f"D_{s}{tail}_cumsum") for s in ("ask", "bid")} for tail in ("", "_last"))
+
+    def cells(e: Column) -> Column:
+        def cell(p: Column) -> Column:
+            asks, bids = pv.get(last["ask"], p), pv.get(last["bid"], p)
+            return pv.let(F.struct(asks.alias("a"), bids.alias("b")), lambda x: F.struct(
+                p.alias("p"), (x["a"] + x["b"]).alias("rest"), x["a"].alias("asks"), x["b"].alias("bids"),
+                (F.greatest(x["a"] - pv.get(book["ask"], p), none) + F.greatest(x["b"] - pv.get(book["bid"], p), none)).alias("left"),
+                (pv.get(last_sums["ask"], p - 1) + pv.get(sums["bid"], p + 1)).alias("below"),
+                (pv.get(last_sums["bid"], p + 1) + pv.get(sums["ask"], p - 1)).alias("above"),
+            ))
+
+        return F.transform(F.sequence(e["low"], e["high"]), cell)
+
+    def best_of(e: Column, found: Column, low: Column, rows: Column) -> Column:
+        def candidate(acc: Column, c: Column) -> Column:
+            same = c["p"] == low["p"]
+            v1 = F.when(same, e["vol"]).otherwise(F.call_function("div", c["p"] * acc["v"] - acc["a"], F.when(~same, c["p"] - low["p"])))
+
+            def judged(v1: Column) -> Column:
+                v2 = acc["v"] - v1
+                prize = F.least(v1, low["left"]) + F.when(same, none).otherwise(F.least(v2, c["left"])) + acc["left"]
+                standing = F.when(same, none).otherwise(F.greatest(low["asks"] - v1, none) + F.greatest(c["bids"] - v2, none))
+                new = F.struct((prize - standing - low["below"] - c["above"]).alias("score"), (low["p"] - c["p"]).alias("width"), low["p"].alias("low"), v1.alias("v1"), v2.alias("v2"))
+                old = acc["best"]
+                return pv.let(new, lambda n: F.when(old["score"].isNull() | (n["score"] > old["score"]) | ((n["score"] == old["score"]) & (n["width"] > old["width"])), n).otherwise(old))
+
+            fits = F.when(same, e["amt"] == e["vol"] * c["p"]).otherwise((acc["v"] > 0) & (low["p"] * acc["v"] < acc["a"]) & (acc["a"] < c["p"] * acc["v"]))
+            best = F.when((c["p"] >= e["up"]) & fits, pv.let(v1, judged)).otherwise(acc["best"])
+            off = F.when(same, none).otherwise(c["rest"])
+            gone = F.when(same, none).otherwise(c["left"])
+            return F.struct((acc["v"] - off).alias("v"), (acc["a"] - c["p"] * off).alias("a"), (acc["left"] + gone).alias("left"), best.alias("best"))
+
+        start = F.struct(e["vol"].alias("v"), e["amt"].alias("a"), none.alias("left"), found.alias("best"))
+        return F.aggregate(rows, start, candidate, lambda acc: acc["best"])
+
+    def search(e: Column, all_cells: Column) -> Column:
+        nothing = F.lit(None).cast("struct<score:bigint,width:bigint,low:bigint,v1:bigint,v2:bigint>")
+        lows = F.sequence(F.lit(1), (e["mean"] - e["low"] + 1).cast("int"))
+        return F.aggregate(lows, nothing, lambda found, k: best_of(e, found, F.get(all_cells, k - 1), F.slice(all_cells, k, F.size(all_cells))))
+
+    def traded(all_cells: Column, best: Column) -> Column:
+        high = best["low"] - best["width"]
+        inside = F.filter(all_cells, lambda c: (c["p"] >= best["low"]) & (c["p"] <= high))
+        amounts = F.transform(inside, lambda c: F.struct(c["p"].alias("key"), F.when(c["p"] == best["low"], best["v1"]).when(c["p"] == high, best["v2"]).otherwise(c["rest"]).alias("value")))
+        return F.when(best["low"].isNull(), pv.empty()).otherwise(F.map_from_entries(F.filter(amounts, lambda x: x["value"] != 0)))
+
+    some = F.when(vol > 0, vol)
+    mean = F.call_function("div", amt - F.pmod(amt, some), some)
+    up = mean + F.when(F.pmod(amt, some) > 0, 1).otherwise(0)
+    env = F.struct(
+        vol.alias("vol"), amt.alias("amt"), mean.alias("mean"), up.alias("up"), F.least(mean, bid_bound.cast("bigint")).alias("low"), F.greatest(up, ask_bound.cast("bigint")).alias("high"),
+    )
+    found = pv.let(env, lambda e: pv.let(cells(e), lambda c: pv.let(search(e, c), lambda best: traded(c, best))))
+    return F.when((vol > 0) & ask_bound.isNotNull() & bid_bound.isNotNull(), found).otherwise(pv.empty())
 
 
 def with_trades(df: DataFrame) -> DataFrame:
-    """D_exch: traded volume per price of each tick."""
-    needed = ["vol", "amt", "D_ask", "D_bid", "D_ask_last", "D_bid_last", "ask_bound", "bid_bound"]
-    schema = T.StructType([*df.schema.fields, T.StructField("D_exch", T.MapType(T.LongType(), T.LongType()))])
-    kind = pa.map_(pa.int64(), pa.int64())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in needed]
-            found = pa.array([list(split_trades(*row).items()) for row in zip(*columns, strict=True)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], schema.names)
-
-    return df.mapInArrow(run, schema)
+    """D_exch: traded volume per price of each tick, from the books, their sums and the bounds."""
+    return df.withColumn("D_exch", split_trades(F.col("vol"), F.col("amt"), F.col("ask_bound"), F.col("bid_bound")))
 
 
 def with_orders(df: DataFrame) -> DataFrame:

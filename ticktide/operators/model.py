@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktide.operators import binning
+from ticktide.operators.quantiles import quantiles
 from ticktide.operators.scan import running_totals
 
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -176,7 +177,7 @@ def boosted_trees(df: DataFrame, xs: list[str], y: str, order: list[str], rounds
     from pyspark.ml.regression import GBTRegressor
 
     rows = VectorAssembler(inputCols=xs, outputCol="_x").transform(df.dropna(subset=[*xs, y]))
-    cuts = rows.agg(F.percentile(F.unix_micros(F.col(order[0]).cast("timestamp")), F.array(F.lit(0.6), F.lit(0.8))).alias("q")).first()["q"]
+    cuts = quantiles(rows, {"t": F.unix_micros(F.col(order[0]).cast("timestamp"))}, [0.6, 0.8])["t"]
     t = F.unix_micros(F.col(order[0]).cast("timestamp"))
     model = GBTRegressor(featuresCol="_x", labelCol=y, maxIter=rounds, maxDepth=depth, seed=1).fit(rows.filter(t <= cuts[0]))
     return model, model.transform(rows.filter((t > cuts[0]) & (t <= cuts[1]))), model.transform(rows.filter(t > cuts[1]))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticktide.operators.quantiles import quantiles
+
 NULL_WORDS = ("null", "NULL", "")
 
 
@@ -137,7 +139,7 @@ def append(df: DataFrame, new: dict[str, Column] | Column) -> DataFrame:
 
 def quantile_parts(df: DataFrame, column: str, shares: list[float]) -> list[Column]:
     """Predicates for the ranges between quantiles (linear interpolation) of `column`: (q0, q1], (q1, q2], ..."""
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(s) for s in shares])).alias("q")).first()["q"] or []
+    cuts = quantiles(df, {column: F.col(column)}, shares)[column]
     return [(F.col(column) > a) & (F.col(column) <= b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -168,9 +170,10 @@ def unstack(df: DataFrame, rows: str, columns: str, value: str, names: list[str]
 
 
 def long_quantile(df: DataFrame, keys: list[str], columns: list[str], share: float) -> DataFrame:
-    """Rows (name, quantile) of each column, after turning the table into long form."""
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, columns, "name", "value")
-    return long.groupBy("name").agg(F.percentile("value", F.lit(share)).alias("quantile"))
+    """Rows (name, quantile) of each column, as of the table in long form; null where a column has no value and the table has rows."""
+    found = quantiles(df, {c: F.col(c) for c in columns}, [share])
+    rows = [(c, q[0] if q else None) for c, q in found.items()] if any(found.values()) or not df.select(*keys).isEmpty() else []
+    return df.sparkSession.createDataFrame(rows, "name string, quantile double")
 
 
 def mean_by_phase(df: DataFrame, place: Column, step: int, columns: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticktide.operators.quantiles import quantiles
+
 
 def write_days(df: DataFrame, path: str, day: str = "date", order: tuple[str, ...] = ("date", "time"), mode: str = "append") -> None:
     """Parquet by day, sorted inside files. `overwrite` replaces only the days that are written."""
@@ -51,7 +53,8 @@ def write_sheets(frames: dict[str, DataFrame], folder: str, most: int = 100_000)
 def colour_bound(df: DataFrame, columns: list[str], share: float = 0.95) -> float | None:
     """The quantile of absolute values that a colour scale ends at."""
     values = df.select(F.explode(F.array(*[F.abs(F.col(c).cast("double")) for c in columns])).alias("v"))
-    return values.agg(F.percentile("v", F.lit(share)).alias("q")).first()["q"]
+    found = quantiles(values, {"v": F.col("v")}, [share])["v"]
+    return found[0] if found else None
 
 
 def sample_rows(df: DataFrame, most: int = 1000, seed: int = 1) -> DataFrame:
