@@ -147,11 +147,7 @@ def cumulate(m: Column, descending: bool = False, amount: bool = False, clipped:
         v = F.greatest(e["value"], F.lit(0)) if clipped else e["value"]
         return e["key"] * v if amount else v
 
-    pair = "array<struct<key:bigint,value:bigint>>"
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast(pair).alias("rows"))
-    end = F.aggregate(
-        entries(m, descending), start,
-        lambda acc, e: F.struct((acc["sum"] + value(e)).alias("sum"), F.array_append(acc["rows"], F.struct(e["key"].alias("key"), (acc["sum"] + value(e)).alias("value"))).cast(pair).alias("rows")),
-        lambda acc: acc["rows"],
-    )
-    return F.map_from_entries(end)
+    def sums(rows: Column) -> Column:
+        return F.aggregate(rows, F.array().cast("array<bigint>"), lambda acc, e: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + value(e)))
+
+    return let(entries(m, descending), lambda rows: F.map_from_arrays(rows["key"], sums(rows)))

@@ -409,9 +409,62 @@ def book_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.with_bounds(book.with_sums(book.with_maps(books(spark, sf_dir)))).select("event_id", "ask_bound", "bid_bound")
 
 
-@query("trade_reconstruction")
+#: Every pair of borders is scored; the sums between them are differences of running sums.
+TRADES_SQL = """
+    WITH g AS (
+        SELECT event_id, vol, vol * mid + event_id * 3 % (vol + 1) AS amt, AP1 AS an, BP1 AS bn, coalesce(lag(AP1) OVER w, AP1) AS ap, coalesce(lag(BP1) OVER w, BP1) AS bp,
+               [AV1, AV2, AV3, AV4, AV5] AS av, [BV1, BV2, BV3, BV4, BV5] AS bv,
+               coalesce(lag([AV1, AV2, AV3, AV4, AV5]) OVER w, [0, 0, 0, 0, 0]) AS au, coalesce(lag([BV1, BV2, BV3, BV4, BV5]) OVER w, [0, 0, 0, 0, 0]) AS bu
+        FROM $BOOK WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id)
+    ),
+    s AS (SELECT *, least(greatest(ap, an), least(ap, an) + 4) AS sa, greatest(least(bp, bn), greatest(bp, bn) - 4) AS sb FROM g),
+    e AS (
+        SELECT *, sa + len(list_filter(range(sa, least(sa + 4, least(ap, an) + 5)), lambda q: CASE WHEN q BETWEEN ap AND ap + 4 THEN list_sum(au[1:q - ap + 1]) ELSE 0 END <= 2 * vol + 150)) AS ask_bound,
+               sb - len(list_filter(range(greatest(sb - 4, greatest(bp, bn) - 5) + 1, sb + 1), lambda q: CASE WHEN q BETWEEN bp - 4 AND bp THEN list_sum(bu[1:bp - q + 1]) ELSE 0 END <= 2 * vol + 150)) AS bid_bound
+        FROM s
+    ),
+    f AS (SELECT *, amt // vol AS mean, (amt + vol - 1) // vol AS up FROM e WHERE vol > 0),
+    p AS (SELECT *, unnest(range(least(mean, bid_bound), greatest(up, ask_bound) + 1)) AS p FROM f),
+    c AS (
+        SELECT event_id, vol, amt, mean, up, p, CASE WHEN p BETWEEN ap AND ap + 4 THEN au[p - ap + 1] ELSE 0 END AS asks, CASE WHEN p BETWEEN bp - 4 AND bp THEN bu[bp - p + 1] ELSE 0 END AS bids,
+               CASE WHEN p BETWEEN an AND an + 4 THEN av[p - an + 1] ELSE 0 END AS asks_now, CASE WHEN p BETWEEN bn - 4 AND bn THEN bv[bn - p + 1] ELSE 0 END AS bids_now,
+               CASE WHEN p - 1 BETWEEN ap AND ap + 4 THEN list_sum(au[1:p - ap]) ELSE 0 END + CASE WHEN p + 1 BETWEEN bn - 4 AND bn THEN list_sum(bv[1:bn - p]) ELSE 0 END AS below,
+               CASE WHEN p + 1 BETWEEN bp - 4 AND bp THEN list_sum(bu[1:bp - p]) ELSE 0 END + CASE WHEN p - 1 BETWEEN an AND an + 4 THEN list_sum(av[1:p - an]) ELSE 0 END AS above
+        FROM p
+    ),
+    d AS (SELECT *, asks + bids AS rest, greatest(asks - asks_now, 0) + greatest(bids - bids_now, 0) AS gone FROM c),
+    r AS (SELECT *, sum(rest) OVER u AS rs, sum(rest * p) OVER u AS qs, sum(gone) OVER u AS gs FROM d WINDOW u AS (PARTITION BY event_id ORDER BY p)),
+    pairs AS (
+        SELECT x.event_id, x.p AS lo, y.p AS hi, x.vol, x.amt, CASE WHEN x.p = y.p THEN x.vol ELSE x.vol - (y.rs - y.rest - x.rs) END AS v, x.amt - (y.qs - y.rest * y.p - x.qs) AS a, x.gone AS g1, y.gone AS g2,
+               y.gs - y.gone - x.gs AS g, x.asks AS a1, y.bids AS b2, x.below + y.above AS fine
+        FROM r AS x JOIN r AS y ON x.event_id = y.event_id AND y.p >= x.p WHERE x.p <= x.mean AND y.p >= y.up
+    ),
+    cand AS (SELECT *, CASE WHEN lo = hi THEN vol ELSE (hi * v - a) // (hi - lo) END AS v1 FROM pairs WHERE CASE WHEN lo = hi THEN amt = vol * lo ELSE v > 0 AND lo * v < a AND a < hi * v END),
+    scored AS (
+        SELECT *, v - v1 AS v2, least(v1, g1) + CASE WHEN lo = hi THEN 0 ELSE least(v - v1, g2) + g - greatest(a1 - v1, 0) - greatest(b2 - (v - v1), 0) END - fine AS score FROM cand
+    ),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY score DESC, hi - lo, lo) = 1),
+    w AS (
+        SELECT e.*, b.lo, b.hi, b.v1, b.v2, unnest(range(least(bn - 4, bp - 4, coalesce(b.lo, bn)), greatest(an + 4, ap + 4, coalesce(b.hi, an)) + 1)) AS p FROM e LEFT JOIN best AS b USING (event_id)
+    ),
+    n AS (
+        SELECT event_id, vol, amt, ap, bp, an, bn, p, CASE WHEN p BETWEEN ap AND ap + 4 THEN au[p - ap + 1] ELSE 0 END AS asks, CASE WHEN p BETWEEN bp - 4 AND bp THEN bu[bp - p + 1] ELSE 0 END AS bids,
+               CASE WHEN p BETWEEN an AND an + 4 THEN av[p - an + 1] ELSE 0 END AS asks_now, CASE WHEN p BETWEEN bn - 4 AND bn THEN bv[bn - p + 1] ELSE 0 END AS bids_now,
+               CASE WHEN p = lo THEN v1 WHEN p = hi THEN v2 WHEN p > lo AND p < hi THEN CASE WHEN p BETWEEN ap AND ap + 4 THEN au[p - ap + 1] ELSE 0 END + CASE WHEN p BETWEEN bp - 4 AND bp THEN bu[bp - p + 1] ELSE 0 END ELSE 0 END AS x
+        FROM w
+    )
+    SELECT event_id, vol, sum(x)::BIGINT AS d_exch, sum(CASE WHEN p <= least(ap, an) + 4 THEN greatest(x + asks_now - asks, 0) ELSE 0 END)::BIGINT AS d_ask_add,
+           sum(CASE WHEN p <= least(ap, an) + 4 THEN greatest(asks - x - asks_now, 0) ELSE 0 END)::BIGINT AS d_ask_cancel, sum(CASE WHEN p >= ap THEN x ELSE 0 END)::BIGINT AS d_ask_exch,
+           sum(least(x, asks))::BIGINT AS d_ask_old, sum(greatest(CASE WHEN p >= ap THEN x ELSE 0 END - least(x, asks), 0))::BIGINT AS d_ask_new,
+           sum(CASE WHEN p >= greatest(bp, bn) - 4 THEN greatest(x + bids_now - bids, 0) ELSE 0 END)::BIGINT AS d_bid_add, sum(CASE WHEN p >= greatest(bp, bn) - 4 THEN greatest(bids - x - bids_now, 0) ELSE 0 END)::BIGINT AS d_bid_cancel,
+           sum(CASE WHEN p <= bp THEN x ELSE 0 END)::BIGINT AS d_bid_exch, sum(CASE WHEN p BETWEEN bp + 1 AND ap - 1 THEN x ELSE 0 END)::BIGINT AS d_mid_exch, sum(x * p)::BIGINT AS turnover, amt
+    FROM n GROUP BY event_id, vol, amt
+"""
+
+
+@query("trade_reconstruction", TRADES_SQL)
 def trade_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Traded volume per price, and what it says of orders; the search itself has no SQL twin."""
+    """Traded volume per price, and what it says of orders."""
     full = book.with_orders(book.with_trades(book.with_bounds(book.with_sums(book.with_maps(books(spark, sf_dir))))))
     names = ["D_exch", "D_ask_add", "D_ask_cancel", "D_ask_exch", "D_ask_old", "D_ask_new", "D_bid_add", "D_bid_cancel", "D_bid_exch", "D_mid_exch"]
     return full.select("event_id", "vol", *[pv.total(F.col(n)).alias(n.lower()) for n in names], pv.turnover(F.col("D_exch")).alias("turnover"), "amt")
