@@ -157,11 +157,14 @@ def test_binning(spark):
     got = {r.bin_name: (r.cnt, round(r.mean_y, 6)) for r in binning.bin_table(df, "x", ["y"], 4).collect()}
     assert got == {"[1,2]": (4, 0.25), "(2,5]": (3, 0.666667), "(5,7]": (2, 0.5), "(7,10]": (3, 1.0)}
     low = spark.createDataFrame([(float(v),) for v in [-999] * 5 + list(range(7))], "x double")
-    bins = binning.intervals(binning.nearest_ticks(low, "x", 4))
-    assert [b.low for b in bins] == [-999, 1, 3]
+    rows = binning.bin_table(low, "x", ["x"], 4).collect()
+    assert {r.bin_name: r.cnt for r in rows} == {"[-999,-999]": 5, "(-999,1]": 2, "(1,3]": 2, "(3,6]": 3}
     points = binning.with_points([1, 5, 10], [5])
-    assert [r.k for r in df.select(binning.bin_index(F.col("x"), points).alias("k")).collect()][3:8] == [1, 1, 1, 0, 2]
-    assert binning.from_json(binning.to_json(binning.open_ends(bins))) == bins
+    assert [(b.name, b.barrier) for b in points] == [("[1,5)", False), ("[5,5]", True), ("(5,10]", False)]
+    assert [r.k for r in df.select(binning.bin_index(F.col("x"), points).alias("k")).collect()][3:8] == [0, 0, 0, 1, 2]
+    bins = binning.open_ends(binning.fit(low.withColumn("y", F.lit(1)), "x", binning.intervals([-999, 1, 6]), binning.Woe("y")))
+    back = binning.from_json(binning.to_json(bins))
+    assert list(back) == list(bins) and binning.base_rate(back) == binning.base_rate(bins)
     total = binning.sum_table(df, "x", "y", 4).agg(F.sum("sum")).first()[0]
     assert total == sum(y)
 
@@ -303,34 +306,6 @@ def test_streams(spark, tmp_path):
     assert bars and bars[0].open == 4
 
 
-def test_bin_merging_follows_the_stated_rules():
-    from ticktide.operators import binning as B
-
-    def of(*counts):
-        return [B.Bin(float(k), float(k + 1), k == 0, g + b, g, b) for k, (g, b) in enumerate(counts)]
-
-    # base: ln((20 + .5) / 80); cost of two bins by hand: soft = min(.5, 100 / 10000) = .01
-    bins = of((45, 5), (35, 15))
-    assert abs(B.base_rate(bins) - math.log(20.5 / 80)) < 1e-12
-    good, one = (80 + 0.02) / 100, (50 + 0.02) / 100
-    want = [100 * p * q for q in (one, 1 - one) for p in (good, 1 - good)]
-    chi = sum((v + 0.01 - w) ** 2 / w for v, w in zip((45, 5, 35, 15), want))
-    assert abs(B.chi_cost(*bins) - math.erf(math.sqrt(chi / 2))) < 1e-12
-    # a bin of exactly `least` rows, with a fraction for its larger neighbour, costs more than `least`
-    assert [b.cnt for b in B.merge_small(of((10, 0), (100, 0), (50, 50)), 10)] == [10, 100, 100]
-    assert [b.cnt for b in B.merge_small(of((9, 0), (100, 0), (50, 50)), 10)] == [109, 100]
-    # directions up, up, down: steps 0 and 1 have one neighbour of their direction, step 2 none
-    bins = of((90, 10), (80, 20), (70, 30), (75, 25))
-    plain = [B.chi_cost(a, b) for a, b in zip(bins, bins[1:])]
-    mono = [1 - (1 - c) * (k + 2) / 2 ** (k + 1) for c, k in zip(plain, (1, 1, 0))]
-    first = min(range(3), key=lambda k: mono[k])
-    merged = B.merge_alike(bins, mono[first], monotone=True)
-    assert len(merged) <= 3 and B.merge_alike(bins, mono[first] - 1e-9, monotone=True) == bins
-    # points stay apart
-    points = [B.Bin(2.5, 2.5, True, 3, 3, 0)]
-    assert B.merge_small([*points, *of((1, 1), (1, 1))], 10)[0] == points[0]
-
-
 def test_signal_without_reward_takes_no_slot(spark):
     df = spark.createDataFrame([(1, 1, None, 1), (1, 2, 5, 1), (1, 3, 1, 0), (1, 4, 7, 1)], "k int, t int, v int, g int")
     got = backtest.spaced_backtest(df, ["k"], ["t"], "g", "v", 2).first()

@@ -213,7 +213,8 @@ def tsi(df: DataFrame, column: str, label: str, sample: str, bins: list[binning.
     k = binning.bin_index(F.col(column), bins).alias("bin")
     counts = df.groupBy(k, sample).agg(F.sum((F.col(label) == 1).cast("long")).alias("bad"), F.sum((F.col(label) == 0).cast("long")).alias("good"), F.count(F.lit(1)).alias("n")).filter("bin IS NOT NULL")
     own = Window.partitionBy(sample)
-    base = F.log((F.sum("bad").over(own) + 0.5) / (F.sum("good").over(own) + 0.5))
+    good = F.sum("good").over(own)
+    base = F.log((F.sum("bad").over(own) + 0.5) / F.when(good > 0, good).otherwise(0.5))
     woe = counts.withColumn("woe", F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - base)
     by_bin = woe.groupBy("bin").agg(F.stddev_samp("woe").alias("s"), F.sum("n").alias("n"))
     return by_bin.agg(F.try_divide(F.sum(F.coalesce("s", F.lit(0.0)) * F.col("n")), F.sum("n")).alias("tsi"))

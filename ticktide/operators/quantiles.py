@@ -9,7 +9,7 @@ enough for any column; a round's state is a row per digit and place asked for, w
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +37,11 @@ def ordered(x: Column) -> Column:
     )
 
 
-def order_statistics(df: DataFrame, columns: dict[str, Column], places: dict[str, Iterable[int]] | None = None, shares: Iterable[float] = ()) -> dict[str, tuple[int, dict[int, float]]]:
+def order_statistics(df: DataFrame, columns: dict[str, Column], places: dict[str, Callable[[int], Iterable[int]] | Iterable[int]] | None = None, shares: Iterable[float] = ()) -> dict[str, tuple[int, dict[int, float]]]:
     """Per column: the number of its values, and the values at the places asked for (from 0, in rising order).
 
-    Places are given, or follow from `shares`: those on both sides of share * (n - 1). Nulls don't count.
+    Places are given, or a function of the number gives them, or they follow from `shares`: those on both sides of
+    share * (n - 1). Nulls don't count.
     """
     names, shares = list(columns), list(shares)
     x = F.col("v")
@@ -63,7 +64,8 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], places: dict[str
             counts = {k: sum(n for _, n, _, _ in table.get((k, 0), [])) for k in range(len(names))}
             for k, name in enumerate(names):
                 n = counts[k]
-                asked = (places or {}).get(name) if places is not None else {p for s in shares for p in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))}
+                own = (places or {}).get(name, ())
+                asked = (own(n) if callable(own) else own) if places is not None else {p for s in shares for p in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))}
                 known[k, 0] = {p: p for p in asked or () if 0 <= p < n}
         following: dict[tuple[int, int], dict[int, int]] = {}
         for (k, digit), wanted in known.items():

@@ -545,13 +545,84 @@ def bins_equal_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binning.bin_table(items, "x", ["y"], 5).drop("bin_name")
 
 
-@query("bins_woe")
+#: The greedy merges as loops over a list of bins; costs are chi squares, 3.841458820694124 is their 0.95 quantile.
+WOE_SQL = """
+    WITH RECURSIVE v AS MATERIALIZED (SELECT l_extendedprice AS x, (l_returnflag = 'R')::INT AS y, row_number() OVER (ORDER BY l_extendedprice) - 1 AS p, count(*) OVER () AS n FROM lineitem),
+    t AS MATERIALIZED (SELECT x, row_number() OVER (ORDER BY x) AS i FROM (SELECT DISTINCT x FROM v, range(0, 21) AS q(k) WHERE p = round_even((n - 1) * k / 20.0, 0))),
+    e AS (SELECT 2 * i - 1 AS k, x AS lo, x AS hi FROM t UNION ALL SELECT 2 * a.i, a.x, b.x FROM t AS a JOIN t AS b ON b.i = a.i + 1),
+    m AS (SELECT k, lo, hi, lo < hi AS o, lo < hi AS c, count(x) AS cnt, coalesce(sum(y), 0)::BIGINT AS bad FROM e LEFT JOIN v ON CASE WHEN lo = hi THEN x = lo ELSE x > lo AND x < hi END GROUP BY ALL),
+    small AS (
+        SELECT 0 AS step, list({'lo': lo, 'hi': hi, 'o': o, 'c': c, 'cnt': cnt, 'bad': bad} ORDER BY k) AS b FROM m
+        UNION ALL
+        SELECT step + 1, list_concat(list_append(b[1:pos - 1], {'lo': b[pos].lo, 'hi': b[pos + 1].hi, 'o': b[pos].o, 'c': b[pos + 1].c, 'cnt': b[pos].cnt + b[pos + 1].cnt, 'bad': b[pos].bad + b[pos + 1].bad}), b[pos + 2:])
+        FROM (SELECT *, list_position(costs, list_min(costs)) AS pos FROM (
+            SELECT *, list_transform(range(1, len(b)), lambda i: least(b[i].cnt, b[i + 1].cnt) + least(greatest(b[i].cnt, b[i + 1].cnt) / 100000.0, 1)) AS costs FROM small WHERE len(b) > 1
+        )) WHERE list_min(costs) <= 50
+    ),
+    alike AS (
+        SELECT 0 AS step, b FROM (SELECT b FROM small ORDER BY step DESC LIMIT 1)
+        UNION ALL
+        SELECT step + 1, list_concat(list_append(b[1:pos - 1], {'lo': b[pos].lo, 'hi': b[pos + 1].hi, 'o': b[pos].o, 'c': b[pos + 1].c, 'cnt': b[pos].cnt + b[pos + 1].cnt, 'bad': b[pos].bad + b[pos + 1].bad}), b[pos + 2:])
+        FROM (SELECT *, list_position(costs, list_min(costs)) AS pos FROM (
+            SELECT step, b, list_transform(cells, lambda z: (z.ag - z.n * z.g * z.a) ** 2 / (z.n * z.g * z.a) + (z.ab - z.n * (1 - z.g) * z.a) ** 2 / (z.n * (1 - z.g) * z.a)
+                       + (z.bg - z.n * z.g * (1 - z.a)) ** 2 / (z.n * z.g * (1 - z.a)) + (z.bb - z.n * (1 - z.g) * (1 - z.a)) ** 2 / (z.n * (1 - z.g) * (1 - z.a))) AS costs
+            FROM (
+                SELECT step, b, list_transform(raw, lambda r: {'n': r.n, 'ag': r.ag + r.s, 'ab': r.ab + r.s, 'bg': r.bg + r.s, 'bb': r.bb + r.s, 'g': (r.ag + r.bg + 2 * r.s) / r.n, 'a': (r.ag + r.ab + 2 * r.s) / r.n}) AS cells FROM (
+                    SELECT step, b, list_transform(range(1, len(b)), lambda i: {'n': (b[i].cnt + b[i + 1].cnt)::DOUBLE, 's': least(0.5::DOUBLE, (b[i].cnt + b[i + 1].cnt)::DOUBLE / 10000), 'ag': (b[i].cnt - b[i].bad)::DOUBLE, 'ab': b[i].bad::DOUBLE, 'bg': (b[i + 1].cnt - b[i + 1].bad)::DOUBLE, 'bb': b[i + 1].bad::DOUBLE}) AS raw
+                    FROM alike WHERE len(b) > 1
+                )
+            )
+        )) WHERE list_min(costs) <= 3.841458820694124
+    ),
+    last AS (SELECT b FROM alike ORDER BY step DESC LIMIT 1),
+    rows AS (SELECT unnest(range(1, len(b) + 1)) AS i, len(b) AS k, b FROM last),
+    base AS (SELECT ln((sum(y) + 0.5) / (count(*) - sum(y))) AS base FROM v)
+    SELECT CASE WHEN i = 1 THEN '[-inf' WHEN b[i].o THEN printf('(%g', round(b[i].lo, 3)) ELSE printf('[%g', round(b[i].lo, 3)) END || ',' || CASE WHEN i = k THEN 'inf]' WHEN b[i].c THEN printf('%g)', round(b[i].hi, 3)) ELSE printf('%g]', round(b[i].hi, 3)) END AS bin_name,
+           b[i].cnt AS cnt, b[i].bad AS bad, b[i].cnt - b[i].bad AS good, round(b[i].bad / (b[i].cnt + 0.5), 9) AS mean, round(ln((b[i].bad + 0.5) / (b[i].cnt - b[i].bad + 0.5)) - base, 9) AS woe FROM rows, base
+"""
+
+
+@query("bins_woe", WOE_SQL)
 def bins_woe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged bins with their weight of evidence; the greedy merge has no SQL twin."""
+    """Bins and single ticks, joined until they are large enough and differ, with their weight of evidence."""
     items = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("x"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
-    bins = binning.woe_bins(items, "x", "y", 20, 50)
-    base = binning.base_rate(bins)
-    return spark.createDataFrame([(b.name, b.cnt, b.bad, b.good, b.mean, binning.woe(b, base)) for b in bins], "bin_name string, cnt long, bad long, good long, mean double, woe double")
+    out = binning.bin_frame(binning.woe_bins(items, "x", "y", 20, 50), items, "bin_name string, cnt long, bad long, good long, mean double, woe double")
+    return out.withColumns({"mean": F.round("mean", 9), "woe": F.round("woe", 9)})
+
+
+class MedianSteps(binning.Medians):
+    """A caller's own strategy: neighbours whose medians lie at most a limit apart are joined, the nearest first."""
+
+    def cost(self, bins: list[binning.Bin], k: int) -> float:
+        a, b = (self.row(x.stats, None)["median"] for x in (bins[k], bins[k + 1]))
+        return 0.0 if a is None or b is None else abs(a - b)
+
+
+@query("bins_median", """
+    WITH RECURSIVE v AS MATERIALIZED (SELECT l_extendedprice AS x, l_quantity AS y, row_number() OVER (ORDER BY l_extendedprice) - 1 AS p, count(*) OVER () AS n FROM lineitem),
+    t AS MATERIALIZED (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT x FROM v, range(0, 41) AS q(k) WHERE p = round_even((n - 1) * k / 40.0, 0))),
+    m AS MATERIALIZED (SELECT a.i AS k, v.y FROM t AS a JOIN t AS b ON b.i = a.i + 1 JOIN v ON (v.x > a.x OR a.i = 0 AND v.x >= a.x) AND v.x <= b.x),
+    loop AS (
+        SELECT 0 AS step, list([k] ORDER BY k) AS b FROM (SELECT DISTINCT k FROM m)
+        UNION ALL
+        SELECT step + 1, list_concat(list_append(b[1:pos - 1], list_concat(b[pos], b[pos + 1])), b[pos + 2:])
+        FROM (SELECT step, b, list_position(costs, list_min(costs)) AS pos, list_min(costs) AS low FROM (
+            SELECT step, b, list_transform(range(1, len(meds)), lambda i: abs(meds[i] - meds[i + 1])) AS costs FROM (
+                SELECT step, any_value(b) AS b, list(med ORDER BY g) AS meds FROM (
+                    SELECT step, any_value(b) AS b, g, median(m.y) AS med FROM (SELECT step, b, unnest(range(1, len(b) + 1)) AS g FROM loop WHERE len(b) > 1) AS s JOIN m ON list_contains(s.b[s.g], m.k) GROUP BY step, g
+                ) GROUP BY step
+            )
+        )) WHERE low <= 1
+    ),
+    last AS (SELECT b FROM loop ORDER BY step DESC LIMIT 1),
+    g AS (SELECT unnest(range(1, len(b) + 1)) AS g, b FROM last)
+    SELECT (g - 1)::INT AS bin, count(*) AS cnt, median(m.y)::DOUBLE AS median FROM g JOIN m ON list_contains(g.b[g.g], m.k) GROUP BY g
+""")
+def bins_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller-made strategy on partial results: medians of a target by bin, close ones joined."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("x"), F.col("l_quantity").cast("double").alias("y"))
+    found = binning.binned(items, "x", MedianSteps("y"), 40, limit=1.0)
+    return binning.bin_frame(found, items, "bin int, cnt long, median double")
 
 
 @query("category_woe", """
