@@ -230,8 +230,57 @@ def rolling_differences(lengths: Names) -> dict[str, Column]:
     return out
 
 
-def merged_ladders(a: Column, b: Column, bounded: bool = True) -> Column:
-    """`a` less `b` per price; bounded: only up to the nearer of both farthest prices."""
-    rest = pv.subtract(a, b)
-    edge = F.least(F.array_max(F.map_keys(a)), F.array_max(F.map_keys(b)))
-    return pv.clip(rest, None, edge) if bounded else rest
+Ladder = "array<struct<key:bigint,value:bigint>>"
+
+
+def merge_ladders(a: Column, b: Column, sign: int = -1, bounded: bool = False, descending: bool = False) -> Column:
+    """Two ladders, arrays of (price, volume) in order from the best price, merged in one fold: a + sign * b per price.
+
+    Bounded, only up to the nearer of both farthest prices, since nothing is known of a ladder beyond its last
+    level; with an empty ladder that leaves nothing. Null counts as empty.
+    """
+    none = F.array().cast(Ladder)
+
+    def nearer(p: Column, q: Column) -> Column:
+        return p > q if descending else p < q
+
+    def run(both: Column) -> Column:
+        a, b, edge = both["a"], both["b"], both["edge"]
+
+        def step(at: Column, _: Column) -> Column:
+            def taken(xy: Column) -> Column:
+                x, y = xy["x"], xy["y"]
+                left = x["key"].isNotNull() & (y["key"].isNull() | ~nearer(y["key"], x["key"]))
+                right = y["key"].isNotNull() & (x["key"].isNull() | ~nearer(x["key"], y["key"]))
+                price = F.when(left, x["key"]).otherwise(y["key"])
+                zero = F.lit(0).cast("bigint")
+                volume = F.when(left, x["value"]).otherwise(zero) + sign * F.when(right, y["value"]).otherwise(zero)
+                keep = price.isNotNull() & (~nearer(xy["edge"], price) if bounded else F.lit(True))
+                rows = F.when(keep, F.array_append(at["rows"], F.struct(price.alias("key"), volume.alias("value"))).cast(Ladder)).otherwise(at["rows"])
+                return F.struct((at["i"] + left.cast("int")).alias("i"), (at["j"] + right.cast("int")).alias("j"), rows.alias("rows"))
+
+            return pv.let(F.struct(F.get(a, at["i"]).alias("x"), F.get(b, at["j"]).alias("y"), edge.alias("edge")), taken)
+
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), none.alias("rows"))
+        steps = F.size(a) + F.size(b)
+        merged = F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, step, lambda at: at["rows"])
+        return F.when(steps == 0, none).when(edge.isNull(), none).otherwise(merged) if bounded else F.when(steps == 0, none).otherwise(merged)
+
+    def with_edge(both: Column) -> Column:
+        ends = [F.try_element_at(both[x], F.lit(-1))["key"] for x in "ab"]
+        edge = F.when(ends[0].isNotNull() & ends[1].isNotNull(), (F.greatest if descending else F.least)(*ends))
+        return pv.let(F.struct(both["a"].alias("a"), both["b"].alias("b"), edge.alias("edge")), run)
+
+    return pv.let(F.struct(F.coalesce(a.cast(Ladder), none).alias("a"), F.coalesce(b.cast(Ladder), none).alias("b")), with_edge)
+
+
+def level_ladder(side: str, last: bool = False) -> Column:
+    """A side's five levels as a ladder, levels without a price left out."""
+    tail = "_last" if last else ""
+    rows = [F.when(F.col(f"{side}P{i}{tail}") > 0, F.struct(F.col(f"{side}P{i}{tail}").cast("bigint").alias("key"), F.coalesce(F.col(f"{side}V{i}{tail}"), F.lit(0)).cast("bigint").alias("value"))) for i in range(1, 6)]
+    return F.array_compact(F.array(*rows))
+
+
+def merged_ladders(a: Column, b: Column, bounded: bool = True, descending: bool = False) -> Column:
+    """`a` less `b` per price, for map columns."""
+    return F.map_from_entries(merge_ladders(pv.entries(a, descending), pv.entries(b, descending), -1, bounded, descending))

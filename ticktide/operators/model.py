@@ -6,11 +6,12 @@ import math
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktide.operators import binning
 from ticktide.operators.quantiles import quantiles
+from ticktide.operators.relational import fill_missing
 from ticktide.operators.scan import running_totals
 
 def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -243,12 +244,87 @@ def cross_validated_angles(df: DataFrame, used: list[str], more: list[str], labe
     return {x: min(f[x] for f in found) for x in more}
 
 
-def scorecard(df: DataFrame, columns: list[str], label: str, key: str, parts: int = 20, least: int = 100, most: int = 10) -> dict:
-    """Binning, weights of evidence, stepwise choice and report of a scorecard.
+def angles(df: DataFrame, xs: list[str], label: str, used: list[str], coef: np.ndarray) -> dict[str, float]:
+    """For each column: the cosine, in the Hessian's metric, of its direction to the best one that all columns span.
 
-    Returns its bins, chosen columns, coefficients and per part of the data (train, valid, test)
-    KS and AUC. Bins are fitted on the training part alone.
+    One pass; `coef` is that of the used columns, intercept last. The number of columns bounds what reaches the driver.
     """
+    of = dict(zip(used, coef[:-1].tolist(), strict=True))
+    grad, hess = moments(df, xs, label, np.array([*(of.get(x, 0.0) for x in xs), coef[-1]]))
+    g, h = grad[:-1], hess[:-1, :-1]
+    best = np.linalg.pinv(h) @ g
+    inner, size = h @ best, float(best @ h @ best)
+    return {x: float(inner[k] / math.sqrt(size * h[k, k])) if size > 0 and h[k, k] > 0 else 0.0 for k, x in enumerate(xs)}
+
+
+def stepwise_scaled(df: DataFrame, xs: list[str], label: str, least: float, valid: list[DataFrame] | None = None, valid_least: float = 0.5, c: float = 0.1, most: int | None = None) -> list[dict]:
+    """Adds the column of the largest angle times the root of the number of columns left, down to `least`; then drops columns of negative angle.
+
+    With validation samples, only columns whose scaled angle exceeds `valid_least` on each of them are candidates.
+    Returns the steps: used columns, coefficients (intercept last), the column added and its scaled angle.
+    """
+    used: list[str] = []
+    gone: set[str] = set()
+    coef = logistic(df, [], label, c)
+    steps: list[dict] = []
+    while len(used) < (len(xs) if most is None else most):
+        root = math.sqrt(len(xs) - len(used))
+        own = {x: a * root for x, a in angles(df, xs, label, used, coef).items() if x not in used and x not in gone}
+        for sample in valid or ():
+            there = angles(sample, xs, label, used, coef)
+            own = {x: a for x, a in own.items() if there[x] * root > valid_least}
+        if not own or (new := max(own, key=own.__getitem__)) is None or own[new] < least:
+            break
+        used.append(new)
+        coef = logistic(df, used, label, c, start=np.concatenate([coef[:-1], [0.0], coef[-1:]]))
+        while used and min(left := [a for x, a in angles(df, xs, label, used, coef).items() if x in used]) < -1e-9:
+            at = [x for x in xs if x in used][left.index(min(left))]
+            used.remove(at)
+            gone.add(at)
+            coef = logistic(df, used, label, c)
+        steps.append({"added": new, "angle": own[new], "columns": list(used), "coefficients": coef})
+    return steps
+
+
+def sample_counts(df: DataFrame, bins: dict[str, binning.Fitted], label: str, samples: dict[str, Column]) -> DataFrame:
+    """Rows (column, sample, bin, cnt, bad, good) of bins fitted once, counted for every sample in one pass.
+
+    Samples are conditions and may overlap; the sample 'all' is every row, and a row without bin (null) is the
+    total of its column and sample, values that fall in no bin included. Each row of the table meets its columns and samples in
+    a map-side aggregate, so what is shuffled is columns x samples x bins.
+    """
+    names = list(bins)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(binning.bin_index(F.col(c), b), F.lit(-1)).alias("bin")) for c, b in bins.items()]).cast("array<struct<column:string,bin:int>>")
+    inside = F.array_compact(F.array(F.lit("all"), *[F.when(cond, F.lit(n)) for n, cond in samples.items()]))
+    rows = df.select(F.explode(inside).alias("sample"), cells.alias("cells"), (F.col(label) == 1).cast("long").alias("_bad"), (F.col(label) == 0).cast("long").alias("_good"))
+    rows = rows.select("sample", F.explode("cells").alias("c"), "_bad", "_good").select("c.*", "sample", "_bad", "_good")
+    keys = [F.col("column"), F.col("sample"), F.col("bin")]
+    out = rows.groupingSets([keys, keys[:2]], *keys).agg(F.grouping("bin").alias("whole"), F.count(F.lit(1)).alias("cnt"), F.sum("_bad").alias("bad"), F.sum("_good").alias("good"))
+    return out.filter("whole = 1 OR bin >= 0").drop("whole") if names else out.drop("whole").limit(0)
+
+
+def sample_report(df: DataFrame, bins: dict[str, binning.Fitted], label: str, samples: dict[str, Column]) -> DataFrame:
+    """`sample_counts` with each bin's name, share of its sample, bad rate and weight of evidence in it."""
+    counts = sample_counts(df, bins, label, samples)
+    whole = counts.filter("bin IS NULL").select("column", "sample", F.col("cnt").alias("_n"), F.col("bad").alias("_b"), F.col("good").alias("_g"))
+    named = df.sparkSession.createDataFrame([(c, k, b.name) for c, own in bins.items() for k, b in enumerate(own)], "column string, bin int, bin_name string")
+    base = F.log((F.col("_b") + 0.5) / F.when(F.col("_g") > 0, F.col("_g")).otherwise(0.5))
+    rows = counts.filter("bin IS NOT NULL").join(whole, ["column", "sample"]).join(named, ["column", "bin"])
+    return rows.select(
+        "column", "sample", "bin", "bin_name", "cnt", "bad", "good", F.try_divide("cnt", "_n").alias("share"), (F.col("bad") / (F.col("cnt") + 0.5)).alias("mean"),
+        (F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - base).alias("woe"),
+    )
+
+
+def scorecard(df: DataFrame, columns: list[str], label: str, key: str, parts: int = 20, least: int = 100, most: int = 10, angle: float | None = None, samples: dict[str, Column] | None = None) -> dict:
+    """Type guess, binning, weights of evidence, stepwise choice and report of a scorecard.
+
+    Text columns of numbers become numbers first; those of other text are left out. Bins are fitted on the training part alone and counted once
+    more for each sample. With `angle` columns are chosen by scaled angles, checked on the validation part.
+    Returns its bins, the counts by sample, chosen columns, coefficients and per part of the data (train, valid, test) KS and AUC.
+    """
+    df = fill_missing(df, [c for c, kind in df.dtypes if c in columns and kind == "string"]) if any(kind == "string" for c, kind in df.dtypes if c in columns) else df
+    columns = [c for c in columns if dict(df.dtypes)[c] != "string"]
     parts_ = dict(zip(("train", "valid", "test"), split(df, key), strict=True))
     bins = {c: binning.woe_bins(parts_["train"], c, label, parts, least) for c in columns}
     bins = {c: b for c, b in bins.items() if len(b) > 1}
@@ -257,10 +333,15 @@ def scorecard(df: DataFrame, columns: list[str], label: str, key: str, parts: in
         for c, b in bins.items():
             rows = binning.apply_woe(rows, c, b, f"woe_{c}").withColumn(f"woe_{c}", F.coalesce(f"woe_{c}", F.lit(0.0)))
         coded[name] = rows
-    used, coef = stepwise(coded["train"], [f"woe_{c}" for c in bins], label, most)
+    xs = [f"woe_{c}" for c in bins]
+    if angle is None:
+        used, coef = stepwise(coded["train"], xs, label, most)
+    else:
+        steps = stepwise_scaled(coded["train"], xs, label, angle, [coded["valid"]], most=most)
+        used, coef = (steps[-1]["columns"], steps[-1]["coefficients"]) if steps else ([], logistic(coded["train"], [], label))
     score = sum((F.col(x) * F.lit(float(w)) for x, w in zip(used, coef, strict=False)), F.lit(float(coef[-1])))
     report = {}
     for name, rows in coded.items():
         scored = rows.withColumn("_score", score)
         report[name] = {"ks": ks(scored, "_score", label).first()["ks"], "auc": auc(scored, "_score", label).first()["auc"]}
-    return {"bins": bins, "columns": used, "coefficients": coef, "report": report}
+    return {"bins": bins, "counts": sample_report(df, bins, label, samples or {}), "columns": used, "coefficients": coef, "report": report, "coded": coded, "score": score}

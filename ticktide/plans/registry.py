@@ -917,6 +917,26 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(part, float(m["ks"] or 0), float(m["auc"] or 0)) for part, m in card["report"].items()], "part string, ks double, auc double")
 
 
+@query("scorecard_counts", """
+    WITH v AS (SELECT l_quantity AS q, l_extendedprice AS e, (l_returnflag = 'R')::INT AS y, l_linenumber AS n, l_discount AS d FROM lineitem),
+    r AS (SELECT 'q' AS c, q AS x, row_number() OVER (ORDER BY q) - 1 AS p, count(*) OVER () AS n FROM v WHERE n <= 3 UNION ALL SELECT 'e', e, row_number() OVER (ORDER BY e) - 1, count(*) OVER () FROM v WHERE n <= 3),
+    t AS (SELECT DISTINCT c, x FROM r, range(0, 6) AS k(k) WHERE p = round_even((n - 1) * k / 5.0, 0)),
+    b AS (SELECT c, lag(x) OVER w AS lo, x AS hi, (row_number() OVER w - 2)::INT AS bin FROM t WINDOW w AS (PARTITION BY c ORDER BY x)),
+    long AS (SELECT 'q' AS c, q AS x, y, n, d FROM v UNION ALL SELECT 'e', e, y, n, d FROM v),
+    placed AS (SELECT long.c, bin, y, n, d FROM long LEFT JOIN b ON b.c = long.c AND lo IS NOT NULL AND (x > lo OR bin = 0 AND x >= lo) AND x <= hi),
+    s AS (SELECT c, 'all' AS sample, bin, y FROM placed UNION ALL SELECT c, 'fit', bin, y FROM placed WHERE n <= 3 UNION ALL SELECT c, 'cheap', bin, y FROM placed WHERE d > 0.05)
+    SELECT c AS column, sample, bin, count(*) AS cnt, sum(y)::BIGINT AS bad, (count(*) - sum(y))::BIGINT AS good FROM s GROUP BY GROUPING SETS ((c, sample, bin), (c, sample)) HAVING GROUPING(bin) = 1 OR bin IS NOT NULL
+""")
+def scorecard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges fitted on one sample, counted for every overlapping sample in one pass by grouping sets."""
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("e"), (F.col("l_returnflag") == "R").cast("int").alias("y"), "l_linenumber", "l_discount"
+    )
+    fitted = items.filter("l_linenumber <= 3")
+    bins = {c: binning.binned(fitted, c, binning.Woe("y"), 5) for c in ("q", "e")}
+    return model.sample_counts(items, bins, "y", {"fit": F.col("l_linenumber") <= 3, "cheap": F.col("l_discount") > 0.05})
+
+
 @query("indicator_sweep")
 def indicator_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators at several periods, checked by unit tests."""
@@ -930,3 +950,26 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 __all__ = ["QUERIES", "ORACLE_SQL", "flagship", "streaming_bars"]
+
+
+LADDER_SQL = "SELECT event_id, unnest([{s}P1, {s}P2, {s}P3, {s}P4, {s}P5]) AS p, unnest([{s}V1, {s}V2, {s}V3, {s}V4, {s}V5]) AS now, 0 AS was FROM $BOOK UNION ALL SELECT event_id, unnest(p), 0, unnest(v) FROM l{s}"
+
+
+@query("ladder_changes", f"""
+    WITH lA AS (SELECT event_id, coalesce(lag([AP1, AP2, AP3, AP4, AP5]) OVER w, [AP1, AP2, AP3, AP4, AP5]) AS p, coalesce(lag([AV1, AV2, AV3, AV4, AV5]) OVER w, [0, 0, 0, 0, 0]) AS v FROM $BOOK WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id)),
+    lB AS (SELECT event_id, coalesce(lag([BP1, BP2, BP3, BP4, BP5]) OVER w, [BP1, BP2, BP3, BP4, BP5]) AS p, coalesce(lag([BV1, BV2, BV3, BV4, BV5]) OVER w, [0, 0, 0, 0, 0]) AS v FROM $BOOK WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id)),
+    a AS (SELECT event_id, p, sum(now)::BIGINT AS now, sum(was)::BIGINT AS was FROM ({LADDER_SQL.format(s="A")}) GROUP BY ALL),
+    b AS (SELECT event_id, p, sum(now)::BIGINT AS now, sum(was)::BIGINT AS was FROM ({LADDER_SQL.format(s="B")}) GROUP BY ALL),
+    ea AS (SELECT event_id, least(AP5, lA.p[5]) AS e FROM $BOOK AS k JOIN lA USING (event_id)), eb AS (SELECT event_id, greatest(BP5, lB.p[5]) AS e FROM $BOOK AS k JOIN lB USING (event_id))
+    SELECT 'ask' AS side, event_id, p AS price, now - was AS change, p <= e AS known FROM a JOIN ea USING (event_id) UNION ALL SELECT 'bid', event_id, p, now - was, p >= e FROM b JOIN eb USING (event_id)
+""")
+def ladder_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each price's resting volume changed by since the last snapshot; beyond the nearer fifth level it isn't known."""
+    b = books(spark, sf_dir)
+    sides = []
+    for side, name, down in (("A", "ask", False), ("B", "bid", True)):
+        now, was = microstructure.level_ladder(side), microstructure.level_ladder(side, True)
+        changes = [microstructure.merge_ladders(now, was, -1, bounded, down) for bounded in (False, True)]
+        rows = b.select("event_id", F.lit(name).alias("side"), changes[0].alias("x"), F.size(changes[1]).alias("n")).select("side", "event_id", "n", F.posexplode("x").alias("i", "x"))
+        sides.append(rows.select("side", "event_id", F.col("x.key").alias("price"), F.col("x.value").alias("change"), (F.col("i") < F.col("n")).alias("known")))
+    return sides[0].unionByName(sides[1])
