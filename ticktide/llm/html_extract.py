@@ -71,6 +71,18 @@ LABELLED: list[list[tuple[int, int, int, int, int, int]]] = [
     [(12, 12, 0, 0, 0, 0), (3, 0, 0, 0, 0, 0), (5, 0, 0, 0, 1, 1), (30, 0, 0, 0, 0, 1), (4, 0, 0, 0, 1, 1), (95, 8, 0, 0, 0, 1), (18, 0, 0, 0, 0, 1), (25, 2, 0, 0, 0, 1), (2, 0, 0, 0, 1, 0), (5, 5, 0, 0, 0, 0), (6, 6, 0, 0, 0, 0), (9, 2, 0, 0, 0, 0)],
     [(4, 4, 0, 0, 0, 0), (3, 3, 0, 0, 0, 0), (150, 0, 0, 0, 0, 1), (35, 30, 0, 0, 0, 0), (7, 1, 0, 0, 0, 0)],
     [(2, 0, 0, 0, 0, 0), (6, 6, 0, 0, 0, 0), (22, 1, 0, 0, 0, 1), (40, 0, 0, 0, 0, 1), (3, 0, 0, 0, 0, 1), (28, 0, 0, 0, 0, 1), (60, 45, 0, 0, 0, 0), (4, 0, 0, 0, 0, 0)],
+    # short lines of n words: an advert and an imprint with a hint go, a heading and lines of the article stay
+    *[[(1, 1, 1, 0, 0, 0)] * 4 + [(n, 0, 1, 0, 0, 0), (n, 0, 0, 1, 1, 1), (n, 0, 0, 1, 0, 1), (60, 0, 0, 1, 0, 1), (n, 0, 0, 1, 0, 1), (n, 0, 0, 1, 0, 1), (n, 0, 1, 0, 0, 0)] for n in (2, 4, 5, 6, 8, 11, 15)],
+    *[[(1, 1, 1, 0, 0, 0)] * 2 + [(n, 0, 1, 0, 0, 0), (n + 1, 0, 0, 1, 1, 1), (30, 2, 0, 1, 0, 1), (n, 0, 0, 1, 0, 1), (12, 0, 1, 1, 0, 0), (25, 0, 0, 1, 0, 1), (n, 0, 0, 1, 0, 1), (n + 3, 0, 1, 0, 0, 0)] for n in (3, 5, 7, 9, 13)],
+    *[[(1, 1, 1, 0, 0, 0), (n, 0, 0, 1, 1, 1), (4, 0, 0, 1, 0, 1), (24, 0, 0, 1, 0, 1), (n + 20, 0, 1, 0, 0, 0)] for n in (1, 2, 3, 5)], [(1, 0, 0, 1, 1, 1), (8, 0, 0, 1, 0, 1), (1, 0, 0, 1, 1, 1), (40, 0, 0, 1, 0, 1)],
+    # linked lines in an article: one that stands before, between or behind prose belongs to it, a list of short ones doesn't
+    *[[(n, n, 0, 1, 0, 1), (140, 0, 0, 1, 0, 1)] for n in (6, 7, 8)], *[[(n, n, 0, 1, 0, 1), (26, 0, 0, 1, 0, 1), (n, n, 0, 1, 0, 1), (50, 3, 0, 1, 0, 1)] for n in (6, 9)], [(9, 9, 0, 1, 0, 1), (60, 2, 0, 1, 0, 1), (45, 0, 0, 1, 0, 1)], [(6, 0, 0, 1, 1, 1), (90, 0, 0, 1, 0, 1), (8, 8, 0, 1, 0, 1), (70, 0, 0, 1, 0, 1)],
+    [(80, 0, 0, 1, 0, 1), (11, 11, 0, 1, 0, 1)], [(1, 1, 1, 0, 0, 0), (12, 12, 0, 1, 0, 1), (33, 0, 0, 1, 0, 1), (7, 7, 0, 1, 0, 1), (25, 0, 0, 1, 0, 1), (6, 0, 1, 0, 0, 0)],
+    [(120, 0, 0, 1, 0, 1), (2, 2, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (2, 2, 0, 1, 0, 0)], [(50, 0, 0, 1, 0, 1), (3, 3, 0, 1, 0, 0), (3, 3, 0, 1, 0, 0), (64, 0, 0, 1, 0, 1)],
+    # the same without hints
+    [(140, 0, 0, 0, 0, 1), (7, 7, 0, 0, 0, 1), (140, 0, 0, 0, 0, 1)], [(55, 0, 0, 0, 0, 1), (9, 9, 0, 0, 0, 1), (38, 3, 0, 0, 0, 1)], [(1, 1, 0, 0, 0, 0), (2, 2, 0, 0, 0, 0), (95, 0, 0, 0, 0, 1), (8, 8, 0, 0, 0, 1), (60, 0, 0, 0, 0, 1), (3, 3, 0, 0, 0, 0)],
+    [(3, 3, 0, 0, 0, 0), (6, 0, 0, 0, 1, 1), (48, 0, 0, 0, 0, 1), (70, 0, 0, 0, 0, 1)], [(2, 2, 0, 0, 0, 0), (85, 0, 0, 0, 0, 1), (33, 0, 0, 0, 0, 1)], [(2, 2, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (64, 5, 0, 0, 0, 1)],
+    [(90, 0, 0, 0, 0, 1), (5, 5, 0, 0, 0, 0), (4, 4, 0, 0, 0, 0), (6, 6, 0, 0, 0, 0)], [(28, 0, 0, 0, 0, 1), (3, 3, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0)],
     # articles that end the page, or are all of it
     [(60, 0, 0, 1, 0, 1)], [(3, 0, 0, 1, 0, 1)], [(1, 0, 0, 1, 0, 1), (4, 0, 0, 1, 0, 1)], [(30, 0, 0, 0, 0, 1)], [(70, 3, 0, 0, 0, 1), (40, 0, 0, 0, 0, 1)],
     [(1, 1, 1, 0, 0, 0), (6, 0, 0, 1, 1, 1), (2, 0, 0, 1, 0, 1)], [(3, 3, 0, 0, 0, 0), (20, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 1)], [(24, 0, 0, 1, 0, 1), (30, 0, 1, 1, 0, 0), (2, 0, 0, 1, 0, 1)],
@@ -80,12 +92,19 @@ LABELLED: list[list[tuple[int, int, int, int, int, int]]] = [
     [(3, 3, 1, 0, 0, 0), (3, 3, 1, 0, 0, 0), (75, 4, 1, 0, 0, 1), (5, 0, 1, 0, 0, 1), (33, 0, 1, 0, 0, 1), (4, 4, 1, 0, 0, 0), (30, 26, 1, 0, 0, 0), (5, 0, 1, 0, 0, 0)],
     [(2, 2, 1, 0, 0, 0), (60, 0, 1, 0, 0, 1), (5, 0, 1, 0, 0, 0)],
     [(1, 1, 2, 0, 0, 0), (5, 0, 2, 0, 1, 1), (55, 0, 2, 0, 0, 1), (42, 0, 2, 0, 0, 1), (3, 3, 2, 0, 0, 0)],
+    # a page inside one form: menu at the start, text up to the end, or a line of the imprint behind it
+    [(2, 0, 1, 0, 0, 0), (1, 1, 1, 0, 0, 0), (1, 1, 1, 0, 0, 0), (5, 0, 1, 0, 1, 1), (90, 0, 1, 0, 0, 1), (60, 4, 1, 0, 0, 1), (75, 0, 1, 0, 0, 1)],
+    [(2, 2, 1, 0, 0, 0), (3, 3, 1, 0, 0, 0), (50, 0, 1, 0, 0, 1), (42, 0, 1, 0, 0, 1)], [(140, 0, 1, 0, 0, 1)], [(6, 0, 1, 0, 1, 1), (85, 3, 1, 0, 0, 1)], [(1, 1, 1, 0, 0, 0), (33, 0, 1, 0, 0, 1)],
+    [(1, 0, 1, 0, 0, 0), (2, 2, 1, 0, 0, 0), (65, 0, 1, 0, 0, 1), (38, 0, 1, 0, 0, 1), (5, 0, 1, 0, 0, 0)], [(2, 0, 1, 0, 0, 0), (70, 0, 1, 0, 0, 1), (8, 8, 1, 0, 0, 1), (44, 0, 1, 0, 0, 1)],
+    [(3, 0, 1, 0, 0, 0), (1, 1, 1, 0, 0, 0), (7, 0, 1, 0, 1, 1), (28, 0, 1, 0, 0, 1), (110, 0, 1, 0, 0, 1), (4, 4, 1, 0, 0, 0), (6, 0, 1, 0, 0, 0)],
     # prose without hints beside hinted prose: the latter is a sidebar or comments
     [(2, 2, 1, 0, 0, 0), (6, 0, 0, 0, 1, 1), (66, 2, 0, 0, 0, 1), (48, 0, 0, 0, 0, 1), (3, 0, 1, 0, 1, 0), (50, 0, 1, 0, 0, 0), (41, 0, 1, 0, 0, 0), (7, 0, 1, 0, 0, 0)],
     [(90, 0, 0, 0, 0, 1), (10, 0, 0, 0, 0, 1), (30, 0, 0, 0, 0, 1), (62, 3, 1, 0, 0, 0), (2, 0, 2, 0, 0, 0), (38, 0, 2, 0, 0, 0)],
 ]
 
-#: A class or id with one of these before it says what a page has, not what the element is; one with one of those behind it is a page's frame.
+#: What makes an article element a comment, a teaser or an advert; other words may name its subject.
+REPLY_WORDS = frozenset("ad ads advert advertisement comment comments promo recommended related replies reply sponsor sponsored teaser".split())
+#: A word behind one of these in a class or id is what the element has, not what it is; a name that ends in one of those is a page's frame.
 BEFORE, BEHIND = frozenset("has with no is without".split()), frozenset("layout page template grid theme".split())
 #: Blocks whose begin ends an unclosed button or menu.
 OPENING = frozenset("p article main section h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre nav header footer aside form".split())
@@ -95,6 +114,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
     """(text, words, linked words, hints, in an article, heading) of each block with text, in page order."""
     out: list[tuple[str, int, int, int, int, int]] = []
     open_: list[tuple[str, tuple[int, int]]] = []  # tag, (hints, in an article) outside it
+    places: dict[str, list[int]] = {}  # of each tag, where it stands in the list
+    asides = 0  # how many of the list's tags are asides
     state, heading, links, articles = (0, 0), 0, 0, 0
     parts: list[str] = []
     linked: list[bool] = []
@@ -137,16 +158,21 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
         close()
         links = 0
         if m[1]:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == tag:
-                    state = open_[k][1]
-                    del open_[k:]
-                    break
+            if places.get(tag):
+                state = open_[places[tag][-1]][1]
+                while open_ and places[tag]:
+                    gone, _ = open_.pop()
+                    places[gone].pop()
+                    asides -= gone in ASIDE_TAGS
+                    if gone == tag:
+                        break
             heading = 0
         elif tag not in VOID:
             if tag not in ("p", "li", "td", "th", "tr", "dt", "dd", "html", "body", "option") or _NAMES.search(m[3]):
+                places.setdefault(tag, []).append(len(open_))
                 open_.append((tag, state))
-            state = _hinted(tag, m[3], state, not articles and not any(t in ASIDE_TAGS for t, _ in open_))
+                asides += tag in ASIDE_TAGS
+            state = _hinted(tag, m[3], state, not articles and not asides)
             articles += tag == "article"
             heading = int(tag in HEADINGS)
     add(page[at:])
@@ -187,10 +213,10 @@ def _hinted(tag: str, attributes: str, state: tuple[int, int], first: bool) -> t
     for value in _NAMES.findall(attributes) if attributes else ():
         for name in value.strip("\"'").split():
             own = [w.lower() for w in _PARTS.findall(name)]
-            if own and own[0] not in BEFORE and own[-1] not in BEHIND:
-                words.update(own)
+            if own and own[-1] not in BEHIND:
+                words.update(w for w, before in zip(own, ["", *own], strict=False) if before not in BEFORE and w not in BEFORE)
     aside = bool(words & ASIDE_WORDS)
-    if tag in ("main", "article") and not aside:
+    if tag == "main" or tag == "article" and not words & REPLY_WORDS:
         return (0 if tag == "main" or first else state[0]), 1
     if tag in ("html", "body"):
         return state
@@ -207,11 +233,20 @@ def features(found: list[tuple[int, int, int, int, int]]) -> list[tuple[float, .
     return [(*now, *before, *after, float(b[2]), float(b[3]), float(b[4]), clear) for now, before, after, b in zip(size, edge + size, size[1:] + edge, found, strict=False)]
 
 
+def stretched(page: list[tuple[int, int, int, int, int, int]], factor: float) -> list[tuple[int, int, int, int, int, int]]:
+    """The page with its prose longer or shorter; a block of up to 20 words stays as it is."""
+    return [(round(w * factor), round(k * factor), *rest) if w > 20 else (w, k, *rest) for w, k, *rest in page]
+
+
 def train(spark: SparkSession, labelled: list[list[tuple[int, int, int, int, int, int]]] = LABELLED) -> Any:
-    """The tree as nested (feature, threshold, at most, above) with 0 or 1 at the leaves."""
-    rows = [(Vectors.dense(x), float(b[5])) for page in labelled for x, b in zip(features([b[:5] for b in page]), page, strict=True)]
+    """The tree as nested (feature, threshold, at most, above) with 0 or 1 at the leaves.
+
+    Each labelled page counts with its prose as given, shorter, longer and much longer, and a leaf needs three blocks.
+    """
+    pages = [stretched(page, factor) for factor in (1.0, 0.67, 1.6, 4.0) for page in labelled]
+    rows = [(Vectors.dense(x), float(b[5])) for page in pages for x, b in zip(features([b[:5] for b in page]), page, strict=True)]
     frame = spark.createDataFrame(rows, ["features", "label"]).coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=8, maxBins=128, minInstancesPerNode=1, seed=5).fit(frame)
+    model = DecisionTreeClassifier(maxDepth=10, maxBins=256, minInstancesPerNode=3, seed=5).fit(frame)
 
     def export(node: Any) -> Any:
         if node.getClass().getSimpleName() == "LeafNode":
