@@ -16,6 +16,8 @@ def sweep(o: dict[str, np.ndarray], periods: tuple[int, ...] = SWEEP) -> dict[st
         line = ema_of(o["close"], f) - ema_of(o["close"], s)
         out[f"MACD_{f}_{s}"] = line
         out[f"MACD_hist_{f}_{s}"] = line - ema_of(line, max(signal, 1))
+        fixed = _ewm(o["close"], 0.15, 12) - _ewm(o["close"], 0.075, 26)
+        out[f"MACDFIX_hist_{max(signal, 1)}"] = fixed - ema_of(fixed, max(signal, 1))
     return out
 
 

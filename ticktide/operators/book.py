@@ -168,6 +168,14 @@ def market_buy(vol: str, amt: str) -> Column:
     return F.when(spread != 0, F.least(F.greatest(bought, F.lit(0)), F.col(vol)))
 
 
+def with_market_sides(df: DataFrame, by: list[str], order: list[str], vol: str = "vol", amt: str = "amt") -> DataFrame:
+    """market_buy, market_sell (the rest of the volume), and their running sums `<c>_sum` in a series; a null adds nothing."""
+    from ticktide.operators.scan import running
+
+    rows = df.withColumn("market_buy", market_buy(vol, amt)).withColumn("market_sell", F.col(vol) - F.col("market_buy"))
+    return rows.withColumns({f"{c}_sum": F.sum(F.coalesce(F.col(c), F.lit(0))).over(running(by, order)) for c in ("market_buy", "market_sell")})
+
+
 def quality_report(df: DataFrame, by: list[str], time: str) -> DataFrame:
     """Per series: rows, gaps in the half-second grid, changes of the best ask, and uneven levels."""
     from ticktide.operators.scan import series

@@ -148,6 +148,43 @@ def with_finite(df: DataFrame, by: list[str], order: list[str], minus_close: boo
     return out.drop("_tp", "_up", "_down", "_place", "_mean", "_tps", "_bp")
 
 
+def with_open(df: DataFrame, by: list[str], order: list[str], close: str = "close", name: str = "open") -> DataFrame:
+    """`name`: the close of the bar before, filled forward where it is null; none at the start of a series."""
+    past = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.last(close, ignorenulls=True).over(past))
+
+
+def cci(n: int, b: Bars) -> Column:
+    """Distance of the typical price from its mean over n bars, in 0.015 mean absolute deviations."""
+    mean, held = F.avg(typical()).over(b[1](n)), F.collect_list(typical()).over(b[1](n))
+    pair = F.struct(mean.alias("m"), held.alias("x"))
+    spread = F.aggregate(pair["x"], F.struct(F.lit(0.0).alias("s"), pair["m"].alias("m")), lambda a, x: F.struct((a["s"] + F.abs(x - a["m"])).alias("s"), a["m"].alias("m")), lambda a: a["s"]) / n
+    return F.when(F.size(held) == n, F.try_divide(typical() - mean, F.when(spread > 0, 0.015 * spread)))
+
+
+def aroon_oscillator(n: int, place: str, b: Bars) -> Column:
+    """How much nearer the highest high of the last n + 1 bars is than the lowest low, in hundredths of n; the latest of equal ones counts."""
+    frame = b[1](n + 1)
+    high, low = F.max_by(place, F.struct("high", place)).over(frame), F.max_by(place, F.struct(-F.col("low"), F.col(place))).over(frame)
+    return _full((high - low) * 100.0 / n, n + 1, frame)
+
+
+def position_sweep(df: DataFrame, by: list[str], order: list[str], periods: tuple[int, ...]) -> DataFrame:
+    """`CCI_<n>` and `AROONOSC_<n>` for each period."""
+    b = frames(by, order)
+    rows = df.withColumn("_place", F.row_number().over(b[0]))
+    return rows.withColumns({f"CCI_{n}": cci(n, b) for n in periods} | {f"AROONOSC_{n}": aroon_oscillator(n, "_place", b) for n in periods}).drop("_place")
+
+
+def macdext_sweep(df: DataFrame, by: list[str], order: list[str], periods: tuple[int, ...]) -> DataFrame:
+    """`MACDEXT_<f>_<s>`, its signal and histogram by plain means, for the pairs of `macd_grid`."""
+    b, grid = frames(by, order), macd_grid(periods)
+    means = {n: sma("close", n, b) for n in {n for f, s, _ in grid for n in (f, s)}}
+    rows = df.withColumns({f"MACDEXT_{f}_{s}": F.when(means[s].isNotNull(), means[f] - means[s]) for f, s, _ in grid})
+    rows = rows.withColumns({f"MACDEXT_signal_{f}_{s}": _known(f"MACDEXT_{f}_{s}", max(signal, 1), b) for f, s, signal in grid})
+    return rows.withColumns({f"MACDEXT_hist_{f}_{s}": F.col(f"MACDEXT_{f}_{s}") - F.col(f"MACDEXT_signal_{f}_{s}") for f, s, _ in grid})
+
+
 #: Periods of the sweeps.
 SWEEP = (3, 5, 10, 15, 20, 30, 40, 50, 60, 80, 100, 120, 180, 240, 300)
 
@@ -221,6 +258,9 @@ def sweep_values(periods: tuple[int, ...] = SWEEP) -> dict[str, Value]:
     for f, s, signal in macd_grid(periods):
         line = means[f] - means[s]
         out |= {f"MACD_{f}_{s}": line, f"MACD_hist_{f}_{s}": line - ema_of(line, max(signal, 1))}
+    fixed = ewm(o.close, 0.15, 12) - ewm(o.close, 0.075, 26)
+    for signal in sorted({max(signal, 1) for _, _, signal in macd_grid(periods)}):
+        out[f"MACDFIX_hist_{signal}"] = fixed - ema_of(fixed, signal)
     return out
 
 

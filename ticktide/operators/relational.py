@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ticktide.operators.quantiles import quantiles
 
@@ -114,6 +118,33 @@ def erase_near_edges(column: Column, to_edge: Column, period: int = 60) -> Colum
     return F.when(to_edge > period / 2, column)
 
 
+#: Which sessions belong together: 0 the whole day, 1 night, morning and afternoon, 2 night and day.
+SPLITS = {0: {}, 1: {"day0": "night", "day1": "morning", "day2": "morning", "day3": "afternoon"}, 2: {"day0": "night", "day1": "day", "day2": "day", "day3": "day"}}
+
+
+def part_of_day(session: Column, split_type: int) -> Column:
+    """The part of its day that a session belongs to; an unknown session is a part of its own."""
+    out = F.lit("") if not SPLITS[split_type] else session
+    for name, part in SPLITS[split_type].items():
+        out = F.when(session == name, F.lit(part)).otherwise(out)
+    return out
+
+
+def with_edges(df: DataFrame, by: list[str], session: str, order: list[str]) -> DataFrame:
+    """`from_begin<k>`, `to_end<k>` for the three split types: rows since the part of the day began, and up to its end."""
+    for k in SPLITS:
+        part = part_of_day(F.col(session), k)
+        w = Window.partitionBy(*by, part).orderBy(*order)
+        n = F.row_number().over(w)
+        df = df.withColumns({f"from_begin{k}": n, f"to_end{k}": F.count(F.lit(1)).over(Window.partitionBy(*by, part)) - n + 1})
+    return df
+
+
+def erase_split(df: DataFrame, factors: dict[str, int], targets: dict[str, int], split_type: int = 1) -> DataFrame:
+    """`erase_edges` by the distances that `with_edges` gives for a split type."""
+    return erase_edges(df, f"from_begin{split_type}", f"to_end{split_type}", factors, targets)
+
+
 def main_contract(df: DataFrame, symbol: str, volume: str, pattern: str) -> DataFrame:
     """The symbol like `pattern` with the largest volume; ties go to the first name. No row if none fits."""
     top = df.filter(F.col(symbol).rlike(pattern)).groupBy(symbol).agg(F.max(volume).alias("max_volume"))
@@ -137,6 +168,31 @@ def append(df: DataFrame, new: dict[str, Column] | Column) -> DataFrame:
     return wide.withColumns({f: F.col(f"_new.`{f}`") for f in fields}).drop("_new")
 
 
+def append_last(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """Adds columns behind all others; a column of the same name gives way to the new one."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in new]
+    return df.select(*kept, *[v.alias(n) for n, v in new.items()])
+
+
+def append_rows(df: DataFrame, callback: Callable[[dict], dict], schema: T.StructType | str) -> DataFrame:
+    """Adds the columns that a Python callback makes of each row (a dict), behind all others; those of the same name give way.
+
+    For callbacks that no expression states: rows pass through Python in Arrow batches. Fields that it leaves out are null.
+    """
+    made = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    kept = [f for f in df.schema.fields if f.name not in made.names]
+    whole = T.StructType([*kept, *[T.StructField(f.name, f.dataType) for f in made.fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(whole)
+        for batch in batches:
+            found = [callback(row) or {} for row in batch.to_pylist()]
+            new = [pa.array([row.get(f.name) for row in found], target.field(f.name).type) for f in made.fields]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *new], whole.names)
+
+    return df.mapInArrow(run, whole)
+
+
 def quantile_parts(df: DataFrame, column: str, shares: list[float]) -> list[Column]:
     """Predicates for the ranges between quantiles (linear interpolation) of `column`: (q0, q1], (q1, q2], ..."""
     cuts = quantiles(df, {column: F.col(column)}, shares)[column]

@@ -943,6 +943,61 @@ def indicator_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.with_sweep(hourly(spark, sf_dir), ["symbol"], ["bucket"], (5, 10, 20))
 
 
+BARS_SQL = "SELECT symbol, CAST(floor(epoch_us(ts) / 3.6e9) AS BIGINT) AS bucket, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (ts, event_id)) AS close FROM $TICKS GROUP BY ALL"
+
+
+@query("position_sweep", f"""
+    WITH b AS (SELECT *, (high + low + close) / 3.0 AS tp, row_number() OVER w AS i FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY bucket)),
+    p AS (SELECT unnest([5, 14]) AS n),
+    w AS (SELECT b.symbol, b.bucket, b.tp, n, count(*) AS c, avg(a.tp) AS m, list(a.tp) AS x FROM b CROSS JOIN p JOIN b AS a ON a.symbol = b.symbol AND a.i BETWEEN b.i - n + 1 AND b.i GROUP BY b.symbol, b.bucket, b.tp, n),
+    c AS (SELECT symbol, bucket, n, CASE WHEN c = n THEN round((tp - m) / nullif(0.015 * list_sum(list_transform(x, lambda t: abs(t - m))) / n, 0), 6) END AS cci FROM w),
+    o AS (SELECT b.symbol, b.bucket, n, CASE WHEN count(*) = n + 1 THEN round((arg_max(a.i, (a.high, a.i)) - arg_max(a.i, (-a.low, a.i))) * 100.0 / n, 6) END AS osc FROM b CROSS JOIN p JOIN b AS a ON a.symbol = b.symbol AND a.i BETWEEN b.i - n AND b.i GROUP BY b.symbol, b.bucket, n)
+    SELECT symbol, bucket, max(cci) FILTER (n = 5) AS CCI_5, max(cci) FILTER (n = 14) AS CCI_14, max(osc) FILTER (n = 5) AS AROONOSC_5, max(osc) FILTER (n = 14) AS AROONOSC_14 FROM c JOIN o USING (symbol, bucket, n) GROUP BY symbol, bucket
+""")
+def position_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [f"{k}_{n}" for k in ("CCI", "AROONOSC") for n in (5, 14)]
+    out = indicators.position_sweep(hourly(spark, sf_dir), ["symbol"], ["bucket"], (5, 14))
+    return out.select("symbol", "bucket", *[F.round(c, 6).alias(c) for c in names])
+
+
+@query("macdext_sweep", f"""
+    WITH b AS (SELECT *, row_number() OVER w AS i FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY bucket)),
+    m AS (SELECT *, CASE WHEN i >= 20 THEN avg(close) OVER (PARTITION BY symbol ORDER BY i ROWS 4 PRECEDING) - avg(close) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING) END AS line FROM b),
+    s AS (SELECT *, CASE WHEN count(line) OVER w = 3 THEN avg(line) OVER w END AS signal, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 2 PRECEDING))
+    SELECT symbol, bucket, before AS open, round(line, 6) AS MACDEXT_5_20, round(signal, 6) AS MACDEXT_signal_5_20, round(line - signal, 6) AS MACDEXT_hist_5_20 FROM s
+""")
+def macdext_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of plain-mean lines, beside the close before as open."""
+    bars_ = indicators.with_open(hourly(spark, sf_dir), ["symbol"], ["bucket"])
+    out = indicators.macdext_sweep(bars_, ["symbol"], ["bucket"], (5, 20))
+    return out.select("symbol", "bucket", "open", *[F.round(c, 6).alias(c) for c in ("MACDEXT_5_20", "MACDEXT_signal_5_20", "MACDEXT_hist_5_20")])
+
+
+@query("market_sides", """
+    WITH g AS (SELECT event_id, symbol, day, ts, vol, vol * mid + event_id * 3 % (vol + 1) AS amt, coalesce(lag(AP1) OVER w, AP1) AS a, coalesce(lag(BP1) OVER w, BP1) AS b FROM $BOOK WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id)),
+    m AS (SELECT *, CASE WHEN a <> b THEN least(greatest((amt - vol * b)::DOUBLE / (a - b), 0), vol) END AS buy FROM g)
+    SELECT event_id, round(buy, 6) AS market_buy, round(vol - buy, 6) AS market_sell, round(sum(coalesce(buy, 0)) OVER w, 4) AS market_buy_sum, round(sum(coalesce(vol - buy, 0)) OVER w, 4) AS market_sell_sum
+    FROM m WINDOW w AS (PARTITION BY symbol, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+""")
+def market_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = book.with_market_sides(books(spark, sf_dir), DAY, ORDER)
+    return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("market_buy", "market_sell")], *[F.round(c, 4).alias(c) for c in ("market_buy_sum", "market_sell_sum")])
+
+
+@query("session_edges", """
+    WITH s AS (SELECT event_id, symbol, day, ts, vol, 'day' || event_id % 4 AS session FROM $TICKS),
+    p AS (SELECT *, '' AS p0, CASE session WHEN 'day0' THEN 'night' WHEN 'day3' THEN 'afternoon' ELSE 'morning' END AS p1, CASE session WHEN 'day0' THEN 'night' ELSE 'day' END AS p2 FROM s),
+    e AS (SELECT *, row_number() OVER (PARTITION BY symbol, day, p0 ORDER BY ts, event_id) AS b0, count(*) OVER (PARTITION BY symbol, day, p0) AS c0, row_number() OVER (PARTITION BY symbol, day, p1 ORDER BY ts, event_id) AS b1, count(*) OVER (PARTITION BY symbol, day, p1) AS c1,
+          row_number() OVER (PARTITION BY symbol, day, p2 ORDER BY ts, event_id) AS b2, count(*) OVER (PARTITION BY symbol, day, p2) AS c2 FROM p)
+    SELECT event_id, b0::INT AS from_begin0, c0 - b0 + 1 AS to_end0, b1::INT AS from_begin1, c1 - b1 + 1 AS to_end1, b2::INT AS from_begin2, c2 - b2 + 1 AS to_end2, CASE WHEN b1 > 10 THEN vol END AS x, CASE WHEN c1 - b1 + 1 > 6 THEN vol END AS y FROM e
+""")
+def session_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances to the ends of a day's parts for the three split types, and columns erased near them."""
+    t = ticks(spark, sf_dir).withColumn("session", F.concat(F.lit("day"), (F.col("event_id") % 4).cast("string"))).withColumns({"x": F.col("vol"), "y": F.col("vol")})
+    out = relational.erase_split(relational.with_edges(t, DAY, "session", ORDER), {"x": 20}, {"y": 12}, 1)
+    return out.select("event_id", *[f"{n}{k}" for k in range(3) for n in ("from_begin", "to_end")], "x", "y")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars with the returns to the next and the third bar."""
     b = hourly(spark, sf_dir).withColumn("day", F.to_date(F.timestamp_seconds(F.col("bucket") * 3600)))

@@ -16,6 +16,8 @@ SNAPSHOT = T.StructType(
     + [T.StructField(c, T.DoubleType()) for c in ("vol_sum", "amt_sum", "OpenInterest")]
     + [T.StructField(f"{s}{k}{i}", T.LongType()) for s in "BA" for k in "PV" for i in range(1, 6)]
 )
+#: The same with the number of orders at each level, and the receiver's clock.
+SNAPSHOT_COUNTS = T.StructType([*SNAPSHOT.fields, *[T.StructField(f"{s}Count{i}", T.LongType()) for s in ("Bid", "Ask") for i in range(1, 6)], T.StructField("LocalTimeStamp", T.StringType())])
 LEAST_ROWS = 1000
 
 
@@ -42,6 +44,11 @@ def snapshots(raw: DataFrame, date: str, symbol: str) -> DataFrame:
     return raw.filter((F.col("date") == date) & (F.col("Symbol") == symbol)).withColumn("Session", session_of(F.col("time")))
 
 
+def raw_snapshots(spark: SparkSession, path: str, counts: bool = False) -> DataFrame:
+    """Raw five-level snapshots kept as Parquet by day, with order counts if asked for; columns that files lack are null."""
+    return spark.read.schema(SNAPSHOT_COUNTS if counts else SNAPSHOT).parquet(path)
+
+
 def instruments(spark: SparkSession, path: str) -> DataFrame:
     """Rows (symbol, exchange, multiplier) of an instrument list in JSON."""
     schema = "symbol string, exchange string, multiplier double"
