@@ -38,14 +38,13 @@ def psi(df: DataFrame, bin_col: str, sample: str, base: str | None = None) -> Da
 
     Bins that a sample lacks count with one half there.
     """
-    wide = df.groupBy(bin_col).pivot(sample).count().na.fill(0)
-    names = [c for c in wide.columns if c != bin_col]
-    if base is None:
-        whole = sum((F.col(f"`{c}`") for c in names), F.lit(0))
-        wide = wide.withColumn("_ref", whole)
-    else:
-        wide = wide.withColumn("_ref", F.col(f"`{base}`"))
-    full = wide.unpivot([bin_col, "_ref"], [c for c in names if c != base], sample, "count")
+    counts = df.filter(F.col(sample).isNotNull()).groupBy(bin_col, sample).count()
+    names = sorted(r[0] for r in counts.select(sample).distinct().collect())
+    held = counts.groupBy(bin_col).agg(F.map_from_entries(F.collect_list(F.struct(sample, "count"))).alias("_m"), F.sum("count").alias("_whole"))
+    of = lambda name: F.coalesce(F.try_element_at("_m", F.lit(name)), F.lit(0))
+    cells = F.array(*[F.struct(F.lit(n).alias(sample), of(n).alias("count")) for n in names if n != base])
+    rows = held.select(bin_col, (F.col("_whole") if base is None else of(base)).alias("_ref"), F.explode(cells).alias("_c"))
+    full = rows.select(bin_col, "_ref", F.col("_c")[sample].alias(sample), F.col("_c")["count"].alias("count"))
     own = Window.partitionBy(sample)
     share, ref = ((F.col(c) + 0.5) / F.sum(F.col(c) + 0.5).over(own) for c in ("count", "_ref"))
     terms = full.select(sample, share.alias("share"), ref.alias("ref"))
@@ -86,9 +85,9 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def lift(df: DataFrame, bin_col: str, label: str) -> DataFrame:
     """Rows per bin: cnt, bad, share of rows, share of bad rows, lift."""
-    whole = Window.partitionBy()
     out = df.groupBy(bin_col).agg(F.count(F.lit(1)).alias("cnt"), F.sum((F.col(label) == 1).cast("long")).alias("bad"))
-    out = out.withColumns({"cnt_share": F.col("cnt") / F.sum("cnt").over(whole), "bad_share": F.try_divide("bad", F.sum("bad").over(whole))})
+    n, bad = out.agg(F.sum("cnt"), F.sum("bad")).first()
+    out = out.withColumns({"cnt_share": F.try_divide("cnt", F.lit(n)), "bad_share": F.try_divide("bad", F.lit(bad))})
     return out.withColumn("lift", F.try_divide("bad_share", "cnt_share"))
 
 
