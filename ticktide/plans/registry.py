@@ -688,9 +688,32 @@ def entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.entropy(ticks(spark, sf_dir).withColumn("v", F.col("vol") % 4), ["symbol", "v"]).select(F.round("entropy", 6).alias("entropy"))
 
 
-@query("logistic")
+#: Newton steps: sums of the gradient and the Hessian with the present coefficients, solved by determinants.
+LOGISTIC_SQL = """
+    WITH RECURSIVE v AS MATERIALIZED (SELECT l_quantity::DOUBLE / 50 AS q, l_extendedprice::DOUBLE / 100000 AS e, (l_returnflag = 'R')::INT::DOUBLE AS y FROM lineitem),
+    n AS (
+        SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS moved
+        UNION ALL
+        SELECT step + 1, a + da, b + db, c + dc, greatest(abs(da), abs(db), abs(dc)) FROM (
+            SELECT step, a, b, c, (g1 * (h22 * h33 - h23 * h23) - h12 * (g2 * h33 - h23 * g3) + h13 * (g2 * h23 - h22 * g3)) / d AS da,
+                   (h11 * (g2 * h33 - h23 * g3) - g1 * (h12 * h33 - h23 * h13) + h13 * (h12 * g3 - g2 * h13)) / d AS db, (h11 * (h22 * g3 - g2 * h23) - h12 * (h12 * g3 - g2 * h13) + g1 * (h12 * h23 - h22 * h13)) / d AS dc
+            FROM (
+                SELECT *, h11 * (h22 * h33 - h23 * h23) - h12 * (h12 * h33 - h23 * h13) + h13 * (h12 * h23 - h22 * h13) AS d FROM (
+                    SELECT step, a, b, c, sum(q * (y - p)) - 1e-6 * a AS g1, sum(e * (y - p)) - 1e-6 * b AS g2, sum(y - p) AS g3, sum(q * q * p * (1 - p)) + 1e-6 AS h11, sum(q * e * p * (1 - p)) AS h12, sum(q * p * (1 - p)) AS h13,
+                           sum(e * e * p * (1 - p)) + 1e-6 AS h22, sum(e * p * (1 - p)) AS h23, sum(p * (1 - p)) AS h33
+                    FROM (SELECT n.*, v.*, 1 / (1 + exp(-(a * q + b * e + c))) AS p FROM n, v WHERE moved > 1e-9 AND step < 25) GROUP BY step, a, b, c
+                )
+            )
+        )
+    ),
+    last AS (SELECT * FROM n ORDER BY step DESC LIMIT 1)
+    SELECT unnest(['q', 'e', 'intercept']) AS name, unnest([round(a, 6), round(b, 6), round(c, 6)]) AS coef FROM last
+"""
+
+
+@query("logistic", LOGISTIC_SQL)
 def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients of a logistic model; Newton steps have no SQL twin."""
+    """Coefficients of a logistic model by Newton steps."""
     items = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("q"), (F.col("l_extendedprice") / 100000).alias("e"), (F.col("l_returnflag") == "R").cast("int").alias("y"))
     coef = model.logistic(items, ["q", "e"], "y")
     return spark.createDataFrame([(n, round(float(c), 6)) for n, c in zip(["q", "e", "intercept"], coef, strict=True)], "name string, coef double")
