@@ -473,6 +473,12 @@ def with_recursive(df: DataFrame, by: list[str], order: list[str], ranges: int |
     return with_values(folded, by, order, recursive_values(), ranges)
 
 
+def with_smoothed(df: DataFrame, by: list[str], order: list[str], names: list[str], ranges: int | None = None) -> DataFrame:
+    """The named ones of the linear recurrences, in as many passes as they need."""
+    found = recursive_values()
+    return with_values(df, by, order, {n: found[n] for n in names}, ranges)
+
+
 # Candle patterns: 100 for a bullish, -100 for a bearish one, else 0.
 
 def with_patterns(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

@@ -1021,6 +1021,51 @@ def session_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", *[f"{n}{k}" for k in range(3) for n in ("from_begin", "to_end")], "x", "y")
 
 
+#: A row's state from the row before: each mean moves by 1 / k up to its seed, by its own rate after it.
+SMOOTHED_SQL = f"""
+    WITH RECURSIVE b AS MATERIALIZED (
+        SELECT symbol, bucket, high::DOUBLE AS h, low::DOUBLE AS l, close::DOUBLE AS c, row_number() OVER w AS i, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1 FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY bucket)
+    ),
+    x AS MATERIALIZED (
+        SELECT symbol, bucket, i, c, greatest(c - c1, 0) AS up, greatest(c1 - c, 0) AS down, greatest(h - l, abs(h - c1), abs(l - c1)) AS tr,
+               CASE WHEN h - h1 > l1 - l AND h - h1 > 0 THEN h - h1 ELSE 0 END AS pm, CASE WHEN l1 - l > h - h1 AND l1 - l > 0 THEN l1 - l ELSE 0 END AS mm FROM b
+    ),
+    r AS (
+        SELECT symbol, bucket, i, c, c AS e30, c AS e12, c AS e26, 0.0::DOUBLE AS e2, 0.0::DOUBLE AS e3, 0.0::DOUBLE AS sg, 0.0::DOUBLE AS u, 0.0::DOUBLE AS d, 0.0::DOUBLE AS t, 0.0::DOUBLE AS p, 0.0::DOUBLE AS m, NULL::DOUBLE AS dx, 0.0::DOUBLE AS ax, 0 AS k FROM x WHERE i = 1
+        UNION ALL
+        SELECT symbol, bucket, i, c, e30, e12, e26, e2, e3, sg, u, d, t, p, m, dx, CASE WHEN dx IS NULL THEN ax ELSE ax + (dx - ax) * CASE WHEN k < 14 THEN 1.0::DOUBLE / (k + 1) ELSE 1.0::DOUBLE / 14 END END, k + (dx IS NOT NULL)::INT FROM (
+            SELECT *, CASE WHEN i >= 15 AND t <> 0 AND p + m <> 0 THEN 100 * abs(100 * p / t - 100 * m / t) / (100 * p / t + 100 * m / t) END AS dx FROM (
+                SELECT *, CASE WHEN i < 59 THEN 0 ELSE e3o + (e2 - e3o) * CASE WHEN i - 58 <= 30 THEN 1.0::DOUBLE / (i - 58) ELSE 2.0::DOUBLE / 31 END END AS e3 FROM (
+                    SELECT *, CASE WHEN i < 30 THEN 0 ELSE e2o + (e30 - e2o) * CASE WHEN i - 29 <= 30 THEN 1.0::DOUBLE / (i - 29) ELSE 2.0::DOUBLE / 31 END END AS e2,
+                           CASE WHEN i < 26 THEN 0 ELSE sgo + (e12 - e26 - sgo) * CASE WHEN i - 25 <= 9 THEN 1.0::DOUBLE / (i - 25) ELSE 0.2::DOUBLE END END AS sg FROM (
+                        SELECT x.symbol, x.bucket, x.i, x.c, r.e2 AS e2o, r.e3 AS e3o, r.sg AS sgo, r.ax, r.k,
+                               r.e30 + (x.c - r.e30) * CASE WHEN x.i <= 30 THEN 1.0::DOUBLE / x.i ELSE 2.0::DOUBLE / 31 END AS e30, r.e12 + (x.c - r.e12) * CASE WHEN x.i <= 12 THEN 1.0::DOUBLE / x.i ELSE 2.0::DOUBLE / 13 END AS e12,
+                               r.e26 + (x.c - r.e26) * CASE WHEN x.i <= 26 THEN 1.0::DOUBLE / x.i ELSE 2.0::DOUBLE / 27 END AS e26, r.u + (x.up - r.u) / least(x.i - 1, 14)::DOUBLE AS u, r.d + (x.down - r.d) / least(x.i - 1, 14)::DOUBLE AS d,
+                               r.t + (x.tr - r.t) / least(x.i - 1, 14)::DOUBLE AS t, r.p + (x.pm - r.p) / least(x.i - 1, 14)::DOUBLE AS p, r.m + (x.mm - r.m) / least(x.i - 1, 14)::DOUBLE AS m
+                        FROM r JOIN x ON x.symbol = r.symbol AND x.i = r.i + 1
+                    )
+                )
+            )
+        )
+    ),
+    o AS (
+        SELECT symbol, bucket, CASE WHEN i >= 30 THEN e30 END AS EMA, CASE WHEN i >= 59 THEN 2 * e30 - e2 END AS DEMA, CASE WHEN i >= 88 THEN 3 * e30 - 3 * e2 + e3 END AS TEMA, CASE WHEN i >= 26 THEN e12 - e26 END AS MACD,
+               CASE WHEN i >= 34 THEN sg END AS MACD_signal, CASE WHEN i >= 15 AND u + d <> 0 THEN 100 * u / (u + d) END AS RSI, CASE WHEN i >= 15 AND u + d <> 0 THEN 100 * (u - d) / (u + d) END AS CMO, CASE WHEN i >= 15 THEN t END AS ATR,
+               CASE WHEN i >= 15 AND c <> 0 THEN 100 * t / c END AS NATR, CASE WHEN i >= 15 AND t <> 0 THEN 100 * p / t END AS PLUS_DI, CASE WHEN i >= 15 AND t <> 0 THEN 100 * m / t END AS MINUS_DI, dx AS DX, CASE WHEN k >= 14 THEN ax END AS ADX,
+               CASE WHEN i >= 89 THEN 100 * (e3 / nullif(lag(e3) OVER (PARTITION BY symbol ORDER BY i), 0) - 1) END AS TRIX FROM r
+    )
+    SELECT symbol, bucket, {", ".join(f"round({c}, 4) AS {c}" for c in ("EMA", "DEMA", "TEMA", "MACD", "MACD_signal", "RSI", "CMO", "ATR", "NATR", "PLUS_DI", "MINUS_DI", "DX", "ADX", "TRIX"))} FROM o
+"""
+SMOOTHED = ["EMA", "DEMA", "TEMA", "MACD", "MACD_signal", "RSI", "CMO", "ATR", "NATR", "PLUS_DI", "MINUS_DI", "DX", "ADX", "TRIX"]
+
+
+@query("indicators_smoothed", SMOOTHED_SQL)
+def indicators_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indicators of smoothed means, over ranges of a series."""
+    out = indicators.with_smoothed(hourly(spark, sf_dir), ["symbol"], ["bucket"], SMOOTHED)
+    return out.select("symbol", "bucket", *[F.round(c, 4).alias(c) for c in SMOOTHED])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars with the returns to the next and the third bar."""
     b = hourly(spark, sf_dir).withColumn("day", F.to_date(F.timestamp_seconds(F.col("bucket") * 3600)))
