@@ -18,9 +18,11 @@ more. A pair of 0.8 differs in 15 % of all SimHash bits, which three bits of 64
    first gives the star of its most central sketch, with those that likely are links, and its members wait.
 5. Every pair is verified by the exact Jaccard similarity of its two texts, and the links of a task
    leave it as stars. The components they make label the members that wait; only pairs with different
-   labels can still join something, so only these are verified in a second turn, and of these only
-   the ones whose 1,088 bits differ in no more than WIDE. A group of near copies thus costs about a star.
-   FAR and WIDE lie five deviations or more above what simulated pairs of 0.8 have, whatever their size.
+   labels can still join something, so only buckets with several labels, and of these only the pairs with
+   different ones, are taken to a second turn: their texts get LONG words of further bits, and pairs that differ in
+   more than WIDE of them are dropped. A group of near copies thus costs about a star.
+   FAR and WIDE lie five deviations or more above what simulated pairs of 0.8 have, whatever their size: for 32
+   shingles or more a bit differs with a chance of 0.157 at most, for fewer of 0.188 (sums of few signs are often near zero).
 
 Words are parted at white space and lower-cased as bytes. Defined results: texts with one set of
 shingles are one node; a null or empty text has no shingles and is like others without any;
@@ -53,8 +55,9 @@ GROUP = 8
 FAR, FAR_SHORT = 41, 47
 #: Up to so many differing bits of sketches a star takes a pair at once; the others of its bucket come in the second turn.
 LIKELY = 24
-#: The same as FAR for all 1,088 bits.
-WIDE, WIDE_SHORT, SHORT = 228, 270, 32
+#: Words of 64 bits of the second turn, and the same as FAR for their 4,096 bits.
+LONG = 64
+WIDE, WIDE_SHORT, SHORT = 760, 894, 32
 #: Buckets of more give a star first.
 MANY = 2
 #: Pairs of a bucket that are compared at a time.
@@ -62,7 +65,7 @@ AT_ONCE = 1_000_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_FACTORS = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(WORDS)], dtype=np.uint64)
+_FACTORS = np.array([xxhash.xxh64_intdigest(bytes([k]), SEED) | 1 for k in range(WORDS + LONG)], dtype=np.uint64)
 
 
 def shingle_hashes(text: bytes) -> np.ndarray:
@@ -79,11 +82,11 @@ def shingle_hashes(text: bytes) -> np.ndarray:
     return np.unique(h)
 
 
-def sums(hashes: np.ndarray) -> np.ndarray:
-    """For each of 1,088 bits: how many of the hashes have it set, less how many have not."""
-    counts = np.zeros(WORDS * 64, dtype=np.int64)
+def sums(hashes: np.ndarray, factors: np.ndarray = _FACTORS[:WORDS]) -> np.ndarray:
+    """For each of 64 bits a factor: how many of the hashes have it set, less how many have not."""
+    counts = np.zeros(len(factors) * 64, dtype=np.int64)
     for at in range(0, len(hashes), 255):
-        z = hashes[at : at + 255, None] * _FACTORS
+        z = hashes[at : at + 255, None] * factors
         z ^= z >> np.uint64(32)
         z *= _MIX
         z ^= z >> np.uint64(29)
@@ -110,7 +113,7 @@ def decode(segments: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, text_hash, node, s1, s2, indices, size, wide)."""
+    """Rows (doc_id, text_hash, node, s1, s2, indices, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,13 +124,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 found = decode(all_sums[:, : SEGMENTS * 23].reshape(-1, 23)).reshape(len(sets), SEGMENTS)
                 own = np.packbits(all_sums[:, SEGMENTS * 23 : SEGMENTS * 23 + 128] > 0, axis=1).view(np.int64)
                 packed = pa.array([row.tobytes() for row in found], pa.binary())
-                wide = pa.array([row.tobytes() for row in np.packbits(all_sums > 0, axis=1)], pa.binary())
                 size = pa.array([len(x) for x in sets], pa.int64())
-                columns = [part.column(0), part.column(1), pa.array(nodes), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), packed, size, wide]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "s1", "s2", "indices", "size", "wide"])
+                columns = [part.column(0), part.column(1), pa.array(nodes), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy()), packed, size]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "s1", "s2", "indices", "size"])
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, s1 long, s2 long, indices binary, size long, wide binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, s1 long, s2 long, indices binary, size long")
+
+
+def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (node, text), (node, size, wide): the number of shingles and the further bits."""
+    for batch in batches:
+        for part in groups(batch):
+            sets = [shingle_hashes(t) for t in texts_of(part.column(1))]
+            wide = [np.packbits(sums(s, _FACTORS[WORDS:]) > 0).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(wide, pa.binary())], ["node", "size", "wide"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,9 +302,11 @@ def near_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = cut(links_of(found.filter("v IS NOT NULL").select("u", "v").distinct()))
     roots = components(links)
     if not waiting.isEmpty():
-        of_node = rows.groupBy("node").agg(F.min("size").alias("size"), F.min("wide").alias("wide")).join(roots, "node", "left")
-        labelled = waiting.select("key", F.col("u").alias("node"), "s1", "s2").join(of_node, "node")
-        labelled = labelled.select("key", F.coalesce("root", "node").alias("label"), "node", "size", "s1", "s2", "wide")
+        labelled = waiting.select("key", F.col("u").alias("node"), "s1", "s2").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("label"), "node", "s1", "s2")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+        labelled = cut(labelled.join(mixed, "key", "left_semi"))
+        long = texts.join(labelled.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_long, "node long, size long, wide binary")
+        labelled = labelled.join(long, "node").select("key", "label", "node", "size", "s1", "s2", "wide")
         rest = labelled.repartition(n, "key").sortWithinPartitions("key", "label").mapInArrow(_rest, "u long, v long")
         rest = cut(rest.distinct())
         more = cut(links_of(rest))
