@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticktide.functions import pvmap as pv
-from ticktide.operators import book, corr, indicators, microstructure as ms, model, relational as rel, scan
+from ticktide.functions import vectors
+from ticktide.operators import backtest, book, corr, indicators, microstructure as ms, model, relational as rel, scan
 from ticktide.sources import readers, sinks
 
 
@@ -70,6 +71,17 @@ def test_tables_and_sheets(spark, tmp_path):
         sinks.write_sheets({"one": a.union(b)}, str(tmp_path / "sheets"), most=1)
 
 
+def test_maps_as_text_and_back(spark):
+    df = spark.createDataFrame([(1, {4229: 5, 4228: -10}), (2, {}), (3, None)], "i int, m map<long,long>")
+    sinks.drop(spark, "map_table")
+    sinks.insert_or_create(df, "map_table", maps_as_text=True)
+    text = spark.table("map_table")
+    assert text.columns == ["i", "MX_m"] and sorted(rows(text.select("i", "MX_m"))) == [(1, "{4228: -10, 4229: 5}"), (2, "{}"), (3, None)]
+    plain, had = readers.strip_prefix(text)
+    assert sorted(rows(readers.parse_maps(plain, had)), key=str) == sorted(rows(df), key=str)
+    sinks.drop(spark, "map_table")
+
+
 # --- relations
 
 
@@ -118,10 +130,21 @@ def test_pair_means_and_periods(spark):
     frames = {p: spark.createDataFrame([(float(a), float(a * p + b)) for a, b in rng.normal(size=(50, 2))], "x double, y double") for p in (1, 5)}
     got = {r["period"]: r["corr"] for r in corr.by_period(frames, ["x"], ["y"]).collect()}
     assert {p: pytest.approx(np.corrcoef(*np.array(rows(f)).T)[0, 1]) for p, f in frames.items()} == got
+    with_days = {p: f.withColumn("d", F.lit(p)) for p, f in frames.items()}
+    for r in corr.by_period(with_days, ["x"], ["y"], "d").collect():
+        assert r["mean"] == pytest.approx(r["corr"]) and (r["days"], r["std"]) == (1, 0.0)
     with pytest.raises(ValueError):
         corr.by_period({}, ["x"], ["y"])
 
 
+def test_vectors_and_first_rows(spark):
+    df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 2.0]), (None, [1.0]), ([], [])], "a array<double>, b array<float>")
+    a, b = F.col("a"), F.col("b")
+    assert rows(df.select(vectors.dot(a, b), vectors.norm(a), vectors.cosine(a, b))) == [(24.0, 5.0, 0.96), (0.0, 0.0, None), (None, 1.0, None), (None, None, None), (0.0, 0.0, None)]
+    marks = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 9), ("b", 1, 1)], "k string, t int, v int")
+    assert sorted(rows(backtest.top_k(marks, ["k"], [F.desc("v"), F.col("t")], 2))) == [("a", 2, 9), ("a", 3, 9), ("b", 1, 1)]
+
+
 def test_lift_and_score_bands(spark):
     df = spark.createDataFrame([(float(k), int(k >= 6), k // 5) for k in range(10)], "s double, y int, b int")
     assert sorted(rows(model.lift(df, "b", "y"))) == [(0, 5, 0, 0.5, 0.0, 0.0), (1, 5, 4, 0.5, 1.0, 2.0)]

@@ -76,11 +76,12 @@ def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*rates).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def by_period(frames: dict[int, DataFrame], xs: list[str], ys: list[str]) -> DataFrame:
-    """One long table of matrices, a frame for each bar period."""
+def by_period(frames: dict[int, DataFrame], xs: list[str], ys: list[str], day: str | None = None) -> DataFrame:
+    """One long table of matrices, a frame for each bar period; with `day`, beside the daily correlations' mean, deviation and ratio."""
     out: DataFrame | None = None
     for period, df in frames.items():
         one = matrix(df, xs, ys).withColumn("period", F.lit(period))
+        one = one if day is None else one.join(daywise(df, day, xs, ys), ["x", "y"])
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no frames")

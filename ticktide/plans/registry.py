@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticktide.functions import pvmap as pv
+from ticktide.functions import vectors
 from ticktide.operators import backtest, bars, binning, book, corr, indicators, mapsums, microstructure, model, relational, scan
 from ticktide.streaming.bars import streaming_bars
 
@@ -762,8 +763,8 @@ def tail_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dot_product", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS dot FROM embeddings")
 def dot_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(F.zip_with(e, e, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 4).alias("dot"))
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot(e, e), 4).alias("dot"))
 
 
 BARS_SQL = """(SELECT symbol, CAST(floor(epoch_us(ts) / 36e8) AS BIGINT) AS bucket, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low,

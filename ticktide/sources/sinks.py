@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticktide.operators.quantiles import quantiles
 
@@ -25,8 +26,20 @@ def rebuild(spark: SparkSession, name: str, query: DataFrame | None) -> bool:
     return True
 
 
-def insert_or_create(df: DataFrame, name: str) -> None:
-    df.write.mode("append").saveAsTable(name)
+def maps_to_text(df: DataFrame, prefix: str = "MX_") -> DataFrame:
+    """Map columns as text such as {4228: 10, 4229: 5}, by rising key and under a name with the prefix; `readers.strip_prefix` and `parse_maps` read them back."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.MapType):
+            pairs = F.transform(F.sort_array(F.map_entries(c)), lambda e: F.concat(e["key"].cast("string"), F.lit(": "), e["value"].cast("string")))
+            c = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")).alias(prefix + f.name)
+        out.append(c)
+    return df.select(*out)
+
+
+def insert_or_create(df: DataFrame, name: str, maps_as_text: bool = False) -> None:
+    (maps_to_text(df) if maps_as_text else df).write.mode("append").saveAsTable(name)
 
 
 def drop(spark: SparkSession, name: str) -> None:
