@@ -799,9 +799,74 @@ def indicators_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.with_recursive(hourly(spark, sf_dir), ["symbol"], ["bucket"]).select("symbol", "bucket", *indicators.RECURSIVE)
 
 
-@query("candle_patterns")
+#: Per pattern: when, and the mark. z is the present bar, y the one before, then x, v, u; marks of the plain means (L, S_, D, a, b) and of full windows.
+CANDLES = {
+    "CDLDOJI": ("z.D", "100"), "CDLDRAGONFLYDOJI": ("z.D AND z.a AND NOT z.b", "100"), "CDLGRAVESTONEDOJI": ("z.D AND z.b AND NOT z.a", "100"),
+    "CDLLONGLEGGEDDOJI": ("z.D AND (z.us > z.body OR z.ls > z.body) AND NOT z.a", "100"), "CDLMARUBOZU": ("z.L AND z.a AND z.b", "100 * z.s"), "CDLLONGLINE": ("z.L AND z.us < z.body AND z.ls < z.body", "100 * z.s"),
+    "CDLSHORTLINE": ("z.S_ AND z.us < z.body AND z.ls < z.body", "100 * z.s"), "CDLSPINNINGTOP": ("z.S_ AND z.us > z.body AND z.ls > z.body", "100 * z.s"), "CDLHIGHWAVE": ("z.S_ AND z.us > 2 * z.body AND z.ls > 2 * z.body", "100 * z.s"),
+    "CDLCLOSINGMARUBOZU": ("z.L AND CASE WHEN z.s > 0 THEN z.a ELSE z.b END", "100 * z.s"), "CDLBELTHOLD": ("z.L AND CASE WHEN z.s > 0 THEN z.b ELSE z.a END", "100 * z.s"),
+    "CDLHAMMER": ("z.S_ AND z.ls > 2 * z.body AND z.a AND z.bot <= y.low + 0.2 * z.wr", "100"), "CDLHANGINGMAN": ("z.S_ AND z.ls > 2 * z.body AND z.a AND z.bot >= y.high - 0.2 * z.wr", "-100"),
+    "CDLINVERTEDHAMMER": ("z.S_ AND z.us > 2 * z.body AND z.b AND z.top < y.bot", "100"), "CDLSHOOTINGSTAR": ("z.S_ AND z.us > 2 * z.body AND z.b AND z.bot > y.top", "-100"),
+    "CDLENGULFING": ("z.s <> y.s AND z.top >= y.top AND z.bot <= y.bot AND (z.top > y.top OR z.bot < y.bot)", "100 * z.s"), "CDLHARAMI": ("y.L AND z.S_ AND z.top <= y.top AND z.bot >= y.bot", "-100 * y.s"),
+    "CDLHARAMICROSS": ("y.L AND z.D AND z.top <= y.top AND z.bot >= y.bot", "-100 * y.s"), "CDLPIERCING": ("y.s < 0 AND z.s > 0 AND y.L AND z.o < y.low AND z.c > (y.o + y.c) / 2 AND z.c < y.o", "100"),
+    "CDLDARKCLOUDCOVER": ("y.s > 0 AND z.s < 0 AND y.L AND z.o > y.high AND z.c < (y.o + y.c) / 2 AND z.c > y.o", "-100"), "CDLMORNINGSTAR": ("x.s < 0 AND x.L AND y.S_ AND y.top < x.c AND z.s > 0 AND z.c > (x.o + x.c) / 2", "100"),
+    "CDLEVENINGSTAR": ("x.s > 0 AND x.L AND y.S_ AND y.bot > x.c AND z.s < 0 AND z.c < (x.o + x.c) / 2", "-100"),
+    "CDL3WHITESOLDIERS": ("z.s > 0 AND y.s > 0 AND x.s > 0 AND z.c > y.c AND y.c > x.c AND z.o > y.o AND z.o < y.c AND y.o > x.o AND y.o < x.c AND z.a", "100"),
+    "CDL3BLACKCROWS": ("z.s < 0 AND y.s < 0 AND x.s < 0 AND z.c < y.c AND y.c < x.c AND z.o < y.o AND z.o > y.c AND y.o < x.o AND y.o > x.c AND z.b", "-100"),
+    "CDL3INSIDE": ("x.L AND y.S_ AND y.top <= x.top AND y.bot >= x.bot AND z.s <> x.s AND CASE WHEN z.s > 0 THEN z.c > x.o ELSE z.c < x.o END", "100 * z.s"),
+    "CDL3OUTSIDE": ("y.s <> x.s AND y.top >= x.top AND y.bot <= x.bot AND CASE WHEN y.s > 0 THEN z.c > y.c ELSE z.c < y.c END", "100 * y.s"),
+    "CDLTRISTAR": ("z.D AND y.D AND x.D AND (y.bot > x.top AND z.top < y.top OR y.top < x.bot AND z.bot > y.bot)", "CASE WHEN z.top < y.top THEN -100 ELSE 100 END"),
+    "CDLMATCHINGLOW": ("z.s < 0 AND y.s < 0 AND abs(z.c - y.c) <= 0.05 * z.wr", "100"), "CDLDOJISTAR": ("y.L AND z.D AND CASE WHEN y.s > 0 THEN z.bot > y.top ELSE z.top < y.bot END", "-100 * y.s"),
+    "CDL2CROWS": ("x.s > 0 AND x.long AND y.s < 0 AND y.bot > x.top AND z.s < 0 AND z.o < y.o AND z.o > y.c AND z.c > x.o AND z.c < x.c", "-100"),
+    "CDLUPSIDEGAP2CROWS": ("x.s > 0 AND x.long AND y.s < 0 AND y.bot > x.top AND z.s < 0 AND y.short AND z.o > y.o AND z.c < y.c AND z.c > x.c", "-100"),
+    "CDL3LINESTRIKE": ("v.s = x.s AND x.s = y.s AND z.s = -y.s AND x.o >= v.bot - v.near AND x.o <= v.top + v.near AND y.o >= x.bot - x.near AND y.o <= x.top + x.near AND CASE WHEN y.s > 0 THEN y.c > x.c AND x.c > v.c AND z.o > y.c AND z.c < v.o ELSE y.c < x.c AND x.c < v.c AND z.o < y.c AND z.c > v.o END", "100 * y.s"),
+    "CDL3STARSINSOUTH": ("x.s < 0 AND y.s < 0 AND z.s < 0 AND x.long AND x.ls > x.body AND y.body < x.body AND y.o > x.c AND y.o <= x.high AND y.low < x.c AND y.low >= x.low AND NOT y.nl AND z.short AND z.nu AND z.nl AND z.low > y.low AND z.high < y.high", "100"),
+    "CDLABANDONEDBABY": ("x.long AND y.doji AND (x.s > 0 AND z.s < 0 AND z.c < x.c - 0.3 * x.body AND y.low > x.high AND z.high < y.low OR x.s < 0 AND z.s > 0 AND z.c > x.c + 0.3 * x.body AND y.high < x.low AND z.low > y.high)", "100 * z.s"),
+    "CDLMORNINGDOJISTAR": ("x.long AND y.doji AND x.s < 0 AND y.top < x.bot AND z.s > 0 AND z.c > x.c + 0.3 * x.body", "100"), "CDLEVENINGDOJISTAR": ("x.long AND y.doji AND x.s > 0 AND y.bot > x.top AND z.s < 0 AND z.c < x.c - 0.3 * x.body", "-100"),
+    "CDLADVANCEBLOCK": ("x.s > 0 AND y.s > 0 AND z.s > 0 AND z.c > y.c AND y.c > x.c AND y.o > x.o AND y.o <= x.c + x.near AND z.o > y.o AND z.o <= y.c + y.near AND x.long AND x.su AND (y.body < x.body - x.far AND z.body < y.body + y.near OR z.body < y.body - y.far OR z.body < y.body AND y.body < x.body AND (NOT z.su OR NOT y.su) OR z.body < y.body AND z.us > z.body)", "-100"),
+    "CDLSTALLEDPATTERN": ("x.s > 0 AND y.s > 0 AND z.s > 0 AND z.c > y.c AND y.c > x.c AND x.long AND y.long AND y.nu AND y.o > x.o AND y.o <= x.c + x.near AND z.short AND z.o >= y.c - z.body - y.near", "-100"),
+    "CDLBREAKAWAY": ("u.long AND u.s = v.s AND v.s = y.s AND y.s = -z.s AND CASE WHEN u.s < 0 THEN v.top < u.bot AND x.high < v.high AND x.low < v.low AND y.high < x.high AND y.low < x.low AND z.c > v.o AND z.c < u.c ELSE v.bot > u.top AND x.high > v.high AND x.low > v.low AND y.high > x.high AND y.low > x.low AND z.c < v.o AND z.c > u.c END", "100 * z.s"),
+    "CDLCONCEALBABYSWALL": ("v.s < 0 AND x.s < 0 AND y.s < 0 AND z.s < 0 AND v.nu AND v.nl AND x.nu AND x.nl AND y.top < x.bot AND NOT y.nu AND y.high > x.c AND z.high > y.high AND z.low < y.low", "100"),
+    "CDLCOUNTERATTACK": ("y.s = -z.s AND y.long AND z.long AND abs(z.c - y.c) <= y.eq", "100 * z.s"), "CDLSEPARATINGLINES": ("y.s = -z.s AND z.long AND abs(z.o - y.o) <= y.eq AND CASE WHEN z.s > 0 THEN z.nl ELSE z.nu END", "100 * z.s"),
+    "CDLGAPSIDESIDEWHITE": ("y.s > 0 AND z.s > 0 AND (y.bot > x.top AND z.bot > x.top OR y.top < x.bot AND z.top < x.bot) AND abs(z.body - y.body) <= y.near AND abs(z.o - y.o) <= y.eq", "CASE WHEN y.bot > x.top THEN 100 ELSE -100 END"),
+    "CDLHIKKAKE": ("y.high < x.high AND y.low > x.low AND (z.high < y.high AND z.low < y.low OR z.high > y.high AND z.low > y.low)", "CASE WHEN z.high < y.high AND z.low < y.low THEN 100 ELSE -100 END"),
+    "CDLHIKKAKEMOD": ("y.high < x.high AND y.low > x.low AND (z.high < y.high AND z.low < y.low OR z.high > y.high AND z.low > y.low) AND x.high < v.high AND x.low > v.low AND CASE WHEN z.high < y.high AND z.low < y.low THEN x.c <= x.low + x.near ELSE x.c >= x.high - x.near END", "CASE WHEN z.high < y.high AND z.low < y.low THEN 100 ELSE -100 END"),
+    "CDLHOMINGPIGEON": ("y.s < 0 AND z.s < 0 AND y.long AND z.short AND z.o < y.o AND z.c > y.c", "100"),
+    "CDLIDENTICAL3CROWS": ("x.s < 0 AND y.s < 0 AND z.s < 0 AND y.c < x.c AND z.c < y.c AND x.nl AND y.nl AND z.nl AND abs(y.o - x.c) <= x.eq AND abs(z.o - y.c) <= y.eq", "-100"),
+    "CDLINNECK": ("y.s < 0 AND y.long AND z.s > 0 AND z.o < y.low AND z.c <= y.c + y.eq AND z.c >= y.c", "-100"), "CDLONNECK": ("y.s < 0 AND y.long AND z.s > 0 AND z.o < y.low AND abs(z.c - y.low) <= y.eq", "-100"),
+    "CDLTHRUSTING": ("y.s < 0 AND y.long AND z.s > 0 AND z.o < y.low AND z.c > y.c + y.eq AND z.c <= (y.o + y.c) / 2", "-100"),
+    "CDLKICKING": ("y.s <> z.s AND y.long AND y.nu AND y.nl AND z.long AND z.nu AND z.nl AND CASE WHEN y.s < 0 THEN z.low > y.high ELSE z.high < y.low END", "100 * z.s"),
+    "CDLKICKINGBYLENGTH": ("y.s <> z.s AND y.long AND y.nu AND y.nl AND z.long AND z.nu AND z.nl AND CASE WHEN y.s < 0 THEN z.low > y.high ELSE z.high < y.low END", "100 * CASE WHEN z.body > y.body THEN z.s ELSE y.s END"),
+    "CDLLADDERBOTTOM": ("u.s < 0 AND v.s < 0 AND x.s < 0 AND u.o > v.o AND v.o > x.o AND u.c > v.c AND v.c > x.c AND y.s < 0 AND NOT y.nu AND z.s > 0 AND z.o > y.o AND z.c > y.high", "100"),
+    "CDLMATHOLD": ("u.long AND u.s > 0 AND v.short AND x.short AND y.short AND v.s < 0 AND z.s > 0 AND v.bot > u.top AND x.bot < u.c AND y.bot < u.c AND x.bot > u.c - 0.5 * u.body AND y.bot > u.c - 0.5 * u.body AND x.top < v.o AND y.top < x.top AND z.o > y.c AND z.c > greatest(v.high, x.high, y.high)", "100"),
+    "CDLRISEFALL3METHODS": ("u.long AND v.short AND x.short AND y.short AND z.long AND v.s = -u.s AND x.s = -u.s AND y.s = -u.s AND z.s = u.s AND greatest(v.bot, x.bot, y.bot) < u.high AND least(v.top, x.top, y.top) > u.low AND CASE WHEN u.s > 0 THEN x.c < v.c AND y.c < x.c AND z.o > y.c AND z.c > u.c ELSE x.c > v.c AND y.c > x.c AND z.o < y.c AND z.c < u.c END", "100 * u.s"),
+    "CDLRICKSHAWMAN": ("z.doji AND z.ls > z.body AND z.us > z.body AND z.bot <= z.low + z.rng / 2 + z.near AND z.top >= z.low + z.rng / 2 - z.near", "100"), "CDLTAKURI": ("z.doji AND z.nu AND z.ls > 2 * z.body", "100"),
+    "CDLSTICKSANDWICH": ("x.s < 0 AND y.s > 0 AND z.s < 0 AND y.low > x.c AND abs(z.c - x.c) <= x.eq", "100"),
+    "CDLTASUKIGAP": ("CASE WHEN y.s > 0 THEN y.bot > x.top AND z.s < 0 AND z.o < y.c AND z.o > y.o AND z.c < y.o AND z.c > x.top ELSE y.top < x.bot AND z.s > 0 AND z.o < y.o AND z.o > y.c AND z.c > y.o AND z.c < x.bot END AND abs(y.body - z.body) <= y.near", "100 * y.s"),
+    "CDLUNIQUE3RIVER": ("x.long AND x.s < 0 AND y.s < 0 AND y.c > x.c AND y.o <= x.o AND y.low < x.low AND z.short AND z.s > 0 AND z.o > y.low", "100"),
+    "CDLXSIDEGAP3METHODS": ("x.s = y.s AND z.s = -y.s AND z.o < y.top AND z.o > y.bot AND z.c < x.top AND z.c > x.bot AND CASE WHEN x.s > 0 THEN y.bot > x.top ELSE y.top < x.bot END", "100 * x.s"),
+}
+
+CANDLES_SQL = f"""
+    WITH b AS (SELECT symbol, bucket, open::DOUBLE AS o, high::DOUBLE AS h, low::DOUBLE AS l, close::DOUBLE AS c FROM {BARS_SQL}),
+    f AS (SELECT *, abs(c - o) AS body, h - l AS rng, h - greatest(o, c) AS us, least(o, c) - l AS ls, CASE WHEN c >= o THEN 1 ELSE -1 END AS s, greatest(o, c) AS top, least(o, c) AS bot FROM b),
+    m AS (
+        SELECT *, avg(body) OVER ten AS wb, avg(rng) OVER ten AS wr, CASE WHEN count(*) OVER ten = 10 THEN avg(body) OVER ten END AS ab, CASE WHEN count(*) OVER ten = 10 THEN avg(rng) OVER ten END AS ar,
+               CASE WHEN count(*) OVER ten = 10 THEN avg(us + ls) OVER ten END AS ash, CASE WHEN count(*) OVER five = 5 THEN avg(rng) OVER five END AS an
+        FROM f WINDOW ten AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), five AS (PARTITION BY symbol ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)
+    ),
+    k AS (
+        SELECT symbol, bucket, {{'o': o, 'high': h, 'low': l, 'c': c, 'body': body, 'rng': rng, 'us': us, 'ls': ls, 's': s, 'top': top, 'bot': bot, 'wr': wr, 'L': body > wb, 'S_': body < wb, 'D': body <= 0.1 * wr, 'a': us < 0.1 * wr, 'b': ls < 0.1 * wr,
+               'long': body > ab, 'short': body < ab, 'doji': body <= 0.1 * ar, 'nu': us < 0.1 * ar, 'nl': ls < 0.1 * ar, 'su': us < ash / 2, 'near': 0.2 * an, 'far': 0.6 * an, 'eq': 0.05 * an}} AS z FROM m
+    ),
+    w AS (SELECT symbol, bucket, z, lag(z) OVER o AS y, lag(z, 2) OVER o AS x, lag(z, 3) OVER o AS v, lag(z, 4) OVER o AS u FROM k WINDOW o AS (PARTITION BY symbol ORDER BY bucket))
+    SELECT symbol, bucket, {", ".join(f"(CASE WHEN {rule} THEN {mark} ELSE 0 END)::INT AS {name}" for name, (rule, mark) in CANDLES.items())} FROM w
+"""
+
+
+@query("candle_patterns", CANDLES_SQL)
 def candle_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candle patterns, checked by unit tests."""
+    """All candle patterns."""
     out = indicators.with_patterns(hourly(spark, sf_dir), ["symbol"], ["bucket"])
     return out.select("symbol", "bucket", *[c for c in out.columns if c.startswith("CDL")])
 
@@ -967,11 +1032,8 @@ def indicator_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indicators.with_sweep(hourly(spark, sf_dir), ["symbol"], ["bucket"], (5, 10, 20))
 
 
-BARS_SQL = "SELECT symbol, CAST(floor(epoch_us(ts) / 3.6e9) AS BIGINT) AS bucket, arg_min(px, (ts, event_id)) AS open, max(px) AS high, min(px) AS low, arg_max(px, (ts, event_id)) AS close FROM $TICKS GROUP BY ALL"
-
-
 @query("position_sweep", f"""
-    WITH b AS (SELECT *, (high + low + close) / 3.0 AS tp, row_number() OVER w AS i FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY bucket)),
+    WITH b AS (SELECT *, (high + low + close) / 3.0 AS tp, row_number() OVER w AS i FROM {BARS_SQL} WINDOW w AS (PARTITION BY symbol ORDER BY bucket)),
     p AS (SELECT unnest([5, 14]) AS n),
     w AS (SELECT b.symbol, b.bucket, b.tp, n, count(*) AS c, avg(a.tp) AS m, list(a.tp) AS x FROM b CROSS JOIN p JOIN b AS a ON a.symbol = b.symbol AND a.i BETWEEN b.i - n + 1 AND b.i GROUP BY b.symbol, b.bucket, b.tp, n),
     c AS (SELECT symbol, bucket, n, CASE WHEN c = n THEN round((tp - m) / nullif(0.015 * list_sum(list_transform(x, lambda t: abs(t - m))) / n, 0), 6) END AS cci FROM w),
@@ -985,7 +1047,7 @@ def position_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("macdext_sweep", f"""
-    WITH b AS (SELECT *, row_number() OVER w AS i FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY bucket)),
+    WITH b AS (SELECT *, row_number() OVER w AS i FROM {BARS_SQL} WINDOW w AS (PARTITION BY symbol ORDER BY bucket)),
     m AS (SELECT *, CASE WHEN i >= 20 THEN avg(close) OVER (PARTITION BY symbol ORDER BY i ROWS 4 PRECEDING) - avg(close) OVER (PARTITION BY symbol ORDER BY i ROWS 19 PRECEDING) END AS line FROM b),
     s AS (SELECT *, CASE WHEN count(line) OVER w = 3 THEN avg(line) OVER w END AS signal, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS 2 PRECEDING))
     SELECT symbol, bucket, before AS open, round(line, 6) AS MACDEXT_5_20, round(signal, 6) AS MACDEXT_signal_5_20, round(line - signal, 6) AS MACDEXT_hist_5_20 FROM s
@@ -1025,7 +1087,7 @@ def session_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A row's state from the row before: each mean moves by 1 / k up to its seed, by its own rate after it.
 SMOOTHED_SQL = f"""
     WITH RECURSIVE b AS MATERIALIZED (
-        SELECT symbol, bucket, high::DOUBLE AS h, low::DOUBLE AS l, close::DOUBLE AS c, row_number() OVER w AS i, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1 FROM ({BARS_SQL}) WINDOW w AS (PARTITION BY symbol ORDER BY bucket)
+        SELECT symbol, bucket, high::DOUBLE AS h, low::DOUBLE AS l, close::DOUBLE AS c, row_number() OVER w AS i, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1 FROM {BARS_SQL} WINDOW w AS (PARTITION BY symbol ORDER BY bucket)
     ),
     x AS MATERIALIZED (
         SELECT symbol, bucket, i, c, greatest(c - c1, 0) AS up, greatest(c1 - c, 0) AS down, greatest(h - l, abs(h - c1), abs(l - c1)) AS tr,
