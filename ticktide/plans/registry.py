@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticktide.functions import pvmap as pv
@@ -1026,10 +1026,58 @@ def scorecard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.sample_counts(items, bins, "y", {"fit": F.col("l_linenumber") <= 3, "cheap": F.col("l_discount") > 0.05})
 
 
-@query("indicator_sweep")
+def steady(name: str) -> Column:
+    """Four digits, after a shift that takes halves, which a last bit decides otherwise, to one side."""
+    return F.round(F.col(name) + 1e-7, 4).alias(name)
+
+
+def sweep_sql(periods: tuple[int, ...]) -> str:
+    """Recursive rows with a state per period: the means, then what is made of them, then the means of that."""
+    grid, one = indicators.macd_grid(periods), "1.0::DOUBLE"
+    signals = sorted({max(g, 1) for _, _, g in grid})
+    rate = lambda k, n, alpha: f"CASE WHEN {k} <= {n} THEN {one} / ({k}) ELSE {alpha}::DOUBLE END"
+    first = [f"r.e{n} + (x.c - r.e{n}) * {rate('x.i', n, 2 / (n + 1))} AS e{n}" for n in periods]
+    first += [f"r.{k} + (x.c - r.{k}) * {rate('x.i', n, alpha)} AS {k}" for k, n, alpha in (("fa", 12, 0.15), ("fb", 26, 0.075))]
+    first += [f"r.{k}{n} + (x.{v} - r.{k}{n}) / least(x.i - 1, {n})::DOUBLE AS {k}{n}" for n in periods for k, v in (("t", "tr"), ("p", "pm"), ("m", "mm"))]
+    kept = [*(f"ax{n}" for n in periods), *(f"k{n}" for n in periods), *(f"g{f}_{s}" for f, s, _ in grid), *(f"h{n}" for n in signals)]
+    made = [f"CASE WHEN i > {n} AND t{n} <> 0 AND p{n} + m{n} <> 0 THEN 100 * abs(100 * p{n} / t{n} - 100 * m{n} / t{n}) / (100 * p{n} / t{n} + 100 * m{n} / t{n}) END AS dx{n}" for n in periods]
+    again = [f"CASE WHEN i < {s} THEN 0 ELSE g{f}_{s} + (e{f} - e{s} - g{f}_{s}) * {rate(f'i - {s - 1}', max(g, 1), 2 / (max(g, 1) + 1))} END AS g{f}_{s}" for f, s, g in grid]
+    again += [f"CASE WHEN i < 26 THEN 0 ELSE h{n} + (fa - fb - h{n}) * {rate('i - 25', n, 2 / (n + 1))} END AS h{n}" for n in signals]
+    again += [f"CASE WHEN dx{n} IS NULL THEN ax{n} ELSE ax{n} + (dx{n} - ax{n}) / least(k{n} + 1, {n})::DOUBLE END AS ax{n}" for n in periods] + [f"k{n} + (dx{n} IS NOT NULL)::INT AS k{n}" for n in periods]
+    means = [*(f"e{n}" for n in periods), "fa", "fb", *(f"{k}{n}" for n in periods for k in "tpm")]
+    order = [*means, *(f"g{f}_{s}" for f, s, _ in grid), *(f"h{n}" for n in signals), *(f"ax{n}" for n in periods), *(f"k{n}" for n in periods)]
+    start = ", ".join(f"{'c' if k[0] == 'e' or k[0] == 'f' else '0' if k[0] == 'k' else '0.0::DOUBLE'} AS {k}" for k in order)
+    out = [f"CASE WHEN i >= {n} THEN e{n} - c END AS EMA_{n}" for n in periods]
+    for n in periods:
+        out += [f"CASE WHEN k{n} >= {n} THEN ax{n} END AS ADX_{n}", f"CASE WHEN i > {n} THEN t{n} END AS ATR_{n}"]
+        out += [f"CASE WHEN i > {n} THEN {n} * {k}{n} END AS {name}_DM_{n}" for k, name in (("p", "PLUS"), ("m", "MINUS"))]
+        out += [f"CASE WHEN i > {n} AND t{n} <> 0 THEN 100 * {k}{n} / t{n} END AS {name}_DI_{n}" for k, name in (("p", "PLUS"), ("m", "MINUS"))]
+    for f, s, g in grid:
+        out += [f"CASE WHEN i >= {s} THEN e{f} - e{s} END AS MACD_{f}_{s}", f"CASE WHEN i >= {s + max(g, 1) - 1} THEN e{f} - e{s} - g{f}_{s} END AS MACD_hist_{f}_{s}"]
+    out += [f"CASE WHEN i >= {25 + n} THEN fa - fb - h{n} END AS MACDFIX_hist_{n}" for n in signals]
+    names = [o.rpartition(" AS ")[2] for o in out]
+    return f"""
+        WITH RECURSIVE b AS MATERIALIZED (
+            SELECT symbol, bucket, high::DOUBLE AS h, low::DOUBLE AS l, close::DOUBLE AS c, row_number() OVER w AS i, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1 FROM {BARS_SQL} WINDOW w AS (PARTITION BY symbol ORDER BY bucket)
+        ),
+        x AS MATERIALIZED (
+            SELECT symbol, bucket, i, c, greatest(h - l, abs(h - c1), abs(l - c1)) AS tr, CASE WHEN h - h1 > l1 - l AND h - h1 > 0 THEN h - h1 ELSE 0 END AS pm, CASE WHEN l1 - l > h - h1 AND l1 - l > 0 THEN l1 - l ELSE 0 END AS mm FROM b
+        ),
+        r AS (
+            SELECT symbol, bucket, i, c, {start} FROM x WHERE i = 1
+            UNION ALL
+            SELECT symbol, bucket, i, c, {", ".join([*means, *again])} FROM (SELECT *, {", ".join(made)} FROM (SELECT x.symbol, x.bucket, x.i, x.c, {", ".join([*first, *(f"r.{k}" for k in kept)])} FROM r JOIN x ON x.symbol = r.symbol AND x.i = r.i + 1))
+        ),
+        o AS (SELECT symbol, bucket, {", ".join(out)} FROM r)
+        SELECT symbol, bucket, {", ".join(f"round({n} + 1e-7, 4) AS {n}" for n in names)} FROM o
+    """
+
+
+@query("indicator_sweep", sweep_sql((5, 10, 20)))
 def indicator_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indicators at several periods, checked by unit tests."""
-    return indicators.with_sweep(hourly(spark, sf_dir), ["symbol"], ["bucket"], (5, 10, 20))
+    """Directional indicators, distances of means and lines at several periods."""
+    out = indicators.with_sweep(hourly(spark, sf_dir), ["symbol"], ["bucket"], (5, 10, 20))
+    return out.select("symbol", "bucket", *[steady(c) for c in indicators.sweep_values((5, 10, 20))])
 
 
 @query("position_sweep", f"""
@@ -1117,7 +1165,7 @@ SMOOTHED_SQL = f"""
                CASE WHEN i >= 15 AND c <> 0 THEN 100 * t / c END AS NATR, CASE WHEN i >= 15 AND t <> 0 THEN 100 * p / t END AS PLUS_DI, CASE WHEN i >= 15 AND t <> 0 THEN 100 * m / t END AS MINUS_DI, dx AS DX, CASE WHEN k >= 14 THEN ax END AS ADX,
                CASE WHEN i >= 89 THEN 100 * (e3 / nullif(lag(e3) OVER (PARTITION BY symbol ORDER BY i), 0) - 1) END AS TRIX FROM r
     )
-    SELECT symbol, bucket, {", ".join(f"round({c}, 4) AS {c}" for c in ("EMA", "DEMA", "TEMA", "MACD", "MACD_signal", "RSI", "CMO", "ATR", "NATR", "PLUS_DI", "MINUS_DI", "DX", "ADX", "TRIX"))} FROM o
+    SELECT symbol, bucket, {", ".join(f"round({c} + 1e-7, 4) AS {c}" for c in ("EMA", "DEMA", "TEMA", "MACD", "MACD_signal", "RSI", "CMO", "ATR", "NATR", "PLUS_DI", "MINUS_DI", "DX", "ADX", "TRIX"))} FROM o
 """
 SMOOTHED = ["EMA", "DEMA", "TEMA", "MACD", "MACD_signal", "RSI", "CMO", "ATR", "NATR", "PLUS_DI", "MINUS_DI", "DX", "ADX", "TRIX"]
 
@@ -1126,7 +1174,7 @@ SMOOTHED = ["EMA", "DEMA", "TEMA", "MACD", "MACD_signal", "RSI", "CMO", "ATR", "
 def indicators_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The indicators of smoothed means, over ranges of a series."""
     out = indicators.with_smoothed(hourly(spark, sf_dir), ["symbol"], ["bucket"], SMOOTHED)
-    return out.select("symbol", "bucket", *[F.round(c, 4).alias(c) for c in SMOOTHED])
+    return out.select("symbol", "bucket", *[steady(c) for c in SMOOTHED])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
