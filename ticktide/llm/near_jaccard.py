@@ -20,7 +20,7 @@ more. A pair of 0.8 differs in 15 % of all SimHash bits, which three bits of 64
    leave it as stars. The components they make label the members that wait; only pairs with different
    labels can still join something, so only buckets with several labels, and of these only the pairs with
    different ones, are taken to a second turn: their texts get LONG words of further bits, and pairs that differ in
-   more than WIDE of them are dropped. A group of near copies thus costs about a star.
+   more than WIDE of them are dropped; a pair leaves only the first bucket that it shares. A group of near copies thus costs about a star.
    FAR and WIDE lie five deviations or more above what simulated pairs of 0.8 have, whatever their size: for 32
    shingles or more a bit differs with a chance of 0.157 at most, for fewer of 0.188 (sums of few signs are often near zero).
 
@@ -141,8 +141,12 @@ def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(wide, pa.binary())], ["node", "size", "wide"])
 
 
+#: The two segments of each key.
+KEYS = np.array([(g + i, g + j) for g in range(0, SEGMENTS, GROUP) for i, j in combinations(range(GROUP), 2)])
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pairs = np.array([(g + i, g + j) for g in range(0, SEGMENTS, GROUP) for i, j in combinations(range(GROUP), 2)])
+    pairs = KEYS
     for batch in batches:
         for part in groups(batch, 2000):
             found = np.frombuffer(b"".join(part.column(3).to_pylist()), dtype=np.int16).reshape(-1, SEGMENTS).astype(np.int64)
@@ -225,8 +229,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, label, node, size, s1, s2, wide) in order of key and label, the near pairs with different labels."""
-    for key, label, node, size, s1, s2, wide in whole_keys(batches):
+    """Of rows (key, label, node, size, s1, s2, wide, indices) in order of key and label, the near pairs with different labels.
+
+    A pair is given by the first key that it shares: that bucket has both labels too, or it held these two alone and gave them in the first turn.
+    """
+    for key, label, node, size, s1, s2, wide, packed in whole_keys(batches):
+        indices = np.ascontiguousarray(packed).view(np.int16)
         sketch = np.stack([s1, s2], axis=1).view(np.uint64)
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         for low, high in zip(starts.tolist(), starts[1:].tolist(), strict=False):
@@ -243,8 +251,11 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = _near(sketch[i], sketch[j], size[i], size[j], FAR, FAR_SHORT)
                 i, j = i[near], j[near]
                 near = _near(wide[i], wide[j], size[i], size[j], WIDE, WIDE_SHORT)
-                if near.any():
-                    u, v = _pairs(node[i[near]], node[j[near]])
+                i, j = i[near], j[near]
+                same = indices[i] == indices[j]
+                first = (same[:, KEYS[:, 0]] & same[:, KEYS[:, 1]]).argmax(axis=1) == key[low] >> 24
+                if first.any():
+                    u, v = _pairs(node[i[first]], node[j[first]])
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
@@ -306,7 +317,7 @@ def near_jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
         labelled = cut(labelled.join(mixed, "key", "left_semi"))
         long = texts.join(labelled.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_long, "node long, size long, wide binary")
-        labelled = labelled.join(long, "node").select("key", "label", "node", "size", "s1", "s2", "wide")
+        labelled = labelled.join(long.join(classes.select("node", "indices"), "node"), "node").select("key", "label", "node", "size", "s1", "s2", "wide", "indices")
         rest = labelled.repartition(n, "key").sortWithinPartitions("key", "label").mapInArrow(_rest, "u long, v long")
         rest = cut(rest.distinct())
         more = cut(links_of(rest))
