@@ -141,6 +141,48 @@ def test_trade_search_equals_all_pairs(spark):
     assert all(dict(r["D_exch"]) == plain_search(*r[:8]) for r in rows)
 
 
+def test_trade_search_does_each_step_once(spark):
+    """The maps of orders are merged four times in all, and the rows are dealt evenly before the search."""
+    from ticktide.plans import registry
+
+    plan = registry.trade_reconstruction(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_zip_with(") == 4
+    assert "RepartitionByExpression [event_id#" in plan and registry.relational.spread(spark.range(9), "id").rdd.getNumPartitions() == 16 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("vol,amt,bounds", [(7, 7 * 4800 + 3, (4230, 4226)), (7, 7 * 3700 + 3, (4230, 4226)), (2000, 2000 * 4229 + 900, (4235, 4221)), (2000, 2000 * 4228, (4235, 4221))])
+def test_trade_search_far_from_the_book(spark, vol, amt, bounds):
+    """Means far off, negative volumes (a wider pair may fit again) and gaps: the same as all pairs."""
+    ask, bid, ask_last, bid_last = {4229: 5, 4232: 40}, {4227: 30, 4225: 1}, ASK | {4230: -900}, BID | {4225: -300}
+    books = spark.createDataFrame([(ask, bid, ask_last, bid_last, vol, amt, *bounds)], "D_ask map<long,long>, D_bid map<long,long>, D_ask_last map<long,long>, D_bid_last map<long,long>, vol long, amt long, ask_bound long, bid_bound long")
+    sums = {f"D_{s}{t}_cumsum": pv.cumulate(F.col(f"D_{s}{t}"), s == "bid") for s in ("ask", "bid") for t in ("", "_last")}
+    row = book.with_trades(books.withColumns(sums)).first()
+    assert row["D_exch"] == plain_search(vol, amt, ask, bid, ask_last, bid_last, *bounds)
+
+
+def test_orders_of_odd_books(spark):
+    """Old and new orders as differences of maps, with negative volumes and prices of one side alone."""
+    rows = [({1: 5, 2: 3, 9: 4}, {1: 2, 2: -1, 3: 7}, {2: 6, 3: 1}), ({}, {1: 2}, {}), ({4: 2}, None, {4: -3, 5: 1}), ({2: 1, 3: 8}, {3: 8}, {3: 9})]
+    df = spark.createDataFrame([(i, x, now, last, now, last, 2, 9, 9, 1, 1, 1) for i, (x, last, now) in enumerate(rows)], """i long, D_exch map<long,long>, D_ask map<long,long>, D_ask_last map<long,long>, D_bid map<long,long>, D_bid_last map<long,long>,
+        AP1_last long, AP5_last long, AP5 long, BP1_last long, BP5_last long, BP5 long""")
+    for r in book.with_orders(df).collect():
+        x, last, now = rows[r.i]
+        last, above = last or {}, {p: v for p, v in x.items() if p >= 2}
+        old = {p: min(v, last.get(p, 0)) for p, v in x.items() if min(v, last.get(p, 0)) > 0}
+        change = {p: x.get(p, 0) + now.get(p, 0) - last.get(p, 0) for p in {*x, *now, *last} if p <= 9}
+        assert (r.D_ask_old, r.D_bid_old, r.D_ask_exch) == (old, old, above)
+        assert r.D_ask_new == {p: v - old.get(p, 0) for p, v in above.items() if v > old.get(p, 0)}
+        assert r.D_ask_add == {p: v for p, v in change.items() if v > 0} and r.D_ask_cancel == {p: -v for p, v in change.items() if v < 0}
+
+
+def test_levels_rising_falling_and_with_gaps(spark):
+    rows = [(5, 6, 7), (7, 6, 5), (5, 7, 8), (5, 5, 6), (None, 6, 7), (0, 1, 2), (-1, 0, 1), (None, None, None), (9, 8, 6)]
+    df = spark.createDataFrame([(*r, 10, None, 30) for r in rows], "a long, b long, c long, x long, y long, z long")
+    prices, volumes = [F.col(c) for c in "abc"], [F.col(c) for c in "xyz"]
+    for r in df.select(pv.populated_levels(prices, volumes).alias("got"), pv.populate(pv.from_levels(prices, volumes)).alias("want")).collect():
+        assert r.got == r.want
+
+
 def test_trades_conserve_volume(spark):
     from ticktide.plans import registry
 

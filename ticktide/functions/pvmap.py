@@ -7,6 +7,9 @@ Null maps count as empty. Every function returns a Column of built-in expression
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import pairwise
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,11 +57,17 @@ def from_levels(prices: list[Column], volumes: list[Column]) -> Column:
 
 
 def populated_levels(prices: list[Column], volumes: list[Column]) -> Column:
-    """`populate` of `from_levels`, without the map between."""
+    """`populate` of `from_levels`, without the map between. Levels one tick apart are taken as they are, others looked up."""
     ps, at = _levels(prices, volumes)
+    vs = [F.coalesce(v, F.lit(0)).cast("bigint") for v in volumes]
     low, high = F.least(*ps), F.greatest(*ps)
     each = F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("key"), at(k).alias("value")))
-    return F.when(low.isNotNull(), F.map_from_entries(each)).otherwise(empty())
+
+    def even(step: int) -> Column:
+        return reduce(and_, [F.coalesce(b - a == step, F.lit(False)) for a, b in pairwise(ps)], F.lit(True))
+
+    rising, falling = F.map_from_arrays(F.array(*ps), F.array(*vs)), F.map_from_arrays(F.array(*ps[::-1]), F.array(*vs[::-1]))
+    return F.when(low.isNull(), empty()).when(even(1), rising).when(even(-1), falling).otherwise(F.map_from_entries(each))
 
 
 def populate(m: Column) -> Column:
@@ -115,6 +124,11 @@ def minimum(a: Column, b: Column) -> Column:
     return let(or_empty(a), lambda a: F.transform_values(or_empty(b), lambda k, v: F.least(get(a, k), v)))
 
 
+def deduct(a: Column, b: Column) -> Column:
+    """Prices of `a`, each less its volume in `b`."""
+    return let(or_empty(b), lambda b: F.transform_values(or_empty(a), lambda k, v: v - get(b, k)))
+
+
 def total(m: Column) -> Column:
     return F.aggregate(F.map_values(or_empty(m)), F.lit(0).cast("bigint"), lambda s, v: s + v)
 

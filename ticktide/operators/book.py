@@ -62,59 +62,70 @@ def split_trades(vol: Column, amt: Column, ask_bound: Column, bid_bound: Column)
     outside the borders and less what the borders left standing. Equal scores prefer the narrower
     pair, then the lower low border. Without candidate: empty.
 
-    The books and their running sums become one array of cells, a cell per price that can be a border. A fold
-    over low borders holds a fold over the cells from there up, which carries what is left of volume and
-    amount and the best candidate so far.
+    A cell is a price that can be a border, with sums of what rests below it. Pairs are first held against
+    volume and amount, by these sums alone; only those that fit are looked up in the books and scored.
     """
     none = F.lit(0).cast("bigint")
     vol, amt = F.coalesce(vol, none).cast("bigint"), F.coalesce(amt, none).cast("bigint")
     book, last = ({s: F.col(f"D_{s}{tail}") for s in ("ask", "bid")} for tail in ("", "_last"))
     sums, last_sums = ({s: F.col(f"D_{s}{tail}_cumsum") for s in ("ask", "bid")} for tail in ("", "_last"))
 
+    def left(p: Column) -> Column:
+        return F.greatest(pv.get(last["ask"], p) - pv.get(book["ask"], p), none) + F.greatest(pv.get(last["bid"], p) - pv.get(book["bid"], p), none)
+
+    def below(p: Column) -> Column:
+        return pv.get(last_sums["ask"], p - 1) + pv.get(sums["bid"], p + 1)
+
+    def above(p: Column) -> Column:
+        return pv.get(last_sums["bid"], p + 1) + pv.get(sums["ask"], p - 1)
+
     def cells(e: Column) -> Column:
-        def cell(p: Column) -> Column:
-            asks, bids = pv.get(last["ask"], p), pv.get(last["bid"], p)
-            return pv.let(F.struct(asks.alias("a"), bids.alias("b")), lambda x: F.struct(
-                p.alias("p"), (x["a"] + x["b"]).alias("rest"), x["a"].alias("asks"), x["b"].alias("bids"),
-                (F.greatest(x["a"] - pv.get(book["ask"], p), none) + F.greatest(x["b"] - pv.get(book["bid"], p), none)).alias("left"),
-                (pv.get(last_sums["ask"], p - 1) + pv.get(sums["bid"], p + 1)).alias("below"),
-                (pv.get(last_sums["bid"], p + 1) + pv.get(sums["ask"], p - 1)).alias("above"),
-            ))
-
-        return F.transform(F.sequence(e["low"], e["high"]), cell)
-
-    def best_of(e: Column, found: Column, low: Column, rows: Column) -> Column:
-        def candidate(acc: Column, c: Column) -> Column:
-            same = c["p"] == low["p"]
-            v1 = F.when(same, e["vol"]).otherwise(F.call_function("div", c["p"] * acc["v"] - acc["a"], F.when(~same, c["p"] - low["p"])))
-
-            def judged(v1: Column) -> Column:
-                v2 = acc["v"] - v1
-                prize = F.least(v1, low["left"]) + F.when(same, none).otherwise(F.least(v2, c["left"])) + acc["left"]
-                standing = F.when(same, none).otherwise(F.greatest(low["asks"] - v1, none) + F.greatest(c["bids"] - v2, none))
-                new = F.struct((prize - standing - low["below"] - c["above"]).alias("score"), (low["p"] - c["p"]).alias("width"), low["p"].alias("low"), v1.alias("v1"), v2.alias("v2"))
-                old = acc["best"]
-                return pv.let(new, lambda n: F.when(old["score"].isNull() | (n["score"] > old["score"]) | ((n["score"] == old["score"]) & (n["width"] > old["width"])), n).otherwise(old))
-
-            fits = F.when(same, e["amt"] == e["vol"] * c["p"]).otherwise((acc["v"] > 0) & (low["p"] * acc["v"] < acc["a"]) & (acc["a"] < c["p"] * acc["v"]))
-            best = F.when((c["p"] >= e["up"]) & fits, pv.let(v1, judged)).otherwise(acc["best"])
-            off = F.when(same, none).otherwise(c["rest"])
-            gone = F.when(same, none).otherwise(c["left"])
-            return F.struct((acc["v"] - off).alias("v"), (acc["a"] - c["p"] * off).alias("a"), (acc["left"] + gone).alias("left"), best.alias("best"))
-
-        start = F.struct(e["vol"].alias("v"), e["amt"].alias("a"), none.alias("left"), found.alias("best"))
-        return F.aggregate(rows, start, candidate, lambda acc: acc["best"])
-
-    def search(e: Column, all_cells: Column) -> Column:
-        nothing = F.lit(None).cast("struct<score:bigint,width:bigint,low:bigint,v1:bigint,v2:bigint>")
-        lows = F.sequence(F.lit(1), (e["mean"] - e["low"] + 1).cast("int"))
-        return F.aggregate(lows, nothing, lambda found, k: best_of(e, found, F.get(all_cells, k - 1), F.slice(all_cells, k, F.size(all_cells))))
-
-    def traded(all_cells: Column, best: Column) -> Column:
-        high = best["low"] - best["width"]
-        inside = F.filter(all_cells, lambda c: (c["p"] >= best["low"]) & (c["p"] <= high))
-        amounts = F.transform(inside, lambda c: F.struct(c["p"].alias("key"), F.when(c["p"] == best["low"], best["v1"]).when(c["p"] == high, best["v2"]).otherwise(c["rest"]).alias("value")))
-        return F.when(best["low"].isNull(), pv.empty()).otherwise(F.map_from_entries(F.filter(amounts, lambda x: x["value"] != 0)))
+        def step(acc: Column, c: Column) -> Column:
+            cell = F.struct(c["p"].alias("p"), c["rest"].alias("rest"), acc["n"].alias("n"), acc["t"].alias("t"))
+            return F.struct((acc["n"] + c["rest"]).alias("n"), (acc["t"] + c["p"] * c["rest"]).alias("t"), F.array_append(acc["cells"], cell).alias("cells"))
+
+        rests = F.transform(F.sequence(e["low"], e["high"]), lambda p: F.struct(p.alias("p"), (pv.get(last["ask"], p) + pv.get(last["bid"], p)).alias("rest")))
+        start = F.struct(none.alias("n"), none.alias("t"), F.array().cast("array<struct<p:bigint,rest:bigint,n:bigint,t:bigint>>").alias("cells"))
+        return F.aggregate(rests, start, step, lambda acc: acc["cells"])
+
+    def part(e: Column, all_cells: Column, first: Column, size: Column) -> Column:
+        return F.slice(all_cells, (first - e["low"] + 1).cast("int"), size.cast("int"))
+
+    def scored(e: Column, all_cells: Column, low: Column, c: Column) -> Column:
+        v, a = low["v"] - c["n"], low["a"] - c["t"]
+
+        def judged(v1: Column) -> Column:
+            v2 = v - v1
+            between = F.aggregate(part(e, all_cells, low["p"] + 1, c["p"] - low["p"] - 1), none, lambda acc, x: acc + left(x["p"]))
+            prize = F.least(v1, left(low["p"])) + F.least(v2, left(c["p"])) + between
+            standing = F.greatest(pv.get(last["ask"], low["p"]) - v1, none) + F.greatest(pv.get(last["bid"], c["p"]) - v2, none)
+            return F.struct((prize - standing - below(low["p"]) - above(c["p"])).alias("score"), (low["p"] - c["p"]).alias("width"), (-low["p"]).alias("down"), v1.alias("v1"), v2.alias("v2"))
+
+        return pv.let(F.call_function("div", c["p"] * v - a, c["p"] - low["p"]), judged)
+
+    def pairs(e: Column, all_cells: Column) -> Column:
+        def of(highs: Column, low: Column) -> Column:
+            def fits(c: Column) -> Column:
+                v, a = low["v"] - c["n"], low["a"] - c["t"]
+                return (c["n"] < low["v"]) & (c["p"] > low["p"]) & (low["p"] * v < a) & (a < c["p"] * v)
+
+            return F.transform(F.filter(highs, fits), lambda c: scored(e, all_cells, low, c))
+
+        lows = F.transform(part(e, all_cells, e["low"], e["mean"] - e["low"] + 1), lambda c: F.struct(
+            c["p"].alias("p"), (e["vol"] + c["n"] + c["rest"]).alias("v"), (e["amt"] + c["t"] + c["p"] * c["rest"]).alias("a"),
+        ))
+        return pv.let(part(e, all_cells, e["up"], e["high"] - e["up"] + 1), lambda highs: F.flatten(F.transform(lows, lambda low: of(highs, low))))
+
+    def single(e: Column) -> Column:
+        p, vol = e["mean"], e["vol"]
+        one = F.struct((F.least(vol, left(p)) - below(p) - above(p)).alias("score"), none.alias("width"), (-p).alias("down"), vol.alias("v1"), none.alias("v2"))
+        return F.when(p == e["up"], F.array(one)).otherwise(F.array().cast("array<struct<score:bigint,width:bigint,down:bigint,v1:bigint,v2:bigint>>"))
+
+    def traded(e: Column, all_cells: Column, best: Column) -> Column:
+        low, high = -best["down"], -best["down"] - best["width"]
+        inside = part(e, all_cells, low, high - low + 1)
+        amounts = F.transform(inside, lambda c: F.struct(c["p"].alias("key"), F.when(c["p"] == low, best["v1"]).when(c["p"] == high, best["v2"]).otherwise(c["rest"]).alias("value")))
+        return F.when(best.isNull(), pv.empty()).otherwise(F.map_from_entries(F.filter(amounts, lambda x: x["value"] != 0)))
 
     some = F.when(vol > 0, vol)
     mean = F.call_function("div", amt - F.pmod(amt, some), some)
@@ -122,7 +133,7 @@ def split_trades(vol: Column, amt: Column, ask_bound: Column, bid_bound: Column)
     env = F.struct(
         vol.alias("vol"), amt.alias("amt"), mean.alias("mean"), up.alias("up"), F.least(mean, bid_bound.cast("bigint")).alias("low"), F.greatest(up, ask_bound.cast("bigint")).alias("high"),
     )
-    found = pv.let(env, lambda e: pv.let(cells(e), lambda c: pv.let(search(e, c), lambda best: traded(c, best))))
+    found = pv.let(env, lambda e: pv.let(cells(e), lambda c: pv.let(F.array_max(F.concat(pairs(e, c), single(e))), lambda best: traded(e, c, best))))
     return F.when((vol > 0) & ask_bound.isNotNull() & bid_bound.isNotNull(), found).otherwise(pv.empty())
 
 
@@ -136,16 +147,15 @@ def with_orders(df: DataFrame) -> DataFrame:
     exch = F.col("D_exch")
     best = {"ask": (F.col("AP1_last"), None), "bid": (None, F.col("BP1_last"))}
     edge = {"ask": (None, F.least("AP5_last", "AP5")), "bid": (F.greatest("BP5_last", "BP5"), None)}
+    change = {f"D_{s}_change": pv.nonzero(pv.clip(pv.subtract(pv.add(exch, F.col(f"D_{s}")), F.col(f"D_{s}_last")), *edge[s])) for s in ("ask", "bid")}
+    dealt = {f"D_{s}_exch": pv.clip(exch, *best[s]) for s in ("ask", "bid")}
+    old = {f"D_{s}_old": pv.positive(pv.minimum(F.col(f"D_{s}_last"), exch)) for s in ("ask", "bid")}
+    mid = {"D_mid_exch": pv.clip(exch, F.col("BP1_last") + 1, F.col("AP1_last") - 1)}
+    df = df.withColumns(change | dealt | old | mid)  # columns of their own: each is computed once, however often it is used
     new: dict[str, Column] = {}
     for s in ("ask", "bid"):
-        change = pv.nonzero(pv.clip(pv.subtract(pv.add(exch, F.col(f"D_{s}")), F.col(f"D_{s}_last")), *edge[s]))
-        dealt = pv.clip(exch, *best[s])
-        old = pv.positive(pv.subtract(exch, pv.positive(pv.subtract(exch, F.col(f"D_{s}_last")))))
-        new |= {
-            f"D_{s}_change": change, f"D_{s}_add": pv.positive(change), f"D_{s}_cancel": pv.negate(pv.negative(change)), f"D_{s}_exch": dealt,
-            f"D_{s}_old": old, f"D_{s}_new": pv.positive(pv.subtract(dealt, old)),
-        }
-    new["D_mid_exch"] = pv.clip(exch, F.col("BP1_last") + 1, F.col("AP1_last") - 1)
+        change, dealt, old = (F.col(f"D_{s}_{c}") for c in ("change", "exch", "old"))
+        new |= {f"D_{s}_add": pv.positive(change), f"D_{s}_cancel": pv.negate(pv.negative(change)), f"D_{s}_new": pv.positive(pv.deduct(dealt, old))}
     return df.withColumns(new)
 
 

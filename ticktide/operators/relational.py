@@ -30,6 +30,14 @@ def natural_order(names: list[str]) -> list[str]:
     return sorted(names, key=key)
 
 
+def spread(df: DataFrame, *keys: str, tasks_per_core: int = 16) -> DataFrame:
+    """The rows dealt evenly over tasks, for costly work row by row behind a window whose series are few or uneven.
+
+    The number is fixed, as adaptive execution joins partitions by their bytes, which do not tell the work.
+    """
+    return df.repartition(tasks_per_core * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def with_prefix(df: DataFrame, prefix: str, keep: list[str]) -> DataFrame:
     return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in keep})
 

@@ -466,7 +466,8 @@ TRADES_SQL = """
 @query("trade_reconstruction", TRADES_SQL)
 def trade_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traded volume per price, and what it says of orders."""
-    full = book.with_orders(book.with_trades(book.with_bounds(book.with_sums(book.with_maps(books(spark, sf_dir))))))
+    rows = relational.spread(books(spark, sf_dir), "event_id")
+    full = book.with_orders(book.with_trades(book.with_bounds(book.with_sums(book.with_maps(rows)))))
     names = ["D_exch", "D_ask_add", "D_ask_cancel", "D_ask_exch", "D_ask_old", "D_ask_new", "D_bid_add", "D_bid_cancel", "D_bid_exch", "D_mid_exch"]
     return full.select("event_id", "vol", *[pv.total(F.col(n)).alias(n.lower()) for n in names], pv.turnover(F.col("D_exch")).alias("turnover"), "amt")
 
